@@ -19,9 +19,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None yet can be stated in SQL alone: see the tests for the brute-force versions."""
     return {}
