@@ -25,6 +25,13 @@ def op5_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm import quality_cnn
+
+    documents = table(spark, sf_dir, "documents")
+    return quality_cnn.score(documents, quality_cnn.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagraph.llm.quality_rules import judge
 
