@@ -1,4 +1,4 @@
-"""Exact token ids from the tokenizers library, with each distinct chunk of text encoded once.
+"""Exact token ids from the tokenizers library, with frequent chunks of text encoded once.
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts, so that the ids of a text
 are the ids of its chunks in a row; chunks repeat, and a bounded cache keeps their ids.
@@ -6,20 +6,31 @@ are the ids of its chunks in a row; chunks repeat, and a bounded cache keeps the
 * byte-level BPE: before a single space or newline that stands between two other characters.
   Its pattern looks ahead at white space only, and never behind.
 * word BPE: at spaces and newlines, which its pre-tokenizer drops.
+
+Chunks that the cache lacks are encoded many to a call, with a separator between them that is
+a token of its own; where that can't be told apart, one by one.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-
-#: Distinct chunks kept in a worker's cache; beyond it the cache starts anew (results are the same).
-CACHE = 400_000
-#: Chunks longer than this are encoded each time, not kept.
-KEPT_CHARS = 64
-_ODD = re.compile(r"\s\s|^\s|\s\Z|\0")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks kept in a worker's cache: the first so many that it meets, so the frequent ones.
+CACHE = 800_000
+#: Longer chunks are encoded each time.
+KEPT_CHARS = 48
+#: Characters of text encoded together, and chunks joined for one call.
+GROUP_CHARS, JOINED = 6_000_000, 256
+# White space besides space and newline, as str.isspace has it.
+_OTHER_SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) if chr(c) not in " \n"]
+_ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
+_UNEVEN = ["  ", " \n", "\n ", "\n\n", "\0"]
 _BEFORE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -33,41 +44,108 @@ def load(path: str):
     return tokenizer
 
 
-def byte_chunks(text: str) -> list[str]:
-    if _ODD.search(text):
-        return _BEFORE.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+def _uneven(text: str) -> bool:
+    """Whether a byte-level text has white space that isn't one space or newline between two other characters."""
+    return text[:1] in " \n" or text[-1:] in " \n" or any(x in text for x in _UNEVEN) or any(x in text for x in (_ASCII_SPACES if text.isascii() else _OTHER_SPACES))
+
+
+def _byte_chunks(texts: list[str], uneven: bool) -> pa.ListArray:
+    if uneven:
+        return pa.array([_BEFORE.split(t) for t in texts], pa.list_(pa.string()))
+    marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), " ", "\0 "), "\n", "\0\n")
+    return pc.split_pattern(marked, "\0")
 
 
-def word_chunks(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+def _word_chunks(texts: list[str], uneven: bool) -> pa.ListArray:
+    return pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
 
 
 class Encoder:
-    """Texts to little-endian ids, as bytes of ``dtype``."""
+    """Texts to their ids, unsigned with 32 bits each.
 
-    def __init__(self, path: str, chunks, dtype: str = "<u4"):
-        self.tokenizer, self.chunks, self.dtype, self.cache = load(path), chunks, dtype, {"": b""}
+    ``separator`` is a string with a token of its own between any two chunks without it.
+    """
+
+    def __init__(self, path: str, chunks: Callable[[list[str], bool], pa.ListArray], separator: str):
+        self.tokenizer, self.chunks, self.cache = load(path), chunks, {"": b""}
+        self.mark = separator.strip(" ")
+        self.separator = separator
+        self.sep_id = self._ids([self.mark])[0]
+        if len(self.sep_id) != 1:
+            raise ValueError("the separator isn't one token")
+        self.sep_id = self.sep_id[0]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[chunk] = np.array(found.ids, self.dtype).tobytes()
+        plain, odd, out = [], [], {}
+        for chunk in new:
+            body = chunk[1:] if chunk[:1] == " " else chunk
+            (plain if body.split() == [body] and self.mark not in chunk else odd).append(chunk)
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._ids([self.separator.join(g) for g in groups]), strict=True):
+            ids = np.array(ids, "<u4")
+            ends = np.flatnonzero(ids == self.sep_id).tolist()
+            if len(ends) != len(group) - 1:
+                odd += group
+                continue
+            data, start = ids.tobytes(), 0
+            for chunk, end in zip(group, [*ends, len(ids)], strict=True):
+                out[chunk] = data[4 * start : 4 * end]
+                start = end + 1
+        for chunk, ids in zip(odd, self._ids(odd), strict=True):
+            out[chunk] = np.array(ids, "<u4").tobytes()
         return out
 
-    def encode(self, text: str) -> bytes:
-        parts = self.chunks(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, parts))
-        except KeyError:
-            pass
-        known = self.cache
-        new = self._learn(list({p for p in parts if p not in known}))
-        if len(known) + len(new) > CACHE:
-            self.cache = known = {"": b""}
-            new = self._learn(list(set(parts) - {""}))
-        out = b"".join([known[p] if p in known else new[p] for p in parts])
-        known.update((k, v) for k, v in new.items() if len(k) <= KEPT_CHARS)
-        return out
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.cache.get, chunks))
+        new = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
+        if new:
+            learnt = self._learn(new)
+            if len(self.cache) < CACHE:
+                self.cache.update((k, v) for k, v in learnt.items() if len(k) <= KEPT_CHARS)
+            found = [learnt[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        return found
+
+    def encode(self, texts: list[str], uneven: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's begin (and the last one's end). uneven: see ``groups``."""
+        lists = self.chunks(texts, uneven)
+        coded = lists.values.dictionary_encode()
+        found = self._known(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
+        pool = np.frombuffer(b"".join(found), "<u4")
+        many = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        starts = np.cumsum(many, dtype=np.int32) - many
+        length = many[codes]
+        ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        kind = np.int32 if ends[-1] < 2**31 else np.int64
+        ids = pool[np.arange(ends[-1], dtype=kind) + np.repeat((starts[codes] - ends[:-1]).astype(kind), length)] if ends[-1] else np.empty(0, "<u4")
+        return ids, ends[lists.offsets.to_numpy()]
+
+
+def byte_encoder(path: str) -> Encoder:
+    return Encoder(path, _byte_chunks, "\n")
+
+
+def word_encoder(path: str) -> Encoder:
+    return Encoder(path, _word_chunks, " | ")
+
+
+def groups(texts, most: int = GROUP_CHARS) -> Iterator[tuple[list[int], list[str], bool]]:
+    """An Arrow column's texts in lists of about ``most`` characters: (positions, texts, uneven).
+
+    Texts whose white space is uneven for the byte-level tokenizer come in lists of their own.
+    """
+    held: dict[bool, tuple[list[int], list[str]]] = {False: ([], []), True: ([], [])}
+    size = {False: 0, True: 0}
+    for i, t in enumerate(texts):
+        t = t.as_py() or ""
+        kind = _uneven(t)
+        held[kind][0].append(i)
+        held[kind][1].append(t)
+        size[kind] += len(t)
+        if size[kind] >= most:
+            yield *held[kind], kind
+            held[kind], size[kind] = ([], []), 0
+    yield from ((*h, kind) for kind, h in held.items() if h[0])
