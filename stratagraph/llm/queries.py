@@ -19,6 +19,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm import sentencepiece_bpe
+
+    return sentencepiece_bpe.digests(sentencepiece_bpe.decode(sentencepiece_bpe.encode(table(spark, sf_dir, "documents"))))
+
+
 def op5_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagraph.llm.packing import pack
 

@@ -60,43 +60,14 @@ def _word_chunks(texts: list[str], uneven: bool) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
 
 
-class Encoder:
-    """Texts to their ids, unsigned with 32 bits each.
+class ChunkEncoder:
+    """Texts to their ids; each distinct chunk of a call is encoded once, frequent ones once for all."""
 
-    ``separator`` is a string with a token of its own between any two chunks without it.
-    """
-
-    def __init__(self, path: str, chunks: Callable[[list[str], bool], pa.ListArray], separator: str):
-        self.tokenizer, self.chunks, self.cache = load(path), chunks, {"": b""}
-        self.mark = separator.strip(" ")
-        self.separator = separator
-        self.sep_id = self._ids([self.mark])[0]
-        if len(self.sep_id) != 1:
-            raise ValueError("the separator isn't one token")
-        self.sep_id = self.sep_id[0]
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __init__(self, chunks: Callable[[list[str], bool], pa.ListArray]):
+        self.chunks, self.cache = chunks, {"": b""}
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain, odd, out = [], [], {}
-        for chunk in new:
-            body = chunk[1:] if chunk[:1] == " " else chunk
-            (plain if body.split() == [body] and self.mark not in chunk else odd).append(chunk)
-        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
-        for group, ids in zip(groups, self._ids([self.separator.join(g) for g in groups]), strict=True):
-            ids = np.array(ids, "<u4")
-            ends = np.flatnonzero(ids == self.sep_id).tolist()
-            if len(ends) != len(group) - 1:
-                odd += group
-                continue
-            data, start = ids.tobytes(), 0
-            for chunk, end in zip(group, [*ends, len(ids)], strict=True):
-                out[chunk] = data[4 * start : 4 * end]
-                start = end + 1
-        for chunk, ids in zip(odd, self._ids(odd), strict=True):
-            out[chunk] = np.array(ids, "<u4").tobytes()
-        return out
+        raise NotImplementedError
 
     def _known(self, chunks: list[str]) -> list[bytes]:
         found = list(map(self.cache.get, chunks))
@@ -124,6 +95,38 @@ class Encoder:
         return ids, ends[lists.offsets.to_numpy()]
 
 
+class Encoder(ChunkEncoder):
+    """Ids of the tokenizers library. ``separator``: a string with a token of its own between any two chunks without it."""
+
+    def __init__(self, path: str, chunks: Callable[[list[str], bool], pa.ListArray], separator: str):
+        super().__init__(chunks)
+        self.tokenizer, self.separator, self.mark = load(path), separator, separator.strip(" ")
+        (self.sep_id,) = self._ids([self.mark])[0]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        plain, odd, out = [], [], {}
+        for chunk in new:
+            body = chunk[1:] if chunk[:1] == " " else chunk
+            (plain if body.split() == [body] and self.mark not in chunk else odd).append(chunk)
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._ids([self.separator.join(g) for g in groups]), strict=True):
+            ids = np.array(ids, "<u4")
+            ends = np.flatnonzero(ids == self.sep_id).tolist()
+            if len(ends) != len(group) - 1:
+                odd += group
+                continue
+            data, start = ids.tobytes(), 0
+            for chunk, end in zip(group, [*ends, len(ids)], strict=True):
+                out[chunk] = data[4 * start : 4 * end]
+                start = end + 1
+        for chunk, ids in zip(odd, self._ids(odd), strict=True):
+            out[chunk] = np.array(ids, "<u4").tobytes()
+        return out
+
+
 def byte_encoder(path: str) -> Encoder:
     return Encoder(path, _byte_chunks, "\n")
 
@@ -132,16 +135,16 @@ def word_encoder(path: str) -> Encoder:
     return Encoder(path, _word_chunks, " | ")
 
 
-def groups(texts, most: int = GROUP_CHARS) -> Iterator[tuple[list[int], list[str], bool]]:
+def groups(texts, uneven: Callable[[str], bool] = _uneven, most: int = GROUP_CHARS) -> Iterator[tuple[list[int], list[str], bool]]:
     """An Arrow column's texts in lists of about ``most`` characters: (positions, texts, uneven).
 
-    Texts whose white space is uneven for the byte-level tokenizer come in lists of their own.
+    Texts that are uneven (by default: whose white space is, for the byte-level tokenizer) come in lists of their own.
     """
     held: dict[bool, tuple[list[int], list[str]]] = {False: ([], []), True: ([], [])}
     size = {False: 0, True: 0}
     for i, t in enumerate(texts):
         t = t.as_py() or ""
-        kind = _uneven(t)
+        kind = uneven(t)
         held[kind][0].append(i)
         held[kind][1].append(t)
         size[kind] += len(t)
