@@ -38,6 +38,12 @@ def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(documents, quality_cnn.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op9_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm.token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagraph.llm.quality_rules import judge
 

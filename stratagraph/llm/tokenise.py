@@ -3,8 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts, so that the ids of a text
 are the ids of its chunks in a row; chunks repeat, and a bounded cache keeps their ids.
 
-* byte-level BPE: before a single space or newline that stands between two other characters.
-  Its pattern looks ahead at white space only, and never behind.
+* byte-level BPE: before a single space, and on both sides of a single newline, that stands
+  between two other characters. Its pattern looks ahead at white space only, and never behind.
 * word BPE: at spaces and newlines, which its pre-tokenizer drops.
 
 Chunks that the cache lacks are encoded many to a call, with a separator between them that is
@@ -22,15 +22,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks kept in a worker's cache: the first so many that it meets, so the frequent ones.
-CACHE = 800_000
+CACHE = 400_000
 #: Longer chunks are encoded each time.
 KEPT_CHARS = 48
 #: Characters of text encoded together, and chunks joined for one call.
-GROUP_CHARS, JOINED = 6_000_000, 256
+GROUP_CHARS, JOINED = 12_000_000, 256
 # White space besides space and newline, as str.isspace has it.
 _OTHER_SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) if chr(c) not in " \n"]
 _ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 _UNEVEN = ["  ", " \n", "\n ", "\n\n", "\0"]
+_SPACE = re.compile(r"\s")
 _BEFORE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -52,7 +53,7 @@ def _uneven(text: str) -> bool:
 def _byte_chunks(texts: list[str], uneven: bool) -> pa.ListArray:
     if uneven:
         return pa.array([_BEFORE.split(t) for t in texts], pa.list_(pa.string()))
-    marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), " ", "\0 "), "\n", "\0\n")
+    marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), " ", "\0 "), "\n", "\0\n\0")
     return pc.split_pattern(marked, "\0")
 
 
@@ -109,8 +110,7 @@ class Encoder(ChunkEncoder):
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         plain, odd, out = [], [], {}
         for chunk in new:
-            body = chunk[1:] if chunk[:1] == " " else chunk
-            (plain if body.split() == [body] and self.mark not in chunk else odd).append(chunk)
+            (plain if self.mark not in chunk and not _SPACE.search(chunk, 1) else odd).append(chunk)
         groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
         for group, ids in zip(groups, self._ids([self.separator.join(g) for g in groups]), strict=True):
             ids = np.array(ids, "<u4")
