@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.llm.common import id_and_text, staged
-from stratagraph.llm.tokenise import Encoder, byte_encoder, groups
+from stratagraph.llm.tokenise import ByteEncoder
 
 WINDOW, END_ID = 1024, 0
 #: Ids a window may fall short of full without being cut and filled from the next.
@@ -48,20 +48,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _documents(encoder: Encoder, texts: pa.Array, end: bytes) -> Iterator[tuple[int, bytes]]:
-    for own, group, uneven in groups(texts):
-        ids, at = encoder.encode(group, uneven)
-        for i, lo, hi in zip(own, at[:-1], at[1:], strict=True):
-            yield i, ids[lo:hi].tobytes() + end
-
-
 def _pieces(path: str, window: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_encoder(path)
+        encoder = ByteEncoder(path)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * window
         for batch in batches:
             at, starts, lengths, sums, totals, salts, ids = [], [], [], [], [], [], []
-            for i, data in _documents(encoder, batch.column("text"), end):
+            for i, text in enumerate(batch.column("text")):
+                data = encoder.encode(text.as_py() or "").astype("<u4").tobytes() + end
                 salt = zlib.crc32(data)
                 for start in range(0, len(data), step):
                     piece = data[start : start + step]

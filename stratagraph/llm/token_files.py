@@ -101,7 +101,7 @@ def _write(folder: str, tokenizer: str, length: int, end_id: int, id_type: pa.Da
             if not len(batch):
                 continue
             writer = writer or Writer(folder, id_type, length)
-            for own, texts, _ in groups(batch.column("text"), lambda t: False):
+            for own, texts, _ in groups(batch.column("text")):
                 ids, at = encoder.encode(texts)
                 ids = np.insert(ids, at[1:], np.uint32(end_id))
                 writer.append(batch.column("doc_id").take(pa.array(own)), ids, np.diff(at) + 1)

@@ -1,14 +1,15 @@
-"""Exact token ids from the tokenizers library, with frequent chunks of text encoded once.
-
-A text is cut where the tokenizer's own pre-tokenizer always cuts, so that the ids of a text
-are the ids of its chunks in a row; chunks repeat, and a bounded cache keeps their ids.
-
-* byte-level BPE: before a single space, and on both sides of a single newline, that stands
-  between two other characters. Its pattern looks ahead at white space only, and never behind.
-* word BPE: at spaces and newlines, which its pre-tokenizer drops.
-
-Chunks that the cache lacks are encoded many to a call, with a separator between them that is
-a token of its own; where that can't be told apart, one by one.
+"""Exact token ids of public tokenizer files.
+
+* byte-level BPE (``ByteEncoder``): the vocabulary of a tokenizers file in the tiktoken library,
+  whose ids are the same and come several times faster; texts with very long words or runs of
+  white space, where that library takes quadratic time, go through the tokenizers library.
+* word BPE (``word_encoder``): the tokenizers library. A text is cut at spaces and newlines, which
+  the file's pre-tokenizer drops, so the ids of a text are the ids of its chunks in a row. Each
+  distinct chunk of a call is encoded once; a bounded cache keeps the frequent ones. Chunks that
+  the cache lacks are encoded many to a call, with a separator between them that is a token of
+  its own; where that can't be told apart, one by one.
+
+The tests hold both against the tokenizers library over whole texts.
 """
 
 from __future__ import annotations
@@ -27,12 +28,7 @@ CACHE = 400_000
 KEPT_CHARS = 48
 #: Characters of text encoded together, and chunks joined for one call.
 GROUP_CHARS, JOINED = 12_000_000, 256
-# White space besides space and newline, as str.isspace has it.
-_OTHER_SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) if chr(c) not in " \n"]
-_ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
-_UNEVEN = ["  ", " \n", "\n ", "\n\n", "\0"]
 _SPACE = re.compile(r"\s")
-_BEFORE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 @lru_cache(maxsize=4)
@@ -45,18 +41,6 @@ def load(path: str):
     return tokenizer
 
 
-def _uneven(text: str) -> bool:
-    """Whether a byte-level text has white space that isn't one space or newline between two other characters."""
-    return text[:1] in " \n" or text[-1:] in " \n" or any(x in text for x in _UNEVEN) or any(x in text for x in (_ASCII_SPACES if text.isascii() else _OTHER_SPACES))
-
-
-def _byte_chunks(texts: list[str], uneven: bool) -> pa.ListArray:
-    if uneven:
-        return pa.array([_BEFORE.split(t) for t in texts], pa.list_(pa.string()))
-    marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), " ", "\0 "), "\n", "\0\n\0")
-    return pc.split_pattern(marked, "\0")
-
-
 def _word_chunks(texts: list[str], uneven: bool) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
 
@@ -127,18 +111,44 @@ class Encoder(ChunkEncoder):
         return out
 
 
-def byte_encoder(path: str) -> Encoder:
-    return Encoder(path, _byte_chunks, "\n")
+#: Fixed value: how byte-level BPE files cut a text into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of a word, or of white space beyond one between two words, that tiktoken may get.
+LONG = 400
+
+
+def _byte_of_char() -> dict[str, int]:
+    """Byte-level files write a byte as itself if it prints, else as the next character from U+0100 on."""
+    prints = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    rest = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class ByteEncoder:
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.library = load(path)
+        of = _byte_of_char()
+        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        ranks = {bytes(map(of.__getitem__, piece)): i for piece, i in self.library.get_vocab(with_added_tokens=True).items() if piece not in special}
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        words = text.split()
+        if words and max(map(len, words)) <= LONG and len(text) - sum(map(len, words)) <= len(words) + LONG:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def word_encoder(path: str) -> Encoder:
     return Encoder(path, _word_chunks, " | ")
 
 
-def groups(texts, uneven: Callable[[str], bool] = _uneven, most: int = GROUP_CHARS) -> Iterator[tuple[list[int], list[str], bool]]:
+def groups(texts, uneven: Callable[[str], bool] = lambda t: False, most: int = GROUP_CHARS) -> Iterator[tuple[list[int], list[str], bool]]:
     """An Arrow column's texts in lists of about ``most`` characters: (positions, texts, uneven).
 
-    Texts that are uneven (by default: whose white space is, for the byte-level tokenizer) come in lists of their own.
+    Texts that are uneven come in lists of their own.
     """
     held: dict[bool, tuple[list[int], list[str]]] = {False: ([], []), True: ([], [])}
     size = {False: 0, True: 0}
