@@ -42,8 +42,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes that an Arrow batch to or from Python may have: what a task holds at once.
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session (never larger than it has them already)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        digits = "".join(c for c in now or "" if c.isdigit())
+        if not now or now != digits or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names; null texts become empty."""
+    bounded_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
@@ -52,4 +66,5 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def carried(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The whole row as one struct beside its text, so that new columns cannot clash with old names."""
+    bounded_batches(df.sparkSession)
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

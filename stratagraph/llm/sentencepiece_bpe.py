@@ -276,6 +276,7 @@ class Encoder(ChunkEncoder):
             ids, ends = self.model.encode_words(part)
             data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
             out.update((w, data[lo:hi]) for w, lo, hi in zip(part, ends[:-1], ends[1:], strict=True))
+        self._keep(out)
         return out
 
 

@@ -1,8 +1,8 @@
 """Token-id files: Arrow stream files of fixed-size-list batches.
 
 Documents are dealt by ranges of their id, tokenised and written in ascending id order. A
-file is an Arrow IPC stream whose batches hold ``ids`` (fixed_size_list<uint32>[length]) and
-``mask`` (fixed_size_list<uint8>[length], 1 for an id, 0 for padding): all sequences have one
+file is an Arrow IPC stream whose batches hold ``ids`` (fixed_size_list[length] of
+uint16, or uint32 for vocabularies beyond 65,536) and ``mask`` (fixed_size_list<uint8>[length], 1 for an id, 0 for padding): all sequences have one
 length, so sequence k lies at a fixed place of its batch and a memory-mapped file is read
 without a copy. A second stream beside it (``.index``) holds each document's id, first
 position and count.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.llm.common import id_and_text, new_path
-from stratagraph.llm.tokenise import groups, word_encoder
+from stratagraph.llm.tokenise import WordEncoder, groups, load
 
 LENGTH, END_ID = 1024, 1
 #: Sequences in a batch, and bytes of text that a file is meant to hold.
@@ -49,21 +49,21 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def schemas(id_type: pa.DataType, length: int) -> tuple[pa.Schema, pa.Schema]:
-    data = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def schemas(id_type: pa.DataType, length: int, dtype: str) -> tuple[pa.Schema, pa.Schema]:
+    data = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), length)), ("mask", pa.list_(pa.uint8(), length))])
     return data, pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class Writer:
     """Appends documents' ids to one file and its index."""
 
-    def __init__(self, folder: str, id_type: pa.DataType, length: int):
+    def __init__(self, folder: str, id_type: pa.DataType, length: int, dtype: str = "<u2"):
         self.fs, self.folder = _filesystem(folder)
         self.name, self.length = uuid.uuid4().hex, length
-        self.data_schema, self.index_schema = schemas(id_type, length)
+        self.data_schema, self.index_schema = schemas(id_type, length, dtype)
         self.sinks = [self.fs.open_output_stream(f"{self.folder}/_{self.name}.{kind}") for kind in ("arrows", "index")]
         self.data, self.index = (pa.ipc.new_stream(s, k) for s, k in zip(self.sinks, (self.data_schema, self.index_schema), strict=True))
-        self.rest, self.total = np.empty(0, "<u4"), 0
+        self.dtype, self.rest, self.total = dtype, np.empty(0, dtype), 0
 
     def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
@@ -73,7 +73,7 @@ class Writer:
         starts = self.total + np.cumsum(counts) - counts
         self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(counts)], schema=self.index_schema))
         self.total += len(ids)
-        held, step = np.concatenate([self.rest, ids]), self.length * BATCH_SEQUENCES
+        held, step = np.concatenate([self.rest, ids.astype(self.dtype)]), self.length * BATCH_SEQUENCES
         whole = len(held) // step * step
         for at in range(0, whole, step):
             self._write(held[at : at + step], np.ones(step, np.uint8))
@@ -82,7 +82,7 @@ class Writer:
     def close(self, last_name: str) -> None:
         if len(self.rest):
             n = -(-len(self.rest) // self.length) * self.length
-            ids, mask = np.zeros(n, "<u4"), np.zeros(n, np.uint8)
+            ids, mask = np.zeros(n, self.dtype), np.zeros(n, np.uint8)
             ids[: len(self.rest)], mask[: len(self.rest)] = self.rest, 1
             self._write(ids, mask)
         for writer, sink, kind in zip((self.data, self.index), self.sinks, ("arrows", "index"), strict=True):
@@ -95,12 +95,12 @@ def _write(folder: str, tokenizer: str, length: int, end_id: int, id_type: pa.Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer = word_encoder(tokenizer), None
+        encoder, writer = WordEncoder(tokenizer), None
         part = TaskContext.get().partitionId()
         for batch in batches:
             if not len(batch):
                 continue
-            writer = writer or Writer(folder, id_type, length)
+            writer = writer or Writer(folder, id_type, length, "<u2" if load(tokenizer).get_vocab_size() <= 1 << 16 else "<u4")
             for own, texts, _ in groups(batch.column("text")):
                 ids, at = encoder.encode(texts)
                 ids = np.insert(ids, at[1:], np.uint32(end_id))
@@ -144,7 +144,7 @@ def _read(folder: str, id_type: pa.DataType):
                             k, crc = int(np.searchsorted(first, at, "right")) - 1, 0
                             while n:  # a document may run over several batches
                                 part = flat[k][at - first[k] : at - first[k] + n]
-                                crc = zlib.crc32(part, crc)
+                                crc = zlib.crc32(part.astype("<u4"), crc)
                                 at, n, k = at + len(part), n - len(part), k + 1
                             sums.append(crc)
                         starts = pa.array(index.column("start").to_numpy() + base)

@@ -3,7 +3,7 @@
 * byte-level BPE (``ByteEncoder``): the vocabulary of a tokenizers file in the tiktoken library,
   whose ids are the same and come several times faster; texts with very long words or runs of
   white space, where that library takes quadratic time, go through the tokenizers library.
-* word BPE (``word_encoder``): the tokenizers library. A text is cut at spaces and newlines, which
+* word BPE (``WordEncoder``): the tokenizers library. A text is cut at spaces and newlines, which
   the file's pre-tokenizer drops, so the ids of a text are the ids of its chunks in a row. Each
   distinct chunk of a call is encoded once; a bounded cache keeps the frequent ones. Chunks that
   the cache lacks are encoded many to a call, with a separator between them that is a token of
@@ -23,11 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks kept in a worker's cache: the first so many that it meets, so the frequent ones.
-CACHE = 400_000
+CACHE = 300_000
 #: Longer chunks are encoded each time.
 KEPT_CHARS = 48
 #: Characters of text encoded together, and chunks joined for one call.
-GROUP_CHARS, JOINED = 12_000_000, 256
+GROUP_CHARS, JOINED = 4_000_000, 256
 _SPACE = re.compile(r"\s")
 
 
@@ -41,7 +41,19 @@ def load(path: str):
     return tokenizer
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _word_chunks(texts: list[str], uneven: bool) -> pa.ListArray:
+    """Latin-1 texts are lower-cased here (they are normal and case maps one to one there); others by the tokenizer."""
+    texts = [t.lower() if _latin(t) else t for t in texts]
     return pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
 
 
@@ -59,11 +71,13 @@ class ChunkEncoder:
         new = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
         if new:
             learnt = self._learn(new)
-            if len(self.cache) < CACHE:
-                self.cache.update((k, v) for k, v in learnt.items() if len(k) <= KEPT_CHARS)
             found = [learnt[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
         return found
 
+    def _keep(self, learnt: dict[str, bytes]) -> None:
+        if len(self.cache) < CACHE:
+            self.cache.update((k, v) for k, v in learnt.items() if len(k) <= KEPT_CHARS)
+
     def encode(self, texts: list[str], uneven: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (and the last one's end). uneven: see ``groups``."""
         lists = self.chunks(texts, uneven)
@@ -80,34 +94,70 @@ class ChunkEncoder:
         return ids, ends[lists.offsets.to_numpy()]
 
 
-class Encoder(ChunkEncoder):
-    """Ids of the tokenizers library. ``separator``: a string with a token of its own between any two chunks without it."""
+class WordEncoder(ChunkEncoder):
+    """Ids of the tokenizers library for a word BPE file.
 
-    def __init__(self, path: str, chunks: Callable[[list[str], bool], pa.ListArray], separator: str):
-        super().__init__(chunks)
-        self.tokenizer, self.separator, self.mark = load(path), separator, separator.strip(" ")
-        (self.sep_id,) = self._ids([self.mark])[0]
+    Lower-case Latin-1 words, and the marks after them, are words of their own to the file's
+    pre-tokenizer: they go to its BPE model alone. Other chunks go through the whole tokenizer,
+    many to a call with a separator between them that is a token of its own.
+    """
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    SEPARATOR, MARK = " | ", "|"
+    WORD = re.compile("([a-zªµºß-öø-ÿ]+)([.,;:!?]*)")
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain, odd, out = [], [], {}
-        for chunk in new:
-            (plain if self.mark not in chunk and not _SPACE.search(chunk, 1) else odd).append(chunk)
-        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
-        for group, ids in zip(groups, self._ids([self.separator.join(g) for g in groups]), strict=True):
-            ids = np.array(ids, "<u4")
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__(_word_chunks)
+        self.tokenizer = load(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(self.MARK, "isolated")
+        self.bytes = {b: c for c, b in _byte_of_char().items()}
+        self.sep_id = self._ids(self.tokenizer, [self.MARK])[0][0]
+        if self._ids(self.model, [self.MARK])[0] != [self.sep_id]:
+            raise ValueError("the separator isn't one token")
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, tokenizer, chunks: list[str], texts: list[str], separator: str, out: dict[str, bytes]) -> list[str]:
+        """Encode joined texts and put each chunk's ids in ``out``; the chunks whose ids can't be told apart."""
+        at, left = range(0, len(chunks), JOINED), []
+        for k, ids in zip(at, self._ids(tokenizer, [separator.join(texts[k : k + JOINED]) for k in at]), strict=True):
+            ids, own = np.array(ids, "<u4"), chunks[k : k + JOINED]
             ends = np.flatnonzero(ids == self.sep_id).tolist()
-            if len(ends) != len(group) - 1:
-                odd += group
+            if len(ends) != len(own) - 1:
+                left += own
                 continue
             data, start = ids.tobytes(), 0
-            for chunk, end in zip(group, [*ends, len(ids)], strict=True):
+            for chunk, end in zip(own, [*ends, len(ids)], strict=True):
                 out[chunk] = data[4 * start : 4 * end]
                 start = end + 1
-        for chunk, ids in zip(odd, self._ids(odd), strict=True):
+        return left
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        closed, other, odd, words, out = [], [], [], {}, {}
+        for chunk in new:
+            if m := self.WORD.fullmatch(chunk):
+                body, marks = m.groups()
+                if body not in self.cache:
+                    words[body] = None
+                if marks:
+                    closed.append((chunk, body, marks))
+            else:
+                (odd if self.MARK in chunk or _SPACE.search(chunk) else other).append(chunk)
+        plain = list(words)
+        mapped = [w if w.isascii() else "".join([self.bytes[b] for b in w.encode()]) for w in plain]
+        odd += self._apart(self.model, plain, mapped, self.MARK, out)
+        odd += self._apart(self.tokenizer, other, other, self.SEPARATOR, out)
+        for chunk, ids in zip(odd, self._ids(self.tokenizer, odd), strict=True):
             out[chunk] = np.array(ids, "<u4").tobytes()
+        ends = list({marks for _, _, marks in closed})
+        ends = {m: np.array(ids, "<u4").tobytes() for m, ids in zip(ends, self._ids(self.tokenizer, ends), strict=True)}
+        cache = self.cache
+        out.update((chunk, (out[body] if body in out else cache[body]) + ends[marks]) for chunk, body, marks in closed)
+        self._keep(out)
         return out
 
 
@@ -141,10 +191,6 @@ class ByteEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def word_encoder(path: str) -> Encoder:
-    return Encoder(path, _word_chunks, " | ")
-
-
 def groups(texts, uneven: Callable[[str], bool] = lambda t: False, most: int = GROUP_CHARS) -> Iterator[tuple[list[int], list[str], bool]]:
     """An Arrow column's texts in lists of about ``most`` characters: (positions, texts, uneven).
 

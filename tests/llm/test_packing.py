@@ -21,7 +21,7 @@ TEXTS = [
 
 def hard_texts():
     rng = random.Random(2)
-    bits = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'", "1", "!", "Σ", "日", "\xa0", "\u2003", "x y", "\x1f", "\u0301", "|", " |"]
+    bits = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'", "1", "!", "Σ", "日", "\xa0", "\u2003", "x y", "\x1f", "\u0301", "|", " |", ".", ",", "word", "Été", "H\u0331", "it's", "ß", "İ", "ǅ"]
     texts = TEXTS + ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(2000)]
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     texts += [every[at : at + 997] for at in range(0, len(every), 99_700)] + [f"a{every[at]} {every[at]}1{every[at]}" for at in range(0, len(every), 211)]
@@ -41,7 +41,7 @@ def test_word_ids_equal_the_library():
     import public_tokenizers
 
     path, texts = public_tokenizers.path("word_bpe_49k.json"), hard_texts()
-    encoder, found = tokenise.word_encoder(path), {}
+    encoder, found = tokenise.WordEncoder(path), {}
     for own, group, uneven in tokenise.groups(pa.array(texts), most=900):
         ids, at = encoder.encode(group, uneven)
         found |= {i: ids[lo:hi].tolist() for i, lo, hi in zip(own, at[:-1], at[1:], strict=True)}
@@ -54,7 +54,7 @@ def test_cache_is_bounded_and_exact(monkeypatch):
 
     monkeypatch.setattr(tokenise, "CACHE", 20)
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoder = tokenise.word_encoder(path)
+    encoder = tokenise.WordEncoder(path)
     for i in range(50):
         text = " ".join(f"w{i}x{k}" for k in range(i))
         assert encoder.encode([text])[0].tolist() == library(path).encode(text, add_special_tokens=False).ids
