@@ -108,7 +108,7 @@ def sentences(text: Column) -> Column:
     """Sentences of a text, both as cut at closing marks only (lines joined) and line by line."""
     lines = F.regexp_replace(text, END, "\n")
     joined = F.regexp_replace(F.regexp_replace(text, END, "\u0001"), r"[ \t\r\f]*\n[ \t\r\f#*/;-]*", " ")
-    return F.when(F.instr(text, "\n") > 0, F.array_union(F.split(joined, "\u0001"), F.split(lines, "\n"))).otherwise(F.split(lines, "\n"))
+    return F.when(F.instr(text, "\n") > 0, F.array_union(F.split(joined, "\u0001"), F.split(lines, "\n"))).otherwise(F.array_distinct(F.split(lines, "\n")))
 
 
 def identifiers(text: Column) -> Column:

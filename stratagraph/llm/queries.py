@@ -25,12 +25,28 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.decode(sentencepiece_bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm import chat
+
+    hard = spark.range(2).selectExpr(
+        "-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", r"r'\### Assistant: </turn> ok' AS text"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return chat.digests(chat.format_chat(rows))
+
+
 def op5_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagraph.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagraph.llm import quality_cnn
 
@@ -38,6 +54,12 @@ def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(documents, quality_cnn.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op8_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagraph.llm.token_files import round_trip
 
@@ -54,6 +76,64 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+OP3_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+  SELECT *, length(regexp_replace(text, '<(\\*)((/?turn|/role|part)>)', '<\\\1\2', 'g')) AS text_chars,
+         length(regexp_replace(role, '<(\\*)((/?turn|/role|part)>)', '<\\\1\2', 'g')) AS role_chars,
+         coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) = role, false) AS goes_on
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(text_chars + CASE WHEN goes_on THEN 6 ELSE 6 + role_chars + 7 + 8 END)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+def _op8_sql() -> str:
+    """The licence scan in DuckDB SQL, from the same tables of sentences and rules."""
+    from stratagraph.llm import licenses as L
+
+    known = ", ".join(f"('{text}', '{name}')" for text, name in L.KNOWN.items())
+    steps, last = [], "s0"
+    for k, (name, ids) in enumerate(L.RULES, 1):
+        pattern = "," + ",,".join(ids) + ","
+        steps.append(
+            f"s{k} AS (SELECT doc_id, identifiers, replace(rest, '{pattern}', chr(2)) AS rest, "
+            f"n_matches + (length(rest) - length(replace(rest, '{pattern}', ''))) // {len(pattern)} AS n_matches, "
+            f"CASE WHEN contains(rest, '{pattern}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})"
+        )
+        last = f"s{k}"
+    end = r"[.!?]+([ \t\n\r\f]|\z)"
+    return f"""
+WITH known(sentence, name) AS (VALUES {known}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT r, 0 AS part, string_split(regexp_replace(regexp_replace(text, '{end}', chr(1), 'g'), '[ \\t\\r\\f]*\\n[ \\t\\r\\f#*/;-]*', ' ', 'g'), chr(1)) AS s
+  FROM docs WHERE contains(text, chr(10))
+  UNION ALL SELECT r, 1, string_split(regexp_replace(text, '{end}', chr(10), 'g'), chr(10)) FROM docs
+),
+pieces AS (SELECT r, part, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM cut),
+firsts AS (SELECT r, sentence, min(part * 1000000000 + pos) AS first_at FROM pieces GROUP BY r, sentence),
+hits AS (
+  SELECT r, first_at, name FROM firsts JOIN known ON known.sentence = trim(regexp_replace(lower(firsts.sentence), '[^a-z0-9]+', ' ', 'g'))
+),
+lists AS (SELECT r, string_agg(name, ',' ORDER BY first_at) AS identifiers FROM hits GROUP BY r),
+s0 AS (
+  SELECT doc_id, coalesce(identifiers, '') AS identifiers, ',' || replace(coalesce(identifiers, ''), ',', ',,') || ',' AS rest,
+         0::BIGINT AS n_matches, []::VARCHAR[] AS found
+  FROM docs LEFT JOIN lists USING (r)
+),
+{", ".join(steps)}
+SELECT doc_id, identifiers, array_to_string(list_sort(list_distinct(found)), ',') AS licenses, n_matches FROM {last}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None yet can be stated in SQL alone: see the tests for the brute-force versions."""
-    return {}
+    """The queries that SQL can express whole; the tests hold the others against brute-force versions."""
+    return {"op3_chat_formatting": OP3_SQL, "op8_license_sentence_rules": _op8_sql()}
