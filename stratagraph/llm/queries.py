@@ -35,6 +35,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(rows))
 
 
+def op4_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm import avi
+
+    return avi.features(avi.encode_media(table(spark, sf_dir, "documents")))
+
+
 def op5_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagraph.llm.packing import pack
 

@@ -2,7 +2,7 @@
 
 Documents are dealt by ranges of their id, tokenised and written in ascending id order. A
 file is an Arrow IPC stream whose batches hold ``ids`` (fixed_size_list[length] of
-uint16, or uint32 for vocabularies beyond 65,536) and ``mask`` (fixed_size_list<uint8>[length], 1 for an id, 0 for padding): all sequences have one
+uint16, or uint32 for vocabularies beyond 65,536) and ``mask`` (fixed_size_list<bool>[length], true for an id, false for padding): all sequences have one
 length, so sequence k lies at a fixed place of its batch and a memory-mapped file is read
 without a copy. A second stream beside it (``.index``) holds each document's id, first
 position and count.
@@ -50,7 +50,7 @@ def _filesystem(path: str):
 
 
 def schemas(id_type: pa.DataType, length: int, dtype: str) -> tuple[pa.Schema, pa.Schema]:
-    data = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), length)), ("mask", pa.list_(pa.uint8(), length))])
+    data = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), length)), ("mask", pa.list_(pa.bool_(), length))])
     return data, pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -76,14 +76,14 @@ class Writer:
         held, step = np.concatenate([self.rest, ids.astype(self.dtype)]), self.length * BATCH_SEQUENCES
         whole = len(held) // step * step
         for at in range(0, whole, step):
-            self._write(held[at : at + step], np.ones(step, np.uint8))
+            self._write(held[at : at + step], np.ones(step, bool))
         self.rest = held[whole:].copy()
 
     def close(self, last_name: str) -> None:
         if len(self.rest):
             n = -(-len(self.rest) // self.length) * self.length
-            ids, mask = np.zeros(n, self.dtype), np.zeros(n, np.uint8)
-            ids[: len(self.rest)], mask[: len(self.rest)] = self.rest, 1
+            ids, mask = np.zeros(n, self.dtype), np.zeros(n, bool)
+            ids[: len(self.rest)], mask[: len(self.rest)] = self.rest, True
             self._write(ids, mask)
         for writer, sink, kind in zip((self.data, self.index), self.sinks, ("arrows", "index"), strict=True):
             writer.close()
@@ -122,11 +122,11 @@ def open_ids(folder: str, file: str) -> list[pa.RecordBatch]:
     return list(pa.ipc.open_stream(source))
 
 
-def sequence(batches: list[pa.RecordBatch], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and mask of sequence ``k`` of a file, without a copy: all batches but the last are full."""
+def sequence(batches: list[pa.RecordBatch], k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """The ids and mask (bits) of sequence ``k`` of a file, without a copy: all batches but the last are full."""
     batch = batches[k // BATCH_SEQUENCES]
     length, k = batch.schema.field("ids").type.list_size, k % BATCH_SEQUENCES
-    return tuple(batch.column(c).values.to_numpy()[k * length : (k + 1) * length] for c in ("ids", "mask"))
+    return batch.column("ids").values.to_numpy()[k * length : (k + 1) * length], batch.column("mask").values.slice(k * length, length)
 
 
 def _read(folder: str, id_type: pa.DataType):
