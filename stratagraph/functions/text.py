@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: phrases with which a text avoids saying anything.
 COP_OUTS = [
@@ -114,7 +115,7 @@ def has_open_code_span(text: str) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def open_code_span(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: has_open_code_span(t) if t and "`" in t else False)
 
@@ -141,7 +142,7 @@ def page_text(text: str, size: int) -> list[str]:
 
 
 def pages(text: Column, size: int) -> Column:
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield s.map(lambda t: page_text(t or "", size))
