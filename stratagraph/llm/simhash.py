@@ -145,7 +145,7 @@ def _classes(prints: DataFrame) -> DataFrame:
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: 16 hex digits and the smallest id reachable by links."""
     prints = staged(fingerprints(id_and_text(df, id_col, text_col), "doc_id"), "prints")
-    classes = _classes(prints)
+    classes = staged(_classes(prints), "classes")  # both sides of the join are plain scans: a hot fingerprint can be split
     return prints.join(classes, "fp").select(
         F.col("key").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
