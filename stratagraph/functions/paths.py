@@ -70,7 +70,7 @@ def role(path: Column, pack: Column) -> Column:
     stem, parts = F.substring_index(name, ".", 1), F.split(folder, "/")
     starts, has = (lambda x: path.startswith(x)), (lambda x: path.contains(x))
     component_test = _any(*[plain.startswith(t) | plain.contains("/" + t) for t in COMPONENT_TESTS], *[plain.contains(t) for t in ("__tests__/", ".test.", ".spec.")])
-    vendored = F.arrays_overlap(parts, F.array(*map(F.lit, VENDORED))) | parts[0].isin(*VENDORED_AT_ROOT) | name.contains(".pb.")
+    vendored = F.arrays_overlap(parts, F.array(*map(F.lit, VENDORED))) | F.get(parts, F.lit(0)).isin(*VENDORED_AT_ROOT) | name.contains(".pb.")
     cpp_test = F.arrays_overlap(parts, F.array(*map(F.lit, CPP_TEST_DIRS))) | _any(*[stem.endswith(e) for e in CPP_TEST_ENDS], stem.startswith("test_"), stem.startswith("mock_"))
     python_test = _any(has("/tests/"), starts("tests/"), name == "conftest.py", name.startswith("test_"), name.endswith("_test.py"))
     by_pack = {

@@ -35,8 +35,8 @@ def route_join(literals: DataFrame, routes: DataFrame, path: str = "path", patte
     pat = routes.select(pattern, order, part(F.col(pattern)).alias("wanted")).withColumn("n", F.size("wanted"))
     same = F.forall(F.zip_with("parts", "wanted", lambda a, b: (a == b) | b.rlike(r"^\[.*\]$")), lambda x: x)
     # The first part joins by equality where the pattern states it, which keeps the candidates few.
-    wild = F.col("wanted")[0].rlike(r"^\[.*\]$")
-    fixed = lit.withColumn("head", F.col("parts")[0]).join(pat.where(~wild).withColumn("head", F.col("wanted")[0]), ["n", "head"]).drop("head")
+    wild = F.get("wanted", F.lit(0)).rlike(r"^\[.*\]$")
+    fixed = lit.withColumn("head", F.get("parts", F.lit(0))).join(pat.where(~wild).withColumn("head", F.get("wanted", F.lit(0))), ["n", "head"]).drop("head")
     free = lit.join(pat.where(wild), "n")
     met = fixed.unionByName(free).where(same)
     return first_match(met, [path], [order, pattern], pattern)
