@@ -1 +1,145 @@
-"""To come."""
+"""Source trees made from rows: every part becomes a file in each language, so extraction has SQL twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stratagraph.operators import features, linking
+from stratagraph.plans.registry import Tables, query
+from stratagraph.sources import index as I
+from stratagraph.sources import repo
+
+# {k}: a part's key, {n}: the next part's (the last's is its own), {s}: its size, {t}: True for every fifth size.
+TEMPLATES = {
+    "python": ("p/m{k}.py", 'from p.m{n} import C{n}\nimport os\n\nclass C{k}(Model, table={t}):\n    """Part {k}."""\n    v: int = {s}\n    def go(self, a):\n        return C{n}\n    def _in(self):\n        pass\n\n@router.get("/parts/{k}")\ndef f{k}(c: C{k}, d=Depends(C{n})):\n    return "class X:"\n'),
+    "typescript": ("app/x{k}/page.tsx", 'import {{ a{n} as q }} from "../x{n}/page";\n// function no() {{}}\nexport const a{k} = (x: number) => x + {s};\nclass S{k} {{\n  private y = "}}";\n  go(): number {{ return db.from("t{s}"); }}\n}}\nexport default function Page() {{ fetch("/api/x/{k}?b=1"); return <Box a={{1}} />; }}\n'),
+    "rust": ("src/m{k}.rs", 'use crate::m{n}::T{n};\n/// Part.\npub struct T{k} {{ pub a: u8, b: T{n} }}\nimpl T{k} {{\n    pub fn new() -> Self {{ let c = \'}}\'; todo!() }}\n}}\npub enum E{k} {{ A, B }}\nconst N: u8 = {s};\n#[cfg(test)]\nmod tests {{ fn t() {{}} }}\n'),
+    "java": ("src/main/java/p/J{k}.java", 'package p;\nimport p.J{n};\n/** Part. */\n@Path("/j{k}")\npublic class J{k} {{\n  private int v = {s}; // }}\n  @GET\n  public J{n} go(int a) {{ return null; }}\n  enum K {{ A, B }}\n}}\n'),
+    "cpp": ("include/c{k}.h", '#include "c{n}.h"\nnamespace w {{\n// Part.\nclass C{k} {{\n public:\n  int go(int a) {{ return {s}; }}\n private:\n  char q_ = \'}}\';\n}};\nint f{k}();\nint f{k}() {{ C{n} c; return 1; }}\n}}\n'),
+}
+PART_SQL = "p AS (SELECT p_partkey AS k, least(p_partkey + 1, (SELECT max(p_partkey) FROM part)) AS n, p_size AS s FROM part)"
+
+
+def tree(t: Tables, pack: str) -> DataFrame:
+    """The files of a pack, as (file, text)."""
+    path, text = TEMPLATES[pack]
+    last = t.part.agg(F.max("p_partkey").alias("last"))  # one row
+    rows = t.part.select("p_partkey", "p_size").crossJoin(F.broadcast(last))
+    values = {"k": F.col("p_partkey").cast("string"), "n": F.least(F.col("p_partkey") + 1, F.col("last")).cast("string"), "s": F.col("p_size").cast("string"), "t": F.when(F.col("p_size") % 5 == 0, "True").otherwise("False")}
+
+    def fill(template: str):
+        out = F.lit(template.replace("{{", "\1").replace("}}", "\2"))
+        for name, value in values.items():
+            out = F.replace(out, F.lit("{" + name + "}"), value)
+        return F.translate(out, "\1\2", "{}")
+
+    return rows.select(fill(path).alias("file"), fill(text).alias("text"))
+
+
+def relations(t: Tables, pack: str) -> I.Relations:
+    return I.Relations.of(I.extract(repo.routed(tree(t, pack), pack)))
+
+
+def symbols(t: Tables, pack: str) -> DataFrame:
+    return relations(t, pack).symbols.select("id", "kind", "is_exported", "start_line", "end_line")
+
+
+def _rows_sql(path: str, rows: list[str]) -> str:
+    return f"WITH {PART_SQL}, f AS (SELECT *, {path} AS f FROM p) " + " UNION ALL ".join(f"SELECT {r} FROM f" for r in rows)
+
+
+def _row(name: str, kind: str, exported: str, start: int, end: int) -> str:
+    return f"f || '::' || {name} AS id, {kind} AS kind, {exported} AS is_exported, {start} AS start_line, {end} AS end_line"
+
+
+PY_SQL = _rows_sql("'p/m' || k || '.py'", [
+    _row("'C' || k", "CASE WHEN s % 5 = 0 THEN 'schema' ELSE 'container' END", "true", 4, 10), _row("'C' || k || '::v'", "'value'", "true", 6, 6),
+    _row("'C' || k || '::go'", "'callable'", "true", 7, 8), _row("'C' || k || '::_in'", "'callable'", "false", 9, 10), _row("'f' || k", "'callable'", "true", 12, 14),
+])
+TS_SQL = _rows_sql("'app/x' || k || '/page.tsx'", [
+    _row("'a' || k", "'callable'", "true", 3, 3), _row("'S' || k", "'container'", "false", 4, 7), _row("'S' || k || '.y'", "'value'", "false", 5, 5),
+    _row("'S' || k || '.go'", "'callable'", "false", 6, 6), _row("'Page'", "'callable'", "true", 8, 8),
+])
+RUST_SQL = _rows_sql("'src/m' || k || '.rs'", [
+    _row("'T' || k", "'container'", "true", 3, 3), _row("'T' || k || '::a'", "'value'", "true", 3, 3), _row("'T' || k || '::b'", "'value'", "false", 3, 3),
+    _row("'T' || k || '::new'", "'callable'", "true", 5, 5), _row("'E' || k", "'container'", "true", 7, 7), _row("'E' || k || '::A'", "'value'", "true", 7, 7),
+    _row("'E' || k || '::B'", "'value'", "true", 7, 7), _row("'N'", "'value'", "false", 8, 8),
+])
+JAVA_SQL = _rows_sql("'src/main/java/p/J' || k || '.java'", [
+    _row("'J' || k", "'container'", "true", 4, 10), _row("'J' || k || '::v'", "'value'", "false", 6, 6), _row("'J' || k || '::go'", "'callable'", "true", 7, 8),
+    _row("'J' || k || '::K'", "'container'", "false", 9, 9), _row("'J' || k || '::K::A'", "'value'", "false", 9, 9), _row("'J' || k || '::K::B'", "'value'", "false", 9, 9),
+])
+CPP_SQL = _rows_sql("'include/c' || k || '.h'", [
+    _row("'w::C' || k", "'container'", "true", 4, 9), _row("'w::C' || k || '::go'", "'callable'", "true", 6, 6), _row("'w::C' || k || '::q_'", "'value'", "false", 8, 8), _row("'w::f' || k", "'callable'", "true", 11, 11),
+])
+
+query("e05_python_symbols", PY_SQL)(lambda t: symbols(t, "python"))
+query("e01_typescript_symbols", TS_SQL)(lambda t: symbols(t, "typescript"))
+query("e02_rust_symbols", RUST_SQL)(lambda t: symbols(t, "rust"))
+query("e04_java_symbols", JAVA_SQL)(lambda t: symbols(t, "java"))
+query("e06_cpp_symbols", CPP_SQL)(lambda t: symbols(t, "cpp"))
+
+
+def _resolved(t: Tables, pack: str) -> DataFrame:
+    found = linking.resolve_imports(relations(t, pack), pack)
+    return found.where("form <> 'qualified'").select("from_file", "specifier", "imported_name", "target")
+
+
+@query("j10_python_imports", f"WITH {PART_SQL} SELECT 'p/m' || k || '.py' AS from_file, 'p.m' || n AS specifier, 'C' || n AS imported_name, CASE WHEN k <> n THEN 'p/m' || n || '.py::C' || n END AS target FROM p UNION ALL SELECT 'p/m' || k || '.py', 'os', NULL, NULL FROM p")
+def j10(t: Tables) -> DataFrame:
+    return _resolved(t, "python")
+
+
+@query("j05_rust_imports", f"WITH {PART_SQL} SELECT 'src/m' || k || '.rs' AS from_file, 'crate::m' || n AS specifier, 'T' || n AS imported_name, CASE WHEN k <> n THEN 'src/m' || n || '.rs::T' || n END AS target FROM p")
+def j05(t: Tables) -> DataFrame:
+    return _resolved(t, "rust")
+
+
+@query("j09_java_imports", f"WITH {PART_SQL} SELECT 'src/main/java/p/J' || k || '.java' AS from_file, 'p' AS specifier, 'J' || n AS imported_name, CASE WHEN k <> n THEN 'src/main/java/p/J' || n || '.java::J' || n END AS target FROM p")
+def j09(t: Tables) -> DataFrame:
+    return _resolved(t, "java")
+
+
+@query("e11_typescript_imports", f"WITH {PART_SQL} SELECT 'app/x' || k || '/page.tsx' AS from_file, '../x' || n || '/page' AS specifier, 'a' || n AS imported_name, CASE WHEN k <> n THEN 'app/x' || n || '/page.tsx::a' || n END AS target FROM p")
+def e11(t: Tables) -> DataFrame:
+    return _resolved(t, "typescript")
+
+
+@query("e15_cpp_includes", f"WITH {PART_SQL} SELECT 'include/c' || k || '.h' AS from_file, 'c' || n || '.h' AS specifier, NULL::VARCHAR AS imported_name, CASE WHEN k <> n THEN 'include/c' || n || '.h' END AS target FROM p")
+def e15(t: Tables) -> DataFrame:
+    return _resolved(t, "cpp")
+
+
+@query("e17_framework_links", f"""WITH {PART_SQL}, f AS (SELECT *, 'app/x' || k || '/page.tsx' AS from_file FROM p)
+SELECT from_file, 'route-literal' AS kind, '/api/x/' || k AS raw FROM f UNION ALL SELECT from_file, 'table-ref', 't' || s FROM f UNION ALL SELECT from_file, 'component', 'Box' FROM f""")
+def e17(t: Tables) -> DataFrame:
+    return relations(t, "typescript").flows.select("from_file", "kind", "raw")
+
+
+@query("e19_dependency_edges", f"WITH {PART_SQL} SELECT 'p/m' || k || '.py' AS from_file, 'depends' AS kind, 'C' || n AS raw FROM p UNION ALL SELECT 'p/m' || k || '.py', 'parameter', 'C' || k FROM p")
+def e19(t: Tables) -> DataFrame:
+    return relations(t, "python").flows.select("from_file", "kind", "raw")
+
+
+@query("u05_route_entry_points", f"WITH {PART_SQL} SELECT 'http' AS kind, 'http-get-parts-' || k AS id, 'GET /parts/' || k AS title, 'p/m' || k || '.py' AS file FROM p")
+def u05(t: Tables) -> DataFrame:
+    return features.fastapi_routes(relations(t, "python").symbols)
+
+
+@query("u06_annotated_entry_points", f"WITH {PART_SQL} SELECT 'http' AS kind, 'http-get-j' || k AS id, 'GET /j' || k AS title, 'src/main/java/p/J' || k || '.java' AS file FROM p")
+def u06(t: Tables) -> DataFrame:
+    return features.quarkus_entries(relations(t, "java").symbols)
+
+
+@query("u04_page_entry_points", f"WITH {PART_SQL} SELECT 'page' AS kind, 'x' || k AS id, 'app/x' || k || '/page.tsx' AS title, 'app/x' || k || '/page.tsx' AS file FROM p")
+def u04(t: Tables) -> DataFrame:
+    rel = relations(t, "typescript")
+    return features.next_pages(rel.files, rel.flows.withColumn("target_file", F.lit(None).cast("string")))
+
+
+@query("s18_ddl_tables", f"WITH {PART_SQL} SELECT 'db/t' || k || '.sql::t' || k AS id, 't' || k || '(id, v' || s || ')' AS signature, 2 AS start_line, 5 AS end_line FROM p")
+def s18_tables(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("-- create table no (x int);\nCREATE TABLE IF NOT EXISTS public.t"), "p_partkey", F.lit(" (\n  id numeric(1, 2) default 'a,b(',\n  v"), "p_size", F.lit(" text, primary key (id)\n);\nalter table x;\n"))
+    files = t.part.select(F.concat(F.lit("db/t"), "p_partkey", F.lit(".sql")).alias("file"), text.alias("text"))
+    return I.Relations.of(I.extract(repo.routed(files, "typescript"))).symbols.select("id", "signature", "start_line", "end_line")
