@@ -35,7 +35,7 @@ CHUNK, HOP, WIDTH, STRIDE, DIMS, FILTERS, DENSE = 256, 192, 8, 4, 8, 32, 16
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 #: Weight of label 1 in fitting: above one half, since a lost clean document costs more than a kept bad one.
 GOOD_SHARE = 0.6
-EPOCHS, BATCH, RATE, DECAY = 14, 48, 4e-3, 1e-4
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 14, 500, 48, 4e-3, 1e-4
 #: Chunks scored at once.
 _ROWS = 4096
 
@@ -101,7 +101,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, good_share: float | None =
     good_share = share if good_share is None else good_share
     weight = np.where(labels == 1, good_share / share, (1 - good_share) / (1 - share)).astype(np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
-    step, steps = 0, epochs * -(-len(texts) // BATCH)
+    in_epoch = -(-len(texts) // BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // in_epoch))  # few rows are gone through more often
+    step, steps = 0, epochs * in_epoch
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
