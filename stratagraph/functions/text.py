@@ -148,3 +148,88 @@ def pages(text: Column, size: int) -> Column:
             yield s.map(lambda t: page_text(t or "", size))
 
     return run(text)
+
+
+def cap_with_marker(text: Column, most: int, marker: str) -> Column:
+    """At most ``most`` bytes in all; a cut text ends with the marker."""
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(cap_bytes(text, most - len(marker.encode())).text, F.lit(marker)))
+
+
+def leading_comment(text: Column) -> Column:
+    """The comment lines at the top of a file, up to the first blank or code line."""
+    own = lines(text)
+    stop = F.array_position(F.transform(own, lambda x: ~x.rlike(r"^\s*(//|#|/\*|\*|--)")), F.lit(True))
+    return F.array_join(F.when(stop == 0, own).otherwise(F.slice(own, F.lit(1), (F.greatest(stop, F.lit(1)) - 1).cast("int"))), "\n")
+
+
+def strip_initialiser(text: str) -> str:
+    """A declaration without its value: cut at the first ``=`` outside brackets that assigns."""
+    depth = 0
+    for i, c in enumerate(text):
+        depth += (c in "([{<") - (c in ")]}") - (c == ">" and i > 0 and text[i - 1] not in "=-")
+        if c == "=" and depth <= 0 and text[i + 1 : i + 2] not in ("=", ">") and (i == 0 or text[i - 1] not in "=!<>"):
+            return text[:i].rstrip()
+    return text
+
+
+def strip_angles(text: str) -> str:
+    """Without balanced ``<...>`` groups, however deep."""
+    out, depth = [], 0
+    for c in text:
+        depth += c == "<"
+        if not depth:
+            out.append(c)
+        depth -= c == ">" and depth > 0
+    return "".join(out)
+
+
+def _each(f):
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else f(x))
+
+    return run
+
+
+def stripped_initialiser(text: Column) -> Column:
+    return _each(strip_initialiser)(text)
+
+
+def stripped_angles(text: Column) -> Column:
+    return _each(strip_angles)(text)
+
+
+def link_destination(path: Column) -> Column:
+    """A path as the target of a Markdown link: characters that end a link are escaped."""
+    for plain, escaped in (("%", "%25"), (" ", "%20"), ("(", "%28"), (")", "%29"), ("[", "%5B"), ("]", "%5D")):
+        path = F.replace(path, F.lit(plain), F.lit(escaped))
+    return path
+
+
+#: Marks a text as made, not written; stands on a line of its own below the title.
+PROVENANCE = "_Generated from source; edits are kept._"
+
+
+def with_provenance(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(PROVENANCE)), text).otherwise(F.regexp_replace(text, r"^(# [^\n]*)\n", "$1\n" + PROVENANCE + "\n"))
+
+
+def without_provenance(text: Column) -> Column:
+    return F.replace(text, F.lit(PROVENANCE + "\n"), F.lit(""))
+
+
+def encode_cursor(page: int, file_id: str, text: str) -> str:
+    """A page's cursor holds a hash of what is paged."""
+    import hashlib
+
+    return f"{page}:{hashlib.sha256(f'{file_id}\n{text}'.encode()).hexdigest()[:12]}"
+
+
+def decode_cursor(cursor: str, file_id: str, text: str, size: int) -> int:
+    """The page of a cursor; an error if it is malformed, out of range or of another text."""
+    page, _, _ = cursor.partition(":")
+    if not page.isdigit() or cursor != encode_cursor(int(page), file_id, text):
+        raise ValueError("the cursor is of another text or malformed")
+    if int(page) >= len(page_text(text, size)):
+        raise ValueError("the cursor is out of range")
+    return int(page)
