@@ -249,6 +249,97 @@ class Engine:
         doc.spec_hash = D.body_hash(doc)
         return D.write(self.root, doc)
 
+    # Features and the system
+
+    def participant_hashes(self) -> DataFrame:
+        """(entry, id, hash): core files by text, dependencies by interface (else source), tables by source."""
+        own = self.participants()
+        files = self.rel.files.select(F.col("file").alias("target"), F.col("source_hash").alias("text_hash"))
+        symbols = self.rel.symbols.groupBy(F.col("id").alias("target")).agg(F.first("source_hash").alias("s"), F.first("interface_hash").alias("i"))
+        rows = own.join(files, "target", "left").join(symbols, "target", "left")
+        value = F.when(F.col("tier") == "core", F.col("text_hash")).when(F.col("tier") == "data", F.col("s")).otherwise(F.coalesce("i", "s"))
+        return rows.select("entry", F.col("target").alias("id"), value.alias("hash"))
+
+    def upper_status(self) -> DataFrame:
+        """(id, kind, status) of features and the system: missing, or current while all recorded parts are as they were."""
+        docs, _, children, _ = self._stored()
+        want = self.entry_points().select(F.concat(F.lit("feature:"), "id").alias("doc_id"), F.lit("feature").alias("kind"))
+        parts = self.participant_hashes().select(F.concat(F.lit("feature:"), "entry").alias("doc_id"), F.col("id").alias("child_id"), "hash")
+        kids = docs.where("doc_kind IN ('rollup', 'feature')").select(F.lit("system").alias("doc_id"), F.col("doc_id").alias("child_id"), F.col("spec_hash").alias("hash"))
+        system = self.spark.range(1).select(F.lit("system").alias("doc_id"), F.lit("system").alias("kind"))
+        recorded = children.join(docs.where("doc_kind IN ('feature', 'system')").select("doc_id"), "doc_id", "left_semi")
+        moved = S.hash_diff(parts.unionByName(kids), recorded, ["doc_id", "child_id"]).groupBy("doc_id").agg(F.count("*").alias("moved"))
+        written = docs.where("spec_hash <> ''").select("doc_id", F.lit(1).alias("written"))
+        rows = want.unionByName(system).join(written, "doc_id", "left").join(moved, "doc_id", "left")
+        state = F.when(F.col("written").isNull(), "missing").when(F.col("moved").isNull(), "current").otherwise("stale")
+        return rows.select(F.col("doc_id").alias("id"), "kind", state.alias("status"))
+
+    def submit_feature(self, entry: str, summary: str) -> Path:
+        rows = self.participant_hashes().where(F.col("entry") == entry).select("id", "hash").collect()  # one entry's participants
+        if not rows:
+            raise ValueError(f"no entry point is named {entry}")
+        doc = D.Document("feature", f"feature:{entry}", summary, children=sorted((r.id, r["hash"] or "") for r in rows))
+        doc.spec_hash = D.body_hash(doc)
+        return D.write(self.root, doc)
+
+    def submit_system(self, summary: str) -> Path:
+        """The system's document, once every feature's is current."""
+        late = self.upper_status().where("kind = 'feature' AND status <> 'current'")
+        if not late.isEmpty():
+            raise ValueError("not all features' documents are current")
+        kids = [(d.id, d.spec_hash) for d in D.load(self.root)[0] if d.kind in ("rollup", "feature")]
+        doc = D.Document("system", "system", summary, children=sorted(kids))
+        doc.spec_hash = D.body_hash(doc)
+        return D.write(self.root, doc)
+
+    # Moved documents and older ones
+
+    def adoption_plan(self) -> DataFrame:
+        """What to do with sections whose symbol is gone: adopt under a new id, or why not."""
+        from stratagraph.operators import adopt
+
+        _, sections, _, _ = self._stored()
+        name = F.regexp_extract("id", r"([^:.]*)$", 1).alias("name")
+        now = self.documented().select("id", "file", name, F.col("source_hash").alias("hash"))
+        old = sections.select(F.col("symbol_id").alias("id"), F.col("doc_id").alias("file"), F.col("source_hash").alias("hash")).join(now.select("id"), "id", "left_anti")
+        free = now.join(sections.select(F.col("symbol_id").alias("id")), "id", "left_anti")
+        return adopt.plan(old.select("id", "file", name, "hash"), free)
+
+    def adopt(self) -> list[tuple[str, str]]:
+        """Move the texts of adoptable sections to their successors; returns (old id, new id)."""
+        moves = [(r.id, r.successor) for r in self.adoption_plan().where("disposition = 'adopt'").orderBy("id").collect()]  # documents to write
+        texts = {k: (d.id, h) for d in D.load(self.root)[0] for k, h in d.sections.items()}
+        for old, new in moves:
+            _, h = texts[old]
+            self.submit(new, h["summary"], h["behavior"])
+        for d in D.load(self.root)[0]:
+            gone = [o for o, _ in moves if o in d.sections]
+            if gone:
+                d.sections = {k: v for k, v in d.sections.items() if k not in gone}
+                if d.sections or self.rel.files.where(F.col("file") == d.id).count():
+                    D.write(self.root, d)
+                else:
+                    Path(self.root, D.ROOT, D.path_of(d.kind, d.id)).unlink()
+        return moves
+
+    def backfill_dep_targets(self) -> int:
+        """Record dependency targets in documents that lack them, where the recorded hash can be made again."""
+        now = {r.id: r.deps_hash for r in self.hashes().select("id", "deps_hash").collect()}  # ids of documents being rewritten
+        deps: dict[str, list[tuple[str, str, str]]] = {}
+        for r in self.dependencies().select("owner", "target", F.substring("hash", 1, 12).alias("h")).collect():
+            deps.setdefault(r.owner, []).append((r.owner, r.target, r.h))
+        done = 0
+        for d in D.load(self.root)[0]:
+            have = {o for o, _, _ in d.dep_targets}
+            for owner, recorded in [(d.id, d.deps_hash), *((k, h.get("deps_hash")) for k, h in d.sections.items())]:
+                if d.kind == "file" and owner not in have and deps.get(owner) and recorded == now.get(owner):
+                    d.dep_targets += deps[owner]
+                    done += 1
+            if len(d.dep_targets) > len([1 for o, _, _ in d.dep_targets if o in have]):
+                d.dep_targets.sort()
+                D.write(self.root, d)
+        return done
+
     def statistics(self) -> DataFrame:
         """Counts of symbols by kind and of edges by form, with how many are resolved."""
         nodes = self.rel.symbols.groupBy(F.concat_ws(":", F.lit("symbol"), "kind").alias("what")).agg(F.count("*").alias("total"), F.count_if("is_exported").alias("resolved"))

@@ -116,6 +116,28 @@ def test_lifecycle(spark, tmp_path):
     assert {(r.id, r.kind) for r in gone} == {("a/user.py", "document")}
 
 
+def test_features_system_adoption(spark, tmp_path):
+    write(tmp_path, {k: v for k, v in FASTAPI.items() if k.startswith("app/")})
+    e = Engine.build(spark, str(tmp_path))
+    assert {(r.kind, r.status) for r in e.upper_status().collect()} == {("feature", "missing"), ("system", "missing")}
+    with pytest.raises(ValueError):
+        e.submit_system("All of it")
+    for entry in ("http-get-api-items", "http-get-api-items-2"):
+        e.submit_feature(entry, "Lists the items")
+    e.submit_system("All of it")
+    assert {r.status for r in e.upper_status().collect()} == {"current"}
+    e.submit("app/deps.py::get_db", "Opens the database", "Returns one")
+    text = (tmp_path / "app/deps.py").read_text()
+    write(tmp_path, {"app/store.py": "def get_db():\n    return 1\n", "app/deps.py": text.replace("def get_db():\n    return 1\n\n", "")})
+    moved = Engine.build(spark, str(tmp_path))
+    assert {(r.id, r.successor, r.disposition) for r in moved.adoption_plan().collect()} == {("app/deps.py::get_db", "app/store.py::get_db", "adopt")}
+    assert moved.adopt() == [("app/deps.py::get_db", "app/store.py::get_db")]
+    docs = {d.id: d for d in D.load(str(tmp_path))[0]}
+    assert docs["app/store.py"].sections["app/store.py::get_db"]["summary"] == "Opens the database"
+    assert "app/deps.py::get_db" not in docs["app/deps.py"].sections if "app/deps.py" in docs else True
+    assert "stale" in {r.status for r in moved.upper_status().collect()}
+
+
 def test_incremental_equals_full(spark, tmp_path):
     write(tmp_path / "r", {"a.py": "def a():\n    return 1\n", "b.py": "from a import a\n"})
     e = Engine.build(spark, str(tmp_path / "r"))
