@@ -19,6 +19,7 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -33,23 +34,28 @@ from stratagraph.llm.graph import connected_components
 SEED, WIDTH, DISTANCE = 42, 3, 2
 #: Members a key group may have before it is cut by further blocks; at least 256, see above.
 MAX_GROUP = 512
-_SLICE = 1 << 16
+_SLICE, _SPACE = 1 << 20, re.compile(rb"[ \t-\r]")
 
 
 def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
     """The 64-bit fingerprint as an unsigned integer: a bit is 1 where over half the shingles' XXH64 have it."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and the six ASCII spaces
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, _SLICE):
-        part = words[at : at + _SLICE + width - 1]
-        shingles = [b" ".join(part)] if n == 1 else map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False))
-        hashes = b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed)))  # big-endian
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    data = text.encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
+    ones, n, words, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(data):  # in slices that end at a space, so that a long text needs no list of all its words
+        end = _SPACE.search(data, at + _SLICE)
+        end = end.start() if end else len(data)
+        words += data[at:end].split()  # the six ASCII spaces
+        at = end
+        if len(words) >= width:
+            shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
+            hashes = b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed)))  # big-endian
+            ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            n += len(words) - width + 1
+            words = words[len(words) - width + 1 :]
+    if not n:  # fewer words than a shingle has: the whole sequence, or nothing
+        return xxhash.xxh64_intdigest(b" ".join(words), seed) if words else 0
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 

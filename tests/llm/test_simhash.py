@@ -37,11 +37,15 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def test_fingerprint_matches_brute_force():
+def test_fingerprint_matches_brute_force(monkeypatch):
     rng = random.Random(3)
     texts = ["", " \n", "One", "ÄB ß one", "a b c", "a b c d " * 40, "x\x0by z w q"]
     texts += [" ".join(rng.choice(["Alpha", "beta", "gam\nma", "δ", "e  f"]) for _ in range(rng.randrange(60))) for _ in range(40)]
-    assert [simhash.fingerprint(t) for t in texts] == [brute_print(t) for t in texts]
+    want = [brute_print(t) for t in texts]
+    assert [simhash.fingerprint(t) for t in texts] == want
+    for size in (1, 7, 40):  # sliced texts give the same
+        monkeypatch.setattr(simhash, "_SLICE", size)
+        assert [simhash.fingerprint(t) for t in texts] == want
 
 
 @pytest.mark.parametrize("most", [512, 2])
