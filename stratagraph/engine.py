@@ -41,7 +41,7 @@ class Engine:
         paths = repo.walk(root)
         pack = pack or repo.detect(spark, paths)
         files = repo.read(spark, root, [*paths, *repo.generated(root, paths)])
-        return cls(spark, root, pack, checkpointed(I.extract(repo.routed(files, pack))))
+        return cls(spark, root, pack, checkpointed(I.extract(repo.routed(files, pack), repo.known_names(root, pack, paths))))
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, cache: str, pack: str | None = None) -> Engine:
@@ -55,7 +55,7 @@ class Engine:
         same = now.select("file", F.sha2("text", 256).alias("source_hash"))
         kept = old.join(same, ["file", "source_hash"], "left_semi")
         moved = now.join(kept.select("file"), "file", "left_anti")
-        return cls(spark, root, pack, checkpointed(kept.select(*old.columns).unionByName(I.extract(moved).select(*old.columns))))
+        return cls(spark, root, pack, checkpointed(kept.select(*old.columns).unionByName(I.extract(moved, repo.known_names(root, pack, paths)).select(*old.columns))))
 
     # Lookups
 
@@ -340,6 +340,34 @@ class Engine:
                 D.write(self.root, d)
         return done
 
+    def migrate_fingerprints(self) -> int:
+        """Give documents that describe their file's present text the present fingerprint; others stay stale."""
+        now = {r.file: r for r in self.rel.files.select("file", "source_hash", "fingerprint").collect()}  # files with documents being rewritten
+        done = 0
+        for d in D.load(self.root)[0]:
+            f = now.get(d.id)
+            if d.kind == "file" and d.spec_hash and f and d.source_hash == f.source_hash and d.fingerprint != f.fingerprint:
+                d.fingerprint = f.fingerprint
+                D.write(self.root, d)
+                done += 1
+        return done
+
+    def get_spec(self, id_: str) -> dict:
+        """A document's text with its status, what changed and its smells."""
+        docs = {d.id: d for d in D.load(self.root)[0]}
+        doc = docs.get(id_) or docs.get(id_.split("::")[0])
+        if doc is None or ("::" in id_ and id_ not in doc.sections):
+            return {"id": id_, "status": "missing", "content": None, "changed": [], "smells": []}
+        content = doc.summary if "::" not in id_ else f"{doc.sections[id_]['summary']}\n{doc.sections[id_]['behavior']}"
+        changed = sorted(r.change for r in self.changes().where(F.col("id") == id_).collect()) if doc.kind == "file" else []  # one document's changes
+        if doc.kind != "file":
+            state = self.upper_status() if doc.kind in ("feature", "system") else self.coverage()
+            stale = state.where((F.col("id") == id_) & (F.col("status") != "current")).count() > 0
+        else:
+            stale = bool(changed)
+        smells = self.spark.createDataFrame([(content,)], "t string").select(X.smells(F.col("t"), F.lit(X.has_open_code_span(content))).alias("s")).first().s
+        return {"id": id_, "status": "stale" if stale else "current", "content": content, "changed": changed, "smells": list(smells)}
+
     def statistics(self) -> DataFrame:
         """Counts of symbols by kind and of edges by form, with how many are resolved."""
         nodes = self.rel.symbols.groupBy(F.concat_ws(":", F.lit("symbol"), "kind").alias("what")).agg(F.count("*").alias("total"), F.count_if("is_exported").alias("resolved"))

@@ -17,7 +17,7 @@ def _schema(path: str, source: str) -> Extracted:
     return Extracted(symbols=list({s.id: s for s in made}.values()), fingerprint=digest(source))
 
 
-PACKS: dict[str, Callable[[str, str], Extracted]] = {
+PACKS: dict[str, Callable[..., Extracted]] = {
     "python": python_pack.extract,
     "typescript": ts_pack.extract,
     "rust": rust_pack.extract,
@@ -26,11 +26,14 @@ PACKS: dict[str, Callable[[str, str], Extracted]] = {
 }
 
 
-def for_name(pack: str) -> Callable[[str, str], Extracted]:
+def for_name(pack: str) -> Callable[..., Extracted]:
     if pack not in PACKS:
         raise ValueError(f"no pack is named {pack}; there are {', '.join(PACKS)}")
     return PACKS[pack]
 
 
-def extract(pack: str, kind: str, path: str, source: str) -> Extracted:
-    return _schema(path, source) if kind == "schema" else for_name(pack)(path, source)
+def extract(pack: str, kind: str, path: str, source: str, known: dict[str, str] | None = None) -> Extracted:
+    """``known``: import aliases of a TypeScript repository, library folders of a Rust one."""
+    if kind == "schema":
+        return _schema(path, source)
+    return PACKS[pack](path, source, known) if known and pack in ("typescript", "rust") else for_name(pack)(path, source)

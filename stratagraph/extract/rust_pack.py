@@ -70,12 +70,15 @@ def strip_tests(source: str) -> str:
     return "".join([*out, source[at:]])
 
 
-def extract(path: str, source: str) -> Extracted:
+def extract(path: str, source: str, library: dict[str, str] | None = None) -> Extracted:
     out = Extracted()
     clean = B.blank(source, '"\'', nested=True, lifetimes=True)
     out.parse_errors = B.unmatched(clean)
     lines = B.Lines(source)
     out.symbols = _items(path, path, source, clean, 0, len(clean), lines, out)
+    for i in out.imports:  # names of the repository's own libraries lead to their folders
+        if library and i.specifier.split("::")[0] in library:
+            i.paths = module_paths(path, [*i.specifier.split("::"), i.imported_name], library)
     seen = {(tuple(i.paths), i.imported_name) for i in out.imports}
     for m in re.finditer(r"\bcrate(?:::\w+)+", re.sub(r"(?m)^\s*(pub\s+)?use\s[^;]*;", lambda x: " " * len(x[0]), clean)):
         parts = m[0].split("::")

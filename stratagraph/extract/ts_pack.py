@@ -40,11 +40,11 @@ def _names(clause: str) -> list[tuple[str, str]]:
     return out
 
 
-def _imports(path: str, source: str) -> list[Import]:
+def _imports(path: str, source: str, aliases: dict[str, str] | None) -> list[Import]:
     out = []
     for m in _IMPORT.finditer(source):
         what, spec = m["what"].strip(), m["spec"]
-        paths = module_paths(path, spec)
+        paths = module_paths(path, spec, aliases)
         braces = re.search(r"\{([^}]*)\}", what)
         if m["verb"] == "export":
             out += [Import(spec, n, local, "reexport", paths) for n, local in _names(braces[1] if braces else "")]
@@ -82,8 +82,8 @@ def _end(clean: str, m: re.Match, after: int) -> tuple[int, int]:
     return depth_end, depth_end
 
 
-def extract(path: str, source: str) -> Extracted:
-    out = Extracted(fingerprint=digest(source), imports=_imports(path, source))
+def extract(path: str, source: str, aliases: dict[str, str] | None = None) -> Extracted:
+    out = Extracted(fingerprint=digest(source), imports=_imports(path, source, aliases))
     clean = B.blank(source)
     out.parse_errors = B.unmatched(clean)
     lines = B.Lines(source)

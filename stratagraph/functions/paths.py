@@ -96,3 +96,17 @@ def join_route(prefix: Column, path: Column) -> Column:
     """One slash between a prefix and a path, one at the start, none at the end (but the root's)."""
     both = F.concat_ws("/", F.filter(F.array(F.regexp_replace(prefix, "^/+|/+$", ""), F.regexp_replace(path, "^/+|/+$", "")), lambda x: x != ""))
     return F.concat(F.lit("/"), both)
+
+
+def relative_link(from_path: Column, to_path: Column, anchor: Column | None = None) -> Column:
+    """The link from one document to another, with a section's anchor where one is given."""
+    a, b = F.split(directory(F.concat(F.lit("/"), from_path)), "/"), F.split(directory(F.concat(F.lit("/"), to_path)), "/")
+    n = F.least(F.size(a), F.size(b))
+    same = F.aggregate(
+        F.sequence(F.lit(1), n),
+        F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda acc, i: F.struct((acc.n + F.when(acc.on & (F.element_at(a, i) == F.element_at(b, i)), 1).otherwise(0)).alias("n"), (acc.on & (F.element_at(a, i) == F.element_at(b, i))).alias("on")),
+    ).n
+    down = F.when(same < F.size(b), F.slice(b, (same + 1).cast("int"), F.size(b))).otherwise(F.array().cast("array<string>"))
+    path = F.concat(F.repeat(F.lit("../"), (F.size(a) - same).cast("int")), F.array_join(F.concat(down, F.array(file_name(to_path))), "/"))
+    return path if anchor is None else F.concat_ws("#", path, anchor)

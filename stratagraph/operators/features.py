@@ -46,17 +46,31 @@ def fastapi_routes(symbols: DataFrame) -> DataFrame:
 def quarkus_entries(symbols: DataFrame) -> DataFrame:
     """Methods with an HTTP, channel, schedule or gRPC annotation; REST clients and generated files are none."""
     has = lambda c, p: F.exists(c, lambda m: m.rlike(p))
-    own = symbols.where(role(F.col("file"), F.lit("java")) != "generated")
+    in_role = role(F.col("file"), F.lit("java"))
+    own = symbols.where(in_role != "generated")
     types = own.where("kind = 'container'").select(F.col("id").alias("owner"), F.col("markers").alias("type_markers"), F.col("signature").alias("type_signature"))
     rows = own.where("kind = 'callable'").withColumnRenamed("parent", "owner").join(types, "owner").where(~has("type_markers", "^@RegisterRestClient"))
+    rows = rows.withColumn("name", F.regexp_extract("id", "([^:]*)$", 1))
+    # A class that implements a generated interface inherits the verb and paths of the method of that name.
+    made = symbols.where(in_role == "generated")
+    faces = made.where("raw = 'interface'").select(F.col("id").alias("parent"), F.regexp_extract("id", "([^:]*)$", 1).alias("face"), F.col("markers").alias("face_markers"))
+    methods = made.where("kind = 'callable'").select("parent", F.regexp_extract("id", "([^:]*)$", 1).alias("name"), F.col("markers").alias("own_markers")).join(faces, "parent")
+    names = types.select("owner", F.posexplode(F.regexp_extract_all(F.regexp_extract("type_signature", r"\bimplements\s+(.*)$", 1), F.lit(r"(\w+)"), F.lit(1))).alias("pos", "face"))
+    inherited = names.join(methods, "face").groupBy("owner", "name").agg(F.min_by(F.struct("own_markers", "face_markers"), "pos").alias("up"))
+    rows = rows.join(inherited, ["owner", "name"], "left")
+    bare = ~has("markers", f"^@({'|'.join(HTTP_ANNOTATIONS)})\\b") & F.col("up").isNotNull()
+    rows = rows.withColumn("type_markers", F.when(bare, F.concat("type_markers", "up.face_markers")).otherwise(F.col("type_markers"))).withColumn("markers", F.when(bare, F.concat("markers", "up.own_markers")).otherwise(F.col("markers")))
+    # A channel may be named by a constant of the class: its literal is in the member's signature.
+    values = own.where("kind = 'value'").select(F.col("parent").alias("owner"), F.regexp_extract("id", "([^:]*)$", 1).alias("constant"), F.regexp_extract("signature", '"([^"]*)"', 1).alias("literal"))
+    constant = F.regexp_extract(F.coalesce(F.get(F.filter("markers", lambda m: m.rlike("^@Incoming")), F.lit(0)), F.lit("")), r"^@Incoming\(\s*(?:\w+\.)*(\w+)\s*\)", 1)
+    rows = rows.withColumn("constant", constant).join(values.dropDuplicates(["owner", "constant"]), ["owner", "constant"], "left")
     first = lambda c, p: F.regexp_extract(F.coalesce(F.get(F.filter(c, lambda m: m.rlike(p)), F.lit(0)), F.lit("")), r'"([^"]*)"', 1)
     verbs = F.filter(F.transform("markers", lambda m: F.regexp_extract(m, f"^@({'|'.join(HTTP_ANNOTATIONS)})\\b", 1)), lambda v: v != "")
     http, incoming = F.size(verbs) > 0, has("markers", "^@Incoming")
     grpc = has("type_markers", "^@GrpcService") & F.col("public")
     kind = F.when(http, "http").when(incoming, "kafka").when(has("markers", "^@Scheduled"), "scheduled").when(grpc, "grpc")
     route = join_route(first("type_markers", "^@Path"), first("markers", "^@Path"))
-    name = F.regexp_extract("id", "([^:]*)$", 1)
-    title = F.when(http, F.concat_ws(" ", F.get(verbs, F.lit(0)), route)).when(incoming, first("markers", "^@Incoming")).otherwise(name)
+    title = F.when(http, F.concat_ws(" ", F.get(verbs, F.lit(0)), route)).when(incoming, F.coalesce("literal", first("markers", "^@Incoming"))).otherwise(F.col("name"))
     rows = rows.withColumn("entry", kind).where("entry IS NOT NULL")
     return numbered(rows.select(F.col("entry").alias("kind"), kind_slug(F.col("entry"), title).alias("id"), title.alias("title"), "file", "ord"))
 

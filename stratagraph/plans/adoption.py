@@ -157,3 +157,18 @@ def a30(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id").join(labels, F.col("doc_id") == F.col("l_id"), "left")
     outcome = F.when(F.col("l_id").isNull(), "unreadable").when(F.col("quality") == 1, "migrated").otherwise("skipped")
     return d.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("documents"))
+
+
+@query(
+    "j36_document_links",
+    """WITH d AS (SELECT doc_id, source, lang FROM documents)
+SELECT doc_id, CASE WHEN source = 'src1' THEN '' ELSE '../src1/' END || CASE WHEN source = 'src1' AND lang = 'en' THEN '' WHEN source = 'src1' THEN '../en/' ELSE 'en/' END AS x FROM d""".replace(
+        "AS x FROM d", "|| 'a.md#part' AS link FROM d"
+    ).replace("'../src1/' END", "'../../src1/' END"),
+)
+def j36(t: Tables) -> DataFrame:
+    """Relative links between documents of different folders, to a section."""
+    from stratagraph.functions.paths import relative_link
+
+    here = F.concat_ws("/", "source", "lang", F.lit("x.md"))
+    return t.documents.select("doc_id", relative_link(here, F.lit("src1/en/a.md"), F.lit("part")).alias("link"))

@@ -24,8 +24,8 @@ def _schema() -> StructType:
     return _parse_datatype_string(", ".join(x.strip() for x in [INDEX]))
 
 
-def extract(routed: DataFrame) -> DataFrame:
-    """Routed files to index rows; one pass, files independent of each other."""
+def extract(routed: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """Routed files to index rows; one pass, files independent of each other. known: see ``repo.known_names``."""
     schema = _schema()
     arrow = to_arrow_schema(schema)
 
@@ -33,7 +33,7 @@ def extract(routed: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                e = packs.extract(r["pack"], r["source_kind"], r["file"], r["text"])
+                e = packs.extract(r["pack"], r["source_kind"], r["file"], r["text"], known)
                 out.append(
                     {k: r[k] for k in ("file", "text", "pack", "source_kind", "role")}
                     | {"source_hash": digest(r["text"]), "fingerprint": e.fingerprint, "parse_errors": e.parse_errors, "symbols": rows(e.symbols), "words": e.words}

@@ -116,3 +116,37 @@ def detect(spark: SparkSession, paths: list[str]) -> str:
     if len(counts) != 1:
         raise ValueError(f"exactly one pack must claim the repository; files: {counts or 'none'}")
     return next(iter(counts))
+
+
+def known_names(root: str, pack: str, paths: list[str]) -> dict[str, str]:
+    """What the manifests say about import names: TypeScript path aliases, Rust libraries and their source folders."""
+    import json
+    import re
+    import tomllib
+
+    out: dict[str, str] = {}
+    if pack == "typescript":
+        for p in paths:
+            if p.rpartition("/")[2] == "tsconfig.json":
+                text = re.sub(r"//[^\n\"]*$|/\*.*?\*/", "", Path(root, p).read_text(errors="replace"), flags=re.M | re.S)
+                try:
+                    options = json.loads(re.sub(r",(\s*[}\]])", r"\1", text)).get("compilerOptions", {})
+                except ValueError:
+                    continue
+                folder = p.rpartition("/")[0]
+                base = os.path.normpath(os.path.join(folder, options.get("baseUrl", ".")))
+                for alias, to in options.get("paths", {}).items():
+                    if alias.endswith("*") and to:
+                        own = os.path.normpath(os.path.join(base, to[0].rstrip("*")))
+                        out[alias[:-1]] = "" if own == "." else own + "/"
+    if pack == "rust":
+        for p in paths:
+            if p.rpartition("/")[2] == "Cargo.toml":
+                try:
+                    manifest = tomllib.loads(Path(root, p).read_text(errors="replace"))
+                except tomllib.TOMLDecodeError:
+                    continue
+                name = manifest.get("lib", {}).get("name") or manifest.get("package", {}).get("name")
+                if name:
+                    out[name.replace("-", "_")] = os.path.normpath(os.path.join(p.rpartition("/")[0], "src"))
+    return out

@@ -87,6 +87,8 @@ def test_lifecycle(spark, tmp_path):
     e.submit_rollup("a", "All of the folder a")
     assert {(r.id, r.status) for r in e.coverage().collect()} == {("a/owner.py", "current"), ("a/user.py", "current"), ("rollup:a", "current")}
     assert e.next_task("a/user.py") is None
+    assert e.get_spec("a/user.py::use")["status"] == "current" and e.get_spec("rollup:a")["status"] == "current"
+    assert e.get_spec("a/none.py")["status"] == "missing" and e.migrate_fingerprints() == 0
     report = {(r.level, r.name): r.freshness for r in e.coverage_report().collect()}
     assert report["all", ""] == 1.0
 
@@ -156,6 +158,8 @@ def test_typescript_feature(spark, tmp_path):
         "app/api/art/[id]/route.ts": 'import { db } from "@/lib/supabase";\nexport async function POST() { return db.from("arts").select(); }\n',
         "app/api/free/route.ts": "export function GET() {}\n",
         "lib/save.ts": 'export { keep as save } from "./keep";\n',
+        "tsconfig.json": '{ "compilerOptions": { // paths\n "baseUrl": ".", "paths": { "@/*": ["./*"], "#lib/*": ["lib/*"], } } }',
+        "lib/use.ts": 'import { keep } from "#lib/keep";\n',
         "lib/keep.ts": "export function keep() { return 1; }\n",
         "lib/supabase.ts": "export const db = 1;\n",
         "supabase/schema.sql": "create table arts (id int, name text);\nalter table arts add x int;\n",
@@ -164,6 +168,7 @@ def test_typescript_feature(spark, tmp_path):
     assert e.pack == "typescript"
     got = {(r.from_file, r.imported_name): r.target for r in e.imports.collect()}
     assert got["app/submit/page.tsx", "save"] == "lib/keep.ts::keep"
+    assert got["lib/use.ts", "keep"] == "lib/keep.ts::keep"
     flows = {(r.kind, r.raw): r.target for r in e.flows.collect()}
     assert flows["route-literal", "/api/art/7"] == "app/api/art/[id]/route.ts"
     assert flows["table-ref", "arts"] == "supabase/schema.sql::arts"
@@ -177,15 +182,17 @@ def test_java_rust_cpp(spark, tmp_path):
     write(tmp_path / "j", {
         "src/main/java/x/Res.java": 'package x;\nimport y.Repo;\n@Path("/a")\n@ApplicationScoped\npublic class Res {\n  Repo repo;\n  @GET @Path("/b") public String b() { return repo.all() + Near.N; }\n  @Incoming("in") public void on(String s) {}\n}\n',
         "src/main/java/x/Near.java": "package x;\npublic class Near { public static final int N = 1; }\n",
+        "target/generated-sources/api/x/Api.java": 'package x;\n@Path("/gen")\npublic interface Api {\n  @POST @Path("/made") String make();\n}\n',
+        "src/main/java/x/Impl.java": 'package x;\npublic class Impl implements Other, Api {\n  static final String IN = "chan";\n  public String make() { return null; }\n  @Incoming(IN) public void on(String s) {}\n}\n',
         "src/main/java/y/Repo.java": "package y;\npublic class Repo { public String all() { return null; } }\n",
     })
     j = Engine.build(spark, str(tmp_path / "j"))
     targets = {r.target for r in j.imports.where("from_file LIKE '%Res.java'").collect()}
     assert {"src/main/java/y/Repo.java::Repo", "src/main/java/x/Near.java::Near"} <= targets
-    assert {(r.kind, r.title) for r in j.entry_points().collect()} == {("http", "GET /a/b"), ("kafka", "in")}
-    write(tmp_path / "r", {"src/lib.rs": "mod a;\npub use crate::a::Thing;\n", "src/a.rs": "pub struct Thing;\nimpl Thing { pub fn n() {} }\n", "src/b.rs": "use crate::Thing;\nfn f() { crate::a::Thing::n(); }\n"})
+    assert {(r.kind, r.title) for r in j.entry_points().collect()} == {("http", "GET /a/b"), ("kafka", "in"), ("http", "POST /gen/made"), ("kafka", "chan")}
+    write(tmp_path / "r", {"src/lib.rs": "mod a;\npub use crate::a::Thing;\n", "src/a.rs": "pub struct Thing;\nimpl Thing { pub fn n() {} }\n", "Cargo.toml": '[package]\nname = "my-lib"\n', "src/c.rs": "use my_lib::a::Thing;\n", "src/b.rs": "use crate::Thing;\nfn f() { crate::a::Thing::n(); }\n"})
     r = Engine.build(spark, str(tmp_path / "r"))
-    assert {(x.from_file, x.target) for x in r.imports.where("target IS NOT NULL").collect()} >= {("src/b.rs", "src/a.rs::Thing"), ("src/lib.rs", "src/a.rs::Thing")}
+    assert {(x.from_file, x.target) for x in r.imports.where("target IS NOT NULL").collect()} >= {("src/b.rs", "src/a.rs::Thing"), ("src/c.rs", "src/a.rs::Thing"), ("src/lib.rs", "src/a.rs::Thing")}
     write(tmp_path / "c", {"include/a.h": '#include "b.h"\nint fa(int);\n', "include/b.h": '#include "a.h"\nclass Bee { public: int n(); };\nenum class Color { kRed };\n', "src/m.cc": '#include "a.h"\nint main() { Bee b; return fa(1); }\n'})
     c = Engine.build(spark, str(tmp_path / "c"))
     assert {x.target for x in c.imports.where("form = 'word' AND from_file = 'src/m.cc'").collect()} == {"include/a.h::fa", "include/b.h::Bee"}
