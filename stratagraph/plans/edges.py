@@ -254,23 +254,23 @@ def a25(t: Tables) -> DataFrame:
     return edges.groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("total"), F.count("resolved").alias("resolved"), F.count_distinct("l_orderkey").alias("files"))
 
 
-# A graph of parts: 3k + 1, a cycle step and some supplier edges between parts below 400.
-EDGES_SQL = """g AS (SELECT p_partkey AS a, (p_partkey * 3 + 1) % 400 AS b FROM part WHERE p_partkey < 400 AND p_size % 3 = 0
-  UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey < 399 AND p_size > 44)"""
+# A graph of all parts, in neighbourhoods of 16 keys: a hop for every third size, a step for large sizes.
+EDGES_SQL = """g AS (SELECT p_partkey AS a, p_partkey // 16 * 16 + (p_partkey * 3 + 1) % 16 AS b FROM part WHERE p_size % 3 = 0
+  UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 16 <> 15 AND p_size > 30)"""
 
 
 def part_graph(t: Tables) -> DataFrame:
-    part = t.part.where("p_partkey < 400").select("p_partkey", "p_size")
-    a = part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 3 + 1) % 400).alias("b"))
-    return a.unionByName(part.where("p_partkey < 399 AND p_size > 44").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))).distinct()
+    part, k = t.part.select("p_partkey", "p_size"), F.col("p_partkey")
+    hop = part.where("p_size % 3 = 0").select(k.alias("a"), (F.floor(k / 16) * 16 + (k * 3 + 1) % 16).alias("b"))
+    return hop.unionByName(part.where("p_partkey % 16 <> 15 AND p_size > 30").select(k.alias("a"), (k + 1).alias("b"))).distinct()
 
 
 DEGREES_SQL = f"""{EDGES_SQL}, d AS (SELECT p_partkey AS id, (SELECT count(*) FROM g WHERE a = p_partkey AND a <> b) AS fan_out, (SELECT count(*) FROM g WHERE b = p_partkey AND a <> b) AS fan_in
-  FROM part WHERE p_partkey < 400)"""
+  FROM part)"""
 
 
 def part_degrees(t: Tables) -> DataFrame:
-    return G.degrees(t.part.where("p_partkey < 400").select(F.col("p_partkey").alias("id")), part_graph(t))
+    return G.degrees(t.part.select(F.col("p_partkey").alias("id")), part_graph(t))
 
 
 @query("a27_degrees", f"WITH {DEGREES_SQL} SELECT * FROM d")
@@ -288,19 +288,19 @@ def l08(t: Tables) -> DataFrame:
     return G.top_degrees(part_degrees(t), "fan_in", "id").select("id", "fan_in")
 
 
-REACH_SQL = f"""WITH RECURSIVE {EDGES_SQL}, r(start, node) AS (SELECT DISTINCT a, a FROM g WHERE a % 10 = 0 UNION SELECT r.start, g.b FROM r JOIN g ON g.a = r.node)"""
+REACH_SQL = f"""WITH RECURSIVE {EDGES_SQL}, r(start, node) AS (SELECT DISTINCT a, a FROM g UNION SELECT r.start, g.b FROM r JOIN g ON g.a = r.node)"""
 
 
 @query("g02_reach", f"{REACH_SQL} SELECT start, node FROM r WHERE start <> node")
 def g02(t: Tables) -> DataFrame:
     g = part_graph(t)
-    return G.reach(g, g.where("a % 10 = 0").select(F.col("a").alias("start")).distinct()).select("start", "node")
+    return G.reach(g, g.select(F.col("a").alias("start")).distinct()).select("start", "node")
 
 
 @query(
     "g01_participants",
-    f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT p_partkey AS file, CASE WHEN p_size % 7 = 0 THEN 'schema' ELSE 'callable' END AS kind FROM part WHERE p_partkey < 400),
-core(entry, file) AS (SELECT DISTINCT a, a FROM g WHERE a % 25 = 0 UNION SELECT core.entry, g.b FROM core JOIN g ON g.a = core.file JOIN s ON s.file = g.b WHERE s.kind <> 'schema' AND s.file % 4 <> 0),
+    f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT p_partkey AS file, CASE WHEN p_size % 7 = 0 THEN 'schema' ELSE 'callable' END AS kind FROM part),
+core(entry, file) AS (SELECT DISTINCT a, a FROM g UNION SELECT core.entry, g.b FROM core JOIN g ON g.a = core.file JOIN s ON s.file = g.b WHERE s.kind <> 'schema' AND s.file % 4 <> 0),
 hop AS (SELECT DISTINCT core.entry, g.b AS target FROM core JOIN g ON g.a = core.file)
 SELECT entry, 'core' AS tier, 'f' || file AS target FROM core
 UNION ALL SELECT hop.entry, CASE kind WHEN 'schema' THEN 'data' ELSE 'dependencies' END, 's' || target FROM hop JOIN s ON s.file = hop.target
@@ -309,12 +309,13 @@ WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.entry = hop.entry AND c.file = ho
 def g01(t: Tables) -> DataFrame:
     g = part_graph(t)
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    entries = g.where("a % 25 = 0").select(F.col("a").alias("entry"), name("f", "a").alias("file")).distinct()
+    entries = g.select(F.col("a").alias("entry"), name("f", "a").alias("file")).distinct()
     edges = g.select(name("f", "a").alias("from_file"), name("f", "b").alias("target_file"), name("s", "b").alias("target"))
-    part = t.part.where("p_partkey < 400")
+    part = t.part
     kind = F.when(F.col("p_size") % 7 == 0, "schema").otherwise("callable")
     symbols = part.select(name("s", "p_partkey").alias("id"), name("f", "p_partkey").alias("file"), kind.alias("kind"))
-    admitted = entries.select("entry").crossJoin(F.broadcast(part.where("p_partkey % 4 <> 0").select(name("f", "p_partkey").alias("file"))))  # fewer than 400 rows
+    near = part.where("p_partkey % 4 <> 0").select(name("f", "p_partkey").alias("file"), F.floor(F.col("p_partkey") / 16).alias("near"))  # admitted files, by neighbourhood
+    admitted = entries.select("entry", F.floor(F.col("entry") / 16).alias("near")).join(near, "near").select("entry", "file")
     return G.participants(entries, edges, admitted, symbols)
 
 

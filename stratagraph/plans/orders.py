@@ -54,10 +54,10 @@ def a26(t: Tables) -> DataFrame:
     return ranked.groupBy("lang").agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
 
 
-@query("a23_identical_dependencies", "WITH d AS (SELECT conv_id, role, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS deps FROM conversations WHERE turn % 2 = 0 GROUP BY ALL) SELECT conv_id, count(*) >= 2 AND count(DISTINCT deps) = 1 AS identical FROM d GROUP BY conv_id")
+@query("a23_identical_dependencies", "WITH d AS (SELECT conv_id, role, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS deps FROM conversations GROUP BY ALL) SELECT conv_id, count(*) >= 2 AND count(DISTINCT deps) = 1 AS identical FROM d GROUP BY conv_id")
 def a23(t: Tables) -> DataFrame:
     deps = F.array_join(F.transform(F.sort_array(F.collect_list("turn")), lambda x: x.cast("string")), ",")
-    d = t.conversations.where("turn % 2 = 0").groupBy("conv_id", "role").agg(deps.alias("deps"))
+    d = t.conversations.groupBy("conv_id", "role").agg(deps.alias("deps"))
     return d.groupBy("conv_id").agg(((F.count("*") >= 2) & (F.count_distinct("deps") == 1)).alias("identical"))
 
 

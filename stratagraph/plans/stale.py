@@ -172,7 +172,7 @@ def a16(t: Tables) -> DataFrame:
 
 @query(
     "j28_participant_hashes",
-    """SELECT 'core' AS tier, o_orderkey AS target, sha256(o_orderpriority) AS hash FROM orders WHERE o_orderkey % 5 = 0
+    """SELECT 'core' AS tier, o_orderkey AS target, sha256(o_orderpriority) AS hash FROM orders
 UNION ALL SELECT 'dependencies', p_partkey, sha256(CASE WHEN p_size > 25 THEN p_name ELSE p_brand END) FROM part
 UNION ALL SELECT 'data', s_suppkey, sha256(s_name) FROM supplier""",
 )
@@ -181,7 +181,7 @@ def j28(t: Tables) -> DataFrame:
     row = lambda df, tier, key, text: df.select(F.lit(tier).alias("tier"), F.col(key).alias("target"), H.stable(text).alias("hash"))
     interface = F.coalesce(F.when(F.col("p_size") > 25, F.col("p_name")), F.col("p_brand"))
     return (
-        row(t.orders.where("o_orderkey % 5 = 0"), "core", "o_orderkey", F.col("o_orderpriority"))
+        row(t.orders, "core", "o_orderkey", F.col("o_orderpriority"))
         .unionByName(row(t.part, "dependencies", "p_partkey", interface))
         .unionByName(row(t.supplier, "data", "s_suppkey", F.col("s_name")))
     )

@@ -157,10 +157,11 @@ def f08(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", P.join_route(a, b).alias("route"))
 
 
-@query("f09_kind_slug", "SELECT doc_id, 'http-' || lower(trim(regexp_replace(left(text, 40), '[^A-Za-z0-9]+', '-', 'g'), '-')) AS slug FROM documents")
+@query("f09_kind_slug", "SELECT p_partkey, 'http-' || lower(trim(regexp_replace(p_name || ' /{' || p_brand || '} ', '[^A-Za-z0-9]+', '-', 'g'), '-')) AS slug FROM part")
 def f09(t: Tables) -> DataFrame:
-    words = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z0-9]+", "-"), "^-+|-+$", "")
-    return t.documents.select("doc_id", F.concat(F.lit("http-"), F.lower(words)).alias("slug"))
+    from stratagraph.operators.features import kind_slug
+
+    return t.part.select("p_partkey", kind_slug(F.lit("http"), F.concat("p_name", F.lit(" /{"), "p_brand", F.lit("} "))).alias("slug"))
 
 
 SMELL_SQL = """list_filter([
@@ -287,12 +288,12 @@ def w02(t: Tables) -> DataFrame:
 
 @query(
     "w08_heading_anchors",
-    """WITH h AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(left(text, 12)), '[^a-z0-9 ]', '', 'g'), ' +', '-', 'g'), '-') AS a FROM conversations),
+    """WITH h AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(role || ' Part'), '[^a-z0-9 ]', '', 'g'), ' +', '-', 'g'), '-') AS a FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, a ORDER BY turn) AS n FROM h) SELECT conv_id, turn, CASE WHEN n > 1 THEN a || '-' || n - 1 ELSE a END AS anchor FROM r""",
 )
 def w08(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    a = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.substring("text", 1, 12)), "[^a-z0-9 ]", ""), " +", "-"), "^-+|-+$", "")
+    a = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.concat("role", F.lit(" Part"))), "[^a-z0-9 ]", ""), " +", "-"), "^-+|-+$", "")
     n = F.row_number().over(Window.partitionBy("conv_id", "a").orderBy("turn"))
     return t.conversations.select("conv_id", "turn", a.alias("a")).select("conv_id", "turn", F.when(n > 1, F.concat_ws("-", "a", (n - 1).cast("string"))).otherwise(F.col("a")).alias("anchor"))
