@@ -61,9 +61,10 @@ def quarkus_entries(symbols: DataFrame) -> DataFrame:
     bare = ~has("markers", f"^@({'|'.join(HTTP_ANNOTATIONS)})\\b") & F.col("up").isNotNull()
     rows = rows.withColumn("type_markers", F.when(bare, F.concat("type_markers", "up.face_markers")).otherwise(F.col("type_markers"))).withColumn("markers", F.when(bare, F.concat("markers", "up.own_markers")).otherwise(F.col("markers")))
     # A channel may be named by a constant of the class: its literal is in the member's signature.
-    values = own.where("kind = 'value'").select(F.col("parent").alias("owner"), F.regexp_extract("id", "([^:]*)$", 1).alias("constant"), F.regexp_extract("signature", '"([^"]*)"', 1).alias("literal"))
+    values = own.where("kind = 'value'").select(F.col("parent").alias("owner"), F.regexp_extract("id", "([^:]*)$", 1).alias("constant"), F.regexp_extract("signature", '"([^"]*)"', 1).alias("literal"), "ord")
+    values = values.groupBy("owner", "constant").agg(F.min_by("literal", "ord").alias("literal"))
     constant = F.regexp_extract(F.coalesce(F.get(F.filter("markers", lambda m: m.rlike("^@Incoming")), F.lit(0)), F.lit("")), r"^@Incoming\(\s*(?:\w+\.)*(\w+)\s*\)", 1)
-    rows = rows.withColumn("constant", constant).join(values.dropDuplicates(["owner", "constant"]), ["owner", "constant"], "left")
+    rows = rows.withColumn("constant", constant).join(values, ["owner", "constant"], "left")
     first = lambda c, p: F.regexp_extract(F.coalesce(F.get(F.filter(c, lambda m: m.rlike(p)), F.lit(0)), F.lit("")), r'"([^"]*)"', 1)
     verbs = F.filter(F.transform("markers", lambda m: F.regexp_extract(m, f"^@({'|'.join(HTTP_ANNOTATIONS)})\\b", 1)), lambda v: v != "")
     http, incoming = F.size(verbs) > 0, has("markers", "^@Incoming")

@@ -11,6 +11,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder; one is made only where none is named (tests)."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stratagraph-checkpoint-"))
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="stratagraph-checkpoint-"))
     return df.checkpoint(eager=True)
