@@ -20,7 +20,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -37,17 +37,23 @@ MAX_GROUP = 512
 _SLICE, _SPACE = 1 << 20, re.compile(rb"[ \t-\r]")
 
 
+def slices(text: str) -> Iterator[list[bytes]]:
+    """The words of a text in slices that end at a space, so that a long text needs no list of all its words."""
+    data, at = text.encode("utf-8", "surrogatepass").lower(), 0  # bytes: A-Z only
+    while at < len(data):
+        end = _SPACE.search(data, at + _SLICE)
+        end = end.start() if end else len(data)
+        yield data[at:end].split()  # the six ASCII spaces
+        at = end
+
+
 def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
     """The 64-bit fingerprint as an unsigned integer: a bit is 1 where over half the shingles' XXH64 have it."""
     import xxhash
 
-    data = text.encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
-    ones, n, words, at = np.zeros(64, np.int64), 0, [], 0
-    while at < len(data):  # in slices that end at a space, so that a long text needs no list of all its words
-        end = _SPACE.search(data, at + _SLICE)
-        end = end.start() if end else len(data)
-        words += data[at:end].split()  # the six ASCII spaces
-        at = end
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for more in slices(text):
+        words += more
         if len(words) >= width:
             shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
             hashes = b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed)))  # big-endian
@@ -138,10 +144,10 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return links
 
 
-def _classes(prints: DataFrame) -> DataFrame:
+def _classes(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``prints(key, fp)`` to ``(fp, first)``: the smallest key of each fingerprint's component."""
     own = prints.groupBy("fp").agg(F.min("key").alias("own"))
-    nodes = connected_components(near_links(own.select("fp")))
+    nodes = connected_components(near_links(own.select("fp")) if links is None else links)
     linked = nodes.join(own, nodes.node == own.fp).select("fp", "root", "own")
     first = linked.groupBy("root").agg(F.min("own").alias("first"))
     linked = linked.join(first, "root").select("fp", "first")
@@ -159,9 +165,15 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def by_bits(order: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``order(key, text)`` to its fingerprints ``(key, fp)``, linked within the distance."""
+    return staged(fingerprints(order, "key"), "prints"), None
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", linked: Callable = by_bits) -> DataFrame:
     """``df`` with one row of each component: that of the smallest id, a null id last. Columns unchanged.
 
+    ``linked`` says what is near: ``by_bits`` here, or ``near_copies.by_words``.
     A row is known by its id and its text's hash, so ids need not be unique; of repeated rows
     with the same id and text one stays (the first by a hash of the whole row).
     """
@@ -169,8 +181,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"))
     rows = carried(df, text_col).withColumn("key", F.struct(F.col(f"row.`{id_col}`").isNull().alias("no_id"), F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h")))
     order = df.select(key.alias("key"), text.alias("text"))
-    prints = staged(fingerprints(order, "key"), "prints")
-    keep = _classes(prints).select(F.col("first").alias("key")).distinct()
+    prints, links = linked(order)
+    keep = _classes(prints, links).select(F.col("first").alias("key")).distinct()
     times = prints.groupBy("key").agg(F.count("*").alias("n"))
     keep = staged(
         keep.join(times, keep.key.eqNullSafe(times.key)).select(
