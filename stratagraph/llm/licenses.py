@@ -56,8 +56,9 @@ SENTENCES = {
     "cc0-name": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "unlicense": "This is free and unencumbered software released into the public domain under the Unlicense",
     "all-rights": "Copyright all rights reserved",
+    "all-rights-2": "All rights reserved",
 }
-ANCHORS = ("licens", "copyright", "permission", "redistribut", "warranty")
+ANCHORS = ("licens", "copyright", "permission", "redistribut", "warranty", "reserved")
 
 #: (licence, identifiers in order); longer rules first. An identifier may take part in several rules.
 RULES = [
@@ -88,6 +89,7 @@ RULES = [
     ("CC0-1.0", ["cc0-name"]),
     ("Unlicense", ["unlicense"]),
     ("LicenseRef-all-rights-reserved", ["all-rights"]),
+    ("LicenseRef-all-rights-reserved", ["all-rights-2"]),
 ]
 
 # The end of a sentence: closing marks before white space or the end, or a line's end. A plain line break inside a

@@ -50,3 +50,10 @@ def test_sql(spark, sf):
     want = {r[0]: r[1:] for r in con.execute(queries.oracle_sql()["op8_license_sentence_rules"]).fetchall()}
     got = {r.doc_id: (r.identifiers, r.licenses, r.n_matches) for r in queries.op8_license_sentence_rules(spark, sf).collect()}
     assert got == want
+
+
+def test_all_rights_reserved(spark):
+    texts = ["Words. All rights reserved. More words.", "Some line\nAll rights reserved.\n", "Copyright (c) 2021 Some Name. All rights reserved.", "Reserved words."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in L.scan(df).collect()}
+    assert got == {0: "LicenseRef-all-rights-reserved", 1: "LicenseRef-all-rights-reserved", 2: "LicenseRef-all-rights-reserved", 3: ""}
