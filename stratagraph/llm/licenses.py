@@ -7,6 +7,11 @@ a sequence of identifiers, longer and more specific rules come first and use up
 match. Sentences that aren't known may stand between; they have no identifier.
 
 One pass over the texts without a shuffle; each row is on its own, so no group can be hot.
+Licence texts as they are printed have sentences without closing marks: titles, copyright lines,
+list heads, addresses. ``printed`` cuts those too. Where it finds sentences that the plain cut (the
+SQL's) does not, its identifiers, in the text's order, come instead, followed by what only the plain
+cut has. The rules always run on that longer list.
+
 Sentences without one of the ``ANCHORS`` are skipped before they are normalised; every known
 sentence holds one (checked when the module is loaded).
 
@@ -65,6 +70,8 @@ RULES = [
     ("Apache-2.0", ["apache-head", "apache-copy", "apache-as-is", "apache-see"]),
     ("MIT", ["mit-title", "mit-grant", "mit-notice", "mit-as-is"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
+    ("BSD-3-Clause", ["all-rights-2", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["all-rights-2", "bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
@@ -113,9 +120,35 @@ def sentences(text: Column) -> Column:
     return F.when(F.instr(text, "\n") > 0, F.array_union(F.split(joined, "\u0001"), F.split(lines, "\n"))).otherwise(F.array_distinct(F.split(lines, "\n")))
 
 
-def identifiers(text: Column) -> Column:
-    """The known sentences' identifiers, in order of first appearance."""
-    anchored = F.filter(sentences(text), lambda s: F.lower(s).rlike("|".join(ANCHORS)))
+# Steps of ``printed``, in order: (pattern, replacement). MARGIN is what a line may have before its words.
+MARGIN = r"[ \t\r\f#*/;-]*"
+STEPS = [
+    (rf"(?m)^{MARGIN}\(?([0-9]{{1,2}}|[a-zA-Z])[.)][ \t]+", "\u0001"),  # list numbers
+    (r"(?i)(\bcopyright[ \t]*(\(c\)|\u00a9)?|\(c\)|\u00a9)[ \t]*[0-9]{4}[^\n\u0001]*?(?=all rights reserved|[\n\u0001]|\z)", "\u0001"),  # copyright lines
+    (rf"\s*\n[\s#*/;-]*(https?://[^\s\u0001]+?)[.,;]?[ \t\r\f]*(?=\n|\z)", " $1\u0001"),  # an address on its own line ends the sentence before it
+    (END, "\u0001"),
+    (rf":([ \t\r\f]|\n{MARGIN})+(?=[A-Z0-9(\u0001])", "\u0001"),  # a colon before a capital or a list
+    (rf"\n{MARGIN}(?=\n)", "\u0001"),  # blank lines
+    (rf"[ \t\r\f]*\n{MARGIN}", " "),
+]
+
+
+def printed(text: Column) -> Column:
+    """Sentences of a text as licences are printed, in order."""
+    for pattern, to in STEPS:
+        text = F.regexp_replace(text, pattern, to)
+    return F.array_distinct(F.split(text, "\u0001"))
+
+
+def identifiers(text: Column) -> tuple[Column, Column]:
+    """The known sentences' identifiers: by the plain cut in order of first appearance, and all in the text's order."""
+    plain = known(sentences(text))
+    return plain, F.when(F.lower(text).rlike("|".join(ANCHORS)), F.array_union(known(printed(text)), plain)).otherwise(plain)
+
+
+def known(cut: Column) -> Column:
+    """The identifiers of the known ones among the sentences, in order."""
+    anchored = F.filter(cut, lambda s: F.lower(s).rlike("|".join(ANCHORS)))
     plain = F.transform(anchored, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     return F.filter(F.transform(plain, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
@@ -123,8 +156,11 @@ def identifiers(text: Column) -> Column:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, identifiers, licenses, n_matches)``: comma-joined identifiers and sorted distinct licences."""
-    rows = id_and_text(df, id_col, text_col).select("doc_id", F.array_join(identifiers(F.col("text")), ",").alias("identifiers"))
-    left, found, count = F.concat(F.lit(","), F.regexp_replace("identifiers", ",", ",,"), F.lit(",")), F.array().cast("array<string>"), F.lit(0)
+    plain, full = (F.array_join(ids, ",") for ids in identifiers(F.col("text")))
+    rows = id_and_text(df, id_col, text_col).select("doc_id", plain.alias("plain"), full.alias("full"))
+    # Of the same length: the same identifiers, since the full list holds the plain one's.
+    rows = rows.select("doc_id", "full", F.when(F.length("full") > F.length("plain"), F.col("full")).otherwise(F.col("plain")).alias("identifiers"))
+    left, found, count = F.concat(F.lit(","), F.regexp_replace("full", ",", ",,"), F.lit(",")), F.array().cast("array<string>"), F.lit(0)
     # Rules in order, each on what the rules before have left; a row without identifiers takes none of these steps.
     for name, ids in RULES:
         pattern = "," + ",,".join(ids) + ","

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from stratagraph.llm import licenses as L
 from stratagraph.llm import queries
@@ -57,3 +58,36 @@ def test_all_rights_reserved(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.licenses for r in L.scan(df).collect()}
     assert got == {0: "LicenseRef-all-rights-reserved", 1: "LicenseRef-all-rights-reserved", 2: "LicenseRef-all-rights-reserved", 3: ""}
+
+
+def wrapped(*parts, margin="", width=76):
+    lines = [ln for k, p in enumerate(parts) for ln in ([""] if k else []) + (textwrap.wrap(p, width) or [""])]
+    return "\n".join((margin + ln).rstrip() for ln in lines) + "\n"
+
+
+S = {k: v.rstrip(":") for k, v in L.SENTENCES.items()}
+LIABLE = "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, ARISING FROM THE SOFTWARE OR THE USE OF IT."
+BSD = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+       "1. " + S["bsd-source"] + ".", "2. " + S["bsd-binary"] + ".", "3. " + S["bsd-endorse"] + ".", "THIS SOFTWARE IS PROVIDED \"AS IS\" AND ANY WARRANTIES ARE DISCLAIMED. " + LIABLE]
+APACHE_2 = ["Copyright 2020 Some Name", S["apache-head"] + ". You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0", S["apache-as-is"] + ". " + S["apache-see"] + "."]
+PRINTED = {
+    "MIT": [wrapped("MIT License", "Copyright (c) 2020 Some Name", S["mit-grant"] + ":", S["mit-notice"] + ".", S["mit-as-is"] + ". " + LIABLE, margin=m) for m in ("", "# ", " * ", "// ")]
+    + [S["mit-grant"] + ": " + S["mit-notice"] + ". " + S["mit-as-is"] + "."],
+    "BSD-3-Clause": [wrapped("Copyright (c) 2020, Some Name", *BSD), wrapped("Copyright (c) 2020, Some Name. All rights reserved.", *BSD, margin="# "),
+                     "Copyright (c) 2020, Some Name\nAll rights reserved.\n\n" + wrapped(*BSD).replace("\n\n", "\n")],
+    "BSD-2-Clause": [wrapped(*BSD[:3], BSD[4], margin=" * ")],
+    "Apache-2.0": [wrapped(*APACHE_2, margin=m) for m in ("", "# ", "   ")],
+    "GPL-3.0-or-later": [wrapped("Some program", "Copyright (C) 2020  Some Name", S["gpl-free"] + ".", S["gpl-hope"] + ".  See the GNU General Public License for more details.", margin=m, width=w) for m, w in (("", 70), ("# ", 33))],
+    "ISC": [wrapped("ISC License", "Copyright (c) 2020, Some Name", S["isc-grant"] + ".", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."), wrapped("(c) 2020 X", S["isc-grant"] + ".")],
+}
+
+
+def test_printed_licences(spark):
+    rows = [(name, text) for name, texts in PRINTED.items() for text in texts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_matches, r.identifiers) for r in L.scan(df).collect()}
+    for i, (name, text) in enumerate(rows):
+        assert got[i][:2] == (name, 1), (text, got[i])
+    assert "apache-head,apache-copy,apache-as-is,apache-see" in {v[2] for v in got.values()}
+    both = spark.createDataFrame([(1, PRINTED["MIT"][0] + "\n" + PRINTED["BSD-3-Clause"][1])], "doc_id long, text string")
+    assert [(r.licenses, r.n_matches) for r in L.scan(both).collect()] == [("BSD-3-Clause,MIT", 2)]
