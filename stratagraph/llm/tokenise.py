@@ -9,6 +9,8 @@
   the cache lacks are encoded many to a call, with a separator between them that is a token of
   its own; where that can't be told apart, one by one.
 
+A text that holds the string of an added token goes through the tokenizers library whole.
+
 The tests hold both against the tokenizers library over whole texts.
 """
 
@@ -33,12 +35,15 @@ _SPACE = re.compile(r"\s")
 
 @lru_cache(maxsize=4)
 def load(path: str):
-    """The tokenizer of a file; strings of special tokens inside a text are ordinary text."""
+    """The tokenizer of a file, as it comes: an added token's string inside a text is that token."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+def added_tokens(tokenizer) -> re.Pattern[str]:
+    """Where a lower-cased text may hold an added token's string; such texts go through the library whole."""
+    return re.compile("|".join(re.escape(t.content.lower()) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
 
 
 def _latin(text: str) -> bool:
@@ -112,11 +117,25 @@ class WordEncoder(ChunkEncoder):
         self.tokenizer = load(path)
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.Split(self.MARK, "isolated")
+        self.added = added_tokens(self.tokenizer)
         self.bytes = {b: c for c, b in _byte_of_char().items()}
         self.sep_id = self._ids(self.tokenizer, [self.MARK])[0][0]
         if self._ids(self.model, [self.MARK])[0] != [self.sep_id]:
             raise ValueError("the separator isn't one token")
 
+    def encode(self, texts: list[str], uneven: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if self.added.search(t.lower())]
+        if not whole:
+            return super().encode(texts, uneven)
+        rest = list(texts)
+        for i in whole:
+            rest[i] = ""
+        ids, ends = super().encode(rest, uneven)
+        parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i in whole:  # one by one: a long text's encoding takes much more memory than its ids
+            parts[i] = np.array(self._ids(self.tokenizer, [texts[i]])[0], "<u4")
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -180,12 +199,15 @@ class ByteEncoder:
 
         self.library = load(path)
         of = _byte_of_char()
+        self.added = added_tokens(self.library)
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
         ranks = {bytes(map(of.__getitem__, piece)): i for piece, i in self.library.get_vocab(with_added_tokens=True).items() if piece not in special}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         words = text.split()
+        if self.added.search(text.lower()):
+            words = []
         if words and max(map(len, words)) <= LONG and len(text) - sum(map(len, words)) <= len(words) + LONG:
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
