@@ -150,7 +150,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text"):
             chunks = cut(text.as_py() or "")
             out.append(chunks[np.unique(np.linspace(0, len(chunks) - 1, min(len(chunks), MAX_CHUNKS)).astype(int))].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("h"), pa.array(out, pa.binary())], names=["quality", "h", "chunks"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("quality", "h", "t")), pa.array(out, pa.binary())], names=["quality", "h", "t", "chunks"])
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
@@ -161,8 +161,11 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     found = (
         id_and_text(documents)
         .join(F.broadcast(chosen), "doc_id")  # at most 2 * max_rows rows
-        .select("quality", "h", "text")
-        .mapInArrow(_sampled, "quality int, h long, chunks binary")
+        .select("quality", "h", F.xxhash64("text").alias("t"), "text")
+        .mapInArrow(_sampled, "quality int, h long, t long, chunks binary")
+        .groupBy("quality", "h")  # doc_ids may repeat: the row of the smallest text hash
+        .agg(F.min(F.struct("t", "chunks")).alias("least"))
+        .select("quality", "h", "least.chunks")
     )
     rows = sorted((r.h, r.quality, bytes(r.chunks)) for r in found.collect())  # bounded: rows by chunks, see the module
     return fit([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, _, c in rows], np.array([q for _, q, _ in rows]), GOOD_SHARE)

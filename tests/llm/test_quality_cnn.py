@@ -59,3 +59,16 @@ def test_edge_rows(spark, fitted):
     assert Q.keep_good(df, net).columns == df.columns
     assert Q.score(df.limit(0), net).count() == 0
     assert Q.score(df, Q.train(docs, labels.limit(0))).first().score == 0.5
+
+
+def test_a_repeated_doc_id_trains_once(spark, monkeypatch):
+    from stratagraph.llm import quality_cnn
+
+    seen = []
+    monkeypatch.setattr(quality_cnn, "fit", lambda chunks, quality, *_: seen.append((len(chunks), sorted(quality.tolist()), b"".join(c.tobytes() for c in chunks))))
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:6]
+    docs = [(i, f"text of {i}") for i in free] + [(free[0], f"other text {k}") for k in range(200)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(free)], "doc_id long, quality int")
+    for rows in (docs, docs[::-1]):
+        quality_cnn.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert seen[0][:2] == (6, [0, 0, 0, 1, 1, 1]) and seen[0] == seen[1]
