@@ -156,10 +156,15 @@ def known(cut: Column) -> Column:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, identifiers, licenses, n_matches)``: comma-joined identifiers and sorted distinct licences."""
-    plain, full = (F.array_join(ids, ",") for ids in identifiers(F.col("text")))
-    rows = id_and_text(df, id_col, text_col).select("doc_id", plain.alias("plain"), full.alias("full"))
-    # Of the same length: the same identifiers, since the full list holds the plain one's.
-    rows = rows.select("doc_id", "full", F.when(F.length("full") > F.length("plain"), F.col("full")).otherwise(F.col("plain")).alias("identifiers"))
+    plain, union = identifiers(F.col("text"))
+    rows = id_and_text(df, id_col, text_col).select("doc_id", plain.alias("plain"), union.alias("union"))
+    own = F.size(F.array_distinct("plain"))  # the plain cut may have one twice; it stays so where nothing is added
+    more = F.size("union") > own
+    rows = rows.select(
+        "doc_id",
+        F.array_join(F.when(more | (own == F.size("plain")), F.col("union")).otherwise(F.col("plain")), ",").alias("full"),
+        F.array_join(F.when(more, F.col("union")).otherwise(F.col("plain")), ",").alias("identifiers"),
+    )
     left, found, count = F.concat(F.lit(","), F.regexp_replace("full", ",", ",,"), F.lit(",")), F.array().cast("array<string>"), F.lit(0)
     # Rules in order, each on what the rules before have left; a row without identifiers takes none of these steps.
     for name, ids in RULES:
