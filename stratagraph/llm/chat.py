@@ -95,28 +95,40 @@ def stretches(df: DataFrame) -> DataFrame:
 
 
 def masked(formatted: Column, mask: Column) -> Column:
-    """The unescaped text under a stretch's loss mask, piece by piece in order."""
-    spans = F.aggregate(
-        mask,
-        F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,n:bigint>>").alias("spans")),
-        lambda acc, r: F.struct((acc.at + r.n).alias("at"), F.when(r.loss, F.concat(acc.spans, F.array(F.struct(acc.at.alias("at"), r.n.alias("n"))))).otherwise(acc.spans).alias("spans")),
-    ).spans
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["at"].cast("int"), s["n"].cast("int")))), "")
+    """The unescaped text under the loss mask of a formatted conversation, piece by piece in order.
+
+    A piece by its place costs as much as the string before it is long, so the string is cut at every
+    root-of-runs-th run first and pieces are cut from those parts.
+    """
+    at = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r.n)
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(mask)))).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(mask) - 1) / size).cast("int")), lambda g: F.slice(mask, g * size + 1, size))
+    long_array = F.array().cast("array<bigint>")
+    before = lambda lengths: F.aggregate(
+        lengths, F.struct(F.lit(0).cast("long").alias("at"), long_array.alias("starts")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc.starts, F.array(acc["at"])).alias("starts"))
+    ).starts
+    cut = lambda text, start, n: F.substring(text, (start + 1).cast("int"), n.cast("int"))
+
+    def inside(part: Column, runs: Column) -> Column:
+        placed = F.arrays_zip(runs.alias("r"), before(F.transform(runs, lambda r: r.n)).alias("at"))
+        return F.array_join(F.transform(F.filter(placed, lambda p: p["r"]["loss"]), lambda p: unescape(cut(part, p["at"], p["r"]["n"]))), "")
+
+    parts = F.arrays_zip(groups.alias("g"), before(F.transform(groups, at)).alias("at"))
+    return F.when(F.size(mask) == 0, F.lit("")).otherwise(F.array_join(F.transform(parts, lambda p: inside(cut(formatted, p["at"], at(p["g"])), p["g"])), ""))
 
 
 def conversations(pieces: DataFrame) -> DataFrame:
-    """Stretches to ``(conv_id, formatted, mask, loss_text)``."""
-    part = F.struct("stretch", "formatted", "mask", masked(F.col("formatted"), F.col("mask")).alias("loss_text"))
-    joined = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
+    """Stretches to ``(conv_id, formatted, mask)``."""
+    part = F.struct("stretch", "formatted", "mask")
     return (
         pieces.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(part)).alias("parts"))
-        .select("conv_id", joined("formatted").alias("formatted"), F.flatten(F.transform("parts", lambda p: p["mask"])).alias("mask"), joined("loss_text").alias("loss_text"))
+        .select("conv_id", F.array_join(F.transform("parts", lambda p: p.formatted), "").alias("formatted"), F.flatten(F.transform("parts", lambda p: p["mask"])).alias("mask"))
     )
 
 
 def format_chat(df: DataFrame) -> DataFrame:
-    """Rows ``(conv_id, turn, role, text)`` to ``(conv_id, formatted, mask, loss_text)``."""
+    """Rows ``(conv_id, turn, role, text)`` to ``(conv_id, formatted, mask)``."""
     return conversations(stretches(df))
 
 
@@ -134,7 +146,7 @@ def read_back(formatted: Column) -> Column:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What ``format_chat`` returns, as counts and hashes of what is read back from it."""
-    rows = formatted.withColumn("turns", read_back(F.col("formatted")))
+    rows = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("mask")).alias("loss_text"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return rows.select(
         "conv_id",

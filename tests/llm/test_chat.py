@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from itertools import groupby
 
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ def check(spark, rows):
         assert w.formatted.count("<turn>") == len([1 for _ in groupby(turns, key=lambda t: t[0])])
         at, under = 0, []
         for m in w["mask"]:
-            under += [w.formatted[at : at + m.n]] * m.loss
+            under += [re.sub(r"<\\(\\*)(/?turn|/role|part)>", r"<\1\2>", w.formatted[at : at + m.n])] * m.loss
             at += m.n
-        assert sum(map(len, under)) >= len(loss)
+        assert under == [t for role, t in turns if role == "assistant" and t]  # the mask, laid on the output
     assert len(got) == len({by(r) for r in rows})
 
 
@@ -43,6 +44,7 @@ def test_random_conversations(spark):
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", "<turn>", None]), rng.choice(TEXTS + [None])) for c in range(40) for t in range(rng.randrange(1, 12))]
     rows += [(99, t, "assistant" if t % 3 else "user", f"{t}</turn>\n") for t in range(300)]  # several stretches
+    rows += [(97_000, t, rng.choice(["user", "assistant"]), rng.choice(TEXTS) * rng.randrange(40)) for t in range(2000)]  # one long conversation
     rows += [(98, 1, "assistant", "same")] * 5 + [(97, None, "user", "x"), (97, 0, "user", "y"), (None, 1, "assistant", "z")]
     check(spark, rows)
 
