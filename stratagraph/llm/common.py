@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,13 @@ _OWN_DIR: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary folder made and used.
+    Only where the session names none is a temporary folder made, and only on a local master.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="stratagraph-")
@@ -39,7 +42,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Where ``staged`` frames lie, for as long as they are held.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete what ``staged`` wrote for ``df``; only where no later plan reads it."""
+    held, path = _PATHS.pop(id(df), (lambda: None, ""))
+    if held() is df:
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 #: Rows and bytes that an Arrow batch to or from Python may have: what a task holds at once.
@@ -47,7 +65,11 @@ BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in this session (never larger than it has them already)."""
+    """Keep Arrow batches small (never larger than the session has them already).
+
+    The plans are lazy and read the setting when they run, so it stays for the rest of the session: a
+    documented side effect of every operator that reads texts in Python.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         digits = "".join(c for c in now or "" if c.isdigit())

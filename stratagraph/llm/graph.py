@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.common import staged
+from stratagraph.llm.common import staged, unstage
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .where("v <> u")
             .distinct()
         )
-        now = staged(small, "stars")
+        last, now = now, staged(small, "stars")
+        unstage(last)  # the round before is in no later plan
         before, mark = mark, _signature(now)
         if before == mark:
             break

@@ -25,7 +25,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm.common import carried, id_and_text, staged
@@ -34,6 +34,8 @@ from stratagraph.llm.graph import connected_components
 SEED, WIDTH, DISTANCE = 42, 3, 2
 #: Members a key group may have before it is cut by further blocks; at least 256, see above.
 MAX_GROUP = 512
+#: Places that a component's rows are dealt to.
+SALTS = 32
 _SLICE, _SPACE = 1 << 20, re.compile(rb"[ \t-\r]")
 
 
@@ -150,7 +152,9 @@ def _classes(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
     nodes = connected_components(near_links(own.select("fp")) if links is None else links)
     linked = nodes.join(own, nodes.node == own.fp).select("fp", "root", "own")
     first = linked.groupBy("root").agg(F.min("own").alias("first"))
-    linked = linked.join(first, "root").select("fp", "first")
+    # A component may hold a third of all fingerprints: its rows meet its first key in SALTS places.
+    first = first.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    linked = linked.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int")).join(first, ["root", "salt"]).select("fp", "first")
     return own.join(linked, "fp", "left").select("fp", F.coalesce("first", "own").alias("first"))
 
 
@@ -192,7 +196,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     out = rows.join(keep.where("n = 1"), "key", "left_semi").select("row")
     if not (again := keep.where("n > 1")).isEmpty():
-        first = Window.partitionBy("key").orderBy(F.xxhash64("row"), F.to_json("row"))
-        more = rows.join(again, "key", "left_semi").withColumn("at", F.row_number().over(first)).where("at = 1").select("row")
-        out = out.unionByName(more)
+        same = rows.join(again, "key", "left_semi").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+        for by in (["key", "part"], ["key"]):  # repeats that differ in further columns combine in two steps
+            same = same.groupBy(*by).agg(F.min_by("row", F.struct(F.xxhash64("row"), F.to_json("row"))).alias("row"))
+        out = out.unionByName(same.select("row"))
     return out.select("row.*")
