@@ -9,8 +9,9 @@ how many of each length reach it, and the found multiset is repeated as often as
 allow. Each repetition run uses up a length or leaves fewer copies of one than the multiset
 takes, so the plan stays a few thousand rows at any scale.
 
-Windows that even the closest multiset leaves more than ``MAX_SLACK`` ids short are laid end to
-end instead and cut at the window, so that only the very last sequence has much padding.
+A window that even the closest multiset leaves short is filled by the head of one more remainder;
+what that has left is a remainder of its own and takes part in the next program. So every window is
+full but the last.
 
 Remainders are numbered within their length by a two-level rank (salt groups, then offsets), so
 no task sees all remainders of a common length; each number's slot follows from the plan.
@@ -36,8 +37,6 @@ from stratagraph.llm.common import id_and_text, staged
 from stratagraph.llm.tokenise import ByteEncoder
 
 WINDOW, END_ID = 1024, 0
-#: Ids a window may fall short of full without being cut and filled from the next.
-MAX_SLACK = 4
 #: Remainders in a rank group on average.
 GROUP_ROWS = 2_000
 
@@ -73,65 +72,98 @@ def _pieces(path: str, window: int, end_id: int, with_ids: bool):
     return run
 
 
-def plan(counts: dict[int, int], window: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """How remainders (length to how many) fill windows: (first window, windows, [(length, copies in each)]).
-
-    Each step takes the multiset whose total is closest to the window, long lengths first
-    among equals, and repeats it while the counts last.
+def closest(left: dict[int, int], window: int) -> dict[int, int]:
+    """The multiset (length to copies) of the lengths left whose total is closest to the window, long ones first among equals."""
+    # Bounded subset sums: each length in chunks of 1, 2, 4, ... copies; bit t of a state: total t can be made.
+    items = []
+    for n in sorted(left):
+        free, size = min(left[n], window // n), 1
+        while free > 0:
+            take = min(size, free)
+            items.append((n, take))
+            free -= take
+            size *= 2
+    mask, states = (1 << (window + 1)) - 1, [1]
+    for n, take in items:
+        states.append(states[-1] | (states[-1] << (n * take) & mask))
+    total = states[-1].bit_length() - 1
+    used: dict[int, int] = {}
+    for k in range(len(items) - 1, -1, -1):
+        n, take = items[k]
+        if total >= n * take and states[k] >> (total - n * take) & 1:  # long lengths go in whenever they can
+            used[n] = used.get(n, 0) + take
+            total -= n * take
+    return used
+
+
+#: Remainders ``low`` to ``high`` of ``length``, of which the first ``skip`` ids are placed already.
+Run = tuple[int, int, int, int]
+
+
+def plan(counts: dict[int, int], window: int) -> list[tuple[int, int, list[tuple[int, int]], int, int]]:
+    """How remainders (length to how many) fill windows: (first window, windows, [(length, copies in each)], filler, head).
+
+    Each step takes the closest multiset and repeats it while the counts last. Where it leaves a window
+    short, ``head`` ids of one more remainder, of length ``filler``, fill it; the rest of that one is a
+    remainder of length ``filler - head`` from then on. Filler and head are 0 where the window is full,
+    and in the last window.
     """
     left = {n: c for n, c in counts.items() if c > 0}
     out, first = [], 0
     while left:
-        # Bounded subset sums: each length in chunks of 1, 2, 4, ... copies; bit t of a state: total t can be made.
-        items = []
-        for n in sorted(left):
-            free, size = min(left[n], window // n), 1
-            while free > 0:
-                take = min(size, free)
-                items.append((n, take))
-                free -= take
-                size *= 2
-        mask, states = (1 << (window + 1)) - 1, [1]
-        for n, take in items:
-            states.append(states[-1] | (states[-1] << (n * take) & mask))
-        total = states[-1].bit_length() - 1
-        used: dict[int, int] = {}
-        for k in range(len(items) - 1, -1, -1):
-            n, take = items[k]
-            if total >= n * take and states[k] >> (total - n * take) & 1:  # long lengths go in whenever they can
-                used[n] = used.get(n, 0) + take
-                total -= n * take
-        times = min(left[n] // k for n, k in used.items())
-        out.append((first, times, sorted(used.items(), reverse=True)))
+        used = closest(left, window)
+        slack = window - sum(n * k for n, k in used.items())
+        after = {n: c - used.get(n, 0) for n, c in left.items() if c > used.get(n, 0)}
+        # All that is left over is longer than the slack, or it would be in the multiset; the longest is cut.
+        filler = max(after) if slack and after else 0
+        head = slack if filler else 0
+        taken = dict(used)
+        if filler:
+            taken[filler] = taken.get(filler, 0) + 1
+        times = min(left[n] // k for n, k in taken.items())
+        out.append((first, times, sorted(used.items(), reverse=True), filler, head))
         first += times
-        for n, k in used.items():
+        for n, k in taken.items():
             left[n] -= k * times
             if not left[n]:
                 del left[n]
+        if filler:
+            left[filler - head] = left.get(filler - head, 0) + times
     return out
 
 
-def slots(steps: list[tuple[int, int, list[tuple[int, int]]]], window: int, max_slack: int) -> list[tuple[int, ...]]:
-    """Where the numbers of each length go, as positions in the row of all sequences laid end to end.
+def slots(counts: dict[int, int], window: int) -> list[tuple[int, ...]]:
+    """Where the remainders of each length go, by their numbers: rows
 
-    (length, first number, end number, copies in a window, position of the first window's
-    first copy, distance between windows, free ids that follow in each window). Windows
-    within ``max_slack`` of full stand a window apart; the rest, after them, close up.
+    (length, first number, end number, ids skipped, ids placed, what the first number counts as,
+    copies in a window, first window, offset there): number n of the length has ``placed`` ids in window
+    first + (n - low + base) div copies at offset + (n - low + base) mod copies * placed.
     """
-    fills = [sum(n * k for n, k in used) for _, _, used in steps]
-    tight = [f >= window - max_slack for f in fills]
-    taken: dict[int, int] = {}
-    places, at = {}, 0
-    for i in sorted(range(len(steps)), key=lambda i: not tight[i]):
-        places[i] = at
-        at += steps[i][1] * (window if tight[i] else fills[i])
+    pool: dict[int, list[Run]] = {n: [(n, 0, 0, c)] for n, c in counts.items() if c > 0}  # by what is left of their lengths
     out = []
-    for i, (_, times, used) in enumerate(steps):
+
+    def take(n: int, many: int) -> list[Run]:
+        got, need = [], many
+        while need:
+            length, skip, low, high = pool[n].pop()
+            if high - low > need:
+                pool[n].append((length, skip, low + need, high))
+                high = low + need
+            got.append((length, skip, low, high))
+            need -= high - low
+        return got
+
+    for first, times, used, filler, head in plan(counts, window):
         offset = 0
-        for n, k in used:
-            out.append((n, taken.get(n, 0), taken.get(n, 0) + k * times, k, places[i] + offset, window if tight[i] else fills[i]))
-            taken[n] = taken.get(n, 0) + k * times
+        cut = take(filler, times) if filler else []
+        for n, k, runs in [*((n, k, take(n, k * times)) for n, k in used), *([(head, 1, cut)] if filler else [])]:
+            base = 0
+            for length, skip, low, high in runs:
+                out.append((length, low, high, skip, n, base, k, first, offset))
+                base += high - low
             offset += n * k
+        for length, skip, low, high in cut:
+            pool.setdefault(filler - head, []).append((length, skip + head, low, high))
     return out
 
 
@@ -152,7 +184,6 @@ def pack(
     tokenizer: str | None = None,
     window: int = WINDOW,
     end_id: int = END_ID,
-    max_slack: int = MAX_SLACK,
     with_ids: bool = False,
 ) -> DataFrame:
     """A row per piece: where it comes from, and its sequence and offset there.
@@ -169,29 +200,21 @@ def pack(
     found = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # bounded: a row per length, at most the window
     counts = {r.length: r.n for r in found}
     full = counts.pop(window, 0)
-    table = spark.createDataFrame(  # bounded by the plan
-        slots(plan(counts, window), window, max_slack), "of long, low long, high long, copies long, base long, apart long"
-    )
+    table = spark.createDataFrame(slots(counts, window), "of long, low long, high long, skip long, many long, base long, copies long, first long, offset0 long")  # bounded by the plan
     keys = ["doc_id", "start", "salt", "dealt"]
     numbered = _numbered(pieces.where(F.col("length") < window).select(*keys, "length", "ids_crc32", "doc_tokens", "ids"), "length", max(16, -(-sum(counts.values()) // GROUP_ROWS)))
-    place = F.col("number") - F.col("low")
-    put = numbered.join(F.broadcast(table), (F.col("length") == F.col("of")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))).withColumn(
-        "at", F.col("base") + F.floor(place / F.col("copies")) * F.col("apart") + F.pmod(place, F.col("copies")) * F.col("length")
-    )
-    head = F.least("length", window - F.pmod("at", F.lit(window)))
-    part = lambda skip, many: F.struct(skip.alias("skip"), many.alias("many"))
-    cut = F.when(head == F.col("length"), F.array(part(F.lit(0).cast("long"), F.col("length")))).otherwise(F.array(part(F.lit(0).cast("long"), head), part(head, F.col("length") - head)))
-    put = put.withColumn("p", F.explode(cut)).withColumn("own", F.expr("substring(ids, cast(4 * p.skip + 1 as int), cast(4 * p.many as int))"))
-    at = F.col("at") + F.col("p.skip")
+    put = numbered.join(F.broadcast(table), (F.col("length") == F.col("of")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high")))
+    place = F.col("number") - F.col("low") + F.col("base")
+    own = F.expr("substring(ids, cast(4 * skip + 1 as int), cast(4 * many as int))")
     rests = put.select(
         "doc_id",
-        (F.col("start") + F.col("p.skip")).alias("start"),
-        F.col("p.many").alias("length"),
-        F.when(F.col("p.many") == F.col("length"), F.col("ids_crc32")).otherwise(F.crc32("own")).alias("ids_crc32"),
+        (F.col("start") + F.col("skip")).alias("start"),
+        F.col("many").alias("length"),
+        F.when(F.col("many") == F.col("length"), F.col("ids_crc32")).otherwise(F.crc32(own)).alias("ids_crc32"),
         "doc_tokens",
-        (full + F.floor(at / window)).alias("sequence_id"),
-        F.pmod(at, F.lit(window)).cast("long").alias("offset"),
-        F.col("own").alias("ids"),
+        (full + F.col("first") + F.floor(place / F.col("copies"))).alias("sequence_id"),
+        (F.col("offset0") + F.pmod(place, F.col("copies")) * F.col("many")).cast("long").alias("offset"),
+        own.alias("ids"),
     )
     wholes = _numbered(pieces.where(F.col("length") == window), "length", max(16, -(-full // GROUP_ROWS))).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("number").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids"
