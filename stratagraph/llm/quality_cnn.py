@@ -6,9 +6,10 @@ the pooled values are averaged over the chunks and a small dense layer and a log
 make one probability of them.
 
 Fitting takes at most ``MAX_ROWS`` labelled rows of each class (those of the smallest hash of
-their id) and at most ``MAX_CHUNKS`` evenly spaced chunks of each, so the driver holds some
-20 MB at any scale. Scoring reads every chunk of every text in one pass without a shuffle.
-Only bytes of the text enter a score.
+their id; of several rows of one id the one of the smallest text hash) and reads every chunk of
+them. The driver holds these rows' whole texts, however large the corpus, and the windows of
+``AT_ONCE`` chunks. Scoring reads every chunk of every text in one pass without a shuffle. Only
+bytes of the text enter a score.
 
 Defined results: a null text counts as empty and is scored like one chunk of padding;
 repeated rows each get a row; a null doc_id keeps its row and held_out false; an empty table
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm.common import carried, id_and_text
 
-#: Labelled rows of each class, and chunks of each row, that fitting may use.
-MAX_ROWS, MAX_CHUNKS = 1500, 24
+#: Labelled rows of each class that fitting may use, and chunks whose windows it holds at once.
+MAX_ROWS, AT_ONCE = 1500, 1024
 CHUNK, HOP, WIDTH, STRIDE, DIMS, FILTERS, DENSE = 256, 192, 8, 4, 8, 32, 16
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 #: Weight of label 1 in fitting: above one half, since a lost clean document costs more than a kept bad one.
@@ -86,6 +87,39 @@ def cut(text: str) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::HOP]
 
 
+def gradients(net: Network, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean weighted log loss of a batch of texts (the chunks of each) and its gradient by each of the network's parts."""
+    many = np.array([len(t) for t in texts])
+    chunks, of = np.concatenate(texts), np.repeat(np.arange(len(texts)), many)
+    best, top = np.empty((len(chunks), FILTERS), np.uint8), np.empty((len(chunks), FILTERS), net.filters.dtype)
+    for lo in range(0, len(chunks), 256):
+        wide = np.ascontiguousarray(net.windows(chunks[lo : lo + 256])).reshape(-1, WIDTH * DIMS)
+        made = (wide @ net.filters).reshape(-1, PLACES, FILTERS)
+        best[lo : lo + 256] = made.argmax(axis=1)
+        top[lo : lo + 256] = made.max(axis=1)
+    hidden = np.maximum(top + net.bias, 0)
+    mean = np.zeros((len(texts), FILTERS), hidden.dtype)
+    np.add.at(mean, of, hidden)
+    mean /= many[:, None]
+    p = net.probability(mean)
+    loss = float((-weight * np.log(np.where(labels == 1, p, 1 - p))).sum() / len(texts))
+    error = ((p - labels) * weight / len(texts)).astype(mean.dtype)
+    inner = net.hidden(mean)
+    d_out = np.append(error @ inner, error.sum())
+    d_inner = error[:, None] * net.out[:-1] * (inner > 0)
+    d_dense = np.concatenate([mean.T @ d_inner, d_inner.sum(axis=0, keepdims=True)])
+    d_top = (d_inner @ net.dense[:-1].T / many[:, None])[of] * (hidden > 0)
+    d_filters, d_embed = np.zeros_like(net.filters), np.zeros_like(net.embed)
+    for lo in range(0, len(chunks), AT_ONCE):  # a long text's windows are never held together
+        part, own = chunks[lo : lo + AT_ONCE], d_top[lo : lo + AT_ONCE]
+        rows = np.arange(len(part))[:, None, None]
+        bytes_at = part[rows, STRIDE * best[lo : lo + AT_ONCE, :, None].astype(np.int64) + np.arange(WIDTH)]  # chunk, filter, WIDTH
+        d_filters += np.einsum("cf,cfk->kf", own, net.embed[bytes_at].reshape(len(part), FILTERS, -1))
+        d_windows = (own[:, :, None] * net.filters.T[None]).reshape(-1, DIMS)
+        d_embed += np.stack([np.bincount(bytes_at.ravel(), d_windows[:, k], 256) for k in range(DIMS)], axis=1).astype(d_embed.dtype)
+    return loss, [d_embed, d_filters, d_top.sum(axis=0), d_dense, d_out]
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, good_share: float | None = None, epochs: int = EPOCHS, seed: int = 7) -> Network:
     """Adam on the mean log loss, classes weighted so that label 1 has ``good_share`` (as they come if None).
 
@@ -108,31 +142,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, good_share: float | None =
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
-            many = np.array([len(texts[i]) for i in own])
-            chunks, of = np.concatenate([texts[i] for i in own]), np.repeat(np.arange(len(own)), many)
-            rows = np.arange(len(chunks))[:, None]
-            best, top = np.empty((len(chunks), FILTERS), np.int64), np.empty((len(chunks), FILTERS), np.float32)
-            for lo in range(0, len(chunks), 256):
-                wide = np.ascontiguousarray(net.windows(chunks[lo : lo + 256])).reshape(-1, WIDTH * DIMS)
-                made = (wide @ net.filters).reshape(-1, PLACES, FILTERS)
-                best[lo : lo + 256] = made.argmax(axis=1)
-                top[lo : lo + 256] = made.max(axis=1)
-            hidden = np.maximum(top + net.bias, 0)
-            mean = np.zeros((len(own), FILTERS), np.float32)
-            np.add.at(mean, of, hidden)
-            mean /= many[:, None]
-            error = (net.probability(mean) - labels[own]).astype(np.float32) * weight[own] / len(own)
-            inner = net.hidden(mean)
-            d_out = np.append(error @ inner, error.sum())
-            d_inner = error[:, None] * net.out[:-1] * (inner > 0)
-            d_dense = np.concatenate([mean.T @ d_inner, d_inner.sum(axis=0, keepdims=True)])
-            d_top = (d_inner @ net.dense[:-1].T / many[:, None])[of] * (hidden > 0)
-            bytes_at = chunks[rows[:, :, None], STRIDE * best[:, :, None] + np.arange(WIDTH)]  # chunk, filter, WIDTH
-            d_filters = np.einsum("cf,cfk->kf", d_top, net.embed[bytes_at].reshape(len(chunks), FILTERS, -1))
-            d_windows = (d_top[:, :, None] * net.filters.T[None]).reshape(-1, DIMS)
-            d_embed = np.stack([np.bincount(bytes_at.ravel(), d_windows[:, k], 256) for k in range(DIMS)], axis=1)
+            _, found = gradients(net, [texts[i] for i in own], labels[own], weight[own])
             step += 1
-            for p, g, (m, v) in zip(net.parts(), (d_embed, d_filters, d_top.sum(axis=0), d_dense, d_out), moments, strict=True):
+            for p, g, (m, v) in zip(net.parts(), found, moments, strict=True):
                 g = g.astype(np.float32) + DECAY * p
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -144,15 +156,6 @@ def _held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in batch.column("text"):
-            chunks = cut(text.as_py() or "")
-            out.append(chunks[np.unique(np.linspace(0, len(chunks) - 1, min(len(chunks), MAX_CHUNKS)).astype(int))].tobytes())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("quality", "h", "t")), pa.array(out, pa.binary())], names=["quality", "h", "t", "chunks"])
-
-
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
     """Fit on labelled rows whose ``crc32(doc_id as text) mod 3`` is not 1; at most ``max_rows`` of each class."""
     own = labels.where(~_held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
@@ -161,14 +164,12 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     found = (
         id_and_text(documents)
         .join(F.broadcast(chosen), "doc_id")  # at most 2 * max_rows rows
-        .select("quality", "h", F.xxhash64("text").alias("t"), "text")
-        .mapInArrow(_sampled, "quality int, h long, t long, chunks binary")
         .groupBy("quality", "h")  # doc_ids may repeat: the row of the smallest text hash
-        .agg(F.min(F.struct("t", "chunks")).alias("least"))
-        .select("quality", "h", "least.chunks")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("least"))
+        .select("quality", "h", "least.text")
     )
-    rows = sorted((r.h, r.quality, bytes(r.chunks)) for r in found.collect())  # bounded: rows by chunks, see the module
-    return fit([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, _, c in rows], np.array([q for _, q, _ in rows]), GOOD_SHARE)
+    rows = sorted((r.h, r.quality, r.text) for r in found.collect())  # at most 2 * max_rows rows
+    return fit([cut(text) for _, _, text in rows], np.array([q for _, q, _ in rows]), GOOD_SHARE)
 
 
 def _scores(net: Network):

@@ -8,11 +8,15 @@ The search runs over cells, ranges of the hash with the sum of their groups' siz
 2 ** TOP_BITS ranges of the leading bits. A capacity that the cells allow is feasible for the
 groups as well. Cells in which a greedy cut could fall are split by further hash bits and the
 search runs again, until every cell that stops the greedy check one byte below the best
-capacity is a single group. Then no finer split can help: the capacity is exact. Each round
-sends at most ``MAX_CELLS`` sums to the driver, at any scale.
+capacity is a single group. Then no finer split can help: the capacity is exact. The first round
+sends 2 ** TOP_BITS sums to the driver, a further one at most MAX_CELLS * 2 ** SPLIT_BITS, at any scale.
 
-A row's slot is its rank in (shard, salt) groups of bounded size plus the groups' offsets, so
-neither a shard nor a group of copies meets in one task.
+Greedy filling to the capacity would leave shards empty where one group alone makes the capacity.
+So the cuts are made level: under the same capacity, each shard ends where it comes nearest to the
+mean of what is left (groups beyond the mean aside, which fill shards of their own).
+
+A row's slot is its rank in (shard, salt) groups of bounded size plus the groups' offsets. Rows are
+dealt to salts by a number fixed when they are staged, so repeats spread like other rows.
 
 Defined results: a null text counts as empty; repeated rows each get a slot; null ids come
 first within their salt; an empty table gives no rows; extra columns are ignored. A group
@@ -21,7 +25,7 @@ larger than the mean shard is a shard's lower bound: it is never divided.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
@@ -47,6 +51,32 @@ def greedy(sums: list[int], shards: int, capacity: int) -> list[int] | None:
     return ends if at == last else None
 
 
+def level(cells: list[Cell], shards: int, capacity: int) -> list[int]:
+    """Ends (in cells) of ``shards`` shards of at most ``capacity`` each, as near to equal as a pass from the left makes them."""
+    sums, last = [0, *accumulate(c[2] for c in cells)], len(cells)
+    least = [last]  # least[k]: the first cell from which k shards suffice
+    for _ in range(shards):
+        least.append(bisect_left(sums, sums[least[-1]] - capacity))
+    large, mean = [], sums[-1] / shards  # indivisible cells beyond the mean of the rest
+    while more := [i for i, c in enumerate(cells) if c[2] > mean and (c[3] == 1 or c[1] == 64) and i not in large]:
+        large += more
+        mean = (sums[-1] - sum(cells[i][2] for i in large)) / max(1, shards - len(large))
+    alone, ends, at = set(large), [], 0
+    for k in range(shards - 1, -1, -1):
+        ahead = [i for i in alone if i >= at]
+        fair = (sums[-1] - sums[at] - sum(cells[i][2] for i in ahead)) / max(1, k + 1 - len(ahead))
+        low, high = max(at, least[k]), bisect_right(sums, sums[at] + capacity) - 1
+        near = bisect_left(sums, sums[at] + fair)
+        near -= near > at and near < len(sums) and sums[near] - sums[at] - fair > fair - (sums[near - 1] - sums[at])
+        if at in alone:
+            near = at + 1
+        elif any(at < i < near for i in ahead):  # a large cell starts a shard of its own
+            near = min(i for i in ahead if i > at)
+        at = min(max(low, min(near, last)), high)
+        ends.append(at)
+    return ends
+
+
 def smallest_capacity(sizes: list[int], shards: int) -> int:
     """Binary search for the smallest capacity that greedy filling needs at most ``shards`` shards for."""
     sums = [0, *accumulate(sizes)]
@@ -113,7 +143,7 @@ def bounds(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         cells = sorted([c for i, c in enumerate(cells) if i not in gone] + finer)
     if not cells:
         return 0, []
-    ends = greedy([0, *accumulate(c[2] for c in cells)], shards, capacity) or []
+    ends = level(cells, shards, capacity)
     return capacity, [cells[e][0] for e in ends[:-1] if e < len(cells)]
 
 
@@ -123,19 +153,19 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     rows = id_and_text(df, id_col, text_col).select(
         "doc_id", F.xxhash64(text).alias("h"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    rows = staged(rows, "sizes")
+    rows = staged(rows.withColumn("dealt", F.monotonically_increasing_id()), "sizes")
     groups = rows.groupBy("h").agg(F.sum("size").alias("size"))
     _, starts = bounds(staged(groups, "groups"), shards)
     place = F.lit(0)
     for first in starts:  # at most shards - 1 terms
         place = place + (F.col("h") >= F.lit(first)).cast("int")
     salts = max(64, -(-rows.count() // (GROUP_ROWS * shards)))
-    # A salt from the row itself, so that copies spread and a repeated task deals alike.
-    dealt = rows.withColumn("shard", place).withColumn("salt", F.pmod(F.xxhash64("doc_id", "h", F.lit("salt")), F.lit(salts)).cast("int"))
+    # A salt from the row's number, so that repeats spread; the number is stored, so a repeated task deals alike.
+    dealt = rows.withColumn("shard", place).withColumn("salt", F.pmod(F.xxhash64("dealt"), F.lit(salts)).cast("int"))
     sizes = dealt.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("shard", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "h"))
+    rank = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "h", "dealt"))
     return (
         dealt.withColumn("rank", rank)
         .join(offsets, ["shard", "salt"])

@@ -162,8 +162,9 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     system, path = _filesystem(folder)
     system.create_dir(path, recursive=True)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, min(100_000, -(-size // FILE_BYTES)))
-    dealt = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # The row's number lets ranges part rows of one id; ids alone decide the order, so a repeated task deals alike.
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    dealt = numbered.repartitionByRange(max(1, -(-size // FILE_BYTES)), "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     rows = dealt.mapInArrow(_write(folder, tokenizer or default_tokenizer(), length, end_id, to_arrow_type(df.schema[id_col].dataType)), "part long, file string, n_ids long").collect()
     base, out = 0, []
     for r in sorted(rows):  # a row per file

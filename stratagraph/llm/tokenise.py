@@ -41,6 +41,27 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+#: What the encoders below assume of a file, as the file says it.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+PLAIN_BPE = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+WORD_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@lru_cache(maxsize=4)
+def require(path: str, normalizer, pre_tokenizer, suffix: str | None) -> None:
+    """Raise unless the file's normaliser, pre-tokenizer and model are those that an encoder is built for."""
+    import json
+
+    found = json.loads(load(path).to_str())
+    model = {k: v for k, v in found["model"].items() if k not in ("vocab", "merges")}
+    want = PLAIN_BPE | {"end_of_word_suffix": suffix}
+    odd = [k for k, ok in (("normalizer", json.dumps(found["normalizer"]) == normalizer), ("pre_tokenizer", json.dumps(found["pre_tokenizer"]) == pre_tokenizer), ("model", model == want)) if not ok]
+    odd += [t["content"] for t in found["added_tokens"] if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
+    if odd:
+        raise ValueError(f"{path}: another {', '.join(odd)} than the encoder is built for")
+
+
 def added_tokens(tokenizer) -> re.Pattern[str]:
     """Where a lower-cased text may hold an added token's string; such texts go through the library whole."""
     return re.compile("|".join(re.escape(t.content.lower()) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
@@ -113,6 +134,10 @@ class WordEncoder(ChunkEncoder):
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        import json
+
+        split = {"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True}
+        require(path, json.dumps(WORD_NORMAL), json.dumps({"type": "Sequence", "pretokenizers": [split, BYTE_LEVEL | {"use_regex": False}]}), "</w>")
         super().__init__(_word_chunks)
         self.tokenizer = load(path)
         self.model = Tokenizer(self.tokenizer.model)
@@ -195,8 +220,11 @@ def _byte_of_char() -> dict[str, int]:
 
 class ByteEncoder:
     def __init__(self, path: str):
+        import json
+
         import tiktoken
 
+        require(path, "null", json.dumps(BYTE_LEVEL), None)
         self.library = load(path)
         of = _byte_of_char()
         self.added = added_tokens(self.library)

@@ -24,6 +24,34 @@ def test_pooled_equals_a_plain_loop():
         np.testing.assert_allclose(got, np.maximum(every.max(axis=0) + net.bias, 0), rtol=1e-4, atol=1e-5)
 
 
+def test_gradients_match_differences(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = Q.Network(*(p.astype(float) for p in Q.Network.start(3).parts()))
+    texts = [rng.integers(0, 256, (n, Q.CHUNK)).astype(np.uint8) for n in (1, 4, 2, 7)]
+    labels, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.7, 1.3, 1.0, 0.4])
+    monkeypatch.setattr(Q, "AT_ONCE", 3)
+    monkeypatch.setattr(Q.Network, "pooled", None)
+    _, found = Q.gradients(net, texts, labels, weight)
+    for part, got in zip(net.parts(), found, strict=True):
+        for at in rng.choice(part.size, min(part.size, 12), replace=False):
+            flat, old, sides = part.reshape(-1), part.reshape(-1)[at], []
+            for step in (1e-5, -1e-5):
+                flat[at] = old + step
+                sides.append(Q.gradients(net, texts, labels, weight)[0])
+            flat[at] = old
+            assert abs((sides[0] - sides[1]) / 2e-5 - got.reshape(-1)[at]) < 1e-4
+
+
+def test_fitting_reads_whole_texts(spark):
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    docs = [(i, "plain words here " * 400 + ("#### %%%% " * 60 if k % 2 else "more words ") + "plain words here " * 400) for k, i in enumerate(free)]
+    labels = spark.createDataFrame([(i, 1 - k % 2) for k, i in enumerate(free)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    net = Q.train(df, labels)
+    got = {r.doc_id: r.predicted for r in Q.score(df, net).collect()}
+    assert all(got[i] == 1 - k % 2 for k, i in enumerate(free))  # what tells the classes apart is a twentieth of a text
+
+
 @pytest.fixture(scope="module")
 def fitted(spark):
     p = "/root/testdata/sf0.01"

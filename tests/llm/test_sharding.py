@@ -8,6 +8,42 @@ import pytest
 from stratagraph.llm import sharding as S
 
 
+class F:
+    @staticmethod
+    def signed_hash(text):  # Spark's xxhash64 of a string
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+
+def test_large_groups_leave_no_shard_empty():
+    rng = random.Random(9)
+    for _ in range(60):
+        sizes = [rng.choice([1, 2, 3, 8]) for _ in range(rng.randrange(50, 300))]
+        for _ in range(rng.randrange(4)):
+            sizes.insert(rng.randrange(len(sizes) + 1), rng.choice([20, 300, 900]))
+        shards = rng.choice([2, 7, 40])
+        cells = [(i, 64, n, 1) for i, n in enumerate(sizes)]
+        capacity = S.smallest_capacity(sizes, shards)
+        ends = S.level(cells, shards, capacity)
+        parts = [sum(sizes[a:b]) for a, b in zip([0, *ends], ends)]
+        assert ends[-1] == len(sizes) and len(ends) == shards and max(parts) == capacity
+        assert min(parts) > 0
+        large = {n for n in sizes if n > sum(sizes) / shards}
+        rest = sorted(p for p in parts if p not in large)
+        assert not large or shards < 40 or rest[-1] <= 3 * max(1, rest[0]) + 28
+
+
+def test_repeats_spread(spark):
+    from pyspark.sql import functions as G
+
+    df = spark.range(100_000).select(G.lit(7).cast("long").alias("doc_id"), G.lit("equal rows").alias("text"))
+    got = S.shard(df)
+    assert got.select("shard").distinct().count() == 1 and got.select("slot").distinct().count() == 100_000
+    assert got.agg(G.max("slot"), G.min("slot")).first()[:] == (99_999, 0)
+
+
 def brute_capacity(sizes, shards):
     for capacity in range(max([0, *sizes]), sum(sizes) + 1):
         used, room = 1, capacity
@@ -60,7 +96,13 @@ def test_query(spark, sf):
     assert len(got) == len(texts) and set(slots) <= set(range(40))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(s) == 1 for s in of_text.values())
-    assert max(sizes.values()) <= sum(sizes.values()) / 40 + 2 * max(r.size for r in got)
+    groups = defaultdict(int)
+    for r in got:
+        groups[texts[r.doc_id]] += r.size
+    of = {t: F.signed_hash(t) for t in groups}
+    in_order = [groups[t] for t in sorted(groups, key=of.get)]
+    assert max(sizes.values()) == S.smallest_capacity(in_order, 40)  # the exact minimax of the query's own groups
+    assert len(sizes) == min(40, len(groups))
 
 
 def test_edge_rows(spark):

@@ -47,3 +47,18 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 1), (1, 1)]
     assert sorted(r.start for r in got) == [0, 3, 4]
     assert T.round_trip(df.limit(0)).count() == 0
+
+
+def test_one_id_fills_many_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(T, "FILE_BYTES", 20_000)
+    df = spark.range(4000).selectExpr("if(id < 3000, 5, id) AS doc_id", "concat('some text ', id % 7) AS text")
+    manifest = T.write(df, f"file://{tmp_path}/f").collect()
+    sizes = [r.n_ids for r in manifest]
+    assert len(sizes) >= 2 and max(sizes) < 0.8 * sum(sizes)  # 3,000 rows of one id are not one file
+    got = T.round_trip(df).collect()
+    assert len(got) == 4000 and sorted(r.start for r in got)[-1] == sum(r.n_tokens for r in got) - max(got, key=lambda r: r.start).n_tokens
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(r.doc_id for r in got)
