@@ -102,7 +102,7 @@ FROM marked GROUP BY conv_id
 
 
 def _op8_sql() -> str:
-    """The licence scan in DuckDB SQL, from the same tables of sentences and rules."""
+    """The licence scan in DuckDB SQL: the same tables of sentences and rules, the cut written over lists of lines."""
     from stratagraph.llm import licenses as L
 
     known = ", ".join(f"('{text}', '{name}')" for text, name in L.KNOWN.items())
@@ -115,21 +115,45 @@ def _op8_sql() -> str:
             f"CASE WHEN contains(rest, '{pattern}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})"
         )
         last = f"s{k}"
-    end = r"[.!?]+([ \t\n\r\f]|\z)"
-    return f"""
+    holder = r"^(?:copyright ?(?:\(c\)|©)?|\(c\)|©)[ ,:]*(?:[0-9]{4}|<year>|\[yyyy\]|\[year\])"
+    mark = r"^\(?(?:[0-9]{1,2}|[a-zA-Z]|[ivx]{2,4})[.)] "
+    bare = r"regexp_replace(regexp_replace(regexp_replace(line, '[ \t\r\f]+', ' ', 'g'), '^[ #*;%<>!/-]*', ''), ' ?(\*/|-->)? ?$', '')"
+    own = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    return rf"""
 WITH known(sentence, name) AS (VALUES {known}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (
-  SELECT r, 0 AS part, string_split(regexp_replace(regexp_replace(text, '{end}', chr(1), 'g'), '[ \\t\\r\\f]*\\n[ \\t\\r\\f#*/;-]*', ' ', 'g'), chr(1)) AS s
-  FROM docs WHERE contains(text, chr(10))
-  UNION ALL SELECT r, 1, string_split(regexp_replace(text, '{end}', chr(10), 'g'), chr(10)) FROM docs
+tidy AS (
+  SELECT r, substr(regexp_replace(regexp_replace(chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda line: {bare}), chr(10)),
+    '(?i)(spdx-license-identifier):', '\1', 'g'), '(?i)([ (,\n])(v|ver)\. ?\n?([0-9])', '\1\2 \3', 'g'), 2) AS text
+  FROM docs WHERE regexp_matches(lower(text), 'licens|copyright|permission|redistribut|warrant|reserved|misrepresented|unencumbered|notice|mpl')
+),
+marked AS (
+  SELECT r, list_transform(string_split(text, chr(10)), lambda line: CASE
+    WHEN regexp_matches(line, '(?i){holder}') THEN chr(1) || coalesce(chr(10) || nullif(regexp_extract(line, '(?i){holder}.*?[., ](all rights reserved.*)$', 1), ''), '')
+    WHEN regexp_matches(line, '{mark}') THEN chr(1) || regexp_replace(line, '{mark}', '')
+    ELSE line END) AS lines FROM tidy
+),
+whole AS (
+  SELECT r, regexp_replace(chr(10) || array_to_string(lines, chr(10)) || chr(10), '\n\n+', chr(1), 'g') AS text FROM marked
+),
+ended AS (
+  SELECT r, regexp_replace(regexp_replace(regexp_replace(text, '[\n\x01](https?://[^ \n\x01]+)[\n\x01]', ' \1' || chr(1), 'g'),
+    ':(?: \n|\n| )([A-Z0-9("])', chr(1) || '\1', 'g'), '[.!?][ \n\x01]', chr(1), 'g') AS text FROM whole
+),
+pieces AS (
+  SELECT r, unnest(string_split(text, chr(1))) AS sentence, generate_subscripts(string_split(text, chr(1)), 1) AS pos FROM ended
 ),
-pieces AS (SELECT r, part, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM cut),
-firsts AS (SELECT r, sentence, min(part * 1000000000 + pos) AS first_at FROM pieces GROUP BY r, sentence),
 hits AS (
-  SELECT r, first_at, name FROM firsts JOIN known ON known.sentence = trim(regexp_replace(lower(firsts.sentence), '[^a-z0-9]+', ' ', 'g'))
+  SELECT r, pos, name, pieces.sentence AS sentence FROM pieces LEFT JOIN known ON known.sentence = {own.format("pieces.sentence")}
+),
+named AS (
+  SELECT r, pos, 0 AS line_no, name FROM hits WHERE name IS NOT NULL
+  UNION ALL
+  SELECT l.r, l.pos, l.line_no, known.name FROM (
+    SELECT r, pos, unnest(string_split(sentence, chr(10))) AS line, generate_subscripts(string_split(sentence, chr(10)), 1) AS line_no FROM hits WHERE name IS NULL AND contains(sentence, chr(10))
+  ) l JOIN known ON known.sentence = {own.format("l.line")}
 ),
-lists AS (SELECT r, string_agg(name, ',' ORDER BY first_at) AS identifiers FROM hits GROUP BY r),
+lists AS (SELECT r, string_agg(name, ',' ORDER BY pos, line_no) AS identifiers FROM named GROUP BY r),
 s0 AS (
   SELECT doc_id, coalesce(identifiers, '') AS identifiers, ',' || replace(coalesce(identifiers, ''), ',', ',,') || ',' AS rest,
          0::BIGINT AS n_matches, []::VARCHAR[] AS found

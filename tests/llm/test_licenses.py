@@ -8,11 +8,65 @@ MIT = "The MIT License.\n\nCopyright (c) 2020 X\n\n" + "\n".join(L.SENTENCES[k]
 APACHE = "# " + "\n# ".join(x + "." for x in (L.SENTENCES["apache-head"], L.SENTENCES["apache-copy"], L.SENTENCES["apache-as-is"], L.SENTENCES["apache-see"]))
 
 
+YEAR = r"([0-9]{4}|<year>|\[yyyy\]|\[year\])"
+HOLDER = re.compile(rf"(copyright ?(\(c\)|©)?|\(c\)|©)[ ,:]*{YEAR}", re.I)
+
+
+def cut(text):
+    """The sentences of a text, each a list of its lines: a line at a time, then a character at a time."""
+    out, now = [], []  # now: (line, joined to the one before by)
+    for raw in text.split("\n"):
+        line = re.sub(r"[ \t\r\f]+", " ", raw).lstrip(" #*;%<>!/-")
+        for end in (" ", "*/", "-->", " "):
+            line = line.removesuffix(end)
+        now.append(line)
+    joined = "\n" + "\n".join(now) + "\n"
+    joined = re.sub("(?i)spdx-license-identifier:", lambda m: m[0][:-1], joined)
+    joined = re.sub(r"(?i)([ (,\n])(v|ver)\. ?\n?([0-9])", r"\1\2 \3", joined)
+    lines = []
+    for line in joined[1:-1].split("\n"):
+        if HOLDER.match(line):
+            lines.append(None)
+            if "all rights reserved" in line.lower() and line[line.lower().index("all rights reserved") - 1] in "., ":
+                lines.append(line[line.lower().index("all rights reserved") :])
+        elif m := re.match(r"\(?([0-9]{1,2}|[a-zA-Z]|[ivx]{2,4})[.)] ", line):
+            lines += [None, line[m.end() :]] if line[m.end() :] else [None]
+        else:
+            lines.append(line or None)
+    blocks, block = [], []
+    for line in [*lines, None]:
+        if line is None:
+            blocks.append(block)
+            block = []
+        elif re.fullmatch("https?://[^ ]+", line):  # ends the block before it
+            own = block or (blocks.pop() if blocks else [])
+            blocks.append([*own[:-1], f"{own[-1]} {line}"] if own else [line])
+            block = []
+        else:
+            block.append(line)
+    for block in blocks:
+        text = "\n".join(block) + "\n"
+        start = at = 0
+        while at < len(text):
+            after = re.match(r":( \n|\n| )(?=[A-Z0-9(\"])", text[at : at + 4])
+            if after:
+                out.append(text[start:at])
+                start = at = at + after.end()
+            elif text[at] in ".!?" and text[at + 1] in " \n":
+                out.append(text[start : at + 1])
+                start = at = at + 2
+            else:
+                at += 1
+        out.append(text[start:])
+    return [s.split("\n") for s in out]
+
+
 def brute(text):
-    lines = re.sub(r"[.!?]+([ \t\n\r\f]|\Z)", "\n", text).split("\n")
-    joined = re.sub(r"[ \t\r\f]*\n[ \t\r\f#*/;-]*", " ", re.sub(r"[.!?]+([ \t\n\r\f]|\Z)", "\x01", text)).split("\x01") if "\n" in text else []
-    ids = [L.KNOWN[n] for s in dict.fromkeys(joined + lines) if (n := L.normalise(s)) in L.KNOWN]
-    left, found, count = ids, set(), 0
+    ids = []
+    for lines in cut(text):
+        name = L.KNOWN.get(L.normalise(" ".join(lines)))
+        ids += [name] if name else [n for x in lines if (n := L.KNOWN.get(L.normalise(x)))]
+    left, found, count = list(ids), set(), 0
     for name, rule in L.RULES:
         i = 0
         while i + len(rule) <= len(left):
@@ -34,6 +88,35 @@ def test_rules(spark):
     assert got[3][1] == "MIT" and got[4][1] == "Apache-2.0" and got[5][1] == "Apache-2.0,MIT"
     assert got[6][1] == "CC-BY-NC-4.0" and got[7][1] == "" and got[8][1] == "BSD-2-Clause"
     assert L.scan(df.limit(0)).count() == 0
+    assert got[10] == ("mit-name,mit-name,mit-name", "MIT", 3)  # repeats count
+
+
+def test_edge_rows(spark):
+    long = "word " * 400_000 + "\n" + " " * 200_000 + "." * 200_000 + "\n" * 200_000 + "Released under the MIT License."
+    rows = [(None, "Released under the MIT License.", "a", 1), (1, None, "a", 2), (1, "All rights reserved.", "b", 2), (1, "All rights reserved.", "b", 2), (2, long, "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, identifiers string, n_matches int")
+    got = sorted(((r.doc_id or 0, r.licenses, r.n_matches) for r in L.scan(df).collect()))
+    assert got == [(0, "MIT", 1), (1, "", 0), (1, "LicenseRef-all-rights-reserved", 1), (1, "LicenseRef-all-rights-reserved", 1), (2, "MIT", 1)]
+
+
+COMMON = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0"}
+
+
+def test_full_texts_of_the_system(spark):
+    """The licences that Debian systems keep, whole, plain and as comments."""
+    import pathlib
+
+    rows = []
+    for file, name in COMMON.items():
+        path = pathlib.Path("/usr/share/common-licenses") / file
+        if path.exists():
+            text = path.read_text()
+            rows += [(name, text), (name, "/*\n" + "".join(f" * {x}\n" for x in text.split("\n")) + " */\n"), (name, "".join(f"# {x}\n" for x in text.split("\n")))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] or [(0, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan(df).collect()}
+    for i, (name, text) in enumerate(rows):
+        assert got[i].licenses.split(",") == [name], (name, got[i])
+        assert (got[i].identifiers, got[i].licenses, got[i].n_matches) == brute(text)
 
 
 def test_query(spark, sf):
@@ -78,6 +161,14 @@ PRINTED = {
     "BSD-2-Clause": [wrapped(*BSD[:3], BSD[4], margin=" * ")],
     "Apache-2.0": [wrapped(*APACHE_2, margin=m) for m in ("", "# ", "   ")],
     "GPL-3.0-or-later": [wrapped("Some program", "Copyright (C) 2020  Some Name", S["gpl-free"] + ".", S["gpl-hope"] + ".  See the GNU General Public License for more details.", margin=m, width=w) for m, w in (("", 70), ("# ", 33))],
+    "Zlib": [wrapped("Copyright (C) 2020 Some Name", "  " + S["zlib-warranty"] + ".  In no event will the authors be held liable for any damages arising from the use of this software.", S["zlib-grant"] + ":",
+                     "1. " + S["zlib-origin"] + ". If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+                     "2. " + S["zlib-altered"] + ".", "3. " + S["zlib-notice"] + ".", margin=m, width=w) for m, w in (("", 76), ("  ", 60), ("// ", 80))],
+    "BSL-1.0": [wrapped(S["bsl-title"], S["bsl-grant"] + ":", "The copyright notices in the Software must be included.", margin=m) for m in ("", "// ")],
+    "MPL-2.0": [wrapped(S["mpl2-head"] + ". " + S["mpl2-copy"] + ".", margin=m, width=w) for m in ("", "# ", " * ") for w in (60, 70, 80)],
+    "LGPL-2.1-or-later": [wrapped("Copyright (C) 2020 X", S["lgpl21-free"] + ".", S["lgpl-hope"] + ".  See the GNU Lesser General Public License for more details.", margin=" * ", width=w) for w in (60, 72)],
+    "AGPL-3.0-or-later": [wrapped("Copyright (C) 2020 X", S["agpl3-free"] + ".", S["gpl-hope"] + ". See more.", margin="", width=w) for w in (60, 72)],
+    "EPL-2.0": [wrapped("Copyright (c) 2020 X", S["epl2-head"], margin=" * ")],
     "ISC": [wrapped("ISC License", "Copyright (c) 2020, Some Name", S["isc-grant"] + ".", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."), wrapped("(c) 2020 X", S["isc-grant"] + ".")],
 }
 
@@ -88,6 +179,23 @@ def test_printed_licences(spark):
     got = {r.doc_id: (r.licenses, r.n_matches, r.identifiers) for r in L.scan(df).collect()}
     for i, (name, text) in enumerate(rows):
         assert got[i][:2] == (name, 1), (text, got[i])
+        assert brute(text) == (got[i][2], *got[i][:2])
     assert "apache-head,apache-copy,apache-as-is,apache-see" in {v[2] for v in got.values()}
     both = spark.createDataFrame([(1, PRINTED["MIT"][0] + "\n" + PRINTED["BSD-3-Clause"][1])], "doc_id long, text string")
     assert [(r.licenses, r.n_matches) for r in L.scan(both).collect()] == [("BSD-3-Clause,MIT", 2)]
+    tag = spark.createDataFrame([(1, "// SPDX-License-Identifier: Apache-2.0\nint x;\n"), (2, "x = 1  # no tag\n")], "doc_id long, text string")
+    assert [r.licenses for r in L.scan(tag).orderBy("doc_id").collect()] == ["Apache-2.0", ""]
+
+
+def test_sql_on_printed_texts(spark):
+    import duckdb
+    import pyarrow as pa
+
+    texts = [t for ts in PRINTED.values() for t in ts] + [MIT, APACHE, None, "", "v. 2.0: A", "Note: The MIT License: A b.", "(a) x\n(c) 2020 Y. All rights reserved. Z", "a\n\nhttp://x.y/z\nb copyright"]
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", table)
+    want = {r[0]: r[1:] for r in con.execute(queries.oracle_sql()["op8_license_sentence_rules"]).fetchall()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.identifiers, r.licenses, r.n_matches) for r in L.scan(df).collect()} == want
+    assert want == {i: brute(t or "") for i, t in enumerate(texts)}
