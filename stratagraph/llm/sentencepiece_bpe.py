@@ -7,6 +7,11 @@ each word's best pair with a segmented minimum over pair ranks, merges it simult
 all words (leftmost first; every occurrence of it in a word where that provably equals one at
 a time) and compacts the array, until no pair is left. Finished words leave the array.
 
+A long word without a space would take a round per distinct pair. It is cut where no piece spans two
+characters, and a round also merges every pair that ranks before whatever its neighbours could ever
+make with it (``_bounds``: the least rank of any piece that such a meeting can give). Such a pair is
+merged before its neighbours touch it in any order, so the ids stay the library's.
+
 Ranks come from the model's own scores, so the ids equal the library's. Characters outside
 the vocabulary become byte pieces. Decoding looks ids up in a table of piece bytes.
 
@@ -34,6 +39,8 @@ MARK = "▁"
 _NONE = np.int64(1) << 62
 #: Distinct words that go through the merge rounds together.
 TOGETHER = 1 << 14
+#: Symbols from which a word is cut, and its pairs are compared with their neighbours' bounds.
+LONG = 64
 
 
 def default_model() -> str:
@@ -70,7 +77,9 @@ class Model:
                     made.append(i)
         at = np.argsort(np.array(keys, np.int64))
         self.pair_keys, self.pair_made = np.array(keys, np.int64)[at], np.array(made, np.int64)[at]
-        self.table = self._hashed()
+        self.table = self._hashed(self.pair_keys, self.pair_made)
+        self.left_bounds, self.right_bounds = self._bounds()
+        self.spans = np.unique([ord(a) * 0x110000 + ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)]).astype(np.int64)
         self.bytes = [b"" if sp.is_control(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.run = max((len(p) for p in self.ids if not p.strip(MARK)), default=1)
         many = np.diff(self.encode_words([MARK * k for k in range(3 * self.run)])[1])
@@ -84,34 +93,54 @@ class Model:
         self.width = np.array([len(b) for b in self.bytes])
         self.start, self.pool = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(self.bytes), np.uint8)
 
-    def _hashed(self) -> tuple[np.ndarray, np.ndarray, int]:
+    def _bounds(self) -> tuple[tuple, tuple]:
+        """Tables of the least rank that a symbol and its neighbour can ever meet in.
+
+        left: (a, r) to the least rank of a piece made of l and r, where l ends with a; right: (l, b)
+        to that of l and r, where r starts with b.
+        """
+        left: dict[int, int] = {}
+        right: dict[int, int] = {}
+        rank = self.rank.tolist()
+        ends = {i: [self.ids[p[k:]] for k in range(len(p)) if p[k:] in self.ids] for p, i in self.ids.items()}
+        heads = {i: [self.ids[p[:k]] for k in range(1, len(p) + 1) if p[:k] in self.ids] for p, i in self.ids.items()}
+        for key, made in zip(self.pair_keys.tolist(), self.pair_made.tolist(), strict=True):
+            lo, hi = divmod(key, self.size)
+            least = rank[made]
+            for table, keys in ((left, [a * self.size + hi for a in ends[lo]]), (right, [lo * self.size + b for b in heads[hi]])):
+                for k in keys:
+                    if least < table.get(k, _NONE):
+                        table[k] = least
+        return tuple(self._hashed(np.fromiter(t.keys(), np.int64, len(t)), np.fromiter(t.values(), np.int64, len(t))) for t in (left, right))
+
+    @classmethod
+    def _hashed(cls, wanted: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
         """Pairs in an open-addressing table: numpy looks whole arrays up with a few gathers."""
-        bits = int(len(self.pair_keys) * 4).bit_length()
-        keys, values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
-        left = np.arange(len(self.pair_keys))
-        at = self._slot(self.pair_keys, bits)
-        self.probes = 0
+        bits = int(len(wanted) * 2).bit_length()
+        keys, values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left, probes = np.arange(len(wanted)), 0
+        at = cls._slot(wanted, bits)
         while len(left):
-            self.probes += 1
+            probes += 1
             free = keys[at] < 0
-            keys[at[free]] = self.pair_keys[left[free]]
-            won = keys[at] == self.pair_keys[left]
-            values[at[won]] = self.pair_made[left[won]]
+            keys[at[free]] = wanted[left[free]]
+            won = keys[at] == wanted[left]
+            values[at[won]] = made[left[won]]
             left, at = left[~won], (at[~won] + 1) & ((1 << bits) - 1)
-        return keys, values, bits
+        return keys, values, bits, probes
 
     @staticmethod
     def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The id that each pair of ids makes, or -1. Ids below 0 make nothing."""
-        keys, values, bits = self.table
+    def _look(self, table: tuple, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """A table's value for each pair of ids, or -1. Ids below 0 are in no pair."""
+        keys, values, bits, probes = table
         want = left * self.size + right
         want[(left < 0) | (right < 0)] = -2
         at, out = self._slot(want, bits), np.full(len(want), -1, np.int64)
         open_ = np.arange(len(want))
-        for _ in range(self.probes):
+        for _ in range(probes):
             found = keys[at]
             hit = found == want[open_]
             out[open_[hit]] = values[at[hit]]
@@ -121,6 +150,21 @@ class Model:
             open_, at = open_[more], (at[more] + 1) & ((1 << bits) - 1)
         return out
 
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that each pair of ids makes, or -1."""
+        return self._look(self.table, left, right)
+
+    def _settled(self, symbols: np.ndarray, of: np.ndarray, at: np.ndarray, made: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Which pairs at ``at`` rank before all that their neighbours could make of the two or of what they make."""
+        before, after = self._neighbour(symbols, of, at, -1), self._neighbour(symbols, of, at, 2)
+        out = np.ones(len(at), bool)
+        for table, left, right in (
+            (self.left_bounds, before, symbols[at]), (self.right_bounds, symbols[at + 1], after), (self.left_bounds, before, made), (self.right_bounds, made, after),
+        ):
+            bound = self._look(table, left, right)
+            out &= (bound < 0) | (rank < bound)
+        return out
+
     def _rank(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids >= 0, self.rank[ids], _NONE)
 
@@ -130,6 +174,18 @@ class Model:
         where = np.clip(at + step, 0, len(symbols) - 1)
         return np.where((where == at + step) & (of[where] == of[at]), symbols[where], -1)
 
+    def _cut(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Long words in parts that no piece spans: the word of each part, and its length."""
+        long = lengths > LONG
+        if not long.any():
+            return np.arange(len(lengths)), lengths
+        starts = np.cumsum(lengths) - lengths
+        inside = np.flatnonzero(np.repeat(long, lengths)[1:]) + 1
+        pairs = codes[inside - 1].astype(np.int64) * 0x110000 + codes[inside]
+        at = np.minimum(np.searchsorted(self.spans, pairs), len(self.spans) - 1)
+        parts = np.union1d(starts[lengths > 0], inside[self.spans[at] != pairs])
+        return np.searchsorted(starts, parts, "right") - 1, np.diff(np.append(parts, len(codes)))
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row and where each word's begin (and the last one's end), by merge rounds."""
         chars = "".join(words)
@@ -138,7 +194,8 @@ class Model:
         known = np.array([self.ids.get(chr(c), -1 - k) for k, c in enumerate(distinct)], np.int64)
         symbols = known[inverse]  # characters outside the vocabulary: -1 - position in distinct
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        of = np.repeat(np.arange(len(words)), lengths)
+        word_of, lengths = self._cut(codes, lengths)
+        of = np.repeat(np.arange(len(lengths)), lengths)
         done_of, done_symbols = [], []
         while len(symbols):
             made = np.full(len(symbols), -1, np.int64)
@@ -173,6 +230,10 @@ class Model:
             group = np.cumsum(leftmost) - 1
             careful = np.bincount(group, opened <= rank[at]) > 0
             at = at[leftmost | ~careful[group]]
+            if size.max() > LONG:
+                more = np.flatnonzero((rank < _NONE) & np.repeat(size > LONG, size))
+                more = more[self._settled(symbols, of, more, made[more], rank[more])]
+                at = np.union1d(at, more)
             symbols[at] = made[at]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
@@ -180,7 +241,7 @@ class Model:
         of = np.concatenate(done_of) if done_of else np.empty(0, np.int64)
         symbols = np.concatenate(done_symbols) if done_symbols else np.empty(0, np.int64)
         order = np.argsort(of, kind="stable")
-        of, symbols = of[order], symbols[order]
+        of, symbols = word_of[of[order]], symbols[order]
         if len(symbols) and symbols.min() < 0:  # byte pieces
             parts = [np.array([self.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")], np.int64) for c in distinct]
             width = np.array([len(p) for p in parts])

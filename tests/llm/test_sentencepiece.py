@@ -31,6 +31,39 @@ def test_encode_equals_the_library(library):
             assert ids[lo:hi].tolist() == library.encode(every[i]), repr(every[i])
 
 
+def unspaced(rng, n):
+    every = [i for i in range(259, 32000)]
+    yield "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    yield "".join(rng.choice("aeinrst") for _ in range(n))
+    yield "".join(rng.choice("ab") for _ in range(n))
+    yield "".join(rng.choice("0123456789abcdefABCDEF+/=") for _ in range(n))
+    yield "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    yield "".join(rng.choice(["the", "ing", "tion", "ther", "e", "s", "é", "日", "un", "able", "ab", "in"]) for _ in range(n // 3))
+    pieces = S.load(S.default_model()).pieces
+    yield "".join(pieces[rng.choice(every)].replace(S.MARK, "") for _ in range(n // 4))
+    yield "".join(pieces[rng.choice(every)].replace(S.MARK, "")[rng.randrange(3) :] for _ in range(n // 4))
+
+
+def test_long_words_equal_the_library(library):
+    rng, encoder = random.Random(8), S.Encoder(S.default_model())
+    for n in (70, 300, 3000, 40_000):
+        for _ in range(30 if n < 3000 else 3 if n < 40_000 else 1):
+            for t in unspaced(rng, n):
+                assert encoder.encode([t])[0].tolist() == library.encode(t), t[:200]
+
+
+def test_a_megabyte_without_a_space(library):
+    import time
+
+    rng, encoder = random.Random(2), S.Encoder(S.default_model())
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ACGT"):
+        text = "".join(rng.choice(letters) for _ in range(1 << 20))
+        began = time.time()
+        ids = encoder.encode([text])[0]
+        assert time.time() - began < 15
+        assert ids.tolist() == library.encode(text)
+
+
 def test_decode_equals_the_library(library):
     model, rng = S.load(S.default_model()), random.Random(6)
     for t in texts():
