@@ -65,3 +65,8 @@ def test_empty_and_extra(spark):
     df = spark.createDataFrame([(1, 0, "user", "a", "x")], "conv_id long, turn long, role string, text string, blocks string")
     assert chat.format_chat(df).first().formatted == "<turn>user</role>a</turn>\n"
     assert chat.format_chat(df.where(F.lit(False))).count() == 0
+
+
+def test_very_long_text(spark):
+    long = "a</turn>\n<part> é" * 60_000
+    check(spark, [(1, 0, "user", long), (1, 1, "assistant", long + "x"), (2, None, "assistant", long), (2, None, None, None), (None, 3, "assistant", "")])

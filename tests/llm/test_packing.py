@@ -152,3 +152,8 @@ def test_edge_rows(spark):
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in ids)
     hard = spark.createDataFrame([(i, "x " * 320) for i in range(60)], "doc_id long, text string")  # no two fit one window
     assert check_pack(packing.pack(hard).collect(), [(r.doc_id, r.text) for r in hard.collect()]) <= 1024
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "word " * 150_000 + "x" * 60_000 + " " * 60_000), (2, "日本" * 30_000), (3, "short")], "doc_id long, text string")
+    assert check_pack(packing.pack(df).collect(), [(r.doc_id, r.text) for r in df.collect()]) < 1024

@@ -66,3 +66,48 @@ def test_edge_rows(spark):
     assert got == [(0, 0, True, False), (1, 0, True, False), (2, 60, True, False), (2, 60, True, False)]
     assert Q.judge(df.limit(0)).count() == 0 and Q.keep_good(df.limit(0)).count() == 0
     assert Q.keep_good(df).columns == df.columns
+
+
+def plain_em(votes):
+    """The same estimate over documents one by one, in plain loops."""
+    import math
+
+    n, rules = len(votes), len(votes[0])
+    prior = {0: [2.0, 1.0, 0.5], 1: [0.02, 1.0, 2.0]}
+    good = [1 / (1 + math.exp(3.0 * v.count(-1) - 0.5 * v.count(1) - 0.5)) for v in votes]
+    for _ in range(200):
+        table = {}
+        for c in (0, 1):
+            for r in range(rules):
+                own = [prior[c][k] * n / 400 + 1e-9 for k in range(3)]
+                for v, g in zip(votes, good):
+                    own[v[r] + 1] += g if c else 1 - g
+                table[c, r] = [x / sum(own) for x in own]
+        share = (sum(good) + 1) / (n + 2)
+        new = []
+        for v in votes:
+            odds = math.log(share / (1 - share)) + sum(math.log(table[1, r][v[r] + 1] / table[0, r][v[r] + 1]) for r in range(rules))
+            new.append(1 / (1 + math.exp(-max(-700, min(700, odds)))))
+        moved = max(abs(a - b) for a, b in zip(new, good))
+        good = new
+        if moved < 1e-9:
+            break
+    return good
+
+
+def test_kept_equals_plain_em(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counted = Q.with_counts(docs.select("doc_id", "text"))
+    rows = counted.select("doc_id", *[v.alias(f"v{k}") for k, v in enumerate(Q.rules().values())]).collect()
+    posterior = dict(zip([r.doc_id for r in rows], plain_em([[r[f"v{k}"] for k in range(len(Q.rules()))] for r in rows])))
+    got = Q.judge(docs).collect()
+    assert all(abs(r.posterior - posterior[r.doc_id]) < 1e-6 for r in got)
+    assert all(r.kept == (not r.base_failed and posterior[r.doc_id] >= 0.5) for r in got)
+
+
+def test_very_long_texts(spark):
+    long = "Some plain words of prose, again. " * 60_000 + "\n" * 100_000 + "x" * 1_000_000
+    df = spark.createDataFrame([(1, long), (2, "\n".join(["same line"] * 50_000))], "doc_id long, text string")
+    got = {r.doc_id: r for r in Q.judge(df).collect()}
+    assert (got[1].n_words, got[1].n_dup_lines) == (360_001, 0) and got[2].n_dup_lines == 49_999
+    assert got[1].n_repeat_words == brute(long)[4] and not got[1].kept

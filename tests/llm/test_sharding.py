@@ -113,3 +113,10 @@ def test_edge_rows(spark):
     hot = [r for r in got if r.size == 20]
     assert len(hot) == 50 and len({r.shard for r in hot}) == 1 and len({(r.shard, r.slot) for r in got}) == 53
     assert S.shard(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rows = [(i, "é" * (400_000 if i == 7 else 50)) for i in range(30)] + [(40, "é" * 400_000)]
+    got = S.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert sum(r.size for r in got) == sum(2 * len(t) + 16 for _, t in rows)
+    assert len({r.shard for r in got if r.size > 1000}) == 1 and sum(r.size > 1000 for r in got) == 2
