@@ -27,9 +27,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _signature(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("lo")).select("v", F.least("v", "lo").alias("lo"))
+        # Stored, so that the join on a node with a large share of all edges can be split.
+        low = staged(both.groupBy("v").agg(F.min("u").alias("lo")).select("v", F.least("v", "lo").alias("lo")), "low")
         large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("lo").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("lo"))
+        low_before, low = low, large.groupBy("v").agg(F.min("u").alias("lo"))
         small = (
             large.join(low, "v")
             .select(F.explode(F.array(F.struct("v", F.col("lo").alias("u")), F.struct(F.col("u").alias("v"), F.col("lo").alias("u")))).alias("e"))
@@ -38,7 +39,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         last, now = now, staged(small, "stars")
-        unstage(last)  # the round before is in no later plan
+        for done in (last, low_before):  # the round before is in no later plan
+            unstage(done)
         before, mark = mark, _signature(now)
         if before == mark:
             break

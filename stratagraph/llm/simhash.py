@@ -34,7 +34,7 @@ from stratagraph.llm.graph import connected_components
 SEED, WIDTH, DISTANCE = 42, 3, 2
 #: Members a key group may have before it is cut by further blocks; at least 256, see above.
 MAX_GROUP = 512
-#: Places that a component's rows are dealt to.
+#: Places that the repeats of a row are dealt to first.
 SALTS = 32
 _SLICE, _SPACE = 1 << 20, re.compile(rb"[ \t-\r]")
 
@@ -150,11 +150,10 @@ def _classes(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``prints(key, fp)`` to ``(fp, first)``: the smallest key of each fingerprint's component."""
     own = prints.groupBy("fp").agg(F.min("key").alias("own"))
     nodes = connected_components(near_links(own.select("fp")) if links is None else links)
-    linked = nodes.join(own, nodes.node == own.fp).select("fp", "root", "own")
-    first = linked.groupBy("root").agg(F.min("own").alias("first"))
-    # A component may hold a third of all fingerprints: its rows meet its first key in SALTS places.
-    first = first.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    linked = linked.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int")).join(first, ["root", "salt"]).select("fp", "first")
+    # Stored, so that the rows of a component that holds a third of all fingerprints can be split in their join.
+    linked = staged(nodes.join(own, nodes.node == own.fp).select("fp", "root", "own"), "linked")
+    first = staged(linked.groupBy("root").agg(F.min("own").alias("first")), "firsts")
+    linked = linked.join(first, "root").select("fp", "first")
     return own.join(linked, "fp", "left").select("fp", F.coalesce("first", "own").alias("first"))
 
 
