@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+_OPERATOR = re.compile(r"\boperator\s*[-+*/%^&|<>!~]*$")
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -106,7 +107,7 @@ def items(clean: str, lo: int, hi: int, ends: str = ";") -> list[Item]:
             j = close_of(clean, i)
             i = (j if 0 <= j < hi else i) + 1
             continue
-        if c == "=" and clean[i : i + 2] not in ("==", "=>") and clean[i - 1] not in "=<>!":
+        if c == "=" and clean[i : i + 2] not in ("==", "=>") and clean[i - 1] not in "=<>!" and not _OPERATOR.search(clean, max(start, i - 16), i):
             assigned = True
         if c == "{":
             j = close_of(clean, i)
@@ -128,6 +129,34 @@ def items(clean: str, lo: int, hi: int, ends: str = ";") -> list[Item]:
     return out
 
 
+def split_top(clean: str, lo: int, hi: int, at: str = ",", angles: bool = False) -> list[tuple[int, int]]:
+    """The regions between separators that no bracket holds."""
+    out, i, start, depth = [], lo, lo, 0
+    while i < hi:
+        c = clean[i]
+        if c in _PAIRS:
+            j = close_of(clean, i)
+            i = j if 0 <= j < hi else i
+        elif angles and c == "<":
+            depth += 1
+        elif angles and c == ">" and clean[i - 1] not in "-=":
+            depth = max(0, depth - 1)
+        elif c == at and not depth:
+            out.append((start, i))
+            start = i + 1
+        i += 1
+    return [*out, (start, hi)]
+
+
+def depths(clean: str) -> list[int]:
+    """Open braces before each position."""
+    out, depth = [], 0
+    for c in clean:
+        out.append(depth)
+        depth += (c == "{") - (c == "}")
+    return [*out, depth]
+
+
 class Lines:
     def __init__(self, source: str):
         self.starts = [0, *(m.end() for m in re.finditer("\n", source))]

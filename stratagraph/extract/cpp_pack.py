@@ -6,16 +6,19 @@ import posixpath
 import re
 
 from stratagraph.extract import braces as B
+from stratagraph.extract import cpp_macros as M
 from stratagraph.extract.model import Extracted, Import, Symbol, digest, fold_same_id
 from stratagraph.functions.paths import CPP_HEADERS
 
 _INCLUDE = re.compile(r'(?m)^[ \t]*#[ \t]*include[ \t]*([<"])([^>"\n]+)[>"]')
 _MACRO = re.compile(r"(?m)^[ \t]*#[ \t]*define[ \t]+(\w+)(\([^)]*\))?")
 _DIRECTIVE = re.compile(r"(?m)^[ \t]*#(?:[^\n]*\\\n)*[^\n]*")
-_NAMESPACE = re.compile(r"(?:inline\s+)?namespace\s*([\w:]*)\s*$")
-_TYPE = re.compile(r"\b(class|struct|union|enum(?:\s+class|\s+struct)?)\s+(?:\[\[[^\]]*\]\]\s*)?(?:[A-Z_]+\s+)?([A-Za-z_]\w*)(?:\s+final)?\s*(?::(?!:).*)?$", re.S)
-_FUNCTION = re.compile(r"((?:[A-Za-z_]\w*(?:<[^<>()]*>)?\s*::\s*)*(?:~?[A-Za-z_]\w*|operator\s*(?:\(\s*\)|\[\s*\]|[^\s(\w]+|\w+)))\s*\(")
-_KEYWORDS = {"if", "for", "while", "switch", "return", "catch", "sizeof", "decltype", "alignas", "static_assert", "defined"}
+_CONDITION = re.compile(r"(?m)^[ \t]*#[ \t]*(if\w*|elif\w*|else|endif)\b(?:[^\n]*\\\n)*[^\n]*")
+_NAMESPACE = re.compile(r"(?:(inline)\s+)?namespace\s*((?:[\w]|::|\binline\s)*)\s*$")
+_TYPE = re.compile(r"\b(class|struct|union|enum(?:\s+class|\s+struct)?)\b\s*((?:[A-Za-z_]\w*\s*::\s*)*[A-Za-z_]\w*)?(?:\s+final)?\s*(?::(?!:).*)?$", re.S)
+_FUNCTION = re.compile(r"((?:[A-Za-z_]\w*\s*::\s*)*(?:~\s*[A-Za-z_]\w*|operator\s*(?:\(\s*\)|\[\s*\]|[^\s(\w]+|(?:new|delete|co_await)(?:\s*\[\s*\])?|\"\s*\"\s*\w+|[\w:\s*&]+)|[A-Za-z_]\w*))\s*(?=\()")
+_KEYWORDS = {"if", "for", "while", "switch", "return", "catch", "sizeof", "decltype", "alignas", "static_assert", "defined", "noexcept", "explicit", "throw", "requires", "void", "int", "char", "bool", "float", "double", "long", "short", "unsigned", "signed", "auto", "const"}
+_NOT_VARIABLE = re.compile(r"^(?:class|struct|union|enum|friend|using|typedef|namespace|return|goto|delete|throw|template|static_assert|public|private|protected|case|default|module|import|export)\b")
 _TEST = re.compile(r"^\s*(TEST|TEST_F|TEST_P|TYPED_TEST)\s*\(\s*(\w+)\s*,\s*(\w+)\s*\)")
 
 
@@ -38,7 +41,9 @@ def extract(path: str, source: str) -> Extracted:
         if quiet[m.start() : m.end()].strip().startswith("#"):
             out.imports.append(Import(m[2], None, None, "include", include_paths(path, m[2], m[1] == '"')))
     out.imports = list({i.specifier: i for i in out.imports}.values())
-    clean = _DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), quiet)
+    clean = M.blank_branches(quiet, [(m.start(), m.end(), m[1]) for m in _CONDITION.finditer(quiet)])
+    clean = _DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), clean)
+    clean = M.blank_macros(M.blank_templates(clean))
     out.words = sorted(set(re.findall(r"[A-Za-z_]\w*", quiet)))
     out.parse_errors = B.unmatched(clean)
     lines = B.Lines(source)
@@ -53,45 +58,144 @@ def extract(path: str, source: str) -> Extracted:
     return out
 
 
-def _items(path: str, parent: str, chain: str, source: str, clean: str, lo: int, hi: int, lines: B.Lines, shown: bool, owner: str) -> list[Symbol]:
-    found, access = [], "private" if owner == "class" else "public"
+def plain_name(name: str) -> str:
+    """A name without template arguments and white space."""
+    if "operator" in name:
+        return re.sub(r"operator\s+(?=[^\w\s])", "operator", re.sub(r"\s+", " ", name))
+    return re.sub(r"\s+", "", without_angles(name))
+
+
+def without_angles(head: str) -> str:
+    """Template arguments as spaces; comparison and shift operators stay."""
+    if "operator" in head:
+        at = head.index("operator")
+        end = re.compile(r"operator\s*(?:\(\s*\)|[^\s\w(]*)").match(head, at).end()
+        return without_angles(head[:at]) + head[at:end] + without_angles(head[end:])
+    while "<" in head:
+        less = re.sub(r"<[^<>]*>", lambda m: " " * len(m[0]), head)
+        if less == head:
+            break
+        head = less
+    return head
+
+
+def _items(path: str, parent: str, chain: str, source: str, clean: str, lo: int, hi: int, lines: B.Lines, header: bool, owner: str, anon: bool = False, access: str = "public", named: str = "") -> list[Symbol]:
+    """Declarations of a region. owner: the kind of class it is the body of; access: how visible that class is."""
+    found, level = [], "private" if owner == "class" else "public"
     for item in B.items(clean, lo, hi):
         head = clean[item.start : item.head_end]
         while m := re.match(r"\s*(public|private|protected)\s*:(?!:)", head):
-            access, skip = m[1], m.end()
+            level, skip = m[1], m.end()
             item.start += skip
             head = head[skip:]
         item.start += len(head) - len(head.lstrip())
-        head = re.sub(r"^\s*template\s*<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>\s*(requires\s[^{;]*?(?=\b(class|struct|auto|void)\b))?", lambda m: " " * len(m[0]), head)
-        text, at = source[item.start : item.end].rstrip(), item.start
+        head = without_angles(head.lstrip())
+        end = item.end
+        text, at = source[item.start : end].rstrip(), item.start
         if not head.strip():
             continue
-        common = {"file": path, "start_line": lines.of(at), "end_line": lines.of(max(at, item.end - 1)), "source": text, "docstring": B.doc_before(source, at, ("///", "//!", "//")), "parent": parent}
-        signature = B.one_line(source[item.start : item.head_end]).rstrip(" ;")
-        public = access == "public"
+        top = B.doc_before(source, at, ("///", "//!", "//"))
+        start = _template_start(source, clean, at, lo)
+        common = {"file": path, "start_line": lines.of(start), "end_line": lines.of(max(at, end - 1)), "source": source[start:end].rstrip(), "docstring": top or B.doc_before(source, start, ("///", "//!", "//")), "parent": parent}
+        signature = B.one_line(source[start : item.head_end]).rstrip(" ;")
+        static = bool(re.match(r"(?:inline\s+|constexpr\s+)*static\b", head))
+        shown = not owner and (header or not (anon or static))
+        public = level != "private" or not owner
         prefix = f"{parent}::" if owner else f"{path}::{chain}"
-        mine = {"is_exported": shown and public, "public": public}
+        mine = {"is_exported": shown, "public": public}
+
+        def leaf(name: str, kind: str, raw: str, sig: str, shown_: bool | None = None, markers: list[str] | None = None) -> None:
+            found.append(Symbol(prefix + name, kind=kind, raw=raw, signature=sig, is_exported=shown if shown_ is None else shown_, public=public, markers=markers or [], **common))  # noqa: B023
+
         if item.body and (n := _NAMESPACE.search(head)):
-            inner = chain + (n[1] + "::" if n[1] else "")
-            found += _items(path, parent, inner, source, clean, *item.body, lines, shown and bool(n[1]), "")
-        elif item.body and re.match(r'\s*extern\s*(" *")?\s*$', head):
-            found += _items(path, parent, chain, source, clean, *item.body, lines, shown, "")
+            parts = [x.strip() for x in n[2].split("::")]
+            keep = [x for x in parts if x and not x.startswith("inline ")] if not n[1] else []
+            found += _items(path, parent, chain + "".join(x + "::" for x in keep), source, clean, *item.body, lines, header, "", anon or not n[2].strip())
+        elif item.body and re.match(r'extern\s*(" *")?\s*$', head):
+            found += _items(path, parent, chain, source, clean, *item.body, lines, header, "", anon)
         elif item.body and (t := _TYPE.search(head)) and "(" not in head[: t.start()]:
-            s = Symbol(prefix + t[2], kind="container", raw=t[1].split()[0], signature=signature, **mine, **common)
-            if t[1].startswith("enum"):
-                s.members = [Symbol(f"{s.id}::{e}", path, "value", "enumerator", lines.of(at), lines.of(at), e, e, None, mine["is_exported"], True, parent=s.id) for e in re.findall(r"(?:^|,)\s*([A-Za-z_]\w*)", clean[item.body[0] : item.body[1]])]
+            after = re.compile(r"\s*([A-Za-z_]\w*)\s*;").match(clean, end)
+            name = t[2] or (after[1] if after and head.startswith("typedef") else "")
+            name = re.sub(r"\s+", "", name)
+            kind = t[1].split()[0]
+            names = [(a, re.match(r"\s*([A-Za-z_]\w*)", clean[a:b])) for a, b in B.split_top(clean, *item.body)] if kind == "enum" else []
+            if not name:
+                if kind == "enum":
+                    for a, e in names:
+                        if e:
+                            line = lines.of(a + e.start(1))
+                            found.append(Symbol(prefix + e[1], path, "value", "enumerator", line, line, e[1], e[1], None, shown, public, parent=parent))
+                elif owner and not after:  # members of an unnamed struct are the enclosing class's
+                    found += _items(path, parent, chain, source, clean, *item.body, lines, header, kind, anon, access, named)
+                continue
+            exported = (header or not anon) if not owner else public and access != "private"
+            s = Symbol(prefix + name, kind="container", raw=kind, signature=signature, is_exported=exported, public=public, **common)
+            if kind == "enum":
+                s.members = [Symbol(f"{s.id}::{e[1]}", path, "value", "enumerator", lines.of(a + e.start(1)), lines.of(a + e.start(1)), e[1], B.one_line(source[a : a + len(e[0])]), None, False, True, parent=s.id) for a, e in names if e]
             else:
-                s.members = fold_same_id(_items(path, s.id, chain, source, clean, *item.body, lines, mine["is_exported"], t[1]))
+                s.members = fold_same_id(_items(path, s.id, chain, source, clean, *item.body, lines, header, kind, anon, level if owner else "public", name.rpartition("::")[2]))
             found.append(s)
         elif t := _TEST.match(head):
-            found.append(Symbol(f"{prefix}{t[2]}.{t[3]}", kind="callable", raw="test", signature=signature, is_exported=False, public=True, **common))
-        elif a := re.match(r"\s*using\s+([A-Za-z_]\w*)\s*=|\s*typedef\b.*?([A-Za-z_]\w*)\s*$|\s*concept\s+(\w+)\s*=", head, re.S):
-            found.append(Symbol(prefix + (a[1] or a[2] or a[3]), kind="value", raw="alias", signature=B.one_line(text).rstrip(";"), **mine, **common))
-        elif (f := _FUNCTION.search(head)) and f[1].strip() not in _KEYWORDS and "=" not in head[: f.start()].replace("operator", ""):
-            name = re.sub(r"\s+|<[^<>]*>", "", f[1]) if not f[1].lstrip().startswith("operator") else re.sub(r"\s+", "", f[1])
-            found.append(Symbol(prefix + name, kind="callable", raw="function" if item.body else "prototype", signature=re.split(r"\)\s*:\s*(?!:)", signature)[0] + (")" if re.search(r"\)\s*:\s*(?!:)", signature) else ""), **mine, **common))
-        elif owner and (v := re.search(r"([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*(?:=.*)?$", re.split(r"[={]", head)[0].strip())) and " " in head.strip():
-            found.append(Symbol(prefix + v[1], kind="value", raw="field", signature=re.split(r"\s*=", signature)[0], **mine, **common))
-        elif not owner and (v := re.match(r"\s*(?:inline\s+|static\s+|extern\s+|constexpr\s+|const\s+)+[\w:<>,\s*&]+?([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)?(?:=|$)", head)):
-            found.append(Symbol(prefix + v[1], kind="value", raw="variable", signature=re.split(r"\s*=", signature)[0], **mine, **common))
+            leaf(f"{t[2]}.{t[3]}", "callable", "test", signature, False)
+        elif re.match(r"using\s+(?:namespace\b|enum\b|typename\b|[\w:\s]+$)|friend\b", head) and "=" not in head:
+            continue
+        elif a := re.match(r"using\s+([A-Za-z_]\w*)\s*=|concept\s+(\w+)\s*=", head):
+            leaf(a[1] or a[2], "value", "using" if a[1] else "concept", B.one_line(text).rstrip(";"), shown and header)
+        elif head.startswith("typedef"):
+            if a := re.search(r"\(\s*\*\s*(\w+)\s*\)|([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)*$", head):
+                leaf(a[1] or a[2], "value", "typedef", B.one_line(text).rstrip(";"), shown and header)
+        elif (f := _function(head, item.body is not None, named)) is not None:
+            name = plain_name(f)
+            cut = re.split(r"\)\s*:\s*(?!:)", signature)
+            raw = ("qualified_" if "::" in name else "") + ("function" if item.body or re.search(r"=\s*(default|delete)\b", head) else "prototype")
+            leaf(name, "callable", raw, cut[0] + (")" if len(cut) > 1 else ""), markers=[f"chain:{chain.count('::')}"] if "::" in name else None)
+        elif not _NOT_VARIABLE.match(head):
+            for name, typed in _variables(head):
+                constant = bool(re.search(r"\b(?:const|constexpr)\b", typed)) and not re.search(r"\bextern\b", typed)
+                raw = "field" if owner else "qualified_variable" if "::" in name else "variable"
+                leaf(name, "value", raw, re.split(r"\s*=|\s*\{", signature)[0], shown and (header or not constant), [f"chain:{chain.count('::')}"] if raw.startswith("qualified") else None)
     return found
+
+
+def _template_start(source: str, clean: str, at: int, lo: int) -> int:
+    """Where the template head that was blanked before a declaration begins, else the declaration."""
+    before = clean[lo:at]
+    blank = lo + len(before.rstrip())
+    m = re.compile(r"\btemplate\s*<").search(source, blank, at)
+    return m.start() if m and not clean[m.start() : at].strip() else at
+
+
+def _function(head: str, has_body: bool, owner: str) -> str | None:
+    """The name of the function that a head declares."""
+    if "operator" not in head and re.match(r"[^(]*=", head):
+        return None
+    for f in _FUNCTION.finditer(head):
+        name = re.sub(r"\s+", " ", f[1]).strip()
+        last = re.sub(r"\s", "", name).rpartition("::")[2]
+        if last in _KEYWORDS or name in _KEYWORDS:
+            continue
+        before = head[: f.start()].strip()
+        parts = re.sub(r"\s", "", name).split("::")
+        made = len(parts) > 1 and parts[-1].lstrip("~") == parts[-2] or last.lstrip("~") == owner or last.startswith("operator") or last.startswith("~")
+        if not before and not made:
+            return None  # a call, not a declaration
+        if re.search(r"[(,]$", before) or "(" in before and not re.match(r"(?:explicit|decltype|noexcept)\b", before):
+            return None
+        return name
+    return None
+
+
+def _variables(head: str) -> list[tuple[str, str]]:
+    """The names that a declaration without a function introduces, each with the text before it."""
+    out, first = [], ""
+    if m := re.match(r"([\w:\s*&]+)\(\s*[*&]+\s*([A-Za-z_]\w*)\s*\)", head):  # a pointer to a function or an array
+        return [(m[2], m[1])]
+    for k, (a, b) in enumerate(B.split_top(head, 0, len(head))):
+        part = re.split(r"[={]", re.sub(r"\[[^\]]*\]", "", head[a:b]))[0].strip()
+        part = re.sub(r"\s*:(?!:)\s*\d+$", "", re.sub(r"(?<!:):(?!:)\s*\w+$", "", part)).strip()
+        m = re.match(r"(?P<type>.*?[\s*&>])?(?P<name>(?:[A-Za-z_]\w*\s*::\s*)*[A-Za-z_]\w*)$", part, re.S)
+        if not m or not k and not m["type"]:
+            return out
+        first = first or m["type"] or ""
+        out.append((re.sub(r"\s", "", m["name"]), first))
+    return out

@@ -51,6 +51,8 @@ def _types(path: str, parent: str, source: str, clean: str, lo: int, hi: int, li
         markers = [B.one_line(m[0]) for m in _ANNOTATION.finditer(head)]
         bare = B.one_line(_ANNOTATION.sub(" ", head)) if markers else B.one_line(head)
         text, at = source[item.start : item.end].rstrip(), item.start
+        if item.body and bare_clean.strip() in ("", "static"):
+            continue  # an initialiser block declares nothing
         common = {"file": path, "start_line": lines.of(at), "end_line": lines.of(max(at, item.end - 1)), "source": text, "docstring": B.doc_before(source, at, ("///",)), "markers": markers, "parent": parent}
         public = not re.search(r"\b(private|protected)\b", bare_clean)
         t = _TYPE.search(bare_clean)
@@ -69,11 +71,24 @@ def _types(path: str, parent: str, source: str, clean: str, lo: int, hi: int, li
             if any(_ENTITY.match(m) for m in markers) or re.search(r"\bextends\s+PanacheEntity", bare_clean):
                 s.kind = "schema"
             found.append(s)
+        elif parent != path and item.body and bare_clean.split()[-1:] == [parent.rpartition("::")[2]] and "=" not in bare_clean:
+            found.append(Symbol(f"{parent}::<init>", kind="callable", raw="constructor", signature=bare, is_exported=exported and public, public=public, **common))  # a record's short form
         elif parent != path and (call := re.search(r"(\w+)\s*\(", bare_clean)) and "=" not in bare_clean[: call.start()]:
-            owner = parent.rpartition("::")[2]
-            name = "<init>" if call[1] == owner else call[1]
-            found.append(Symbol(f"{parent}::{name}", kind="callable", raw="method", signature=bare, is_exported=exported and public, public=public, **common))
-        elif parent != path and (f := re.search(r"(\w+)\s*(?:=|$)", bare_clean.split("=")[0].strip() + "=")):
+            name = "<init>" if call[1] == parent.rpartition("::")[2] else call[1]
+            found.append(Symbol(f"{parent}::{name}", kind="callable", raw="constructor" if name == "<init>" else "method", signature=bare, is_exported=exported and public, public=public, **common))
+        elif parent != path:
             signature = B.one_line(_ANNOTATION.sub(" ", source[item.start : item.end])).rstrip("; ")
-            found.append(Symbol(f"{parent}::{f[1]}", kind="value", raw="field", signature=signature, is_exported=exported and public, public=public, **common))
+            for name in _declarators(bare_clean):
+                found.append(Symbol(f"{parent}::{name}", kind="value", raw="field", signature=signature, is_exported=exported and public, public=public, **common))
     return found
+
+
+def _declarators(head: str) -> list[str]:
+    """The names that a field declaration binds: ``int a, b[] = {}, c = f(x)`` binds a, b and c."""
+    out = []
+    for k, (a, b) in enumerate(B.split_top(head, 0, len(head), angles=True)):
+        m = re.search(r"(\w+)\s*(?:\[\s*\]\s*)*$", head[a:b].split("=")[0].strip())
+        if not m or not k and " " not in re.sub(r"\s+", " ", head[a:b].split("=")[0].strip()):
+            break
+        out.append(m[1])
+    return out

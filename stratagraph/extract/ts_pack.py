@@ -9,11 +9,15 @@ from stratagraph.extract import braces as B
 from stratagraph.extract.model import Extracted, Import, Symbol, digest, fold_same_id, number_repeats
 
 _DECL = re.compile(
-    r"(?m)^(?P<export>export\s+)?(?P<default>default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
-    r"(?P<what>function\*?|class|interface|enum|const\s+enum|type|const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*|\{[^}]*\}|\[[^\]]*\])"
+    r"(?m)(?:^|(?<=[;}]))[ \t]*(?P<head>(?P<export>export\s+)?(?P<default>default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
+    r"(?P<what>function\s*\*?|class|interface|enum|const\s+enum|type|const)(?:(?<=\*)|(?<=\* )|(?<=\w))\s*(?<![\w$](?=[\w$]))(?P<name>[A-Za-z_$][\w$]*|\{|\[))"
 )
-_IMPORT = re.compile(r"(?m)^\s*(?P<verb>import|export)\s+(?:type\s+)?(?P<what>[^;'\"]*?)\s*from\s*['\"](?P<spec>[^'\"]+)['\"]")
-_BARE = re.compile(r"(?m)^export\s*(?:type\s*)?\{([^}]*)\}\s*;?\s*$")
+_STATEMENT = re.compile(r"(?<![\w$.])(import|export)\b(?!\s*[(.:=])")
+_CLAUSE = {
+    "import": re.compile(r"\s*(?:type\s+(?=[\w$*{]))?(?P<what>(?:[A-Za-z_$][\w$]*\s*(?:,\s*)?)?(?:\{[^{}]*\}|\*\s*as\s+[\w$]+)?)\s*\bfrom\s*(?P<q>['\"])"),
+    "export": re.compile(r"\s*(?:type\s+)?(?P<what>\{[^{}]*\}|\*(?:\s*as\s+[\w$]+)?)\s*from\s*(?P<q>['\"])"),
+}
+_BARE = re.compile(r"(?<![\w$.])export\s*(?:type\s*)?\{([^{}]*)\}(?!\s*from\b)")
 _MEMBER = re.compile(r"^(?P<mods>(?:(?:public|private|protected|static|readonly|abstract|async|override|declare|get|set)\s+)*)(?P<name>[#A-Za-z_$][\w$]*|constructor)\s*(?P<rest>[?!]?\s*(?:[(<:=]|$))")
 _EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 _FETCH = re.compile(r"\bfetch\(\s*(['\"`])(/api/[^'\"`]*)\1")
@@ -40,78 +44,154 @@ def _names(clause: str) -> list[tuple[str, str]]:
     return out
 
 
-def _imports(path: str, source: str, aliases: dict[str, str] | None) -> list[Import]:
+def _imports(path: str, source: str, clean: str, depth: list[int], aliases: dict[str, str] | None) -> list[Import]:
+    """Import and re-export statements at the top of the file; a namespace import or ``export *`` names no declaration."""
     out = []
-    for m in _IMPORT.finditer(source):
-        what, spec = m["what"].strip(), m["spec"]
-        paths = module_paths(path, spec, aliases)
-        braces = re.search(r"\{([^}]*)\}", what)
-        if m["verb"] == "export":
-            out += [Import(spec, n, local, "reexport", paths) for n, local in _names(braces[1] if braces else "")]
+    for s in _STATEMENT.finditer(clean):
+        m = _CLAUSE[s[1]].match(clean, s.end())
+        if depth[s.start()] or not m:
             continue
-        head = re.sub(r"\{[^}]*\}|\*\s*as\s+\w+", "", what).strip(" ,")
+        spec = source[m.end() : source.find(m["q"], m.end())]
+        what, paths = m["what"], module_paths(path, spec, aliases)
+        listed = re.search(r"\{([^{}]*)\}", what)
+        names = _names(listed[1]) if listed else []
+        if s[1] == "export":
+            out += [Import(spec, n, local, "reexport", paths) for n, local in names]
+            continue
+        head = re.sub(r"\{[^{}]*\}|\*\s*as\s+[\w$]+", "", what).strip(" ,\t\r\n")
         if head:
             out.append(Import(spec, "default", head, "default", paths))
-        out += [Import(spec, n, local, "default" if n == "default" else "named", paths) for n, local in _names(braces[1] if braces else "")]
-    local = {i.local_name: i for i in out}
-    for m in _BARE.finditer(source):
-        out += [Import(local[n].specifier, local[n].imported_name, as_, "reexport", local[n].paths) for n, as_ in _names(m[1]) if n in local]
+        out += [Import(spec, n, local, "default" if n == "default" else "named", paths) for n, local in names]
+    local = {i.local_name: i for i in out if i.form == "named"}
+    for m in _BARE.finditer(clean):
+        if not depth[m.start()]:
+            out += [Import(local[n].specifier, local[n].imported_name, as_, "reexport", local[n].paths) for n, as_ in _names(m[1]) if n in local]
     return out
 
 
-def _end(clean: str, m: re.Match, after: int) -> tuple[int, int]:
-    """(end of the head, end of the declaration)."""
-    i, depth_end, valued = m.end(), after, m["what"] in ("const", "let", "var", "type")
-    while i < after:
+def _stop(clean: str, at: int, hi: int) -> int:
+    """Where a statement without a body ends: at a semicolon, or at a line break after which nothing goes on."""
+    i = at
+    while i < hi:
         c = clean[i]
-        if c in "([":
-            j = B.close_of(clean, i)
-            i = j + 1 if j >= 0 else i + 1
-            continue
-        if c == "{":
+        if c in "([{":
             j = B.close_of(clean, i)
-            if not valued:
-                return i, (j + 1 if j >= 0 else after)
-            i = j + 1 if j >= 0 else i + 1
-            continue
-        if c == ";":
-            return i, i + 1
-        if c == "\n" and valued and re.match(r"\n[^\s)}\].|&?:=+]", clean[i : i + 2] or "\n"):
-            return i, i
+            i = j if 0 <= j < hi else i
+        elif c == ";":
+            return i
+        elif c == "\n":
+            before, after = clean[at:i].rstrip()[-1:], clean[i:hi].lstrip()[:2]
+            if before and before not in "=,(|&?:+-*/<.>" or before == ">" and not clean[at:i].rstrip().endswith("=>"):
+                if not after or after[0] not in ")]}.|&?:=+-*/,<>(" or after in ("//", "/*"):
+                    return i
+        elif c == "}":
+            return i
         i += 1
-    return depth_end, depth_end
+    return hi
+
+
+def _bound(clean: str, lo: int, hi: int) -> list[str]:
+    """The names that a pattern binds: what stands before a default and after a key."""
+    out = []
+    for a, b in B.split_top(clean, lo, hi):
+        part = clean[a:b].split("=")[0] if "{" not in clean[a:b] and "[" not in clean[a:b] else clean[a:b]
+        part = part.strip().removeprefix("...")
+        nested = re.search(r"[\[{]", part)
+        if nested:
+            at = a + clean[a:b].index(part) + nested.start()
+            out += _bound(clean, at + 1, B.close_of(clean, at))
+        elif name := re.search(r"([A-Za-z_$][\w$]*)\s*$", part):
+            out.append(name[1])
+    return out
+
+
+_ARROW = re.compile(r"\s*(?::(?P<type>[^=]|=>)*?)?=\s*(?:async\s+)?(?:function\b|(?:<[^>]*>\s*)?(?:\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|[A-Za-z_$][\w$]*)\s*(?::[^={;]+)?=>)", re.S)
 
 
 def extract(path: str, source: str, aliases: dict[str, str] | None = None) -> Extracted:
-    out = Extracted(fingerprint=digest(source), imports=_imports(path, source, aliases))
     clean = B.blank(source)
-    out.parse_errors = B.unmatched(clean)
+    depth = B.depths(clean)
+    out = Extracted(fingerprint=digest(source), imports=_imports(path, source, clean, depth, aliases), parse_errors=B.unmatched(clean))
     lines = B.Lines(source)
-    exported = {n: as_ for m in _BARE.finditer(source) for n, as_ in _names(m[1])}
-    top = [m for m in _DECL.finditer(clean) if clean.count("{", 0, m.start()) == clean.count("}", 0, m.start())]
-    for k, m in enumerate(top):
-        after = top[k + 1].start() if k + 1 < len(top) else len(clean)
-        head_end, end = _end(clean, m, after)
-        text, what = source[m.start() : end].rstrip(), m["what"]
-        names = [m["name"]] if m["name"][0] not in "{[" else [n for _, n in ((a, (b or a).strip()) for a, _, b in (p.strip().partition(":") for p in m["name"][1:-1].split(","))) if n]
-        value = what in ("const", "let", "var")
-        arrow = value and bool(re.match(r"[^=]*=\s*(async\s+)?(function\b|(<[^>]*>\s*)?(\([^;]*?\)|[\w$]+)\s*(:[^=]+)?=>)", clean[m.end() : end], re.S))
-        kind = "callable" if what.startswith("function") or arrow else "container" if what == "class" else "value"
-        signature = B.one_line(source[m.start() : head_end]) if not value or not arrow else B.one_line(re.split(r"=>", source[m.start() : end])[0])
-        if kind == "value":
-            signature = B.one_line(text if what in ("interface", "enum", "type") else re.split(r"(?<![=!<>])=(?![=>])", text)[0])
-        for name in names:
-            s = Symbol(f"{path}::{name}", path, kind, what, lines.of(m.start()), lines.of(max(m.start(), m.start() + len(text) - 1)), signature, text, B.doc_before(source, m.start(), ("//",)), bool(m["export"]) or name in exported, parent=path)
-            if what == "class" and clean[head_end : head_end + 1] == "{":
-                s.members = _members(path, name, source, clean, head_end + 1, end - 1, lines, s.is_exported)
-            out.symbols.append(s)
+    shown = {n for m in _BARE.finditer(clean) if not depth[m.start()] for n, _ in _names(m[1])}
+
+    def add(name: str, kind: str, raw: str, lo: int, hi: int, signature: str, start: int, exported: bool) -> Symbol:
+        text = source[lo:hi].rstrip()
+        s = Symbol(f"{path}::{name}", path, kind, raw, lines.of(lo), lines.of(max(lo, lo + len(text) - 1)), signature, text, B.doc_before(source, start, ("//",)), exported or name in shown, parent=path)
+        out.symbols.append(s)
+        return s
+
+    for m in _DECL.finditer(clean):
+        start, what = m.start("head"), m["what"]
+        if depth[start]:
+            continue
+        exported = bool(m["export"])
+        if what == "const":
+            end = _stop(clean, m.start("name"), len(clean))
+            for a, b in B.split_top(clean, m.start("name"), end):
+                a += len(clean[a:b]) - len(clean[a:b].lstrip())
+                if clean[a : a + 1] in "{[":
+                    close = B.close_of(clean, a)
+                    for n in _bound(clean, a + 1, close):
+                        add(n, "value", "const", a, b, f"const {n}", start, exported)
+                elif n := re.compile(r"[A-Za-z_$][\w$]*").match(clean, a):
+                    arrow = _ARROW.match(clean, n.end(), b)
+                    head = arrow.end() if arrow and clean[: arrow.end()].endswith("=>") else clean.find("{", n.end(), b) if arrow else b
+                    typed = re.compile(r"\s*:(?P<t>(?:[^=]|=>)*)").match(clean, n.end(), b)
+                    signature = f"const {B.one_line(source[a:head]).removesuffix('=>').rstrip()}" if arrow else f"const {n[0]}" + (f": {B.one_line(source[typed.start('t') : typed.end('t')])}" if typed else "")
+                    add(n[0], "callable" if arrow else "value", "function" if arrow else "const", a, b, signature, start, exported)
+            continue
+        if m["name"] in "{[" or m["default"] and m["name"] in ("extends", "implements"):
+            continue  # an unnamed default declares nothing
+        if what == "type":
+            end = _stop(clean, m.end(), len(clean))
+            add(m["name"], "value", "type", start, end, B.one_line(source[start:end]), start, exported)
+            continue
+        brace = _brace(clean, m.end())
+        if brace < 0:  # an overload, or a declaration without a body
+            end = _stop(clean, m.end(), len(clean))
+            if what.startswith("function"):
+                add(m["name"], "callable", "function", start, end, B.one_line(source[start:end]), start, exported)
+            continue
+        close = B.close_of(clean, brace)
+        end = close + 1 if close >= 0 else len(clean)
+        if what.startswith("function"):
+            add(m["name"], "callable", "function", start, end, B.one_line(source[start:brace]), start, exported)
+        elif what == "class":
+            s = add(m["name"], "container", "class", start, end, B.one_line(source[start:brace]), start, exported)
+            s.members = _members(path, m["name"], source, clean, brace + 1, end - 1, lines, s.is_exported)
+        else:
+            add(m["name"], "value", what, start, end, B.one_line(source[start:end]), start, exported)
     out.symbols = fold_same_id(out.symbols)
-    out.flows = sorted({("route-literal", m[2].split("?")[0]) for m in _FETCH.finditer(source) if "${" not in m[2].split("?")[0]})
-    out.flows += sorted({("table-ref", m[3]) for m in _TABLE.finditer(source) if not (m[1] or "x")[0].isupper()})
-    out.flows += sorted({("component", m[1]) for m in _TAG.finditer(source)}) if path.endswith("x") else []
+    quoted = lambda m: clean[m.start()] != " "  # noqa: E731  not in a comment or string
+    out.flows = sorted({("route-literal", m[2].split("?")[0]) for m in _FETCH.finditer(source) if quoted(m) and "${" not in m[2].split("?")[0]})
+    out.flows += sorted({("table-ref", m[3]) for m in _TABLE.finditer(source) if clean[m.end() - 1] == ")" and not (m[1] or "x")[0].isupper()})
+    out.flows += sorted({("component", m[1]) for m in _TAG.finditer(source) if quoted(m)}) if path.endswith("x") else []
     return out
 
 
+def _brace(clean: str, at: int) -> int:
+    """The brace that opens a body: past parameters and types; -1 if the statement ends before."""
+    i = at
+    while i < len(clean):
+        c = clean[i]
+        if c in "([":
+            j = B.close_of(clean, i)
+            i = j if j >= 0 else i
+        elif c == "{":
+            before = clean[at:i].rstrip()
+            if not before.endswith((":", "|", "&", "<", ",")):
+                return i
+            j = B.close_of(clean, i)  # an object type
+            i = j if j >= 0 else i
+        elif c == ";" or c == "}":
+            return -1
+        elif c == "\n" and clean[at:i].rstrip().endswith(")") and re.match(r"\s*(?:export|import|function|class|const|let|var|type|interface|enum|async|declare|abstract|$)\b", clean[i : i + 40]):
+            return -1
+        i += 1
+    return -1
+
+
 def _members(path: str, owner: str, source: str, clean: str, lo: int, hi: int, lines: B.Lines, exported: bool) -> list[Symbol]:
     found = []
     for item in B.items(clean, lo, hi, ";\n"):
