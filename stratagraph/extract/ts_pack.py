@@ -90,6 +90,15 @@ def _stop(clean: str, at: int, hi: int) -> int:
     return hi
 
 
+def _without_generics(clean: str, at: int) -> str:
+    """The text with the commas of type arguments from ``at`` on as spaces."""
+    head, rest = clean[:at], clean[at:]
+    rest = re.sub(r"(?<==)(\s*(?:async\s*)?)<([^<>()]*(?:<[^<>()]*>[^<>()]*)*)>(?=\s*\()", lambda m: f"{m[1]} {m[2].replace(',', ' ')} ", rest)
+    for _ in range(3):  # innermost first
+        rest = re.sub(r"(?<=[\w$])<([^<>;=]*)>", lambda m: f" {m[1].replace(',', ' ')} ", rest)
+    return head + rest
+
+
 def _bound(clean: str, lo: int, hi: int) -> list[str]:
     """The names that a pattern binds: what stands before a default and after a key."""
     out = []
@@ -128,7 +137,7 @@ def extract(path: str, source: str, aliases: dict[str, str] | None = None) -> Ex
         exported = bool(m["export"])
         if what == "const":
             end = _stop(clean, m.start("name"), len(clean))
-            for a, b in B.split_top(clean, m.start("name"), end):
+            for a, b in B.split_top(_without_generics(clean[:end], m.start("name")), m.start("name"), end):
                 a += len(clean[a:b]) - len(clean[a:b].lstrip())
                 if clean[a : a + 1] in "{[":
                     close = B.close_of(clean, a)
@@ -186,7 +195,7 @@ def _brace(clean: str, at: int) -> int:
             i = j if j >= 0 else i
         elif c == ";" or c == "}":
             return -1
-        elif c == "\n" and clean[at:i].rstrip().endswith(")") and re.match(r"\s*(?:export|import|function|class|const|let|var|type|interface|enum|async|declare|abstract|$)\b", clean[i : i + 40]):
+        elif c == "\n" and re.match(r"\s*(?:export|import|function|class|const|let|var|type|interface|enum|async|declare|abstract|$)\b", clean[i : i + 40]):
             return -1
         i += 1
     return -1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.operators import features, linking
 from stratagraph.plans.registry import Tables, query
+from stratagraph.plans.variants import VARIANTS
 from stratagraph.sources import index as I
 from stratagraph.sources import repo
 
@@ -21,28 +22,54 @@ TEMPLATES = {
 PART_SQL = "p AS (SELECT p_partkey AS k, least(p_partkey + 1, (SELECT max(p_partkey) FROM part)) AS n, p_size AS s FROM part)"
 
 
-def tree(t: Tables, pack: str) -> DataFrame:
-    """The files of a pack, as (file, text)."""
-    path, text = TEMPLATES[pack]
+def _filled(t: Tables, shapes: list[tuple[str, str]], braces: bool) -> DataFrame:
+    """The files (file, text) that each part makes of each (path, text); doubled braces stand for one if ``braces``."""
     last = t.part.agg(F.max("p_partkey").alias("last"))  # one row
     rows = t.part.select("p_partkey", "p_size").crossJoin(F.broadcast(last))
     values = {"k": F.col("p_partkey").cast("string"), "n": F.least(F.col("p_partkey") + 1, F.col("last")).cast("string"), "s": F.col("p_size").cast("string"), "t": F.when(F.col("p_size") % 5 == 0, "True").otherwise("False")}
 
     def fill(template: str):
-        out = F.lit(template.replace("{{", "\1").replace("}}", "\2"))
+        out = F.lit(template.replace("{{", "\1").replace("}}", "\2") if braces else template)
         for name, value in values.items():
             out = F.replace(out, F.lit("{" + name + "}"), value)
-        return F.translate(out, "\1\2", "{}")
+        return F.translate(out, "\1\2", "{}") if braces else out
+
+    made = F.array(*[F.struct(fill(path).alias("file"), fill(text).alias("text")) for path, text in shapes])
+    return rows.select(F.explode(made).alias("f")).select("f.*")
 
-    return rows.select(fill(path).alias("file"), fill(text).alias("text"))
+
+def tree(t: Tables, pack: str) -> DataFrame:
+    """The files of a pack, as (file, text)."""
+    return _filled(t, [TEMPLATES[pack]], True)
 
 
 def relations(t: Tables, pack: str) -> I.Relations:
     return I.Relations.of(I.extract(repo.routed(tree(t, pack), pack)))
 
 
+def varied(t: Tables, pack: str) -> I.Relations:
+    """Of the plain files and of the awkward ones."""
+    files = tree(t, pack).unionByName(_filled(t, [(path, text) for path, text, _, _ in VARIANTS[pack]], False))
+    return I.Relations.of(I.extract(repo.routed(files, pack)))
+
+
 def symbols(t: Tables, pack: str) -> DataFrame:
-    return relations(t, pack).symbols.select("id", "kind", "is_exported", "start_line", "end_line")
+    return varied(t, pack).symbols.select("id", "kind", "is_exported", "start_line", "end_line")
+
+
+def _sql_text(text: str) -> str:
+    """A text with {k} and {n} as an SQL expression over the part table."""
+    return "replace(replace('" + text.replace("'", "''") + "', '{k}', k::VARCHAR), '{n}', n::VARCHAR)"
+
+
+def _with_variants(sql: str, pack: str) -> str:
+    rows = [f"SELECT {_sql_text(f'{path}::{name}')}, '{kind}', {str(shown).lower()}, {a}, {b} FROM p" for path, _, own, _ in VARIANTS[pack] for name, kind, shown, a, b in own]
+    return " UNION ALL ".join([sql, *rows])
+
+
+def _imports_sql(pack: str) -> str:
+    rows = [f"SELECT {_sql_text(path)} AS from_file, {_sql_text(spec)} AS specifier, {_sql_text(name) if name else 'NULL::VARCHAR'} AS imported_name, '{form}' AS form FROM p" for path, _, _, own in VARIANTS[pack] for spec, name, form in own]
+    return f"WITH {PART_SQL} " + " UNION ALL ".join(rows)
 
 
 def _rows_sql(path: str, rows: list[str]) -> str:
@@ -71,14 +98,31 @@ JAVA_SQL = _rows_sql("'src/main/java/p/J' || k || '.java'", [
     _row("'J' || k || '::K'", "'container'", "false", 9, 9), _row("'J' || k || '::K::A'", "'value'", "false", 9, 9), _row("'J' || k || '::K::B'", "'value'", "false", 9, 9),
 ])
 CPP_SQL = _rows_sql("'include/c' || k || '.h'", [
-    _row("'w::C' || k", "'container'", "true", 4, 9), _row("'w::C' || k || '::go'", "'callable'", "true", 6, 6), _row("'w::C' || k || '::q_'", "'value'", "false", 8, 8), _row("'w::f' || k", "'callable'", "true", 11, 11),
+    _row("'w::C' || k", "'container'", "true", 4, 9), _row("'w::C' || k || '::go'", "'callable'", "false", 6, 6), _row("'w::C' || k || '::q_'", "'value'", "false", 8, 8), _row("'w::f' || k", "'callable'", "true", 11, 11),
 ])
 
-query("e05_python_symbols", PY_SQL)(lambda t: symbols(t, "python"))
-query("e01_typescript_symbols", TS_SQL)(lambda t: symbols(t, "typescript"))
-query("e02_rust_symbols", RUST_SQL)(lambda t: symbols(t, "rust"))
-query("e04_java_symbols", JAVA_SQL)(lambda t: symbols(t, "java"))
-query("e06_cpp_symbols", CPP_SQL)(lambda t: symbols(t, "cpp"))
+query("e05_python_symbols", _with_variants(PY_SQL, "python"))(lambda t: symbols(t, "python"))
+query("e01_typescript_symbols", _with_variants(TS_SQL, "typescript"))(lambda t: symbols(t, "typescript"))
+query("e02_rust_symbols", _with_variants(RUST_SQL, "rust"))(lambda t: symbols(t, "rust"))
+query("e04_java_symbols", _with_variants(JAVA_SQL, "java"))(lambda t: symbols(t, "java"))
+query("e06_cpp_symbols", _with_variants(CPP_SQL, "cpp"))(lambda t: symbols(t, "cpp"))
+
+
+def _variant_imports(pack: str):
+    """What the awkward files import, as they write it."""
+
+    def run(t: Tables) -> DataFrame:
+        rel = I.Relations.of(I.extract(repo.routed(_filled(t, [(path, text) for path, text, _, _ in VARIANTS[pack]], False), pack)))
+        return rel.imports.where("form <> 'qualified'").select("from_file", "specifier", "imported_name", "form")
+
+    return run
+
+
+query("e11_typescript_awkward_imports", _imports_sql("typescript"))(_variant_imports("typescript"))
+query("e12_rust_awkward_imports", _imports_sql("rust"))(_variant_imports("rust"))
+query("e13_java_awkward_imports", _imports_sql("java"))(_variant_imports("java"))
+query("e14_python_awkward_imports", _imports_sql("python"))(_variant_imports("python"))
+query("e15_cpp_awkward_includes", _imports_sql("cpp"))(_variant_imports("cpp"))
 
 
 def _resolved(t: Tables, pack: str) -> DataFrame:
