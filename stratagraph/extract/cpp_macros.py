@@ -113,7 +113,7 @@ def blank_macros(text: str) -> str:
         text = _wipe(text, m.start(), _call_end(text, m.end()))
     for pattern in (_BRACKETS, _INSTANCE, _MODULE):
         text = pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    for _ in range(4):  # annotations in a row; four is more than declarations have
+    for _ in range(6):  # annotations in a row; more passes than declarations have
         found = _found(text)
         if not found:
             break
@@ -129,6 +129,8 @@ def _found(text: str) -> list[tuple[int, int]]:
         name = re.compile(r"\s*([A-Za-z_]\w*)").match(text, end)
         if name and name[1] != "final":  # a name follows: this one is not the class's own
             out.append((m.start("macro"), end))
+    if out:  # what follows a class's macro is its name, not an annotation: the other rules wait for the next pass
+        return out
     for m in _LABEL.finditer(text):
         if m["macro"].rstrip(":").strip() not in ("public", "private", "protected"):
             out.append((m.start("macro"), m.end("macro")))

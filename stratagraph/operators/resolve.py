@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,10 +71,21 @@ def word_join(reach: DataFrame, offered: DataFrame, words: DataFrame) -> DataFra
     return reach.join(offered, "header").join(words.withColumnRenamed("word", "name"), ["file", "name"], "left_semi")
 
 
+def words_written(reach: DataFrame, offered: DataFrame) -> DataFrame:
+    """The same where each reached row carries its file's words as an array: one equi join on the header, no word is shuffled."""
+    return reach.join(offered, "header").where(F.array_contains("words", F.col("name")))
+
+
+def scoped_by_words(imports: DataFrame, name: str, words: str, target: str, itself: Column) -> DataFrame:
+    """Imports whose name the words beside them hold, without those that lead to the part itself."""
+    return imports.where(F.array_contains(words, F.col(name)) & ~F.col(target).eqNullSafe(itself))
+
+
 def unique_shallowest(candidates: DataFrame, key: str, depth: str, value: str) -> DataFrame:
     """(key, value) where the smallest depth has one candidate only."""
-    best = candidates.withColumn("low", F.min(depth).over(Window.partitionBy(key))).where(F.col(depth) == F.col("low"))
-    return best.groupBy(key).agg(F.count_distinct(value).alias("n"), F.min(value).alias(value)).where("n = 1").drop("n")
+    at_depth = candidates.groupBy(key, depth).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    best = at_depth.groupBy(key).agg(F.min_by(F.struct("_low", "_high"), depth).alias("b"))
+    return best.where("b._low = b._high").select(key, F.col("b._low").alias(value))
 
 
 def accuracy(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

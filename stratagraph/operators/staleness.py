@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,13 +31,13 @@ def successors(old: DataFrame, live: DataFrame) -> DataFrame:
 
     Rows of the same name come first; several that are left make no successor.
     """
-    met = old.join(live.select(F.col("id").alias("to"), F.col("name").alias("to_name"), "hash"), "hash")
-    per = Window.partitionBy("id")
-    met = met.withColumn("named", F.max((F.col("name") == F.col("to_name")).cast("int")).over(per))
-    left = met.where((F.col("named") == 0) | (F.col("name") == F.col("to_name")))
-    one = left.groupBy("id").agg(F.count("*").alias("n"), F.min("to").alias("to"), F.max("named").alias("named"))
-    how = F.when(F.col("n") > 1, "ambiguous").when(F.col("named") == 1, "same_name").otherwise("renamed")
-    return one.select("id", F.when(F.col("n") == 1, F.col("to")).alias("successor"), how.alias("how"))
+    # Live rows are counted per hash, and per hash and name, before they meet: a common text costs one row, not its square.
+    by_hash = live.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("to"))
+    by_name = live.where("name IS NOT NULL").groupBy("hash", "name").agg(F.count("*").alias("named"), F.min("id").alias("named_to"))
+    met = old.select("id", "name", "hash").join(by_hash, "hash").join(by_name, ["hash", "name"], "left")
+    n, to = F.coalesce("named", "n"), F.coalesce("named_to", "to")
+    how = F.when(n > 1, "ambiguous").when(F.col("named").isNotNull(), "same_name").otherwise("renamed")
+    return met.select("id", F.when(n == 1, to).alias("successor"), how.alias("how"))
 
 
 def lineage_vote(resolved: DataFrame, old: str, new: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratagraph.functions import text as X
 from stratagraph.operators import adopt as A
 from stratagraph.operators import graph as G
+from stratagraph.operators import reports as R
 from stratagraph.plans.edges import EDGES_SQL, part_graph
 from stratagraph.plans.registry import Tables, query
 
@@ -123,10 +124,7 @@ def f18(t: Tables) -> DataFrame:
 )
 def f22(t: Tables) -> DataFrame:
     """Signatures instead of bodies when a container is large."""
-    rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    g = t.conversations.groupBy("conv_id").agg(rows.alias("r"), F.sum(F.octet_length("text")).alias("size"))
-    outline = F.transform("r", lambda x: F.concat_ws(" ", x.role, F.substring(x.text, 1, 20)))
-    return g.select("conv_id", F.array_join(F.when(F.col("size") > 600, outline).otherwise(F.transform("r", lambda x: x.text)), "\n").alias("shown"))
+    return R.outline(t.conversations, "conv_id", "turn", F.concat_ws(" ", "role", F.substring("text", 1, 20)), "text", 600)
 
 
 @query(
@@ -147,7 +145,7 @@ def x02(t: Tables) -> DataFrame:
 
 @query("a29_fold_cost", "SELECT l_partkey, count(DISTINCT l_orderkey) AS importers, count(*) FILTER (l_quantity > 25) AS naming FROM lineitem GROUP BY l_partkey")
 def a29(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("importers"), F.count_if(F.col("l_quantity") > 25).alias("naming"))
+    return R.fold_cost(t.lineitem, "l_partkey", "l_orderkey", F.col("l_quantity") > 25)
 
 
 @query("a30_migration_report", "SELECT CASE WHEN l.doc_id IS NULL THEN 'unreadable' WHEN l.quality = 1 THEN 'migrated' ELSE 'skipped' END AS outcome, count(*) AS documents FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
@@ -156,7 +154,7 @@ def a30(t: Tables) -> DataFrame:
     labels = t.labels.select(F.col("doc_id").alias("l_id"), "quality")
     d = t.documents.select("doc_id").join(labels, F.col("doc_id") == F.col("l_id"), "left")
     outcome = F.when(F.col("l_id").isNull(), "unreadable").when(F.col("quality") == 1, "migrated").otherwise("skipped")
-    return d.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("documents"))
+    return R.counts_of(d, outcome, "outcome")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.operators import coverage as C
+from stratagraph.operators import reports as R
 from stratagraph.plans.registry import Tables, query
 
 ITEMS_SQL = """items AS (
@@ -113,8 +114,7 @@ FROM lineitem GROUP BY l_orderkey""",
 )
 def a10(t: Tables) -> DataFrame:
     """A file is current only if all its parts are."""
-    status = F.when(F.bool_and(F.col("l_returnflag") == "R"), "missing").when(F.bool_and(F.col("l_linestatus") == "F"), "current").otherwise("stale")
-    return t.lineitem.groupBy("l_orderkey").agg(status.alias("status"))
+    return R.file_status(t.lineitem, "l_orderkey", F.col("l_returnflag") == "R", F.col("l_linestatus") == "F")
 
 
 @query(
@@ -123,8 +123,7 @@ def a10(t: Tables) -> DataFrame:
 FROM lineitem GROUP BY l_orderkey""",
 )
 def a09(t: Tables) -> DataFrame:
-    parts = F.count_if((F.col("l_returnflag") != "N") | (F.col("l_quantity") > 45))
-    return t.lineitem.groupBy("l_orderkey").agg((parts + F.max((F.col("l_linestatus") == "O").cast("int"))).alias("generations"))
+    return R.pending_generations(t.lineitem, "l_orderkey", (F.col("l_returnflag") != "N") | (F.col("l_quantity") > 45), F.col("l_linestatus") == "O")
 
 
 @query("p18_needs_attention", f"WITH {ITEMS_SQL} SELECT id, status, smelly FROM items WHERE status <> 'current' OR smelly")
@@ -190,8 +189,7 @@ def x07(t: Tables) -> DataFrame:
 )
 def x08(t: Tables) -> DataFrame:
     """An upper document's task opens only when all its children are current."""
-    done = F.col("status") == "current"
-    return items(t).groupBy("module").agg(F.bool_and(done).alias("ready"), F.count_if(~done).alias("blocking"))
+    return R.children_gate(items(t), "module", F.col("status") == "current")
 
 
 @query(
@@ -204,8 +202,7 @@ def x09(t: Tables) -> DataFrame:
     """How a file is shown: whole if small, an outline if one part dominates, summaries if it has many parts."""
     parts, size = F.split("text", "\n"), F.octet_length("text")
     share = F.least(F.lit(100), F.floor(100 * F.array_max(F.transform(parts, F.octet_length)) / F.greatest(size, F.lit(1))))
-    rung = F.when(F.ceil(size / 4000) <= 2, "raw").when(share >= 70, "outline").when(F.size(parts) >= 8, "summaries").otherwise("raw")
-    return t.documents.select("doc_id", rung.alias("rung"))
+    return t.documents.select("doc_id", R.ladder(size, share, F.size(parts)).alias("rung"))
 
 
 @query(
@@ -218,12 +215,10 @@ def a17(t: Tables) -> DataFrame:
     """The ten worst partly read files (own code, then tests, then generated) beside the totals."""
     errors = (F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))).cast("long")
     f = t.documents.select("doc_id", "lang", errors.alias("errors"))
-    totals = f.agg(F.count_if(F.col("errors") > 0).alias("files"), F.sum("errors").alias("all_errors"))  # one row
     rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2)
-    worst = f.where("errors > 0").select("doc_id", "errors", rank.alias("rank")).orderBy("rank", F.desc("errors"), "doc_id").limit(10)
-    return worst.crossJoin(F.broadcast(totals))
+    return R.worst_read(f, "doc_id", "errors", rank)
 
 
 @query("a18_generated_count", "SELECT count(*) FILTER (lang = 'fr') AS generated, count(*) AS files FROM documents")
 def a18(t: Tables) -> DataFrame:
-    return t.documents.agg(F.count_if(F.col("lang") == "fr").alias("generated"), F.count("*").alias("files"))
+    return R.generated_count(t.documents, F.col("lang") == "fr")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.operators import graph as G
+from stratagraph.operators import reports as P
 from stratagraph.operators import resolve as R
 from stratagraph.plans.registry import Tables, query
 
@@ -31,7 +32,7 @@ def j02(t: Tables) -> DataFrame:
 @query("j04_default_imports", "SELECT l_orderkey, p_name AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND p_size <= 45")
 def j04(t: Tables) -> DataFrame:
     part = t.part.where("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("target"))
-    return t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_partkey").join(part, "l_partkey").select("l_orderkey", "target")
+    return P.default_targets(t.lineitem.where("l_linenumber = 1"), part, "l_partkey", "l_orderkey", "target")
 
 
 @query(
@@ -49,7 +50,7 @@ def j07(t: Tables) -> DataFrame:
     lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
     impl = lines.where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("impl"))
     kind = lines.where("l_returnflag = 'N'").select("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("type"))
-    return impl.join(kind, ["l_orderkey", "l_suppkey"]).select("l_orderkey", "impl", "type").distinct()
+    return P.same_file_pairs(impl, kind, ["l_orderkey", "l_suppkey"], "l_orderkey").select("l_orderkey", "impl", "type")
 
 
 PATH_SQL = "regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')"
@@ -86,7 +87,7 @@ HREF_SQL = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"',
 
 
 def hrefs(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return P.link_literals(t.pages, "page_id", "html", 'href="([^"]*)"').withColumnRenamed("literal", "href")
 
 
 @query("e16_link_literals", f"WITH h AS ({HREF_SQL}) SELECT href, count(*) AS links, count(DISTINCT page_id) AS pages FROM h GROUP BY href")
@@ -96,8 +97,7 @@ def e16(t: Tables) -> DataFrame:
 
 @query("e18_distinct_tags", "SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)))::VARCHAR AS tags FROM pages")
 def e18(t: Tables) -> DataFrame:
-    tags = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))))
-    return t.pages.select("page_id", F.concat(F.lit("["), F.array_join(tags, ", "), F.lit("]")).alias("tags"))
+    return t.pages.select("page_id", F.concat(F.lit("["), F.array_join(P.distinct_tags(F.col("html")), ", "), F.lit("]")).alias("tags"))
 
 
 @query(
@@ -119,9 +119,7 @@ def j14(t: Tables) -> DataFrame:
 def j15(t: Tables) -> DataFrame:
     """The first schema symbol whose last id part equals the name."""
     names = t.orders.select(F.col("o_orderpriority").alias("name")).distinct()
-    names = names.select("name", F.explode(F.array(F.col("name"), F.upper(F.substring("name", 3, 100)))).alias("table")).distinct()
-    target = t.customer.groupBy(F.col("c_mktsegment").alias("table")).agg(F.min("c_custkey").alias("target"))
-    return names.join(target, "table").groupBy("name").agg(F.min("target").alias("target"))
+    return P.named_tables(names, t.customer.select(F.col("c_mktsegment").alias("table"), "c_custkey"), "name", "table", "c_custkey")
 
 
 @query(
@@ -174,8 +172,8 @@ def j12(t: Tables) -> DataFrame:
     d = t.documents
     pairs = [("en", "The"), ("en", "and"), ("de", "und"), ("de", "der"), ("fr", "les"), ("es", "que"), ("es", "the")]
     offered = t.spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(h).alias("header"), F.lit(n).alias("name")) for h, n in pairs])).alias("o")).select("o.*")
-    wrote = d.select(F.col("doc_id").alias("file"), F.explode(words(F.col("text"))).alias("word"))
-    return R.word_join(d.select(F.col("doc_id").alias("file"), F.col("lang").alias("header")), F.broadcast(offered), wrote).select("file", "header", "name")
+    reached = d.select(F.col("doc_id").alias("file"), F.col("lang").alias("header"), words(F.col("text")).alias("words"))
+    return R.words_written(reached, F.broadcast(offered)).select("file", "header", "name")  # seven names
 
 
 @query(
@@ -200,21 +198,20 @@ def j25(t: Tables) -> DataFrame:
 
     d = t.documents
     name = F.when(F.col("lang") == "en", "the").when(F.col("lang") == "de", "und").when(F.col("lang") == "fr", "les").otherwise("que")
-    imports = d.select("doc_id", F.col("source").alias("target"), name.alias("word"))
-    wrote = d.select("doc_id", F.explode(words(F.col("text"))).alias("word"))
+    imports = d.select("doc_id", F.col("source").alias("target"), name.alias("word"), words(F.col("text")).alias("words"))
     itself = F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"))
-    return imports.join(wrote, ["doc_id", "word"], "left_semi").where(~F.col("target").eqNullSafe(itself)).select("doc_id", "target")
+    return R.scoped_by_words(imports, "word", "words", "target", itself).select("doc_id", "target")
 
 
 @query("j26_externals", f"WITH h AS ({HREF_SQL}) SELECT page_id, regexp_extract(href, '^[^/:]*[/:]*([^/:]*)', 1) AS package, count(*) AS uses FROM h GROUP BY ALL")
 def j26(t: Tables) -> DataFrame:
-    return hrefs(t).groupBy("page_id", F.regexp_extract("href", "^[^/:]*[/:]*([^/:]*)", 1).alias("package")).agg(F.count("*").alias("uses"))
+    return P.externals(hrefs(t), "page_id", F.col("href"))
 
 
 @query("j27_file_dependencies", "SELECT DISTINCT l_orderkey, l_partkey, p_brand AS hash FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 45")
 def j27(t: Tables) -> DataFrame:
     part = t.part.where("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("hash"))
-    return t.lineitem.select("l_orderkey", "l_partkey").join(part, "l_partkey").distinct().select("l_orderkey", "l_partkey", "hash")
+    return P.file_dependencies(t.lineitem, part, "l_orderkey", "l_partkey", "hash")
 
 
 @query(
@@ -225,7 +222,7 @@ FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
 def j29(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("summary"))
     fallback = F.concat_ws(" / ", "o_orderpriority", "o_orderstatus")
-    return t.orders.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("summary", fallback).alias("context"))
+    return P.dependency_context(t.orders, c, F.col("o_custkey") == F.col("c_custkey"), "summary", fallback).select("o_orderkey", "context")
 
 
 @query(
@@ -336,7 +333,7 @@ def g07(t: Tables) -> DataFrame:
 def p03(t: Tables) -> DataFrame:
     """A node and its owners, by key."""
     owners = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    return t.customer.where(F.col("c_custkey").isin(3, 77, 1200)).join(F.broadcast(owners), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name", "r_name")
+    return P.owned(t.customer, F.broadcast(owners), [3, 77, 1200], "c_custkey", "c_nationkey", "n_nationkey").select("c_custkey", "c_name", "n_name", "r_name")  # 25 owners
 
 
 @query("t04_intersect", "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N'")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.operators import reports as R
 from stratagraph.operators import search as S
 from stratagraph.plans.registry import Tables, query
 
@@ -16,19 +17,15 @@ SELECT conv_id, turn, least(100, CASE WHEN every = 0 THEN 0 ELSE big * 100 // ev
 )
 def w09(t: Tables) -> DataFrame:
     """The largest part of each file, the first of equals, and its share."""
-    size = F.octet_length("text")
-    s = t.conversations.groupBy("conv_id").agg(F.max_by("turn", F.struct(size.alias("b"), (-F.col("turn")).alias("o"))).alias("turn"), F.max(size).alias("big"), F.sum(size).alias("every"))
-    share = F.when(F.col("every") == 0, 0).otherwise(F.floor(F.col("big") * 100 / F.col("every")))
-    return s.select("conv_id", "turn", F.least(F.lit(100), share).cast("int").alias("percent"))
+    return R.largest_part(t.conversations, "conv_id", "turn", F.octet_length("text"))
 
 
 @query("w10_declaration_order", "SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS members FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 45) GROUP BY 1")
 def w10(t: Tables) -> DataFrame:
     """Members in source order, without those that are gone."""
     live = t.part.where("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"))
-    own = t.lineitem.join(live, "l_partkey", "left_semi")
-    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))
-    return own.groupBy("l_orderkey").agg(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r.l_linenumber, r.l_partkey)), " ").alias("members"))
+    own = R.members_in_order(t.lineitem, live, "l_orderkey", "l_partkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    return own.select("l_orderkey", F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r.l_linenumber, r.l_partkey)), " ").alias("members"))
 
 
 @query(
@@ -47,27 +44,20 @@ SELECT lang, x[(round((len(x) - 1) * 0.5) + 1)::INT] AS p50, x[(round((len(x) -
 )
 def a26(t: Tables) -> DataFrame:
     """Nearest rank, exact: values are counted first, so a window sees a row per distinct value and language."""
-    counts = t.documents.groupBy("lang", "n_chars").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("n_chars"))
-    ranked = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.round((F.col("all") - 1) * F.lit(p)) + 1, F.col("n_chars")))
-    return ranked.groupBy("lang").agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    return R.nearest_ranks(t.documents, "lang", "n_chars", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 @query("a23_identical_dependencies", "WITH d AS (SELECT conv_id, role, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS deps FROM conversations GROUP BY ALL) SELECT conv_id, count(*) >= 2 AND count(DISTINCT deps) = 1 AS identical FROM d GROUP BY conv_id")
 def a23(t: Tables) -> DataFrame:
-    deps = F.array_join(F.transform(F.sort_array(F.collect_list("turn")), lambda x: x.cast("string")), ",")
-    d = t.conversations.groupBy("conv_id", "role").agg(deps.alias("deps"))
-    return d.groupBy("conv_id").agg(((F.count("*") >= 2) & (F.count_distinct("deps") == 1)).alias("identical"))
+    return R.identical_sets(t.conversations, "conv_id", "role", "turn")
 
 
 @query("a24_outcome_report", "SELECT count(*) FILTER (l_returnflag = 'R') AS paired, count(*) FILTER (l_returnflag = 'A') AS free, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') AS ambiguous, count(*) FILTER (l_returnflag = 'N' AND l_linestatus <> 'O') AS unmatched FROM lineitem")
 def a24(t: Tables) -> DataFrame:
-    n = lambda test: F.count_if(F.expr(test))
-    return t.lineitem.agg(n("l_returnflag = 'R'").alias("paired"), n("l_returnflag = 'A'").alias("free"), n("l_returnflag = 'N' AND l_linestatus = 'O'").alias("ambiguous"), n("l_returnflag = 'N' AND l_linestatus <> 'O'").alias("unmatched"))
+    tests = {"paired": "l_returnflag = 'R'", "free": "l_returnflag = 'A'", "ambiguous": "l_returnflag = 'N' AND l_linestatus = 'O'", "unmatched": "l_returnflag = 'N' AND l_linestatus <> 'O'"}
+    return R.outcomes(t.lineitem, {name: F.expr(test) for name, test in tests.items()})
 
 
 @query("l07_edge_order", "SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ord FROM lineitem")
 def l07(t: Tables) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return t.lineitem.select("l_orderkey", "l_partkey", F.row_number().over(w).alias("ord"))
+    return R.edge_order(t.lineitem, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).select("l_orderkey", "l_partkey", "ord")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.functions import hashing as H
+from stratagraph.operators import reports as R
 from stratagraph.operators import staleness as S
 from stratagraph.plans.registry import Tables, query
 
@@ -46,7 +47,7 @@ def st4(t: Tables) -> DataFrame:
 @query("p19_in_sync", f"WITH {OLD_SQL} SELECT now.doc_id, now.hash = old.hash AS in_sync FROM now JOIN old USING (doc_id)")
 def p19(t: Tables) -> DataFrame:
     now, old = snapshots(t)
-    return now.join(old.withColumnRenamed("hash", "recorded"), "doc_id").select("doc_id", (F.col("hash") == F.col("recorded")).alias("in_sync"))
+    return R.in_sync(now, old, "doc_id")
 
 
 @query("j31_orphans", f"WITH {OLD_SQL} SELECT doc_id FROM old WHERE doc_id NOT IN (SELECT doc_id FROM now)")
@@ -142,13 +143,13 @@ def a12(t: Tables) -> DataFrame:
 
 @query("l05_top_targets", "SELECT l_partkey, count(*) AS causes FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 ORDER BY causes DESC, l_partkey LIMIT 10")
 def l05(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("causes")).orderBy(F.desc("causes"), "l_partkey").limit(10)
+    return R.top_counts(t.lineitem.where("l_returnflag = 'R'"), "l_partkey", "causes")
 
 
 @query("a14_coarse_distinct", "SELECT count(DISTINCT (l_orderkey, l_partkey)) AS dependants FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40")
 def a14(t: Tables) -> DataFrame:
     big = t.part.where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
-    return t.lineitem.join(big, "l_partkey", "left_semi").select("l_orderkey", "l_partkey").distinct().agg(F.count("*").alias("dependants"))
+    return R.distinct_dependants(t.lineitem, big, "l_orderkey", "l_partkey")
 
 
 @query(
@@ -178,13 +179,9 @@ UNION ALL SELECT 'data', s_suppkey, sha256(s_name) FROM supplier""",
 )
 def j28(t: Tables) -> DataFrame:
     """Core by source, dependencies by interface where there is one, data by source."""
-    row = lambda df, tier, key, text: df.select(F.lit(tier).alias("tier"), F.col(key).alias("target"), H.stable(text).alias("hash"))
     interface = F.coalesce(F.when(F.col("p_size") > 25, F.col("p_name")), F.col("p_brand"))
-    return (
-        row(t.orders, "core", "o_orderkey", F.col("o_orderpriority"))
-        .unionByName(row(t.part, "dependencies", "p_partkey", interface))
-        .unionByName(row(t.supplier, "data", "s_suppkey", F.col("s_name")))
-    )
+    tiers = {"core": (t.orders, "o_orderkey", F.col("o_orderpriority")), "dependencies": (t.part, "p_partkey", interface), "data": (t.supplier, "s_suppkey", F.col("s_name"))}
+    return R.tier_hashes(tiers, H.stable)
 
 
 @query(
@@ -195,8 +192,7 @@ FROM documents d JOIN now USING (doc_id) LEFT JOIN old USING (doc_id)""",
 def j30(t: Tables) -> DataFrame:
     """A child's recorded hash, blank if it is missing or has changed."""
     now, old = snapshots(t)
-    both = t.documents.select("doc_id", "source").join(now, "doc_id").join(old.withColumnRenamed("hash", "stored"), "doc_id", "left")
-    return both.select("source", "doc_id", F.when(F.col("stored").isNull() | (F.col("stored") != F.col("hash")), "").otherwise(F.col("stored")).alias("child_hash"))
+    return R.child_hashes(t.documents.select("source", "doc_id"), now, old, "doc_id").select("source", "doc_id", "child_hash")
 
 
 @query(
@@ -208,9 +204,7 @@ SELECT 'system' AS document, source AS cause, files, because FROM m""",
 def g04(t: Tables) -> DataFrame:
     """System to folder to file causes: three levels of grouping."""
     bad = t.labels.where("quality = 0").select("doc_id")
-    f = t.documents.join(bad, "doc_id").groupBy("source", "lang").agg(F.count("*").alias("files"))
-    because = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lang", "files"))), lambda x: F.concat_ws("=", x.lang, x.files)), ",")
-    return f.groupBy("source").agg(because.alias("because"), F.sum("files").alias("files")).select(F.lit("system").alias("document"), F.col("source").alias("cause"), "files", "because")
+    return R.nested_causes(t.documents.join(bad, "doc_id"), "source", "lang")
 
 
 @query(
@@ -222,4 +216,4 @@ def a19(t: Tables) -> DataFrame:
     labels = t.labels.select(F.col("doc_id").alias("l_id"), "toxic", "quality")
     d = t.documents.select("doc_id").join(labels, F.col("doc_id") == F.col("l_id"), "left")
     what = F.when(F.col("l_id").isNull(), "regenerate").when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "adopted").otherwise("unresolved")
-    return d.groupBy(what.alias("disposition")).agg(F.count("*").alias("documents"))
+    return R.counts_of(d, what, "disposition")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.operators import reports as R
 from stratagraph.plans.registry import Tables, query
 from stratagraph.streaming import sessions as W
 
@@ -27,7 +28,7 @@ def st3(t: Tables) -> DataFrame:
 
 @query("st1_path_sets", "SELECT user_id, CAST(ts AS DATE)::VARCHAR AS day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY ALL")
 def st1(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id", F.col("ts").cast("date").cast("string").alias("day")).agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+    return R.event_sets(t.events, ["user_id", F.col("ts").cast("date").cast("string").alias("day")], "event_type")
 
 
 @query(

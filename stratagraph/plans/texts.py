@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.functions import paths as P
 from stratagraph.functions import text as X
+from stratagraph.operators import reports as R
 from stratagraph.operators import search as S
 from stratagraph.plans.registry import Tables, query
 
@@ -221,8 +222,8 @@ def f17(t: Tables) -> DataFrame:
 
 @query("f19_change_split", "SELECT p_partkey, split_part(p_type || ':' || p_brand || ':x', ':', 1) AS action, substr(p_type || ':' || p_brand || ':x', strpos(p_type || ':' || p_brand || ':x', ':') + 1) AS target FROM part")
 def f19(t: Tables) -> DataFrame:
-    parts = F.split(F.concat_ws(":", "p_type", "p_brand", F.lit("x")), ":", 2)
-    return t.part.select("p_partkey", parts[0].alias("action"), parts[1].alias("target"))
+    action, target = R.change_parts(F.concat_ws(":", "p_type", "p_brand", F.lit("x")))
+    return t.part.select("p_partkey", action.alias("action"), target.alias("target"))
 
 
 @query(
@@ -292,8 +293,4 @@ def w02(t: Tables) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, a ORDER BY turn) AS n FROM h) SELECT conv_id, turn, CASE WHEN n > 1 THEN a || '-' || n - 1 ELSE a END AS anchor FROM r""",
 )
 def w08(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    a = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.concat("role", F.lit(" Part"))), "[^a-z0-9 ]", ""), " +", "-"), "^-+|-+$", "")
-    n = F.row_number().over(Window.partitionBy("conv_id", "a").orderBy("turn"))
-    return t.conversations.select("conv_id", "turn", a.alias("a")).select("conv_id", "turn", F.when(n > 1, F.concat_ws("-", "a", (n - 1).cast("string"))).otherwise(F.col("a")).alias("anchor"))
+    return R.anchors(t.conversations, "conv_id", "turn", F.concat("role", F.lit(" Part"))).select("conv_id", "turn", "anchor")

@@ -53,6 +53,8 @@ def test_typescript(source, names, imports):
 CPP = [
     ("class ALIGN(8) Q { };", ["Q"]),
     ("class EXPORT Q : public B { };", ["Q"]),
+    ("class ALIGN(8) Q10 { Q10& go(); };", ["Q10", "Q10::go"]),
+    ("class DLL_API QUEUE final { };", ["QUEUE"]),
     ("template <typename T, bool B = (sizeof(T) > 4)> class Foo { int x; };", ["Foo", "Foo::x"]),
     ("template <> struct S<int> { };", ["S"]),
     ("template <class T> requires C<T> T f(T t);", ["f"]),
