@@ -24,17 +24,58 @@ from stratagraph.staging import checkpointed
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, pack: str, index: DataFrame):
+    def __init__(self, spark: SparkSession, root: str, pack: str, index: DataFrame, links: tuple[DataFrame, DataFrame] | None = None):
         self.spark, self.root, self.pack = spark, root, pack
         self.index = index
         self.rel = I.Relations.of(index)
+        self.spans = None
+        if links is not None:
+            self.imports, self.flows = links
+            if pack == "cpp":
+                self._pair()
+            return
         self.imports = checkpointed(linking.resolve_imports(self.rel, pack))
         if pack == "cpp":
+            self._pair()
             words = linking.cpp_edges(self.rel, self.imports)
             own = words.select("from_file", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("specifier"), F.regexp_extract("target", "([^:.]*)$", 1).alias("imported_name"), F.lit(None).cast("string").alias("local_name"), F.lit("word").alias("form"), F.substring_index("target", "::", 1).alias("target_file"), "target")
             self.imports = checkpointed(self.imports.unionByName(own))
         self.flows = checkpointed(linking.resolve_flows(self.rel, self.imports))
 
+    def _pair(self) -> None:
+        """Definitions join the declarations that their files reach; what is left of the symbols is the engine's."""
+        from stratagraph.operators import pairing
+
+        pairs = pairing.pair(self.rel.symbols, linking.include_reach(self.imports))
+        symbols, spans = pairing.apply(self.rel.symbols, pairs)
+        self.rel.symbols, self.spans = checkpointed(symbols), checkpointed(spans)
+
+    def save(self, cache: str) -> None:
+        """Store the index and the resolved links beside it."""
+        I.save(self.index, f"{cache}/index")
+        for name, df in (("imports", self.imports), ("flows", self.flows)):
+            df.withColumn("index_digest", F.lit(self._digest(self.index))).write.mode("overwrite").parquet(f"{cache}/{name}")
+
+    @staticmethod
+    def _digest(index: DataFrame) -> str:
+        """Of the files and their texts, whatever their order."""
+        row = index.agg(F.count("*").alias("n"), F.sum(F.xxhash64("file", "source_hash").cast("decimal(38,0)")).alias("s")).first()
+        return f"{row.n}:{row.s}"
+
+    @classmethod
+    def _links(cls, spark: SparkSession, cache: str, index: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """Stored links, if they are of the same files."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            found = [spark.read.parquet(f"{cache}/{name}") for name in ("imports", "flows")]
+        except AnalysisException:
+            return None
+        wanted = cls._digest(index)
+        if any(not df.where(F.col("index_digest") != wanted).isEmpty() for df in found):
+            return None
+        return found[0].drop("index_digest"), found[1].drop("index_digest")
+
     @classmethod
     def build(cls, spark: SparkSession, root: str, pack: str | None = None) -> Engine:
         """A cold build: walk, route, read and extract, all files in one pass."""
@@ -48,14 +89,16 @@ class Engine:
         """From a stored index, extracting only files whose text has changed since."""
         paths = repo.walk(root)
         pack = pack or repo.detect(spark, paths)
-        old = I.load(spark, cache, pack)
+        old = I.load(spark, f"{cache}/index", pack)
+        old = old if old is not None else I.load(spark, cache, pack)
         if old is None:
             return cls.build(spark, root, pack)
         now = repo.routed(repo.read(spark, root, [*paths, *repo.generated(root, paths)]), pack)
         same = now.select("file", F.sha2("text", 256).alias("source_hash"))
         kept = old.join(same, ["file", "source_hash"], "left_semi")
         moved = now.join(kept.select("file"), "file", "left_anti")
-        return cls(spark, root, pack, checkpointed(kept.select(*old.columns).unionByName(I.extract(moved, repo.known_names(root, pack, paths)).select(*old.columns))))
+        index = checkpointed(kept.select(*old.columns).unionByName(I.extract(moved, repo.known_names(root, pack, paths)).select(*old.columns)))
+        return cls(spark, root, pack, index, cls._links(spark, cache, index))  # links are resolved again only where a file has moved
 
     # Lookups
 
@@ -116,8 +159,9 @@ class Engine:
         hashed = targets.join(self._target_hashes(), "target")
         files = hashed.select("file", F.col("file").alias("owner"), "target", "hash")
         texts = self.documented().select("file", "id", "start_line", "end_line").join(self.rel.files.select("file", "text"), "file")
-        wrote = texts.select("file", F.col("id").alias("owner"), F.explode(X.words(X.span(F.col("text"), F.col("start_line"), F.col("end_line")))).alias("word"))
-        return files.unionByName(wrote.join(hashed, ["file", "word"]).where("target <> owner").select("file", "owner", "target", "hash")).distinct()
+        wrote = texts.select("file", F.col("id").alias("owner"), X.words(X.span(F.col("text"), F.col("start_line"), F.col("end_line"))).alias("words"))
+        scoped = wrote.join(hashed, "file").where(F.array_contains("words", F.col("word")) & (F.col("target") != F.col("owner")))
+        return files.unionByName(scoped.select("file", "owner", "target", "hash")).distinct()
 
     def hashes(self) -> DataFrame:
         """(id, file, source_hash, deps_hash) of every file and symbol that should have a document."""
@@ -137,9 +181,7 @@ class Engine:
         docs, sections, _, _ = self._stored()
         stored = docs.where("doc_kind = 'file'").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file"), F.col("fingerprint").alias("source_hash"), "deps_hash", "spec_hash")
         stored = stored.unionByName(sections.select(F.col("symbol_id").alias("id"), F.col("doc_id").alias("file"), "source_hash", "deps_hash", "spec_hash")).where("spec_hash <> ''")
-        pair = lambda df: df.select("id", "file", F.explode(F.create_map(F.lit("source"), F.col("source_hash"), F.lit("dependencies"), F.col("deps_hash"))).alias("what", "hash"))
-        diff = S.hash_diff(pair(self.hashes()), pair(stored), ["id", "file", "what"])
-        return diff.select("id", "file", F.concat_ws(":", "action", "what").alias("change"))
+        return S.unit_changes(self.hashes(), stored, ["id", "file"])
 
     def coverage(self, scope: str = "") -> DataFrame:
         """One row per document that should exist: files and folders; with status, fan-in, smells, generations."""
@@ -213,6 +255,41 @@ class Engine:
         source = self.get_source(row.id).first()
         return {"id": row.id, "changes": list(row.changes), "action": row.action, "source": source.source, "truncated": source.truncated}
 
+    def next_unit(self, target: str = "", cursor: int = 0) -> dict | None:
+        """The next task of a file, a folder, a feature or the whole system (``system`` or nothing), from the bottom up.
+
+        Files come before their folder's document, folders before features, features before the system; a document
+        whose parts aren't current yet has no task of its own. ``cursor`` skips that many units that are due.
+        """
+        from stratagraph.operators import reports
+
+        if self.rel.files.where(F.col("file") == target).count():
+            return self.next_task(target)
+        items, upper = self.coverage(), self.upper_status()
+        due = items.where("status <> 'current' OR smelly").select("id", "kind", "module", "status")
+        ready = reports.children_gate(items.where("kind = 'file' AND role <> 'test'"), "module", F.col("status") == "current").where("ready").select("module")
+        files = due.where("kind = 'file'").select("id", "kind", "module")
+        folders = due.where("kind = 'rollup'").join(ready, "module", "left_semi").select("id", "kind", "module")
+        parts = self.participants().where("tier = 'core'").select(F.concat(F.lit("feature:"), "entry").alias("id"), F.col("target").alias("file")).join(items.select(F.col("id").alias("file"), "status"), "file")
+        open_ = parts.where("status <> 'current'").select("id").distinct()
+        features_ = upper.where("kind = 'feature' AND status <> 'current'").join(open_, "id", "left_anti").select("id", "kind", F.lit("").alias("module"))
+        system = upper.where("kind = 'system' AND status <> 'current'").select("id", "kind", F.lit("").alias("module"))
+        if target in ("", "system"):
+            below = items.where("kind IN ('file', 'rollup') AND status <> 'current'").count() + upper.where("kind = 'feature' AND status <> 'current'").count()
+            units = files.unionByName(folders).unionByName(features_).unionByName(system if not below else system.limit(0))
+        elif target.startswith("feature:"):
+            units = parts.where((F.col("id") == target) & (F.col("status") != "current")).select(F.col("file").alias("id"), F.lit("file").alias("kind"), F.lit("").alias("module")).unionByName(features_.where(F.col("id") == target))
+        else:
+            module = target.removeprefix("rollup:")
+            units = files.unionByName(folders).where(F.col("module") == module)
+        row = reports.bottom_up(units).offset(cursor).limit(1).first()
+        if row is None:
+            return None
+        if row.kind == "file":
+            return self.next_task(row.id) or {"id": row.id, "kind": "file", "changes": []}
+        kids = {d.id: d.summary for d in D.load(self.root)[0]}
+        return {"id": row.id, "kind": row.kind, "parts": {k: v for k, v in kids.items() if row.kind == "system" and k.startswith(("rollup:", "feature:")) or row.kind == "rollup" and k.startswith(row.module + "/")}}
+
     def submit(self, id_: str, summary: str, behavior: str = "") -> Path:
         """Record a document's text with the hashes of what it describes; replaces the file as a whole."""
         if any(s.startswith("#") for s in (summary + "\n" + behavior).split("\n")):
@@ -232,6 +309,7 @@ class Engine:
         else:
             doc.sections[id_] = {"source_hash": now.source_hash, "deps_hash": now.deps_hash, "summary": summary, "behavior": behavior}
             doc.sections[id_]["spec_hash"] = D.body_hash(doc, id_)
+            doc.signatures = {r.id: r.signature for r in self.documented().where(F.col("file") == now.file).select("id", "signature").collect()}  # a file's symbols
             live = {r.id: r.ord for r in self.documented().where(F.col("file") == now.file).select("id", "ord").collect()}  # a file's symbols
             doc.sections = dict(sorted(((k, v) for k, v in doc.sections.items() if k in live), key=lambda kv: live[kv[0]]))
         deps = self.dependencies().where(F.col("owner") == id_).select("owner", "target", F.substring("hash", 1, 12).alias("h")).collect()  # a unit's targets
@@ -246,6 +324,8 @@ class Engine:
         if not rows or any(r.status != "current" for r in rows):
             raise ValueError(f"not all documents of {module} are current")
         doc = D.Document("rollup", f"rollup:{module}", summary, children=sorted((r.id, r.spec_hash) for r in rows))
+        heads = {d.id: d.summary.strip().split("\n")[0] for d in D.load(self.root)[0]}
+        doc.contents = {"Contents": [(r.id, heads.get(r.id, "")) for r in sorted(rows)]}
         doc.spec_hash = D.body_hash(doc)
         return D.write(self.root, doc)
 
@@ -268,11 +348,8 @@ class Engine:
         kids = docs.where("doc_kind IN ('rollup', 'feature')").select(F.lit("system").alias("doc_id"), F.col("doc_id").alias("child_id"), F.col("spec_hash").alias("hash"))
         system = self.spark.range(1).select(F.lit("system").alias("doc_id"), F.lit("system").alias("kind"))
         recorded = children.join(docs.where("doc_kind IN ('feature', 'system')").select("doc_id"), "doc_id", "left_semi")
-        moved = S.hash_diff(parts.unionByName(kids), recorded, ["doc_id", "child_id"]).groupBy("doc_id").agg(F.count("*").alias("moved"))
-        written = docs.where("spec_hash <> ''").select("doc_id", F.lit(1).alias("written"))
-        rows = want.unionByName(system).join(written, "doc_id", "left").join(moved, "doc_id", "left")
-        state = F.when(F.col("written").isNull(), "missing").when(F.col("moved").isNull(), "current").otherwise("stale")
-        return rows.select(F.col("doc_id").alias("id"), "kind", state.alias("status"))
+        rows = S.upper_status(want.unionByName(system), parts.unionByName(kids), recorded, docs.where("spec_hash <> ''"))
+        return rows.withColumnRenamed("doc_id", "id")
 
     def submit_feature(self, entry: str, summary: str) -> Path:
         rows = self.participant_hashes().where(F.col("entry") == entry).select("id", "hash").collect()  # one entry's participants
@@ -289,6 +366,8 @@ class Engine:
             raise ValueError("not all features' documents are current")
         kids = [(d.id, d.spec_hash) for d in D.load(self.root)[0] if d.kind in ("rollup", "feature")]
         doc = D.Document("system", "system", summary, children=sorted(kids))
+        heads = {d.id: d.summary.strip().split("\n")[0] for d in D.load(self.root)[0]}
+        doc.contents = {"Modules": [(i, heads[i]) for i, _ in sorted(kids) if i.startswith("rollup:")], "Features": [(i, heads[i]) for i, _ in sorted(kids) if i.startswith("feature:")]}
         doc.spec_hash = D.body_hash(doc)
         return D.write(self.root, doc)
 
@@ -352,6 +431,18 @@ class Engine:
                 done += 1
         return done
 
+    def migrate_documents(self) -> int:
+        """Bring older documents to the present keys, title and provenance line; running it again changes nothing."""
+        done = 0
+        for path in sorted(Path(self.root, D.ROOT).rglob("*.md")):
+            text = path.read_text()
+            new = D.migrate_keys(text) if text.startswith("---\n") else text
+            if new != text:
+                path.with_suffix(".md.tmp").write_text(new)
+                path.with_suffix(".md.tmp").replace(path)
+                done += 1
+        return done
+
     def get_spec(self, id_: str) -> dict:
         """A document's text with its status, what changed and its smells."""
         docs = {d.id: d for d in D.load(self.root)[0]}

@@ -33,6 +33,27 @@ def span(text: Column, start: Column, end: Column, context: int = 0) -> Column:
     return F.when(last < first, F.lit("")).otherwise(F.array_join(F.slice(own, first.cast("int"), (F.greatest(last - first, F.lit(-1)) + 1).cast("int")), "\n"))
 
 
+def render_spans(text: Column, spans: Column) -> Column:
+    """The line ranges (start, end) of a text, joined, with a blank line between blocks."""
+    own = lines(text)
+    return F.array_join(F.transform(spans, lambda s: F.array_join(F.slice(own, s["start"].cast("int"), (F.greatest(s["end"] - s["start"], F.lit(-1)) + 1).cast("int")), "\n")), "\n\n")
+
+
+def plain_cpp_name(name: Column) -> Column:
+    """A C++ name without template arguments (nested ones too) and white space."""
+    for _ in range(4):
+        name = F.regexp_replace(name, "<[^<>]*>", "")
+    return F.regexp_replace(name, r"\s+", "")
+
+
+def route_decorator(marker: Column) -> Column:
+    """(verb, path) of a decorator or annotation that names a route: ``router.get("/x")``, ``@GET``; null for others."""
+    call = r"""^@?[\w.]*?\.?(get|post|put|patch|delete|head|options|websocket)\(\s*[rf]?['"]([^'"]*)['"]"""
+    bare = r"^@(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"
+    verb = F.coalesce(F.nullif(F.regexp_extract(marker, call, 1), F.lit("")), F.nullif(F.lower(F.regexp_extract(marker, bare, 1)), F.lit("")))
+    return F.when(verb.isNotNull(), F.struct(verb.alias("verb"), F.regexp_extract(marker, call, 2).alias("path")))
+
+
 def cap_bytes(text: Column, most: int) -> Column:
     """(text, truncated): at most so many UTF-8 bytes, cut between characters."""
     data = F.encode(text, "utf-8")

@@ -87,13 +87,14 @@ def entry_points(pack: str, files: DataFrame, symbols: DataFrame, flows: DataFra
 
 
 def admitted(pack: str, entries: DataFrame, files: DataFrame, symbols: DataFrame, flows: DataFrame, imports: DataFrame) -> DataFrame:
-    """(entry, file): files that may join an entry's core."""
+    """(entry, file): files that may join an entry's core; a null entry admits a file to every entry."""
+    anywhere = lambda df: df.select(F.lit(None).cast("string").alias("entry"), "file").distinct()
     pairs = entries.select(F.col("id").alias("entry"), F.col("file").alias("start"))
     if pack == "typescript":
         work = flows.where("kind IN ('route-literal', 'table-ref')").select(F.col("from_file").alias("file")).unionByName(files.where("file LIKE 'app/api/%/route.ts'").select("file")).distinct()
         near = pairs.withColumn("dir", F.regexp_extract("start", "^(.*)/[^/]*$", 1)).where("dir <> ''")
         dirs = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/"))), lambda i: F.array_join(F.slice(F.split("file", "/"), 1, i), "/"))).alias("dir"))
-        return pairs.select("entry").distinct().crossJoin(work).unionByName(near.join(dirs, "dir").select("entry", "file")).distinct()
+        return anywhere(work).unionByName(near.join(dirs, "dir").select("entry", "file")).distinct()
     if pack == "python":
         schema = symbols.where("kind = 'schema'").select("id", "file")
         touch = imports.join(schema.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("from_file").alias("file"))
@@ -102,4 +103,4 @@ def admitted(pack: str, entries: DataFrame, files: DataFrame, symbols: DataFrame
     else:
         beans = symbols.where("kind = 'container'").where(F.exists("markers", lambda m: m.rlike("^@(ApplicationScoped|Singleton)\\b")) | F.col("signature").contains("PanacheRepository"))
         ok = beans.select("file").distinct()
-    return pairs.select("entry").distinct().crossJoin(ok)
+    return anywhere(ok)

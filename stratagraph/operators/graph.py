@@ -78,20 +78,25 @@ def participants(entries: DataFrame, edges: DataFrame, admitted: DataFrame, symb
     """(entry, tier, target) of every entry at once.
 
     entries(entry, file); edges(from_file, target_file, target); admitted(entry, file): files that
-    may join an entry's core; symbols(id, file, kind). Files with a schema symbol never join the
+    may join an entry's core, or every entry's where the entry is null; symbols(id, file, kind). Files with a schema symbol never join the
     core. From the core, one hop to symbols: schema symbols are data, others dependencies; symbols
     of core files are neither.
     """
     schema_files = symbols.where("kind = 'schema'").select("file").distinct()
     may = admitted.join(schema_files, "file", "left_anti").select("entry", "file").distinct()
     hops = edges.where("target_file IS NOT NULL").select("from_file", F.col("target_file").alias("file")).distinct()
+    # Files admitted everywhere are a property of the hop: no entry is paired with them in advance.
+    common = may.where("entry IS NULL").select("file", F.lit(True).alias("common"))
+    hops = checkpointed(hops.join(common, "file", "left").select("from_file", "file", F.coalesce("common", F.lit(False)).alias("common")))
+    own = may.where("entry IS NOT NULL").select("entry", "file", F.lit(1).alias("may"))
     core = front = entries.select("entry", "file").distinct()
     while True:
-        found = front.withColumnRenamed("file", "from_file").join(hops, "from_file").select("entry", "file").distinct()
-        front = checkpointed(found.join(may, ["entry", "file"], "left_semi").join(core, ["entry", "file"], "left_anti"))
+        found = front.withColumnRenamed("file", "from_file").join(hops, "from_file").groupBy("entry", "file").agg(F.max("common").alias("common"))
+        found = found.join(own, ["entry", "file"], "left").where("common OR may = 1").select("entry", "file")
+        front = checkpointed(found.join(core, ["entry", "file"], "left_anti"))
         if front.isEmpty():
             break
-        core = core.unionByName(front)
+        core = checkpointed(core.unionByName(front))  # one relation again: plans and scans don't grow by the round
     reached = core.withColumnRenamed("file", "from_file").join(edges, "from_file").where("target IS NOT NULL").select("entry", F.col("target").alias("id")).distinct()
     known = reached.join(symbols.select("id", "file", "kind"), "id").join(core, ["entry", "file"], "left_anti")
     tier = F.when(F.col("kind") == "schema", "data").otherwise("dependencies")

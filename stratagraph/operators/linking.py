@@ -78,13 +78,31 @@ def resolve_flows(rel: Relations, imports: DataFrame) -> DataFrame:
     return rel.flows.join(best, ["from_file", "ord"], "left").select("from_file", "ord", "kind", "raw", "t.target_file", "t.target")
 
 
+def include_reach(includes: DataFrame) -> DataFrame:
+    """(file, header): what a file includes, directly or not."""
+    from stratagraph.operators.graph import reach
+
+    hops = includes.where("form = 'include' AND target_file IS NOT NULL").select(F.col("from_file").alias("a"), F.col("target_file").alias("b"))
+    return reach(hops, hops.select(F.col("a").alias("start")).distinct()).select(F.col("start").alias("file"), F.col("node").alias("header"))
+
+
+def same_package(rel: Relations) -> DataFrame:
+    """(from_file, target): types of a file's own folder whose name its text writes and no explicit import shadows."""
+    folder = F.regexp_extract("file", "^(.*?)/?[^/]*$", 1)
+    types = rel.symbols.where("is_top_level AND kind IN ('container', 'schema')").select(folder.alias("dir"), F.col("file").alias("target_file"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("word"), F.col("id").alias("target"))
+    wrote = rel.words.select("file", folder.alias("dir"), "word").join(types, ["dir", "word"]).where("file <> target_file")
+    explicit = rel.imports.where("form = 'named'").select(F.col("from_file").alias("file"), F.col("local_name").alias("word"))
+    return wrote.join(explicit, ["file", "word"], "left_anti").select(F.col("file").alias("from_file"), "target").distinct()
+
+
 def cpp_edges(rel: Relations, includes: DataFrame) -> DataFrame:
     """(from_file, target): top-level symbols of reached headers whose names the file writes."""
-    from stratagraph.operators.graph import reach
     from stratagraph.operators.resolve import word_join
 
-    hops = includes.where("form = 'include' AND target_file IS NOT NULL").select(F.col("from_file").alias("a"), F.col("target_file").alias("b"))
-    far = reach(hops, hops.select(F.col("a").alias("start")).distinct()).select(F.col("start").alias("file"), F.col("node").alias("header"))
+    far = include_reach(includes)
     top = rel.symbols.where("is_top_level").select(F.col("file").alias("header"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("name"), "id")
-    inner = rel.symbols.where("raw = 'enumerator'").select(F.col("file").alias("header"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("name"), F.col("parent").alias("id"))
-    return word_join(far, top.unionByName(inner), rel.words).select(F.col("file").alias("from_file"), F.col("id").alias("target")).distinct()
+    outer = rel.symbols.where("is_top_level AND raw = 'enum'").select(F.col("id").alias("parent"))  # a nested enum's constants need their class
+    inner = rel.symbols.where("raw = 'enumerator'").join(outer, "parent", "left_semi").select(F.col("file").alias("header"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("name"), F.col("parent").alias("id"))
+    offered = top.unionByName(inner)
+    wrote = rel.words.join(offered.select(F.col("name").alias("word")).distinct(), "word", "left_semi")
+    return word_join(far, offered, wrote).select(F.col("file").alias("from_file"), F.col("id").alias("target")).distinct()

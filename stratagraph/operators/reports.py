@@ -32,6 +32,12 @@ def children_gate(children: DataFrame, parent: str, done: Column) -> DataFrame:
     return children.groupBy(parent).agg(F.bool_and(done).alias("ready"), F.count_if(~done).alias("blocking"))
 
 
+def bottom_up(units: DataFrame) -> DataFrame:
+    """Units (id, kind, module) in the order of work: files by folder, then folders, features and the system."""
+    rank = F.when(F.col("kind") == "file", 0).when(F.col("kind") == "rollup", 1).when(F.col("kind") == "feature", 2).otherwise(3)
+    return units.withColumn("rank", rank).orderBy("rank", "module", "id")
+
+
 def ladder(size: Column, share: Column, parts: Column, page: int = 4000, dominant: int = 70, many: int = 8) -> Column:
     """How a file is shown: whole if small, an outline if one part dominates, summaries if it has many parts."""
     return F.when(F.ceil(size / page) <= 2, "raw").when(share >= dominant, "outline").when(parts >= many, "summaries").otherwise("raw")

@@ -13,6 +13,19 @@ def hash_diff(current: DataFrame, stored: DataFrame, keys: list[str], value: str
     return now.join(old, keys, "full_outer").withColumn("action", action).where("action IS NOT NULL").select(*keys, "action")
 
 
+def unit_changes(now: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change): ``action:source`` and ``action:dependencies`` of units whose source or dependency hash has moved."""
+    pair = lambda df: df.select(*keys, F.explode(F.create_map(F.lit("source"), F.col("source_hash"), F.lit("dependencies"), F.col("deps_hash"))).alias("what", "hash"))
+    return hash_diff(pair(now), pair(stored), [*keys, "what"]).select(*keys, F.concat_ws(":", "action", "what").alias("change"))
+
+
+def upper_status(wanted: DataFrame, now: DataFrame, recorded: DataFrame, written: DataFrame) -> DataFrame:
+    """wanted(doc_id, kind) with status: missing if never written, current while all recorded (doc_id, child_id, hash) are as they are now."""
+    moved = hash_diff(now, recorded, ["doc_id", "child_id"]).groupBy("doc_id").agg(F.count("*").alias("moved"))
+    rows = wanted.join(written.select("doc_id", F.lit(1).alias("written")), "doc_id", "left").join(moved, "doc_id", "left")
+    return rows.select("doc_id", "kind", F.when(F.col("written").isNull(), "missing").when(F.col("moved").isNull(), "current").otherwise("stale").alias("status"))
+
+
 def multiset_compare(now: DataFrame, old: DataFrame, group: str, value: str) -> DataFrame:
     """(group, outcome): equal, added (every old value is still there as often) or changed."""
     a = now.groupBy(group, value).agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ["coverage", "edges", "stale", "texts", "orders", "streams", "source_trees", "adoption"]
+MODULES = ["coverage", "edges", "stale", "texts", "orders", "streams", "source_trees", "adoption", "engine_rows"]
 
 
 class Tables:
