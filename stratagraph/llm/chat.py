@@ -12,7 +12,8 @@ one away is the exact inverse, and other text stays as it is. The loss mask is a
 
 Turns are aggregated in stretches of ``STRETCH`` turn numbers first, so a conversation with a
 large share of all rows is sorted, escaped and merged by many tasks; what meets per
-conversation is one row per stretch.
+conversation is one row per stretch. Turns without a number are parted by role and the text's
+first characters instead.
 
 Defined results: null texts and roles count as empty; a null conv_id is one conversation;
 null turns come first; equal turns are ordered by role, then text; repeated rows are turns of
@@ -62,9 +63,12 @@ def _run(length: Column, loss: Column) -> Column:
 def stretches(df: DataFrame) -> DataFrame:
     """``(conv_id, stretch, formatted, mask)``: a conversation is its stretches' strings and masks in a row."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Turns without a number are in order of role and text, so they part by role and the text's first characters.
+    first = lambda c: F.when(F.col("turn").isNull(), c)
+    unnumbered = [first(F.coalesce("role", F.lit(""))).alias("role"), first(F.substring(F.coalesce("text", F.lit("")), 1, 3)).alias("head")]
     found = (
         df.select("conv_id", "turn", "role", "text")
-        .groupBy("conv_id", F.floor(F.col("turn") / STRETCH).alias("stretch"))
+        .groupBy("conv_id", F.struct(F.floor(F.col("turn") / STRETCH).alias("band"), *unnumbered).alias("stretch"))
         .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
         .select("conv_id", "stretch", _merge(F.col("turns")).alias("blocks"))
     )

@@ -45,6 +45,7 @@ def test_random_conversations(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", "<turn>", None]), rng.choice(TEXTS + [None])) for c in range(40) for t in range(rng.randrange(1, 12))]
     rows += [(99, t, "assistant" if t % 3 else "user", f"{t}</turn>\n") for t in range(300)]  # several stretches
     rows += [(97_000, t, rng.choice(["user", "assistant"]), rng.choice(TEXTS) * rng.randrange(40)) for t in range(2000)]  # one long conversation
+    rows += [(96, None if t % 5 else t, rng.choice(["user", "assistant", None]), rng.choice([*TEXTS, None, f"w{t % 37} x", f"é{t}"])) for t in range(600)]
     rows += [(98, 1, "assistant", "same")] * 5 + [(97, None, "user", "x"), (97, 0, "user", "y"), (None, 1, "assistant", "z")]
     check(spark, rows)
 
