@@ -37,7 +37,7 @@ class Engine:
         self.imports = checkpointed(linking.resolve_imports(self.rel, pack))
         if pack == "cpp":
             self._pair()
-            words = linking.cpp_edges(self.rel, self.imports)
+            words = linking.cpp_edges(self.rel, self.reached)
             own = words.select("from_file", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("specifier"), F.regexp_extract("target", "([^:.]*)$", 1).alias("imported_name"), F.lit(None).cast("string").alias("local_name"), F.lit("word").alias("form"), F.substring_index("target", "::", 1).alias("target_file"), "target")
             self.imports = checkpointed(self.imports.unionByName(own))
         self.flows = checkpointed(linking.resolve_flows(self.rel, self.imports))
@@ -46,7 +46,8 @@ class Engine:
         """Definitions join the declarations that their files reach; what is left of the symbols is the engine's."""
         from stratagraph.operators import pairing
 
-        pairs = pairing.pair(self.rel.symbols, linking.include_reach(self.imports))
+        self.reached = checkpointed(linking.include_reach(self.imports))  # pairing and word links both read it
+        pairs = pairing.pair(self.rel.symbols, self.reached)
         symbols, spans = pairing.apply(self.rel.symbols, pairs)
         self.rel.symbols, self.spans = checkpointed(symbols), checkpointed(spans)
 

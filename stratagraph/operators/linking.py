@@ -95,11 +95,10 @@ def same_package(rel: Relations) -> DataFrame:
     return wrote.join(explicit, ["file", "word"], "left_anti").select(F.col("file").alias("from_file"), "target").distinct()
 
 
-def cpp_edges(rel: Relations, includes: DataFrame) -> DataFrame:
-    """(from_file, target): top-level symbols of reached headers whose names the file writes."""
+def cpp_edges(rel: Relations, far: DataFrame) -> DataFrame:
+    """(from_file, target): top-level symbols of the headers that a file reaches, far(file, header), whose names it writes."""
     from stratagraph.operators.resolve import word_join
 
-    far = include_reach(includes)
     top = rel.symbols.where("is_top_level").select(F.col("file").alias("header"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("name"), "id")
     outer = rel.symbols.where("is_top_level AND raw = 'enum'").select(F.col("id").alias("parent"))  # a nested enum's constants need their class
     inner = rel.symbols.where("raw = 'enumerator'").join(outer, "parent", "left_semi").select(F.col("file").alias("header"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("name"), F.col("parent").alias("id"))

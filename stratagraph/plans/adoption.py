@@ -90,21 +90,28 @@ def f03(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.cap_with_marker(F.concat("p_name", "p_brand", "p_type"), 20, "...").alias("text"))
 
 
-@query("f04_leading_comment", "SELECT doc_id, '// ' || source || chr(10) || '# ' || lang AS head FROM documents")
+@query("f04_leading_comment", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '// ' || source || chr(10) || '# ' || lang WHEN 1 THEN '' ELSE '/* ' || lang || ' */' END AS head FROM documents")
 def f04(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("// "), "source", F.lit("\n# "), "lang", F.lit("\n\n// no\nx = 1\n"))
+    plain = F.concat(F.lit("// "), "source", F.lit("\n# "), "lang", F.lit("\n\n// no\nx = 1\n"))
+    block = F.concat(F.lit("/* "), "lang", F.lit(" */\ny = 1\n// no\n"))
+    text = F.when(F.col("doc_id") % 3 == 0, plain).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("x = 1 // "), "source")).otherwise(block)
     return t.documents.select("doc_id", X.leading_comment(text).alias("head"))
 
 
-@query("f05_strip_initialiser", "SELECT p_partkey, 'const a' || p_partkey || ': Map<string, (x) => y>' AS head FROM part")
+@query("f05_strip_initialiser", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'const a' || p_partkey || ': Map<string, (x) => y>' WHEN 1 THEN 'let b' || p_brand ELSE 'c' || p_partkey || '(x == ' || p_size || ')' END AS head FROM part")
 def f05(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("const a"), F.col("p_partkey").cast("string"), F.lit(": Map<string, (x) => y> = f(b == 1) || {c: 2}"))
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = (
+        F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("const a"), k, F.lit(": Map<string, (x) => y> = f(b == 1) || {c: 2}")))
+        .when(F.col("p_size") % 3 == 1, F.concat(F.lit("let b"), "p_brand", F.lit(" = "), s))
+        .otherwise(F.concat(F.lit("c"), k, F.lit("(x == "), s, F.lit(")")))
+    )
     return t.part.select("p_partkey", X.stripped_initialiser(text).alias("head"))
 
 
-@query("f11_strip_angles", "SELECT p_partkey, 'Map ' || p_name || ' x' AS text FROM part")
+@query("f11_strip_angles", "SELECT p_partkey, CASE p_size % 2 WHEN 0 THEN 'Map ' || p_name || ' x' ELSE p_name || p_brand END AS text FROM part")
 def f11(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", X.stripped_angles(F.concat(F.lit("Map<K, List<V>> "), "p_name", F.lit("<A<B<C>>> x"))).alias("text"))
+    return t.part.select("p_partkey", X.stripped_angles(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Map<K, List<V>> "), "p_name", F.lit("<A<B<C>>> x"))).otherwise(F.concat("p_name", F.lit("<<"), "p_type", F.lit(">>"), "p_brand"))).alias("text"))
 
 
 @query("f15_link_destination", "SELECT p_partkey, replace(replace(replace(p_name || '/(a) [' || p_type || ']%.md', '%', '%25'), ' ', '%20'), '(', '%28').replace(')', '%29').replace('[', '%5B').replace(']', '%5D') AS link FROM part")

@@ -262,12 +262,28 @@ def part_graph(t: Tables) -> DataFrame:
     return hop.unionByName(part.where("p_partkey % 16 <> 15 AND p_size > 30").select(k.alias("a"), (k + 1).alias("b"))).distinct()
 
 
-DEGREES_SQL = f"""{EDGES_SQL}, d AS (SELECT p_partkey AS id, (SELECT count(*) FROM g WHERE a = p_partkey AND a <> b) AS fan_out, (SELECT count(*) FROM g WHERE b = p_partkey AND a <> b) AS fan_in
+# A graph of all parts without walls: hops across the table, chains, and a hub that every fiftieth size leads to.
+HUB_SQL = """g AS (SELECT p_partkey AS a, (p_partkey * 3 + 1) % (SELECT count(*) FROM part) AS b FROM part WHERE p_size % 3 = 0
+  UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_size > 30 AND p_partkey + 1 < (SELECT count(*) FROM part) UNION SELECT p_partkey, 0 FROM part WHERE p_size % 25 = 0
+  UNION SELECT p_partkey, p_partkey - 1 FROM part WHERE p_size % 10 = 1 AND p_partkey > 0)"""
+
+
+def hub_graph(t: Tables) -> DataFrame:
+    part, k = t.part.select("p_partkey", "p_size"), F.col("p_partkey")
+    n = t.part.agg(F.count("*").alias("n"))  # one row
+    sized = part.crossJoin(F.broadcast(n))
+    hop = sized.where("p_size % 3 = 0").select(k.alias("a"), ((k * 3 + 1) % F.col("n")).alias("b"))
+    step = sized.where((F.col("p_size") > 30) & (k + 1 < F.col("n"))).select(k.alias("a"), (k + 1).alias("b"))
+    back = part.where("p_size % 10 = 1 AND p_partkey > 0").select(k.alias("a"), (k - 1).alias("b"))  # cycles
+    return hop.unionByName(step).unionByName(back).unionByName(part.where("p_size % 25 = 0").select(k.alias("a"), F.lit(0).cast("long").alias("b"))).distinct()
+
+
+DEGREES_SQL = f"""{HUB_SQL}, d AS (SELECT p_partkey AS id, (SELECT count(*) FROM g WHERE a = p_partkey AND a <> b) AS fan_out, (SELECT count(*) FROM g WHERE b = p_partkey AND a <> b) AS fan_in
   FROM part)"""
 
 
 def part_degrees(t: Tables) -> DataFrame:
-    return G.degrees(t.part.select(F.col("p_partkey").alias("id")), part_graph(t))
+    return G.degrees(t.part.select(F.col("p_partkey").alias("id")), hub_graph(t))
 
 
 @query("a27_degrees", f"WITH {DEGREES_SQL} SELECT * FROM d")
@@ -285,12 +301,12 @@ def l08(t: Tables) -> DataFrame:
     return G.top_degrees(part_degrees(t), "fan_in", "id").select("id", "fan_in")
 
 
-REACH_SQL = f"""WITH RECURSIVE {EDGES_SQL}, r(start, node) AS (SELECT DISTINCT a, a FROM g UNION SELECT r.start, g.b FROM r JOIN g ON g.a = r.node)"""
+REACH_SQL = f"""WITH RECURSIVE {HUB_SQL}, r(start, node) AS (SELECT DISTINCT a, a FROM g UNION SELECT r.start, g.b FROM r JOIN g ON g.a = r.node)"""
 
 
 @query("g02_reach", f"{REACH_SQL} SELECT start, node FROM r WHERE start <> node")
 def g02(t: Tables) -> DataFrame:
-    g = part_graph(t)
+    g = hub_graph(t)
     return G.reach(g, g.select(F.col("a").alias("start")).distinct()).select("start", "node")
 
 
@@ -316,17 +332,17 @@ def g01(t: Tables) -> DataFrame:
     return G.participants(entries, edges, admitted, symbols)
 
 
-@query("g08_components", f"WITH RECURSIVE {EDGES_SQL}, u AS (SELECT a, b FROM g UNION SELECT b, a FROM g), r(start, node) AS (SELECT a, a FROM u UNION SELECT r.start, u.b FROM r JOIN u ON u.a = r.node) SELECT start AS node, min(node) AS component FROM r GROUP BY start")
+@query("g08_components", f"WITH RECURSIVE {HUB_SQL}, u AS (SELECT a, b FROM g UNION SELECT b, a FROM g), r(start, node) AS (SELECT a, a FROM u UNION SELECT r.start, u.b FROM r JOIN u ON u.a = r.node) SELECT start AS node, min(node) AS component FROM r GROUP BY start")
 def g08(t: Tables) -> DataFrame:
-    return G.components(part_graph(t))
+    return G.components(hub_graph(t))
 
 
 @query(
     "g07_strong_components",
-    f"WITH RECURSIVE {EDGES_SQL}, r(start, node) AS (SELECT a, b FROM g UNION SELECT r.start, g.b FROM r JOIN g ON g.a = r.node) SELECT x.start AS node, least(min(x.node), x.start) AS component FROM r x JOIN r y ON x.start = y.node AND x.node = y.start WHERE x.start <> x.node GROUP BY x.start",
+    f"WITH RECURSIVE {HUB_SQL}, r(start, node) AS (SELECT a, b FROM g UNION SELECT r.start, g.b FROM r JOIN g ON g.a = r.node) SELECT x.start AS node, least(min(x.node), x.start) AS component FROM r x JOIN r y ON x.start = y.node AND x.node = y.start WHERE x.start <> x.node GROUP BY x.start",
 )
 def g07(t: Tables) -> DataFrame:
-    return G.strong_components(part_graph(t))
+    return G.strong_components(hub_graph(t))
 
 
 @query("p03_owner_lookup", "SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey IN (3, 77, 1200)")

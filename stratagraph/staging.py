@@ -3,17 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is made only where none is named, on a local master."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="stratagraph-checkpoint-")
+    return _OWN[sc.applicationId]
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; one is made only where none is named, on a local master."""
+    """``df`` written as a table to the shared folder and read back; deleted when the driver's JVM ends.
+
+    A table rather than ``checkpoint()``: the reread plan has the table's own size. A checkpoint keeps the size
+    that was estimated for what made it, which grows with every round of an iteration until planning fails.
+    """
     spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="stratagraph-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{folder(spark)}/stratagraph-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
