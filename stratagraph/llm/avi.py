@@ -4,8 +4,10 @@ Writing: a payload of bytes becomes grey frames of 24 x 24 8-bit samples, each f
 JPEG (process 14, predictor 1, one Huffman table), all frames one AVI with a RIFF index.
 Reading: the RIFF chunks and the index are parsed, every frame is entropy-decoded and its
 prediction undone, and the samples are the payload again. Shots are found from differences of
-neighbouring frames' histograms: a cut stands where a difference exceeds the mean of the
-differences around it by ``CUT`` standard deviations (and is no less than ``LEAST``); each shot is a timed clip row.
+neighbouring frames' histograms: a cut stands where a difference is over ``LEAST`` and exceeds the
+median of the differences around it, itself left out, by ``CUT`` deviations (``DEVIATION`` median absolute
+deviations each), so that neither the cut nor others near it hide it; each shot is a timed clip row.
+A film of fewer than three frames is one shot.
 
 Coding and decoding work on many frames at once in numpy: a step decodes one sample of every
 frame. Frames are handled in slices of ``SLICE``, so memory is bounded whatever a text's length.
@@ -35,6 +37,8 @@ FRAME = SIDE * SIDE
 FPS = 25
 #: Frames coded together, histogram bins, the span of differences around a cut, its height and its least height.
 SLICE, BINS, SPAN, CUT, LEAST = 4096, 16, 12, 2.5, 0.2
+#: Median absolute deviations of a standard deviation, for normal values.
+DEVIATION = 1.4826
 #: Huffman code lengths of the difference categories 0 to 8: letters differ by 8 to 127 mostly.
 CODE_LENGTHS = [4, 4, 4, 3, 3, 3, 3, 3, 4]
 
@@ -238,12 +242,23 @@ def cuts(frames: np.ndarray) -> list[int]:
     one = (np.arange(len(frames))[:, None] * BINS + (frames >> 4)).ravel()
     histogram = np.bincount(one, minlength=len(frames) * BINS).reshape(-1, BINS)
     diff = np.abs(np.diff(histogram, axis=0)).sum(axis=1) / (2 * frames.shape[1])
-    sums, squares = (np.concatenate([[0], np.cumsum(x)]) for x in (diff, diff * diff))
-    at = np.arange(len(diff))
-    lo, hi = np.maximum(at - SPAN, 0), np.minimum(at + SPAN + 1, len(diff))
-    mean = (sums[hi] - sums[lo]) / (hi - lo)
-    spread = np.sqrt(np.maximum((squares[hi] - squares[lo]) / (hi - lo) - mean * mean, 0))
-    return (np.flatnonzero((diff > mean + CUT * spread) & (diff > LEAST)) + 1).tolist()
+    found, around = [], np.r_[-SPAN:0, 1 : SPAN + 1]
+    candidates = np.flatnonzero(diff > LEAST)
+    for k in range(0, len(candidates), SLICE):
+        own = candidates[k : k + SLICE]
+        at = own[:, None] + around
+        near = np.where((at >= 0) & (at < len(diff)), diff[np.clip(at, 0, len(diff) - 1)], np.nan)
+        usual = _medians(near)
+        spread = DEVIATION * _medians(np.abs(near - usual[:, None]))
+        found += (own[diff[own] > usual + CUT * spread] + 1).tolist()
+    return found
+
+
+def _medians(rows: np.ndarray) -> np.ndarray:
+    """The median of each row's numbers; at least one in a row is one."""
+    many = np.isfinite(rows).sum(axis=1)
+    rows, at = np.sort(rows, axis=1), np.arange(len(rows))
+    return (rows[at, (many - 1) // 2] + rows[at, many // 2]) / 2
 
 
 def padded(text: str) -> tuple[int, bytes]:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import statistics
 import zlib
 
 import numpy as np
@@ -54,6 +55,39 @@ def test_shots():
     assert avi.cuts(dark.astype(np.uint8)[:2]) == []
 
 
+def brute_cuts(frames):
+    def counts(f):
+        return [sum(int(x) // 16 == b for x in f) for b in range(16)]
+
+    bins = [counts(f) for f in frames]
+    diff = [sum(abs(a - b) for a, b in zip(x, y)) / 1152 for x, y in zip(bins, bins[1:])]
+    found = []
+    for i, d in enumerate(diff):
+        near = diff[max(i - 12, 0) : i] + diff[i + 1 : i + 13]
+        if near and d > 0.2:
+            usual = statistics.median(near)
+            if d > usual + 2.5 * 1.4826 * statistics.median(abs(x - usual) for x in near):
+                found.append(i + 1)
+    return found
+
+
+def test_short_films_and_fast_cuts():
+    black, white = np.zeros((6, 576), np.uint8), np.full((6, 576), 255, np.uint8)
+    assert avi.cuts(np.concatenate([black[:4], white[:4]])) == [4]
+    assert avi.cuts(np.concatenate([black[:2], white[:1]])) == [2]
+    assert avi.cuts(np.concatenate([black, white] * 5)) == list(range(6, 60, 6))
+    assert avi.cuts(np.concatenate([black[:1], white[:1]] * 20)) == []  # flicker: every difference is the usual one
+    assert avi.cuts(black) == []
+
+
+def test_shots_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        shots = [rng.integers(lo := int(rng.integers(0, 200)), lo + int(rng.integers(2, 56)), (int(rng.integers(1, 15)), 576)) for _ in range(int(rng.integers(1, 9)))]
+        frames = np.concatenate(shots).astype(np.uint8)
+        assert avi.cuts(frames) == brute_cuts(frames)
+
+
 def test_query(spark):
     rng = random.Random(0)
     texts = [None, "", "é" * 288, "x" * 576, "y" * 577, "z" * 300_000] + ["".join(rng.choice("ab cdé日\n") for _ in range(rng.randrange(4000))) for _ in range(30)] + ["same"] * 2
