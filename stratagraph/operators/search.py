@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as X
+from stratagraph.operators.ordered import ADDED, before, dealt, islands
 
 # Caps of a search answer and of shown sources.
 MAX_MATCHES, MAX_LINE_BYTES, MAX_CONTEXT, MAX_BYTES = 200, 500, 5, 100_000
 MAX_SOURCE_BYTES, MAX_SOURCE_CONTEXT = 32_000, 20
-#: Matches of a file group that are ranked together before all are.
-GROUPS = 64
 
 
 def lines(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
@@ -43,11 +42,8 @@ def search(files: DataFrame, pattern: str, scope: str = "", ignore_case: bool =
 
 def merge_spans(spans: DataFrame, key: str, start: str = "start", end: str = "end", gap: int = 2) -> DataFrame:
     """(key, start, end): spans joined where the next starts no more than ``gap`` lines after the last end so far."""
-    order = Window.partitionBy(key).orderBy(start, end)
-    last = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", (last.isNull() | (F.col(start) > last + gap)).cast("int"))
-    grouped = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return grouped.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    marked = islands(spans, key, [start, end], start, end, lambda at, last: at > last + gap)
+    return marked.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 def context(rows: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
@@ -56,16 +52,17 @@ def context(rows: DataFrame, key: str, order: str, value: str, n: int) -> DataFr
     return rows.withColumn("before", F.collect_list(value).over(w.rowsBetween(-n, -1))).withColumn("after", F.collect_list(value).over(w.rowsBetween(1, n)))
 
 
-def number_repeats(rows: DataFrame, key: str, order: list[str], joiner: str) -> Column:
-    """The key, with its place appended from the second of equal keys on."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return F.when(n > 1, F.concat(F.col(key), F.lit(joiner), n.cast("string"))).otherwise(F.col(key))
+def number_repeats(rows: DataFrame, key: str, order: list[str], joiner: str) -> DataFrame:
+    """The rows, the key with its place appended from the second of equal keys on."""
+    counted = before(dealt(rows.withColumn("_one", F.lit(1)), key, order), key, order, "_one", "_before")
+    place = F.concat(F.col(key), F.lit(joiner), (F.col("_before") + 1).cast("string"))
+    return counted.withColumn(key, F.when(F.col("_before").isNull(), F.col(key)).otherwise(place)).drop(*ADDED, "_one", "_before")
 
 
 def byte_budget(rows: DataFrame, key: str, order: list[str], size: str, most: int) -> DataFrame:
     """Rows of each key in order until the budget is reached; the row that crosses it is the last."""
-    before = F.sum(size).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most).drop("_before")
+    summed = before(dealt(rows, key, order), key, order, size, "_before")
+    return summed.where(F.coalesce("_before", F.lit(0)) < most).drop(*ADDED, "_before")
 
 
 def first_pending(rows: DataFrame, key: str, order: list[str], pending: Column) -> DataFrame:

@@ -278,13 +278,13 @@ SELECT doc_id, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS slug FROM
 )
 def w01(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.concat_ws("-", "lang", "source").alias("slug"))
-    return rows.select("doc_id", S.number_repeats(rows, "slug", ["doc_id"], "-").alias("slug"))
+    return S.number_repeats(rows, "slug", ["doc_id"], "-").select("doc_id", "slug")
 
 
 @query("w02_member_dedupe", "WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) SELECT conv_id, turn, CASE WHEN n > 1 THEN conv_id || '::' || role || '#' || n ELSE conv_id || '::' || role END AS member FROM r")
 def w02(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", "turn", F.concat_ws("::", F.col("conv_id").cast("string"), "role").alias("member"))
-    return rows.select("conv_id", "turn", S.number_repeats(rows, "member", ["turn"], "#").alias("member"))
+    return S.number_repeats(rows, "member", ["turn"], "#").select("conv_id", "turn", "member")
 
 
 @query(

@@ -99,7 +99,7 @@ def _read(root: str):
 def read(spark: SparkSession, root: str, paths: list[str], partitions: int | None = None) -> DataFrame:
     """(file, text) of the paths that can be read as UTF-8."""
     rows = spark.createDataFrame([(p,) for p in paths], "file string")
-    return rows.repartition(partitions or max(1, min(len(paths) // 64 + 1, 512))).mapInArrow(_read(root), "file string, text string")
+    return rows.repartition(partitions or len(paths) // 64 + 1).mapInArrow(_read(root), "file string, text string")
 
 
 def routed(files: DataFrame, pack: str) -> DataFrame:

@@ -7,20 +7,19 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratagraph.operators.ordered import islands
+
 DEBOUNCE = "300 milliseconds"
 
 
 def debounce_batch(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:
     """(key, start, end, n): runs of events of a key with less than the gap between neighbours."""
-    order = Window.partitionBy(key).orderBy(ts)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    fresh = (micros - F.lag(micros).over(order) >= int(gap_seconds * 1e6)) | F.lag(ts).over(order).isNull()
-    marked = events.withColumn("_new", fresh.cast("int"))
-    runs = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return runs.groupBy(key, "_run").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n")).drop("_run")
+    timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    runs = islands(timed, key, ["_us"], "_us", "_us", lambda at, last: at - last >= int(gap_seconds * 1e6))
+    return runs.groupBy(key, "_island").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n")).drop("_island")
 
 
 def debounce_stream(events: DataFrame, key: str, ts: str, path: str, gap: str = DEBOUNCE, late: str = "10 seconds") -> DataFrame:
