@@ -78,6 +78,12 @@ def op10_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm import periodic_runs
+
+    return periodic_runs.digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), prepare=periodic_runs.made_periodic))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
