@@ -78,6 +78,12 @@ def op10_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op11_count_min_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagraph.llm import repeated_passages
+
+    return repeated_passages.digests(repeated_passages.drop_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagraph.llm import periodic_runs
 
@@ -107,6 +113,25 @@ FROM marked GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT r, doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM split),
+windows AS (
+  SELECT r, doc_id, word, pos, CASE WHEN count(*) OVER w = 20 THEN string_agg(word, ' ') OVER w END AS win
+  FROM placed WINDOW w AS (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+),
+later AS (
+  SELECT r, doc_id, word, pos, win IS NOT NULL AND (doc_id, pos) > min((doc_id, pos)) OVER (PARTITION BY win) AS late FROM windows
+),
+gone AS (SELECT r, word, pos, max(late::INT) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS removed FROM later),
+sums AS (
+  SELECT r, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed) AS kept FROM gone GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN sums USING (r)
+"""
+
+
 def _op8_sql() -> str:
     """The licence scan in DuckDB SQL: the same tables of sentences and rules, the cut written over lists of lines."""
     from stratagraph.llm import licenses as L
@@ -172,4 +197,4 @@ SELECT doc_id, identifiers, array_to_string(list_sort(list_distinct(found)), ','
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express whole; the tests hold the others against brute-force versions."""
-    return {"op3_chat_formatting": OP3_SQL, "op8_license_sentence_rules": _op8_sql()}
+    return {"op3_chat_formatting": OP3_SQL, "op8_license_sentence_rules": _op8_sql(), "op11_count_min_passages": OP11_SQL}
