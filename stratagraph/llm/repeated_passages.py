@@ -15,7 +15,7 @@ smaller id, or earlier in the same one. The words that later windows cover are r
    once, and groups them exactly (by 128 bits of hash). An estimate is never too low, so no repeated window is lost;
    one that is too high only costs a row.
 
-Rows travel by document, so one hot passage is a row a batch, and the join on it can be split.
+A hot passage is a row a batch (up to 2,048 documents), so its rows are sorted in one task without harm.
 
 Defined results: a null text has no words; a null id counts as the largest; rows of equal id are ordered by the
 start alone, and of windows with equal (id, start) all are first; repeated rows each get a row; an empty table gives
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.llm.common import bounded_batches, staged
@@ -72,11 +72,11 @@ class Batch:
     def __init__(self, texts: list[bytes]):
         import xxhash
 
-        words = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
+        hashed = [b"".join(map(xxhash.xxh64_digest, t.split())) for t in texts]
+        self.sizes = np.array([len(w) // 8 for w in hashed], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
-        flat = b"".join(xxhash.xxh64_digest(w) for own in words for w in own)
-        self.words = np.frombuffer(flat, ">u8").astype(np.uint64)
+        self.words = np.frombuffer(b"".join(hashed), ">u8").astype(np.uint64)
+        del hashed
         per = np.maximum(self.sizes - WINDOW + 1, 0)
         self.doc = np.repeat(np.arange(len(texts)), per)
         self.start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)  # within its document
@@ -299,8 +299,9 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = texts.join(named, ["id", "h"]).select("id", "h", "text", *[f"heavy{r}" for r in range(DEPTH)])
     cands = staged(again.mapInArrow(_candidates(bits), CANDIDATES), "windows")
     single = cands.where("start IS NOT NULL").select("id", "h", "w1", "w2", "start")
-    firsts = staged(single.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("m")).where("m > 1").select("w1", "w2", "first"), "firsts")
-    later = single.join(firsts, ["w1", "w2"]).where(F.struct("id", "start") > F.col("first")).select("id", "h", F.array("start").alias("starts"))
+    # A window has a row a batch at most, so that sorting a window's rows needs no cut.
+    place = F.rank().over(Window.partitionBy("w1", "w2").orderBy("id", "start"))
+    later = single.withColumn("place", place).where("place > 1").select("id", "h", F.array("start").alias("starts"))
     spans = later.unionByName(cands.where("starts IS NOT NULL").select("id", "h", "starts")).groupBy("id", "h").agg(F.collect_list("starts").alias("starts"))
     marks = staged(spans.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "h", F.lit(None).cast("array<array<int>>").alias("starts"), F.lit(True).alias("copy"))), "spans")
     out = rows.join(marks, ["id", "h"], "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
