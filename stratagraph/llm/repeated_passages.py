@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.llm.common import bounded_batches, staged
+from stratagraph.llm.common import bounded_batches, staged, unstage
 
 WINDOW, RUN = 20, 8
 #: Rows of the sketch, counters in a range of a row, and counters a word.
@@ -289,15 +289,19 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Whole copies: the first of each list of words stands for all; of equal (id, words) each does.
     lead = staged(prints.where(F.col("n") >= WINDOW).groupBy("w1", "w2").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1"), "leads")
     copies = staged(prints.join(lead, ["w1", "w2"]).where("id > lead").select("id", "h").distinct(), "copies")
+    for done in (prints, lead):  # what no later plan reads
+        unstage(done)
 
     parts = staged(texts.mapInArrow(_sketches(bits, cut), "batch long, row int, range long, slots binary, doc binary"), "sketches")
     heavy = parts.where("row >= 0").groupBy("row", "range").applyInArrow(_merged(cut), "batch long, row int, slots binary, doc binary")
     told = heavy.unionByName(parts.where("row < 0").select("batch", "row", "slots", "doc"))
     named = told.groupBy("batch").applyInArrow(_named, "id long, h long, " + ", ".join(f"heavy{r} binary" for r in range(DEPTH)))
     named = staged(named.dropDuplicates(["id", "h"]).join(copies, ["id", "h"], "left_anti"), "heavy")
+    unstage(parts)
 
     again = texts.join(named, ["id", "h"]).select("id", "h", "text", *[f"heavy{r}" for r in range(DEPTH)])
     cands = staged(again.mapInArrow(_candidates(bits), CANDIDATES), "windows")
+    unstage(named)
     single = cands.where("start IS NOT NULL").select("id", "h", "w1", "w2", "start")
     # A window has a row a batch at most, so that sorting a window's rows needs no cut.
     place = F.rank().over(Window.partitionBy("w1", "w2").orderBy("id", "start"))
