@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.operators import staleness as S
-from stratagraph.staging import checkpointed
 
 
 def plan(old: DataFrame, live: DataFrame) -> DataFrame:
@@ -37,18 +36,6 @@ def vanished_names(prose: DataFrame, live: DataFrame, orphaned: DataFrame) -> Da
     return names.join(ends(live), "name", "left_anti").join(ends(orphaned), "name", "left_semi").select("id", "name")
 
 
-def ancestors(nodes: DataFrame, levels: int = 8) -> DataFrame:
-    """nodes(id, parent) to (id, ancestor) of every level, nearest first; containment is a tree of bounded depth."""
-    up = checkpointed(nodes.select("id", F.col("parent").alias("ancestor")).where("ancestor IS NOT NULL"))
-    out = front = up
-    for _ in range(levels - 1):
-        front = checkpointed(front.join(up.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("id", F.col("next").alias("ancestor")))
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out
-
-
 def sweep(base: DataFrame, head: DataFrame) -> DataFrame:
     """What two builds disagree on: rows of one only, with the side."""
     only = lambda a, b, side: a.exceptAll(b).withColumn("side", F.lit(side))

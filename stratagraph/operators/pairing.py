@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.operators.adopt import ancestors
+from stratagraph.operators.intervals import above, numbered, sums_below
 from stratagraph.staging import checkpointed
 
 
@@ -48,22 +48,32 @@ def pair(symbols: DataFrame, reach: DataFrame) -> DataFrame:
     return every.select("id", target.alias("target"), how.alias("how"))
 
 
-def absorbed(nodes: DataFrame, parts: DataFrame, id_: str = "id", levels: int = 8) -> DataFrame:
-    """nodes(id, parent, hash) with what parts(target, hash) add: to the target, and to all that encloses it."""
-    up = ancestors(nodes.select(F.col(id_).alias("id"), "parent"), levels)
-    spread = parts.select(F.col("target").alias("id"), F.col("hash").alias("part")).unionByName(
-        parts.select(F.col("target").alias("id"), F.col("hash").alias("part")).join(up, "id").select(F.col("ancestor").alias("id"), "part")
-    )
-    own = spread.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("part")), "\n").alias("parts"))
-    out = nodes.join(own.withColumnRenamed("id", id_), id_, "left")
+#: 32-bit parts of a SHA-256 that are summed one by one.
+LANES = 8
+
+
+def mixed(hash_: Column) -> list[Column]:
+    """The lanes of a hash as numbers: their sums over a bag of hashes don't depend on its order and combine freely."""
+    return [F.conv(F.substring(hash_, 8 * k + 1, 8), 16, 10).cast("long").alias(f"lane{k}") for k in range(LANES)]
+
+
+def absorbed(nodes: DataFrame, parts: DataFrame, id_: str = "id") -> DataFrame:
+    """nodes(id, parent, hash) with what parts(target, hash) add: to the target, and to all that encloses it.
+
+    What a node takes is the number of parts below it and the sums of their lanes, so no list of parts is ever gathered.
+    """
+    lanes = [f"lane{k}" for k in range(LANES)]
+    points = parts.where("target IS NOT NULL").select(F.col("target").alias("id"), F.lit(1).cast("long").alias("parts"), *mixed(F.col("hash")))
+    sums = sums_below(numbered(nodes.select(F.col(id_).alias("id"), "parent")), points, ["parts", *lanes])
+    own = sums.select(F.col("id").alias(id_), F.concat_ws(",", "parts", *lanes).alias("parts"))
+    out = nodes.join(own, id_, "left")
     return out.withColumn("hash", F.when(F.col("parts").isNull(), F.col("hash")).otherwise(F.sha2(F.concat_ws("\n", "hash", "parts"), 256))).drop("parts")
 
 
-def descendant_spans(nodes: DataFrame, spans: DataFrame, levels: int = 8) -> DataFrame:
+def descendant_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, file, start_line, end_line): the spans(target, file, start_line, end_line) of a symbol and of all below it."""
-    up = ancestors(nodes.select("id", "parent"), levels).select(F.col("id").alias("target"), F.col("ancestor").alias("id"))
-    own = spans.select(F.col("target").alias("id"), "file", "start_line", "end_line")
-    return own.unionByName(spans.join(up, "target").select("id", "file", "start_line", "end_line"))
+    points = spans.select(F.col("target").alias("id"), "file", "start_line", "end_line")
+    return above(numbered(nodes.select("id", "parent")), points).select(F.col("ancestor").alias("id"), "file", "start_line", "end_line")
 
 
 def apply(symbols: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.functions import text as X
 from stratagraph.operators import adopt as A
+from stratagraph.operators import intervals as I
 from stratagraph.operators import graph as G
 from stratagraph.operators import reports as R
 from stratagraph.plans.edges import EDGES_SQL, part_graph
@@ -46,6 +47,12 @@ def j35(t: Tables) -> DataFrame:
     return A.vanished_names(prose, live, gone)
 
 
+def containment(t: Tables) -> DataFrame:
+    """Orders in customers, in nations, in regions."""
+    row = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("id"), F.concat(F.lit(b), F.col(y).cast("string")).alias("parent"))
+    return row(t.orders, "o", "o_orderkey", "c", "o_custkey").unionByName(row(t.customer, "c", "c_custkey", "n", "c_nationkey")).unionByName(row(t.nation, "n", "n_nationkey", "r", "n_regionkey"))
+
+
 @query(
     "g05_ancestors",
     """WITH e AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS parent FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
@@ -53,20 +60,20 @@ def j35(t: Tables) -> DataFrame:
 SELECT ancestor, count(*) AS below FROM (SELECT id, parent AS ancestor FROM e UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY ancestor""",
 )
 def g05(t: Tables) -> DataFrame:
-    """Containment at every depth: what lies below each node."""
-    row = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("id"), F.concat(F.lit(b), F.col(y).cast("string")).alias("parent"))
-    nodes = row(t.orders, "o", "o_orderkey", "c", "o_custkey").unionByName(row(t.customer, "c", "c_custkey", "n", "c_nationkey")).unionByName(row(t.nation, "n", "n_nationkey", "r", "n_regionkey"))
-    return A.ancestors(nodes, 3).groupBy("ancestor").agg(F.count("*").alias("below"))
+    """Containment at every depth: how many lie below each node."""
+    return I.below_counts(I.numbered(containment(t))).where("below > 0").select(F.col("id").alias("ancestor"), "below")
 
 
 @query(
-    "g06_enclosing_hashes",
-    """SELECT n_nationkey, sha256(string_agg(h, chr(10) ORDER BY h)) AS hash FROM (SELECT n_nationkey, sha256(c_name) AS h FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY n_nationkey""",
+    "g06_enclosing_sums",
+    """WITH o AS (SELECT o_custkey, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY o_custkey), c AS (SELECT c_nationkey, 'c' || c_custkey AS id, n, keys FROM customer JOIN o ON o_custkey = c_custkey),
+n AS (SELECT n_regionkey, 'n' || n_nationkey AS id, sum(n)::BIGINT AS n, sum(keys)::BIGINT AS keys FROM c JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT id, n AS parts, keys FROM c UNION ALL SELECT id, n, keys FROM n UNION ALL SELECT 'r' || n_regionkey, sum(n)::BIGINT, sum(keys)::BIGINT FROM n GROUP BY n_regionkey UNION ALL SELECT 'o' || o_orderkey, 1, o_orderkey FROM orders""",
 )
 def g06(t: Tables) -> DataFrame:
-    """What is inside joins the hash of every enclosing class."""
-    inner = t.customer.select(F.col("c_nationkey").alias("n_nationkey"), F.sha2("c_name", 256).alias("h"))
-    return inner.groupBy("n_nationkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("hash"))
+    """What each enclosing node takes from all that lies below it, as sums over its interval."""
+    points = t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.lit(1).cast("long").alias("parts"), F.col("o_orderkey").alias("keys"))
+    return I.sums_below(I.numbered(containment(t)), points, ["parts", "keys"])
 
 
 @query(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -34,4 +35,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Where ``checkpointed`` frames lie, for as long as they are held.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what ``checkpointed`` wrote for ``df``; only where no later plan reads it."""
+    held, path = _PATHS.pop(id(df), (lambda: None, ""))
+    if held() is df:
+        place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``checkpointed``, and aggregates of the rows that were taken while they were written."""
+    seen = Observation()
+    out = checkpointed(df.observe(seen, *[c.alias(n) for n, c in measures.items()]))
+    return out, seen.get
