@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.staging import checkpointed
+from stratagraph.staging import checkpointed, dropped, observed
 
 
 def callers(nodes: DataFrame, edges: DataFrame, node: str = "id", target: str = "target") -> DataFrame:
@@ -55,52 +57,107 @@ def top_degrees(counts: DataFrame, value: str, name: str, n: int = 5) -> DataFra
     return counts.orderBy(F.desc(value), F.asc(name)).limit(n)
 
 
-def reach(edges: DataFrame, starts: DataFrame, a: str = "a", b: str = "b", depth: int | None = None) -> DataFrame:
-    """(start, node, depth) for every node reached from a start, itself excluded; cycles end.
+#: Starts in a cell: bits of a long.
+CELL = 64
+#: Starts that are numbered together, about.
+DEAL = 4096
+
+
+def coded(starts: DataFrame, start: str = "start") -> DataFrame:
+    """(start, cell, bit), staged: the distinct starts, 64 to a cell."""
+    own = checkpointed(starts.select(F.col(start).alias("start")).where("start IS NOT NULL").distinct())
+    parts = max(1, own.count() // DEAL)
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("start"), F.lit(parts)))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("start")) - 1  # about DEAL rows a part
+    return checkpointed(dealt.withColumn("at", at).select("start", (F.col("part") * (1 << 24) + F.floor(F.col("at") / CELL)).alias("cell"), (F.col("at") % CELL).cast("int").alias("bit")))
+
 
-    One join and one anti join per level, each level cut from its lineage; ends with an empty
-    frontier or at ``depth``.
+def _bit() -> Column:
+    return F.expr("shiftleft(1L, bit)")
+
+
+def packed_levels(hops: DataFrame, seeds: DataFrame, masks: DataFrame | None = None, depth: int | None = None) -> Iterator[tuple[int, DataFrame, int]]:
+    """Breadth first from all starts at once: (level, (node, cell, bits, fresh), pairs that are new) of each level.
+
+    hops(node, next); seeds(node, cell, bits); masks(node, cell, mask): the starts that may enter a node, those of
+    every cell where the cell is null; without masks all may. A row holds 64 starts, frontiers meet by ``bit_or``,
+    and a level is one join, one aggregate and one write. The caller keeps what it needs: the next level is made
+    from the last one alone, whose ``bits`` are all that was ever seen.
     """
-    hops = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node <> next").distinct()
-    front = starts.select(F.col("start"), F.col("start").alias("node"))
-    seen, level = front.withColumn("depth", F.lit(0)), 0
+    now, level = checkpointed(seeds.groupBy("node", "cell").agg(F.bit_or("bits").alias("bits")).withColumn("fresh", F.col("bits"))), 0
+    yield 0, now, 0
     while depth is None or level < depth:
         level += 1
-        found = front.join(hops, "node").select("start", F.col("next").alias("node")).distinct()
-        front = checkpointed(found.join(seen, ["start", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front.withColumn("depth", F.lit(level)))
-    return seen.where("depth > 0")
+        sent = now.where("fresh <> 0").join(hops, "node").groupBy(F.col("next").alias("node"), "cell").agg(F.bit_or("fresh").alias("sent"))
+        if masks is not None:
+            own = masks.where("cell IS NOT NULL").groupBy("node", "cell").agg(F.bit_or("mask").alias("own"))
+            free = masks.where("cell IS NULL").groupBy("node").agg(F.bit_or("mask").alias("free"))
+            sent = sent.join(own, ["node", "cell"], "left").join(free, "node", "left").select("node", "cell", F.expr("sent & (coalesce(own, 0L) | coalesce(free, 0L))").alias("sent"))
+        both = now.select("node", "cell", "bits", F.lit(0).cast("long").alias("sent")).unionByName(sent.select("node", "cell", F.lit(0).cast("long").alias("bits"), "sent"))
+        met = both.groupBy("node", "cell").agg(F.bit_or("bits").alias("old"), F.bit_or("sent").alias("sent"))
+        step = met.select("node", "cell", F.expr("old | sent").alias("bits"), F.expr("sent & ~old").alias("fresh"))
+        now, seen = observed(step, n=F.sum(F.bit_count("fresh")))
+        if not seen["n"]:
+            return
+        yield level, now, seen["n"]
+
+
+def unpacked(rows: DataFrame, codes: DataFrame, bits: str = "bits") -> DataFrame:
+    """rows(cell, bits, ...) to a row (start, ...) for each start in them."""
+    each = rows.withColumn("bit", F.explode(F.expr(f"filter(sequence(0, {CELL - 1}), k -> (shiftrightunsigned({bits}, k) & 1) = 1)"))).drop(bits)
+    return each.join(codes, ["cell", "bit"]).drop("cell", "bit")
+
+
+def _seeds(codes: DataFrame, at: DataFrame) -> DataFrame:
+    """at(start, node) as packed rows."""
+    return at.join(codes, "start").select("node", "cell", _bit().alias("bits"))
+
+
+def _hops(edges: DataFrame, a: str, b: str) -> DataFrame:
+    return checkpointed(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node <> next").distinct())
+
+
+def reach(edges: DataFrame, starts: DataFrame, a: str = "a", b: str = "b", depth: int | None = None) -> DataFrame:
+    """(start, node) for every node reached from a start, itself excluded; cycles end. The result is the closure.
+
+    Where only given pairs are asked for, ``reachability.Index`` does without it.
+    """
+    hops, codes = _hops(edges, a, b), coded(starts)
+    last = None
+    for _, now, _ in packed_levels(hops, _seeds(codes, codes.select("start", F.col("start").alias("node"))), depth=depth):
+        if last is not None:
+            dropped(last)
+        last = now
+    return unpacked(last.select("node", "cell", "bits"), codes).where("start <> node").select("start", "node")
 
 
 def participants(entries: DataFrame, edges: DataFrame, admitted: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(entry, tier, target) of every entry at once.
+    """(entry, tier, target) of every entry at once, 64 entries a row.
 
     entries(entry, file); edges(from_file, target_file, target); admitted(entry, file): files that
     may join an entry's core, or every entry's where the entry is null; symbols(id, file, kind). Files with a schema symbol never join the
     core. From the core, one hop to symbols: schema symbols are data, others dependencies; symbols
     of core files are neither.
     """
+    codes = coded(entries, "entry")
     schema_files = symbols.where("kind = 'schema'").select("file").distinct()
-    may = admitted.join(schema_files, "file", "left_anti").select("entry", "file").distinct()
-    hops = edges.where("target_file IS NOT NULL").select("from_file", F.col("target_file").alias("file")).distinct()
-    # Files admitted everywhere are a property of the hop: no entry is paired with them in advance.
-    common = may.where("entry IS NULL").select("file", F.lit(True).alias("common"))
-    hops = checkpointed(hops.join(common, "file", "left").select("from_file", "file", F.coalesce("common", F.lit(False)).alias("common")))
-    own = may.where("entry IS NOT NULL").select("entry", "file", F.lit(1).alias("may"))
-    core = front = entries.select("entry", "file").distinct()
-    while True:
-        found = front.withColumnRenamed("file", "from_file").join(hops, "from_file").groupBy("entry", "file").agg(F.max("common").alias("common"))
-        found = found.join(own, ["entry", "file"], "left").where("common OR may = 1").select("entry", "file")
-        front = checkpointed(found.join(core, ["entry", "file"], "left_anti"))
-        if front.isEmpty():
-            break
-        core = checkpointed(core.unionByName(front))  # one relation again: plans and scans don't grow by the round
-    reached = core.withColumnRenamed("file", "from_file").join(edges, "from_file").where("target IS NOT NULL").select("entry", F.col("target").alias("id")).distinct()
-    known = reached.join(symbols.select("id", "file", "kind"), "id").join(core, ["entry", "file"], "left_anti")
+    may = admitted.join(schema_files, "file", "left_anti").select("entry", F.col("file").alias("node"))
+    own = may.withColumnRenamed("entry", "start").join(codes, "start").select("node", "cell", _bit().alias("mask"))
+    masks = checkpointed(own.unionByName(may.where("entry IS NULL").select("node").distinct().select("node", F.lit(None).cast("long").alias("cell"), F.lit(-1).cast("long").alias("mask"))))
+    hops = _hops(edges.where("target_file IS NOT NULL"), "from_file", "target_file")
+    last = None
+    for _, now, _ in packed_levels(hops, _seeds(codes, entries.select(F.col("entry").alias("start"), F.col("file").alias("node"))), masks):
+        if last is not None:
+            dropped(last)
+        last = now
+    core = last.select(F.col("node").alias("file"), "cell", "bits")
+    targets = edges.where("target IS NOT NULL").select(F.col("from_file").alias("file"), F.col("target").alias("id")).distinct()
+    reached = core.join(targets, "file").groupBy("id", "cell").agg(F.bit_or("bits").alias("bits"))
+    known = reached.join(symbols.select("id", "file", "kind"), "id").join(core.select("file", "cell", F.col("bits").alias("inside")), ["file", "cell"], "left")
+    known = known.select("id", "kind", "cell", F.expr("bits & ~coalesce(inside, 0L)").alias("bits")).where("bits <> 0")
     tier = F.when(F.col("kind") == "schema", "data").otherwise("dependencies")
-    return core.select("entry", F.lit("core").alias("tier"), F.col("file").alias("target")).unionByName(known.select("entry", tier.alias("tier"), F.col("id").alias("target")))
+    files = unpacked(core, codes).select(F.col("start").alias("entry"), F.lit("core").alias("tier"), F.col("file").alias("target"))
+    return files.unionByName(unpacked(known, codes).select(F.col("start").alias("entry"), tier.alias("tier"), F.col("id").alias("target")).distinct())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -122,16 +179,75 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "component")
 
 
+def _colours(edges: DataFrame, seed: int) -> DataFrame:
+    """(node, f, b): of all that reach a node, and of all that it reaches, the one that comes first in a random order.
+
+    Colours move one edge a round, and along a pointer to a node further up or down, which doubles its length each
+    round; so a long chain or cycle takes rounds by its logarithm.
+    """
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("r"), F.col(c).alias("id"))
+    ends = edges.select(F.col("b").alias("node"), F.col("a").alias("up"), F.lit(None).cast(edges.schema["a"].dataType).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("a").alias("node"), F.lit(None).cast(edges.schema["a"].dataType).alias("up"), F.col("b").alias("down")))
+    now = ends.groupBy("node").agg(F.min("up").alias("up"), F.min("down").alias("down"))
+    now = checkpointed(now.select("node", rank("node").alias("f"), rank("node").alias("b"), F.coalesce("up", "node").alias("up"), F.coalesce("down", "node").alias("down")))
+    while True:
+        fore = edges.join(now.select(F.col("node").alias("a"), "f"), "a").select(F.col("b").alias("node"), "f", F.lit(None).cast(now.schema["b"].dataType).alias("b"))
+        back = edges.join(now.select(F.col("node").alias("b"), F.col("b").alias("c")), "b").select(F.col("a").alias("node"), F.lit(None).cast(now.schema["f"].dataType).alias("f"), F.col("c").alias("b"))
+        told = fore.unionByName(back).groupBy("node").agg(F.min("f").alias("nf"), F.min("b").alias("nb"))
+        above_ = now.select(F.col("node").alias("up"), F.col("f").alias("uf"), F.col("up").alias("uup"))
+        below_ = now.select(F.col("node").alias("down"), F.col("b").alias("db"), F.col("down").alias("ddown"))
+        step = now.join(told, "node", "left").join(above_, "up").join(below_, "down")
+        step = step.select("node", F.least("f", "nf", "uf").alias("f2"), F.least("b", "nb", "db").alias("b2"), F.col("uup").alias("up"), F.col("ddown").alias("down"), "f", "b")
+        new, moved = observed(step.select("node", F.col("f2").alias("f"), F.col("b2").alias("b"), "up", "down", ((F.col("f2") != F.col("f")) | (F.col("b2") != F.col("b"))).alias("moved")), n=F.count_if("moved"))
+        dropped(now)
+        now = new.drop("moved")
+        if not moved["n"]:
+            return now.select("node", F.col("f.id").alias("f"), F.col("b.id").alias("b"))
+
+
 def strong_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) where nodes reach each other; single nodes are left out. For graphs of files, not of rows."""
-    starts = edges.select(F.col(a).alias("start")).distinct()
-    far = checkpointed(reach(edges, starts, a, b).select("start", "node"))
-    back = far.select(F.col("node").alias("start"), F.col("start").alias("node"))
-    return far.join(back, ["start", "node"]).groupBy(F.col("start").alias("id")).agg(F.least(F.min("node"), F.first("start")).alias("component")).withColumnRenamed("id", "node")
+    """(node, component): nodes that reach each other, by the smallest of them; single nodes are left out.
+
+    Nodes without an edge in or out go. Every other takes two colours: the first in a random order of all that reach
+    it, and of all that it reaches. Where both are one node, the node belongs to its component; edges between nodes of
+    different colours lie in none. What is left is smaller pieces, coloured in another order, until no edge is left.
+    No table is larger than the edges.
+    """
+    left, found, seed = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()), None, 0
+    while True:
+        trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        trimmed = trimmed.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        left, kept = observed(trimmed, n=F.count("*"))
+        if not kept["n"]:
+            break
+        seed += 1
+        colours = checkpointed(_colours(left, seed))
+        own = colours.where("f = b").select("node", F.col("f").alias("root"))
+        found = own if found is None else found.unionByName(own)
+        at = lambda c: colours.select(F.col("node").alias(c), F.col("f").alias(f"f{c}"), F.col("b").alias(f"b{c}"))
+        left = checkpointed(left.join(at("a"), "a").join(at("b"), "b").where("fa = fb AND ba = bb AND fa <> ba").select("a", "b"))
+    if found is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    sized = checkpointed(found.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1"))
+    return found.join(sized, "root").select("node", "component")
 
 
 def distances(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Mean distance and diameter over all ordered pairs that reach each other (undirected)."""
-    both = edges.select(a, b).unionByName(edges.select(F.col(b).alias(a), F.col(a).alias(b))).distinct()
-    far = reach(both, both.select(F.col(a).alias("start")).distinct(), a, b)
-    return far.agg(F.avg("depth").alias("mean_distance"), F.max("depth").alias("diameter"))
+    """Mean distance and diameter of the largest component, undirected: (nodes, mean_distance, diameter), one row.
+
+    Of components of equal size that of the smallest node counts. Only the number of pairs of each distance is kept.
+    """
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    both = checkpointed(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    member = checkpointed(components(both))
+    sizes = member.groupBy("component").agg(F.count("*").alias("n"))
+    own = checkpointed(member.join(sizes.orderBy(F.desc("n"), "component").limit(1), "component", "left_semi").select(F.col("node").alias("start")))
+    hops = _hops(both.join(own.select(F.col("start").alias("a")), "a", "left_semi"), "a", "b")
+    codes = coded(own)
+    last, far, pairs, total = None, 0, 0, 0
+    for level, now, n in packed_levels(hops, _seeds(codes, codes.select("start", F.col("start").alias("node")))):
+        if last is not None:
+            dropped(last)
+        last, far, pairs, total = now, level, pairs + n, total + level * n
+    spark = edges.sparkSession
+    return spark.createDataFrame([(codes.count(), total / pairs if pairs else None, far if pairs else None)], "nodes long, mean_distance double, diameter int")

@@ -10,7 +10,6 @@ from stratagraph.operators import adopt as A
 from stratagraph.operators import intervals as I
 from stratagraph.operators import graph as G
 from stratagraph.operators import reports as R
-from stratagraph.plans.edges import EDGES_SQL, part_graph
 from stratagraph.plans.registry import Tables, query
 
 
@@ -78,12 +77,19 @@ def g06(t: Tables) -> DataFrame:
 
 @query(
     "g09_distances",
-    f"""WITH RECURSIVE {EDGES_SQL}, u AS (SELECT a, b FROM g WHERE a <> b UNION SELECT b, a FROM g WHERE a <> b),
-r(start, node, d) AS (SELECT a, a, 0 FROM u UNION SELECT r.start, u.b, r.d + 1 FROM r JOIN u ON u.a = r.node WHERE r.d < 16),
-m AS (SELECT start, node, min(d) AS d FROM r GROUP BY ALL) SELECT round(avg(d), 9) AS mean_distance, max(d) AS diameter FROM m WHERE start <> node""",
+    """WITH RECURSIVE g AS (SELECT s_suppkey AS a, (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier) AS b FROM supplier WHERE s_nationkey % 3 <> 0 UNION SELECT s_suppkey, s_suppkey + 1 FROM supplier WHERE s_nationkey % 4 = 1),
+u AS (SELECT a, b FROM g WHERE a <> b UNION SELECT b, a FROM g WHERE a <> b), c(start, node) AS (SELECT a, a FROM u UNION SELECT c.start, u.b FROM c JOIN u ON u.a = c.node),
+label AS (SELECT start AS node, min(node) AS component FROM c GROUP BY start), big AS (SELECT component FROM label GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
+r(start, node, d) AS (SELECT node, node, 0 FROM label WHERE component = (SELECT component FROM big) UNION SELECT r.start, u.b, r.d + 1 FROM r JOIN u ON u.a = r.node WHERE r.d < 40),
+m AS (SELECT start, node, min(d) AS d FROM r GROUP BY ALL) SELECT count(DISTINCT start) AS nodes, round(avg(d) FILTER (start <> node), 9) AS mean_distance, max(d) AS diameter FROM m""",
 )
 def g09(t: Tables) -> DataFrame:
-    return G.distances(part_graph(t).where("a <> b")).select(F.round("mean_distance", 9).alias("mean_distance"), "diameter")
+    """All pairs of the largest component of a graph over all suppliers."""
+    n = t.supplier.agg(F.count("*").alias("n"))  # one row
+    k = F.col("s_suppkey")
+    hop = t.supplier.where("s_nationkey % 3 <> 0").crossJoin(F.broadcast(n)).select(k.alias("a"), ((k * 3 + 1) % F.col("n")).alias("b"))
+    edges = hop.unionByName(t.supplier.where("s_nationkey % 4 = 1").select(k.alias("a"), (k + 1).alias("b")))
+    return G.distances(edges).select("nodes", F.round("mean_distance", 9).alias("mean_distance"), "diameter")
 
 
 @query("x16_sweep", "WITH a AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_tax < 0.07), b AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_discount < 0.09) SELECT *, 'base' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'head' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")

@@ -9,6 +9,7 @@ from stratagraph.operators import graph as G
 from stratagraph.operators import reports as P
 from stratagraph.operators import resolve as R
 from stratagraph.plans.registry import Tables, query
+from stratagraph.staging import checkpointed
 
 
 def refs(t: Tables) -> DataFrame:
@@ -115,25 +116,26 @@ def j14(t: Tables) -> DataFrame:
     return R.route_join(paths, routes.unionByName(fixed))
 
 
-@query("j15_table_refs", "SELECT o_orderpriority AS name, min(c_custkey) AS target FROM orders JOIN customer ON upper(substr(o_orderpriority, 3)) = c_mktsegment OR o_orderpriority = c_mktsegment GROUP BY 1")
+@query("j15_table_refs", "SELECT event_type AS name, min(target) AS target FROM events JOIN (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'purchase' WHEN 'MACHINERY' THEN 'click' ELSE lower(c_mktsegment) END AS tab, c_custkey AS target FROM customer) c ON c.tab = event_type GROUP BY 1")
 def j15(t: Tables) -> DataFrame:
-    """The first schema symbol whose last id part equals the name."""
-    names = t.orders.select(F.col("o_orderpriority").alias("name")).distinct()
-    return P.named_tables(names, t.customer.select(F.col("c_mktsegment").alias("table"), "c_custkey"), "name", "table", "c_custkey")
+    """The first schema symbol whose last id part equals the name; names that no table has stay out."""
+    names = t.events.select(F.col("event_type").alias("name")).distinct()
+    table = F.when(F.col("c_mktsegment") == "BUILDING", "purchase").when(F.col("c_mktsegment") == "MACHINERY", "click").otherwise(F.lower("c_mktsegment"))
+    return P.named_tables(names, t.customer.select(table.alias("table"), "c_custkey"), "name", "table", "c_custkey")
 
 
 @query(
     "j17_coalesce_join",
-    """WITH own AS (SELECT n_name AS name, min(c_custkey) AS target FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9900 GROUP BY 1),
-imported AS (SELECT n_name AS name, min(s_suppkey) AS target FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1),
+    """WITH own AS (SELECT n_name AS name, min(c_custkey) AS target FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 3 = 0 GROUP BY 1),
+imported AS (SELECT n_name AS name, min(s_suppkey) AS target FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY 1),
 anywhere AS (SELECT n_name AS name, n_nationkey::BIGINT AS target FROM nation)
 SELECT n.n_name AS name, coalesce(o.target, i.target, a.target) AS target FROM nation n LEFT JOIN own o ON o.name = n.n_name LEFT JOIN imported i ON i.name = n.n_name LEFT JOIN anywhere a ON a.name = n.n_name""",
 )
 def j17(t: Tables) -> DataFrame:
     """The own file's declaration, else what it imports under the name, else the smallest declaring file."""
     n = t.nation.select("n_nationkey", F.col("n_name").alias("name"))
-    own = t.customer.where("c_acctbal > 9900").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("name").agg(F.min("c_custkey").alias("target"))
-    imported = t.supplier.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("name").agg(F.min("s_suppkey").alias("target"))
+    own = t.customer.join(F.broadcast(n.where("n_nationkey % 3 = 0")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("name").agg(F.min("c_custkey").alias("target"))
+    imported = t.supplier.join(F.broadcast(n.where("n_nationkey % 2 = 0")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("name").agg(F.min("s_suppkey").alias("target"))
     anywhere = n.select("name", F.col("n_nationkey").cast("long").alias("target"))
     return R.coalesce_join(n.select("name"), [own, imported, anywhere], "name", "target")
 
@@ -190,7 +192,7 @@ def j13(t: Tables) -> DataFrame:
     "j25_scoped_deps",
     """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS word FROM documents),
 imports AS (SELECT doc_id, source AS target, CASE lang WHEN 'en' THEN 'the' WHEN 'de' THEN 'und' WHEN 'fr' THEN 'les' ELSE 'que' END AS word FROM documents)
-SELECT i.doc_id, i.target FROM imports i JOIN w USING (doc_id, word) WHERE i.target IS DISTINCT FROM 'src' || (i.doc_id % 20)""",
+SELECT i.doc_id, i.target FROM imports i JOIN w USING (doc_id, word) WHERE i.target IS DISTINCT FROM 'src' || (i.doc_id % 7)""",
 )
 def j25(t: Tables) -> DataFrame:
     """Imports whose name a part's text writes as a whole word, itself excluded."""
@@ -199,7 +201,7 @@ def j25(t: Tables) -> DataFrame:
     d = t.documents
     name = F.when(F.col("lang") == "en", "the").when(F.col("lang") == "de", "und").when(F.col("lang") == "fr", "les").otherwise("que")
     imports = d.select("doc_id", F.col("source").alias("target"), name.alias("word"), words(F.col("text")).alias("words"))
-    itself = F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"))
+    itself = F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string"))
     return R.scoped_by_words(imports, "word", "words", "target", itself).select("doc_id", "target")
 
 
@@ -251,17 +253,6 @@ def a25(t: Tables) -> DataFrame:
     return edges.groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("total"), F.count("resolved").alias("resolved"), F.count_distinct("l_orderkey").alias("files"))
 
 
-# A graph of all parts, in neighbourhoods of 16 keys: a hop for every third size, a step for large sizes.
-EDGES_SQL = """g AS (SELECT p_partkey AS a, p_partkey // 16 * 16 + (p_partkey * 3 + 1) % 16 AS b FROM part WHERE p_size % 3 = 0
-  UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 16 <> 15 AND p_size > 30)"""
-
-
-def part_graph(t: Tables) -> DataFrame:
-    part, k = t.part.select("p_partkey", "p_size"), F.col("p_partkey")
-    hop = part.where("p_size % 3 = 0").select(k.alias("a"), (F.floor(k / 16) * 16 + (k * 3 + 1) % 16).alias("b"))
-    return hop.unionByName(part.where("p_partkey % 16 <> 15 AND p_size > 30").select(k.alias("a"), (k + 1).alias("b"))).distinct()
-
-
 # A graph of all parts without walls: hops across the table, chains, and a hub that every fiftieth size leads to.
 HUB_SQL = """g AS (SELECT p_partkey AS a, (p_partkey * 3 + 1) % (SELECT count(*) FROM part) AS b FROM part WHERE p_size % 3 = 0
   UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_size > 30 AND p_partkey + 1 < (SELECT count(*) FROM part) UNION SELECT p_partkey, 0 FROM part WHERE p_size % 25 = 0
@@ -312,24 +303,24 @@ def g02(t: Tables) -> DataFrame:
 
 @query(
     "g01_participants",
-    f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT p_partkey AS file, CASE WHEN p_size % 7 = 0 THEN 'schema' ELSE 'callable' END AS kind FROM part),
-core(entry, file) AS (SELECT DISTINCT a, a FROM g UNION SELECT core.entry, g.b FROM core JOIN g ON g.a = core.file JOIN s ON s.file = g.b WHERE s.kind <> 'schema' AND s.file % 4 <> 0),
+    f"""WITH RECURSIVE {HUB_SQL}, s AS (SELECT p_partkey AS file, CASE WHEN p_size % 7 = 0 THEN 'schema' ELSE 'callable' END AS kind FROM part),
+may AS (SELECT NULL::BIGINT AS entry, file FROM s WHERE kind <> 'schema' AND file % 4 IN (1, 2) UNION ALL SELECT a, b FROM g JOIN s ON s.file = b WHERE kind <> 'schema' AND b % 4 = 3),
+core(entry, file) AS (SELECT DISTINCT a, a FROM g UNION SELECT core.entry, g.b FROM core JOIN g ON g.a = core.file JOIN may ON may.file = g.b AND coalesce(may.entry, core.entry) = core.entry),
 hop AS (SELECT DISTINCT core.entry, g.b AS target FROM core JOIN g ON g.a = core.file)
 SELECT entry, 'core' AS tier, 'f' || file AS target FROM core
 UNION ALL SELECT hop.entry, CASE kind WHEN 'schema' THEN 'data' ELSE 'dependencies' END, 's' || target FROM hop JOIN s ON s.file = hop.target
 WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.entry = hop.entry AND c.file = hop.target)""",
 )
 def g01(t: Tables) -> DataFrame:
-    g = part_graph(t)
+    """Files admitted to every core, and files admitted only where the entry itself leads to them."""
+    g = checkpointed(hub_graph(t))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     entries = g.select(F.col("a").alias("entry"), name("f", "a").alias("file")).distinct()
     edges = g.select(name("f", "a").alias("from_file"), name("f", "b").alias("target_file"), name("s", "b").alias("target"))
-    part = t.part
     kind = F.when(F.col("p_size") % 7 == 0, "schema").otherwise("callable")
-    symbols = part.select(name("s", "p_partkey").alias("id"), name("f", "p_partkey").alias("file"), kind.alias("kind"))
-    near = part.where("p_partkey % 4 <> 0").select(name("f", "p_partkey").alias("file"), F.floor(F.col("p_partkey") / 16).alias("near"))  # admitted files, by neighbourhood
-    admitted = entries.select("entry", F.floor(F.col("entry") / 16).alias("near")).join(near, "near").select("entry", "file")
-    return G.participants(entries, edges, admitted, symbols)
+    symbols = t.part.select(name("s", "p_partkey").alias("id"), name("f", "p_partkey").alias("file"), kind.alias("kind"))
+    everywhere = t.part.where("p_partkey % 4 IN (1, 2)").select(F.lit(None).cast("long").alias("entry"), name("f", "p_partkey").alias("file"))
+    return G.participants(entries, edges, everywhere.unionByName(g.where("b % 4 = 3").select(F.col("a").alias("entry"), name("f", "b").alias("file"))), symbols)
 
 
 @query("g08_components", f"WITH RECURSIVE {HUB_SQL}, u AS (SELECT a, b FROM g UNION SELECT b, a FROM g), r(start, node) AS (SELECT a, a FROM u UNION SELECT r.start, u.b FROM r JOIN u ON u.a = r.node) SELECT start AS node, min(node) AS component FROM r GROUP BY start")
