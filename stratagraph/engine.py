@@ -44,9 +44,9 @@ class Engine:
 
     def _pair(self) -> None:
         """Definitions join the declarations that their files reach; what is left of the symbols is the engine's."""
-        from stratagraph.operators import pairing
+        from stratagraph.operators import pairing, reachability
 
-        self.reached = checkpointed(linking.include_reach(self.imports))  # pairing and word links both read it
+        self.reached = reachability.over(linking.include_hops(self.imports))  # pairing and word links both ask it
         pairs = pairing.pair(self.rel.symbols, self.reached)
         symbols, spans = pairing.apply(self.rel.symbols, pairs)
         self.rel.symbols, self.spans = checkpointed(symbols), checkpointed(spans)

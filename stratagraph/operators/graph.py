@@ -205,6 +205,17 @@ def _colours(edges: DataFrame, seed: int) -> DataFrame:
             return now.select("node", F.col("f.id").alias("f"), F.col("b.id").alias("b"))
 
 
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges that have one before and one behind, and their number; again as long as an eighth of them goes."""
+    left, n, before = edges, edges.count(), None
+    while n and (before is None or 8 * n <= 7 * before):
+        step = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        step = step.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        left, kept = observed(step, n=F.count("*"))
+        before, n = n, kept["n"]
+    return left, n
+
+
 def strong_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): nodes that reach each other, by the smallest of them; single nodes are left out.
 
@@ -215,10 +226,8 @@ def strong_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame
     """
     left, found, seed = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()), None, 0
     while True:
-        trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        trimmed = trimmed.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        left, kept = observed(trimmed, n=F.count("*"))
-        if not kept["n"]:
+        left, n = _trimmed(left)
+        if not n:
             break
         seed += 1
         colours = checkpointed(_colours(left, seed))

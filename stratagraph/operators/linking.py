@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.operators.reachability import Closure, Index
 from stratagraph.operators.resolve import first_match, suffixes
 from stratagraph.sources.index import Relations
+from stratagraph.staging import checkpointed
 
 #: Times that a re-export may be followed, by pack.
 HOPS = {"typescript": 5, "rust": 1, "python": 1, "java": 0, "cpp": 0}
@@ -78,11 +80,16 @@ def resolve_flows(rel: Relations, imports: DataFrame) -> DataFrame:
     return rel.flows.join(best, ["from_file", "ord"], "left").select("from_file", "ord", "kind", "raw", "t.target_file", "t.target")
 
 
+def include_hops(includes: DataFrame) -> DataFrame:
+    """(a, b): a file and what it includes itself."""
+    return includes.where("form = 'include' AND target_file IS NOT NULL").select(F.col("from_file").alias("a"), F.col("target_file").alias("b"))
+
+
 def include_reach(includes: DataFrame) -> DataFrame:
-    """(file, header): what a file includes, directly or not."""
+    """(file, header): what a file includes, directly or not. All of it; for given pairs ask ``reachability.over``."""
     from stratagraph.operators.graph import reach
 
-    hops = includes.where("form = 'include' AND target_file IS NOT NULL").select(F.col("from_file").alias("a"), F.col("target_file").alias("b"))
+    hops = include_hops(includes)
     return reach(hops, hops.select(F.col("a").alias("start")).distinct()).select(F.col("start").alias("file"), F.col("node").alias("header"))
 
 
@@ -95,13 +102,14 @@ def same_package(rel: Relations) -> DataFrame:
     return wrote.join(explicit, ["file", "word"], "left_anti").select(F.col("file").alias("from_file"), "target").distinct()
 
 
-def cpp_edges(rel: Relations, far: DataFrame) -> DataFrame:
-    """(from_file, target): top-level symbols of the headers that a file reaches, far(file, header), whose names it writes."""
-    from stratagraph.operators.resolve import word_join
+def cpp_edges(rel: Relations, far: Closure | Index) -> DataFrame:
+    """(from_file, target): top-level symbols of the headers that a file reaches whose names it writes.
 
-    top = rel.symbols.where("is_top_level").select(F.col("file").alias("header"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("name"), "id")
+    Words meet names first; what they leave is asked of ``far``, pair by pair.
+    """
+    top = rel.symbols.where("is_top_level").select(F.col("file").alias("header"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("word"), "id")
     outer = rel.symbols.where("is_top_level AND raw = 'enum'").select(F.col("id").alias("parent"))  # a nested enum's constants need their class
-    inner = rel.symbols.where("raw = 'enumerator'").join(outer, "parent", "left_semi").select(F.col("file").alias("header"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("name"), F.col("parent").alias("id"))
-    offered = top.unionByName(inner)
-    wrote = rel.words.join(offered.select(F.col("name").alias("word")).distinct(), "word", "left_semi")
-    return word_join(far, offered, wrote).select(F.col("file").alias("from_file"), F.col("id").alias("target")).distinct()
+    inner = rel.symbols.where("raw = 'enumerator'").join(outer, "parent", "left_semi").select(F.col("file").alias("header"), F.regexp_extract("id", r"([^:.]*)$", 1).alias("word"), F.col("parent").alias("id"))
+    wrote = rel.words.select("file", "word").join(top.unionByName(inner), "word").where("file <> header").select("file", "header", "id").distinct()
+    wrote = checkpointed(wrote)
+    return wrote.join(far.among(wrote, "file", "header"), ["file", "header"], "left_semi").select(F.col("file").alias("from_file"), F.col("id").alias("target")).distinct()

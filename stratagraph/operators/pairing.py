@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.operators.intervals import above, numbered, sums_below
+from stratagraph.operators.reachability import Closure, Index
 from stratagraph.staging import checkpointed
 
 
@@ -21,11 +22,11 @@ def _names(suffix: Column, chain: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), outer), lambda d: F.struct(d.alias("depth"), F.array_join(F.concat(F.slice(parts, 1, outer - d), F.slice(parts, outer + 1, F.size(parts))), "::").alias("name")))
 
 
-def pair(symbols: DataFrame, reach: DataFrame) -> DataFrame:
+def pair(symbols: DataFrame, far: Closure | Index) -> DataFrame:
     """(id, target, how) of every pairable definition: paired, class, ambiguous or unmatched.
 
-    symbols(id, file, kind, raw, markers, is_top_level, is_exported); reach(file, header): headers a file
-    includes, directly or not. Declarations join on the name after the file; only the innermost scope that has
+    symbols(id, file, kind, raw, markers, is_top_level, is_exported); far says which headers a file includes,
+    directly or not: only pairs of files that share a name are asked for. Declarations join on the name after the file; only the innermost scope that has
     one counts, and only if it has no other. A definition without a declaration goes to its class.
     """
     after = F.expr("substring(id, length(file) + 3)")
@@ -36,7 +37,8 @@ def pair(symbols: DataFrame, reach: DataFrame) -> DataFrame:
 
     def nearest(names: DataFrame, test: Column) -> DataFrame:
         known = symbols.where(test).select(F.col("id").alias("target"), F.col("file").alias("header"), after.alias("name"))
-        met = names.join(known, "name").join(reach.select("file", "header").distinct(), ["file", "header"], "left_semi").where("id <> target")
+        met = checkpointed(names.join(known, "name").where("id <> target AND file <> header"))
+        met = met.join(far.among(met, "file", "header"), ["file", "header"], "left_semi")
         per = met.groupBy("id", "depth").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
         return per.groupBy("id").agg(F.min_by(F.struct("n", "target"), "depth").alias("b")).select("id", "b.n", "b.target")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.operators import graph as G
+from stratagraph.operators import reachability
 from stratagraph.operators import reports as P
 from stratagraph.operators import resolve as R
 from stratagraph.plans.registry import Tables, query
@@ -301,6 +302,19 @@ def g02(t: Tables) -> DataFrame:
     return G.reach(g, g.select(F.col("a").alias("start")).distinct()).select("start", "node")
 
 
+@query(
+    "g02_pairs_reached",
+    f"""{REACH_SQL}, asked AS (SELECT DISTINCT l_partkey AS a, (l_partkey + l_suppkey) % (SELECT count(*) FROM part) AS b FROM lineitem WHERE l_quantity > 25 UNION SELECT p_partkey, p_partkey // 2 FROM part)
+SELECT DISTINCT asked.a, asked.b FROM asked JOIN r ON r.start = asked.a AND r.node = asked.b WHERE asked.a <> asked.b""",
+)
+def g02_pairs(t: Tables) -> DataFrame:
+    """Which of the pairs that lines name reach each other, by labels of all parts."""
+    n = t.part.agg(F.count("*").alias("n"))  # one row
+    asked = t.lineitem.where("l_quantity > 25").crossJoin(F.broadcast(n)).select(F.col("l_partkey").alias("a"), ((F.col("l_partkey") + F.col("l_suppkey")) % F.col("n")).alias("b"))
+    asked = asked.unionByName(t.part.select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 2).alias("b")))
+    return reachability.Index(hub_graph(t)).among(asked, "a", "b")
+
+
 @query(
     "g01_participants",
     f"""WITH RECURSIVE {HUB_SQL}, s AS (SELECT p_partkey AS file, CASE WHEN p_size % 7 = 0 THEN 'schema' ELSE 'callable' END AS kind FROM part),

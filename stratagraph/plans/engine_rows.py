@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as X
-from stratagraph.operators import linking, pairing
+from stratagraph.operators import linking, pairing, reachability
 from stratagraph.operators import reports as R
 from stratagraph.operators import staleness as S
 from stratagraph.plans.coverage import ALL_SQL, every
@@ -34,7 +34,7 @@ def relations(t: Tables, shapes: list[tuple[str, str]], pack: str) -> I.Relation
 
 def pairs(t: Tables) -> tuple[I.Relations, DataFrame]:
     rel = relations(t, PAIRED, "cpp")
-    return rel, pairing.pair(rel.symbols, linking.include_reach(linking.resolve_imports(rel, "cpp")))
+    return rel, pairing.pair(rel.symbols, reachability.over(linking.include_hops(linking.resolve_imports(rel, "cpp"))))
 
 
 def _pair_rows(*rows: tuple[str, str | None, str]) -> str:

@@ -64,12 +64,12 @@ def t03(t: Tables) -> DataFrame:
 
 @query(
     "j32_orphan_sections",
-    """SELECT c.conv_id, c.turn FROM conversations c WHERE c.conv_id IN (SELECT doc_id FROM documents WHERE lang = 'en')
+    """SELECT c.conv_id, c.turn FROM conversations c WHERE c.conv_id IN (SELECT doc_id FROM documents)
 AND NOT EXISTS (SELECT 1 FROM conversations k WHERE k.conv_id = c.conv_id AND k.turn = c.turn AND k.role <> 'user')""",
 )
 def j32(t: Tables) -> DataFrame:
     """Stored sections of live files whose symbol is gone."""
-    stored, live = t.conversations.select("conv_id", "turn"), t.documents.where("lang = 'en'").select(F.col("doc_id").alias("conv_id"))
+    stored, live = t.conversations.select("conv_id", "turn"), t.documents.select(F.col("doc_id").alias("conv_id"))
     return S.orphans(stored.join(live, "conv_id", "left_semi"), t.conversations.where("role <> 'user'").select("conv_id", "turn"), ["conv_id", "turn"])
 
 
