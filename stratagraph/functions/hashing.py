@@ -1,4 +1,4 @@
-"""Content hashes: one stable hash, Merkle hashes of members, hashes of dependency lists."""
+"""The content hash. Hashes of members and of dependency lists are in ``operators/merkle.py``."""
 
 from __future__ import annotations
 
@@ -8,15 +8,3 @@ from pyspark.sql import functions as F
 
 def stable(text: Column) -> Column:
     return F.sha2(text, 256)
-
-
-def merkle(signature: Column, order: Column, member_hash: Column) -> Column:
-    """Aggregate: the hash of a signature and its members' hashes, a line each, in order."""
-    members = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), member_hash.alias("h")))), lambda m: m.h)
-    return stable(F.concat_ws("\n", F.array(F.first(signature)), members))
-
-
-def dependencies(target: Column, target_hash: Column) -> Column:
-    """Aggregate: the hash of the sorted distinct (target, hash) pairs, a ``target:hash`` line each."""
-    pairs = F.array_sort(F.collect_set(F.struct(target.alias("t"), target_hash.alias("h"))))
-    return stable(F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p.t, p.h)), "\n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratagraph.operators.ordered import dealt
+
 
 def file_status(parts: DataFrame, key: str, missing: Column, current: Column) -> DataFrame:
     """(key, status): missing if all parts are, current if all are, else stale."""
@@ -60,11 +62,22 @@ def members_in_order(parts: DataFrame, live: DataFrame, key: str, on: str, order
 
 
 def nearest_ranks(values: DataFrame, key: str, value: str, ranks: dict[str, float]) -> DataFrame:
-    """Percentiles by nearest rank, exact: values are counted first, so a window sees a row per distinct value."""
-    counts = values.groupBy(key, value).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(key).orderBy(value))).withColumn("all", F.sum("n").over(Window.partitionBy(key)))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.round((F.col("all") - 1) * F.lit(p)) + 1, F.col(value)))
-    return ranked.groupBy(key).agg(*[at(p).alias(name) for name, p in ranks.items()])
+    """Percentiles by nearest rank, exact. Null values do not count; a key with no other has no row.
+
+    Counted values are dealt by range, which splits a key. A row a range and key says which range holds which rank,
+    and only those ranges are put in order.
+    """
+    counts = dealt(values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n")), key, [value])
+    own = counts.groupBy(key, "_range").agg(F.sum("_n").alias("_own"))
+    of = Window.partitionBy(key)
+    sums = own.withColumn("_upto", F.sum("_own").over(of.orderBy("_range"))).withColumn("_all", F.sum("_own").over(of))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.round((F.col("_all") - 1) * F.lit(p)) + 1).alias("rank")) for name, p in ranks.items()]))
+    held = sums.select(F.col(key).alias("_of"), F.col("_range").alias("_at"), (F.col("_upto") - F.col("_own")).alias("_past"), "_upto", asked.alias("_asked"))
+    held = held.where("_asked.rank > _past AND _asked.rank <= _upto")
+    met = counts.join(held, (F.col("_range") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_of")))
+    here = F.col("_past") + F.sum("_n").over(Window.partitionBy(key, "_at", "_asked").orderBy(value))
+    at = lambda name: F.min(F.when(F.col("_asked.name") == name, F.col(value)))
+    return met.withColumn("_here", here).where("_here >= _asked.rank").groupBy(key).agg(*[at(name).alias(name) for name in ranks])
 
 
 def identical_sets(rows: DataFrame, group: str, member: str, value: str) -> DataFrame:

@@ -29,17 +29,20 @@ def first_match(candidates: DataFrame, key: list[str], order: list[str], value:
 
 
 def route_join(literals: DataFrame, routes: DataFrame, path: str = "path", pattern: str = "pattern", order: str = "ord") -> DataFrame:
-    """(literal, route): parts are equal one by one, ``[x]`` matches any, the first route wins."""
+    """(literal, route): parts are equal one by one, ``[x]`` matches any, the first route wins. A null meets nothing.
+
+    Routes fall into shapes: how many parts they have, and which of them are fixed. A path asks each shape of its
+    length for the route with its own parts there, so that joins are by equality, wherever the open parts are.
+    """
     part = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
-    lit = literals.select(path).distinct().withColumn("parts", part(F.col(path))).withColumn("n", F.size("parts"))
-    pat = routes.select(pattern, order, part(F.col(pattern)).alias("wanted")).withColumn("n", F.size("wanted"))
-    same = F.forall(F.zip_with("parts", "wanted", lambda a, b: (a == b) | b.rlike(r"^\[.*\]$")), lambda x: x)
-    # The first part joins by equality where the pattern states it, which keeps the candidates few.
-    wild = F.get("wanted", F.lit(0)).rlike(r"^\[.*\]$")
-    fixed = lit.withColumn("head", F.get("parts", F.lit(0))).join(pat.where(~wild).withColumn("head", F.get("wanted", F.lit(0))), ["n", "head"]).drop("head")
-    free = lit.join(pat.where(wild), "n")
-    met = fixed.unionByName(free).where(same)
-    return first_match(met, [path], [order, pattern], pattern)
+    held = lambda parts: F.array_join(F.transform("fixed", lambda i: F.get(parts, i)), "/")  # noqa: E731  (no part holds a slash)
+    lit = literals.select(path).where(F.col(path).isNotNull()).distinct().withColumn("parts", part(F.col(path)))
+    pat = routes.select(pattern, order, part(F.col(pattern)).alias("wanted")).where(F.col(pattern).isNotNull())
+    places = F.filter(F.transform("wanted", lambda x, i: F.when(~x.rlike(r"^\[.*\]$"), i)), lambda i: i.isNotNull())
+    shaped = pat.select(pattern, order, F.size("wanted").alias("n"), places.alias("fixed"), "wanted").withColumn("held", held("wanted"))
+    first = shaped.groupBy("n", "fixed", "held").agg(F.min(F.struct(order, pattern)).alias("r"))
+    asking = lit.withColumn("n", F.size("parts")).join(first.select("n", "fixed").distinct(), "n").withColumn("held", held("parts"))
+    return asking.join(first, ["n", "fixed", "held"]).groupBy(path).agg(F.min("r").alias("r")).select(path, F.col(f"r.{pattern}").alias(pattern))
 
 
 def coalesce_join(names: DataFrame, tables: list[DataFrame], key: str, value: str) -> DataFrame:

@@ -47,6 +47,16 @@ def a26(t: Tables) -> DataFrame:
     return R.nearest_ranks(t.documents, "lang", "n_chars", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
+@query(
+    "a26_price_percentiles",
+    """WITH s AS (SELECT o_orderstatus, list_sort(list(o_totalprice)) AS x FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1)
+SELECT o_orderstatus, x[(round((len(x) - 1) * 0.1) + 1)::INT] AS p10, x[(round((len(x) - 1) * 0.5) + 1)::INT] AS p50, x[(round((len(x) - 1) * 0.99) + 1)::INT] AS p99 FROM s""",
+)
+def a26_price(t: Tables) -> DataFrame:
+    """Values of which nearly all are distinct."""
+    return R.nearest_ranks(t.orders, "o_orderstatus", "o_totalprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+
+
 @query("a23_identical_dependencies", "WITH d AS (SELECT conv_id, role, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS deps FROM conversations GROUP BY ALL) SELECT conv_id, count(*) >= 2 AND count(DISTINCT deps) = 1 AS identical FROM d GROUP BY conv_id")
 def a23(t: Tables) -> DataFrame:
     return R.identical_sets(t.conversations, "conv_id", "role", "turn")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.functions import hashing as H
+from stratagraph.operators import merkle as M
 from stratagraph.operators import reports as R
 from stratagraph.operators import staleness as S
 from stratagraph.plans.registry import Tables, query
@@ -152,13 +153,27 @@ def a14(t: Tables) -> DataFrame:
     return R.distinct_dependants(t.lineitem, big, "l_orderkey", "l_partkey")
 
 
+def _chunks_sql(fan: int, levels: int = 7) -> str:
+    """SQL for hashes over chunks, each level stated; enough for ``fan ** (levels + 1)`` lines a group."""
+    base = "l0 AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, sha256(text)) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, sha256(text) AS line FROM documents WHERE text IS NOT NULL)"
+    up = "l{1} AS (SELECT * FROM l{0} WHERE n <= {2} UNION ALL SELECT lang, pos // {2}, (n + {2} - 1) // {2}, sha256(string_agg(line, chr(10) ORDER BY pos)) FROM l{0} WHERE n > {2} GROUP BY ALL)"
+    steps = [up.format(i, i + 1, fan) for i in range(levels)]
+    return f"WITH {', '.join([base, *steps])} SELECT lang, sha256('lang ' || lang || chr(10) || string_agg(line, chr(10) ORDER BY pos)) AS hash FROM l{levels} GROUP BY lang"
+
+
 @query(
     "a15_merkle",
     """SELECT conv_id, sha256('conv ' || conv_id || coalesce(chr(10) || string_agg(sha256(text), chr(10) ORDER BY turn), '')) AS hash FROM conversations GROUP BY conv_id""",
 )
 def a15(t: Tables) -> DataFrame:
-    signature = F.concat(F.lit("conv "), F.col("conv_id").cast("string"))
-    return t.conversations.groupBy("conv_id").agg(H.merkle(signature, F.col("turn"), H.stable(F.col("text"))).alias("hash"))
+    head = F.concat(F.lit("conv "), F.col("conv_id").cast("string"))
+    return M.hashed_lines(t.conversations, "conv_id", ["turn"], H.stable(F.col("text")), "hash", head)
+
+
+@query("a15_merkle_chunks", _chunks_sql(16))
+def a15_chunks(t: Tables) -> DataFrame:
+    """Large groups: every language's documents, hashed over chunks of 16, level by level."""
+    return M.hashed_lines(t.documents, "lang", ["doc_id"], H.stable(F.col("text")), "hash", F.concat(F.lit("lang "), "lang"), 16)
 
 
 @query(
@@ -168,7 +183,8 @@ SELECT l_orderkey, sha256(string_agg(l_partkey || ':' || h, chr(10) ORDER BY l_p
 )
 def a16(t: Tables) -> DataFrame:
     part = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("h"))
-    return t.lineitem.select("l_orderkey", "l_partkey").join(part, "l_partkey").groupBy("l_orderkey").agg(H.dependencies(F.col("l_partkey"), F.col("h")).alias("deps_hash"))
+    pairs = t.lineitem.select("l_orderkey", "l_partkey").join(part, "l_partkey").distinct()
+    return M.hashed_lines(pairs, "l_orderkey", ["l_partkey", "h"], F.concat_ws(":", "l_partkey", "h"), "deps_hash")
 
 
 @query(

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,52 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     assert sorted(r.n for r in batch.collect()) == [1, 1, 1, 3]
 
 
+def _until(test, seconds=60):
+    end = time.monotonic() + seconds
+    while not test():
+        assert time.monotonic() < end, "nothing came"
+        time.sleep(0.2)
+
+
+def test_the_last_run_comes_out_by_silence_and_after_a_restart(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    (tmp_path / "in").mkdir()
+
+    def put(name, events):
+        (tmp_path / "tmp.json").write_text("\n".join(json.dumps({"ts": None if ms is None else (t0 + dt.timedelta(milliseconds=ms)).isoformat(), "k": k, "path": p}) for ms, k, p in events))
+        (tmp_path / "tmp.json").rename(tmp_path / f"in/{name}.json")
+
+    def start(silence):
+        stream = spark.readStream.schema("ts timestamp, k string, path string").json(str(tmp_path / "in"))
+        runs = S.debounce_silence(stream, "k", "ts", "path", silence)
+        return runs.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+
+    def seen():
+        return sorted((r.k or "", tuple(r.paths), r.n) for r in spark.read.schema("k string, paths array<string>, n long").parquet(str(tmp_path / "out")).collect()) if (tmp_path / "out").exists() else []
+
+    put("1", [(9_000, "a", "late"), (0, "a", "x"), (100, "a", "y"), (350, "a", "x"), (3_000, "a", None), (0, None, "n"), (None, "a", "no time")])
+    first = [("", ("n",), 1), ("a", (), 1), ("a", ("late",), 1), ("a", ("x", "y"), 3)]
+    q = start(300)
+    try:
+        _until(lambda: len(seen()) >= 4)  # no event follows
+        assert seen() == first
+    finally:
+        q.stop()
+    q = start(15_000)  # the timer is kept in the checkpoint
+    try:
+        put("2", [(60_000, "b", "z"), (60_200, "b", "w")])
+        _until(lambda: any(p.numInputRows >= 2 and p.stateOperators[0].numRowsTotal for p in q.recentProgress))
+        assert seen() == first
+    finally:
+        q.stop()
+    q = start(15_000)
+    try:
+        _until(lambda: len(seen()) > len(first))
+        assert seen() == sorted([*first, ("b", ("w", "z"), 2)])
+    finally:
+        q.stop()
+
+
 def test_merge_and_snapshots(spark, tmp_path):
     index = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "file string, source_hash string")
     new, moved = S.merge(index, spark.createDataFrame([("a", "1"), ("b", "9"), ("c", None), ("d", "4"), ("e", None)], "file string, source_hash string"))
