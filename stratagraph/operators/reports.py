@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.operators.ordered import dealt
+from stratagraph.operators.ordered import dealt, numbered
 
 
 def file_status(parts: DataFrame, key: str, missing: Column, current: Column) -> DataFrame:
@@ -98,7 +98,7 @@ def counts_of(rows: DataFrame, what: Column, name: str) -> DataFrame:
 
 def edge_order(edges: DataFrame, source: str, order: list[str]) -> DataFrame:
     """Edges with ``ord``, numbered from 1 within their source by a total order, so that builds agree."""
-    return edges.withColumn("ord", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
+    return numbered(edges, source, order, "ord")
 
 
 def in_sync(now: DataFrame, recorded: DataFrame, key: str, value: str = "hash") -> DataFrame:
@@ -158,9 +158,8 @@ def change_parts(change: Column) -> tuple[Column, Column]:
 def anchors(rows: DataFrame, key: str, order: str, heading: Column) -> DataFrame:
     """Rows with ``anchor``: the heading in lower case with hyphens; repeats of a document get -1, -2 and so on."""
     a = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(heading), "[^a-z0-9 ]", ""), " +", "-"), "^-+|-+$", "")
-    n = F.row_number().over(Window.partitionBy(key, "_a").orderBy(order))
-    out = rows.withColumn("_a", a).withColumn("_n", n)
-    return out.withColumn("anchor", F.when(F.col("_n") > 1, F.concat_ws("-", "_a", (F.col("_n") - 1).cast("string"))).otherwise(F.col("_a"))).drop("_a", "_n")
+    out = numbered(rows.withColumn("_a", a).withColumn("_k", F.struct(key, "_a")), "_k", [order], "_n")
+    return out.withColumn("anchor", F.when(F.col("_n") > 1, F.concat_ws("-", "_a", (F.col("_n") - 1).cast("string"))).otherwise(F.col("_a"))).drop("_a", "_k", "_n")
 
 
 def dependency_context(rows: DataFrame, targets: DataFrame, on: Column, summary: str, fallback: Column) -> DataFrame:

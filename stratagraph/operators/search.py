@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as X
-from stratagraph.operators.ordered import ADDED, before, dealt, islands
+from stratagraph.operators.ordered import ADDED, before, dealt, islands, neighbours
 
 # Caps of a search answer and of shown sources.
 MAX_MATCHES, MAX_LINE_BYTES, MAX_CONTEXT, MAX_BYTES = 200, 500, 5, 100_000
@@ -47,9 +47,8 @@ def merge_spans(spans: DataFrame, key: str, start: str = "start", end: str = "en
 
 
 def context(rows: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
-    """Each row with up to ``n`` values before and after it."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("before", F.collect_list(value).over(w.rowsBetween(-n, -1))).withColumn("after", F.collect_list(value).over(w.rowsBetween(1, n)))
+    """Each row with up to ``n`` values before and after it; no task holds a whole key."""
+    return neighbours(rows, key, [order], value, n)
 
 
 def number_repeats(rows: DataFrame, key: str, order: list[str], joiner: str) -> DataFrame:
