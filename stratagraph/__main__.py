@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="stratagraph")
-    p.add_argument("command", choices=["extract", "coverage", "pending", "explain", "search", "callers", "callees", "symbol", "source", "features", "statistics", "backfill-dep-targets", "adopt"])
+    p.add_argument("command", choices=["extract", "coverage", "pending", "explain", "search", "callers", "callees", "symbol", "source", "features", "statistics", "report", "task", "backfill-dep-targets", "adopt"])
     p.add_argument("root")
     p.add_argument("argument", nargs="?", default="")
     p.add_argument("--pack")
@@ -28,6 +28,12 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "adopt":
         print(json.dumps(e.adopt()))
         return 0
+    if a.command == "report":
+        print(json.dumps(e.coverage_answer(a.argument, a.cursor)))
+        return 0
+    if a.command == "task":
+        print(json.dumps(e.next_unit(a.argument, a.cursor)))
+        return 0
     if a.command == "extract" and (bad := e.rel.files.where("parse_errors > 0").count()):
         print(f"{bad} files were read in part", file=sys.stderr)
     rows = {

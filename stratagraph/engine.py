@@ -15,7 +15,7 @@ from stratagraph.extract.model import digest
 from stratagraph.functions import text as X
 from stratagraph.functions.paths import directory
 from stratagraph.operators import coverage as C
-from stratagraph.operators import features, graph, linking, search
+from stratagraph.operators import features, graph, linking, reports, search, tasks
 from stratagraph.operators import staleness as S
 from stratagraph.sources import documents as D
 from stratagraph.sources import index as I
@@ -194,7 +194,7 @@ class Engine:
         missing = F.coalesce(F.exists("changes", lambda c: c.startswith("added:")), F.lit(False))
         smell = sections.select(F.col("symbol_id").alias("id"), X.smells(F.concat_ws("\n", "summary", "behavior")).alias("smells")).unionByName(docs.select(F.col("doc_id").alias("id"), X.smells(F.col("summary")).alias("smells")))
         units = want.join(changed, "id", "left").join(smell, "id", "left").select("id", "file", missing.alias("missing"), F.col("changes").isNotNull().alias("changed"), F.coalesce("smells", F.array().cast("array<string>")).alias("smells"))
-        status = F.when(F.bool_and("missing"), "missing").when(~F.bool_or("changed"), "current").otherwise("stale")
+        status = reports.status_of(F.col("missing"), ~F.col("changed"))
         pending = F.count_if(F.col("missing") | F.col("changed") | (F.size("smells") > 0))
         tests = self.rel.files.where("role = 'test'").select(F.col("file").alias("from_file"))
         tops = self.rel.symbols.where("is_top_level").select(F.col("id").alias("target"), "file")
@@ -216,6 +216,38 @@ class Engine:
     def coverage_report(self, scope: str = "") -> DataFrame:
         return C.coverage_report(self.coverage(scope))
 
+    def coverage_answer(self, scope: str = "", cursor: int = 0) -> dict:
+        """Everything that coverage says of a scope: sums and ratios of all, by kind and by module, the weighted
+        freshness, the top stale files, orphans, a page of pending units and the next page's cursor, the number of
+        generated files, and the files that were read in part, worst first.
+
+        The inventory is staged once; what is collected is sums, orphans and pages.
+        """
+        from stratagraph.functions.paths import within_scope
+
+        items = checkpointed(self.coverage(scope))
+        sums = C.coverage_report(items).collect()
+        row = lambda r: {k: v for k, v in r.asDict().items() if k != "level"}
+        due = C.prioritize(items)
+        total = due.count()
+        role = F.when(F.col("role") == "test", 1).when(F.col("role") == "generated", 2).otherwise(0)
+        worst = reports.worst_read(self.rel.files, "file", "parse_errors", role).collect()
+        made = reports.generated_count(self.rel.files, F.col("role") == "generated").first()
+        start = min(cursor, total)
+        return {
+            "all": next((row(r) for r in sums if r.level == "all"), {}),
+            "by_kind": [row(r) for r in sums if r.level == "kind"],
+            "by_module": [row(r) for r in sums if r.level == "module"],
+            "generations_remaining": items.agg(F.coalesce(F.sum("generations"), F.lit(0))).first()[0],
+            "weighted_freshness": C.weighted_freshness(items.where("kind = 'file'")).first()[0],
+            "top_stale": [r.asDict() for r in C.top_stale(items).select("id", "status", "fan_in").collect()],
+            "orphaned": [r.asDict() for r in self.orphaned().where(within_scope(F.col("id"), scope)).orderBy("id").collect()],
+            "pending": [r.asDict() for r in C.page(due, start).select("id", "kind", "status", "fan_in", "tier", "urgency").collect()],
+            "next_cursor": start + C.PAGE if start + C.PAGE < total else None,
+            "generated": made.generated or None,
+            "partly_read": {"files": worst[0].files, "worst": [{"file": r.file, "errors": r.errors} for r in worst]} if worst else None,
+        }
+
     def pending(self, scope: str = "", cursor: int = 0) -> DataFrame:
         return C.page(C.prioritize(self.coverage(scope)), cursor)
 
@@ -241,8 +273,31 @@ class Engine:
         """How many documents are stale for which causes."""
         return S.cause_label(self.explain(), "file", "cause").groupBy("label").agg(F.count("*").alias("documents"))
 
+    def file_inputs(self, scope: str = "", page: int = tasks.PAGE, most: int = reports.RAW_PAGES) -> DataFrame:
+        """(file, input_kind, input, pages): what a writer is shown of each file, see ``tasks.file_inputs``."""
+        from stratagraph.functions.paths import within_scope
+
+        _, sections, _, _ = self._stored()
+        files = self.rel.files.where(within_scope(F.col("file"), scope))
+        return tasks.file_inputs(files, self.rel.symbols, sections.select(F.col("symbol_id").alias("id"), "summary"), page, most)
+
+    def file_task(self, file: str, cursor: str | None = None, page: int = tasks.PAGE, most: int = reports.RAW_PAGES) -> dict:
+        """One page of what a writer is shown of a file: nothing of it is cut off, the cursor leads to the next page.
+
+        A cursor holds a hash of what is paged: once that has changed the cursor is refused.
+        """
+        row = self.file_inputs(file, page, most).where(F.col("file") == file).first()
+        if row is None:
+            raise ValueError(f"no such file: {file}")
+        at = 0 if cursor is None else X.decode_cursor(cursor, file, row.input, page)
+        follow = X.encode_cursor(at + 1, file, row.input) if at + 1 < len(row.pages) else None
+        return {"id": file, "input_kind": row.input_kind, "source": row.pages[at], "page": at + 1, "pages": len(row.pages), "next_cursor": follow}
+
     def next_task(self, file: str) -> dict | None:
-        """The first unit of a file that isn't current, in declaration order, then the file itself; None when all is."""
+        """The first unit of a file that isn't current, in declaration order, then the file itself; None when all is.
+
+        The file itself comes in pages, see ``file_task``.
+        """
         order = self.documented().select("id", "ord").unionByName(self.rel.files.select(F.col("file").alias("id"), F.lit(2**30).alias("ord")))
         _, sections, _, _ = self._stored()
         edited = sections.select(F.col("symbol_id").alias("id"), "edited")
@@ -253,6 +308,8 @@ class Engine:
         )
         if row is None:
             return None
+        if row.id == file:
+            return {**self.file_task(file), "changes": list(row.changes), "action": row.action, "truncated": False}
         source = self.get_source(row.id).first()
         return {"id": row.id, "changes": list(row.changes), "action": row.action, "source": source.source, "truncated": source.truncated}
 
@@ -262,8 +319,6 @@ class Engine:
         Files come before their folder's document, folders before features, features before the system; a document
         whose parts aren't current yet has no task of its own. ``cursor`` skips that many units that are due.
         """
-        from stratagraph.operators import reports
-
         if self.rel.files.where(F.col("file") == target).count():
             return self.next_task(target)
         items, upper = self.coverage(), self.upper_status()

@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from stratagraph.operators.ordered import dealt, numbered
 
 
+#: Pages up to which a file is shown whole.
+RAW_PAGES = 12
+
+
+def status_of(missing: Column, current: Column) -> Column:
+    """Aggregate: missing if all parts are, current if all are, else stale."""
+    return F.when(F.bool_and(missing), "missing").when(F.bool_and(current), "current").otherwise("stale")
+
+
 def file_status(parts: DataFrame, key: str, missing: Column, current: Column) -> DataFrame:
     """(key, status): missing if all parts are, current if all are, else stale."""
-    return parts.groupBy(key).agg(F.when(F.bool_and(missing), "missing").when(F.bool_and(current), "current").otherwise("stale").alias("status"))
+    return parts.groupBy(key).agg(status_of(missing, current).alias("status"))
 
 
 def pending_generations(parts: DataFrame, key: str, pending: Column, own: Column) -> DataFrame:
@@ -40,9 +49,9 @@ def bottom_up(units: DataFrame) -> DataFrame:
     return units.withColumn("rank", rank).orderBy("rank", "module", "id")
 
 
-def ladder(size: Column, share: Column, parts: Column, page: int = 4000, dominant: int = 70, many: int = 8) -> Column:
-    """How a file is shown: whole if small, an outline if one part dominates, summaries if it has many parts."""
-    return F.when(F.ceil(size / page) <= 2, "raw").when(share >= dominant, "outline").when(parts >= many, "summaries").otherwise("raw")
+def ladder(pages: Column, share: Column, parts: Column, most: int = RAW_PAGES, dominant: int = 70, many: int = 8) -> Column:
+    """How a file of so many pages is shown: whole if few, an outline if one part dominates, summaries if it has many parts."""
+    return F.when(pages <= most, "raw").when(share >= dominant, "outline").when(parts >= many, "summaries").otherwise("raw")
 
 
 def share_of(part: Column, whole: Column) -> Column:

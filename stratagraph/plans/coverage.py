@@ -202,7 +202,7 @@ def x09(t: Tables) -> DataFrame:
     """How a file is shown: whole if small, an outline if one part dominates, summaries if it has many parts."""
     parts, size = F.split("text", "\n"), F.octet_length("text")
     share = F.least(F.lit(100), F.floor(100 * F.array_max(F.transform(parts, F.octet_length)) / F.greatest(size, F.lit(1))))
-    return t.documents.select("doc_id", R.ladder(size, share, F.size(parts)).alias("rung"))
+    return t.documents.select("doc_id", R.ladder(F.ceil(size / 4000), share, F.size(parts), most=2).alias("rung"))
 
 
 @query(
