@@ -1,23 +1,23 @@
-"""Watch events: debounced batches, last state per key, incremental merge, versioned snapshots."""
+"""Watch events: debounced batches, last state per key, incremental merge into snapshots."""
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
 from collections.abc import Iterator
 from functools import partial
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stratagraph.operators.ordered import islands
+from stratagraph.staging import checkpointed, dropped
+from stratagraph.streaming.snapshots import Snapshots
 
 DEBOUNCE = "300 milliseconds"
+#: Versions of an index that a watcher keeps for readers.
+KEPT = 3
 
 
 def debounce_batch(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:
@@ -106,41 +106,21 @@ def merge(index: DataFrame, batch: DataFrame, key: str = "file", hash_: str = "s
     return kept.unionByName(moved.where(F.col(hash_).isNotNull())), moved
 
 
-class Snapshots:
-    """Versioned Parquet tables with one pointer file, replaced whole: readers see a complete version."""
-
-    def __init__(self, root: str):
-        self.root = Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
-
-    def current(self) -> dict | None:
-        pointer = self.root / "current.json"
-        return json.loads(pointer.read_text()) if pointer.exists() else None
-
-    def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/{self.current()['version']}/{table}")
-
-    def publish(self, tables: dict[str, DataFrame]) -> str:
-        version = uuid.uuid4().hex
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{version}/{name}")
-        new = self.root / f"{version}.tmp"
-        new.write_text(json.dumps({"version": version, "tables": sorted(tables)}))
-        os.replace(new, self.root / "current.json")
-        return version
-
-
 def maintain(stream: DataFrame, snapshots: Snapshots, checkpoint: str, extract):
     """Start the watcher: each micro-batch of (file, source_hash, text) merges into the current index version.
 
-    ``extract(rows)`` runs on moved rows only. A batch that moves nothing publishes nothing.
+    ``extract(rows)`` runs on the batch's rows only, and only the buckets that hold them are read; those of moved rows
+    are written again. A batch that moves nothing publishes nothing. A batch that is repeated after a failure moves nothing more.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        index = snapshots.read(spark, "index")
-        new, moved = merge(index, extract(batch))
+        rows = checkpointed(extract(batch))  # read three times, extracted once
+        old = snapshots.read(batch.sparkSession, "index", snapshots.touched("index", rows))
+        moved = checkpointed(merge(old, rows)[1])
         if not moved.isEmpty():
-            snapshots.publish({"index": new})
+            snapshots.update("index", moved, lambda held: merge(held, moved)[0])
+            snapshots.expire(KEPT)
+        dropped(moved)
+        dropped(rows)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratagraph.sources import index as I
@@ -83,6 +84,27 @@ def test_merge_and_snapshots(spark, tmp_path):
     assert held.count() == 3 and snap.read(spark, "index").count() == 3 and {r.file for r in snap.read(spark, "index").collect()} == {"a", "b", "d"}
 
 
+def test_an_edit_rewrites_one_bucket(spark, tmp_path):
+    snap = S.Snapshots(str(tmp_path / "s"))
+    snap.publish({"index": spark.range(200).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("1").alias("source_hash"))}, buckets=8)
+    first = snap.current()["tables"]["index"]["folders"]
+    held = snap.read(spark, "index")
+    edit = spark.createDataFrame([("f7", "2")], "file string, source_hash string")
+    snap.update("index", edit, lambda old: S.merge(old, edit)[0])
+    second = snap.current()["tables"]["index"]["folders"]
+    assert len(first) == 8 and [b for b in first if first[b] != second[b]] == [str(b) for b in snap.touched("index", edit)]
+    assert held.where("source_hash = '1'").count() == 200
+    assert snap.read(spark, "index").count() == 200 and [r.file for r in snap.read(spark, "index").where("source_hash = '2'").collect()] == ["f7"]
+    gone = snap.read(spark, "index", snap.touched("index", edit)).select("file", F.lit(None).cast("string").alias("source_hash"))
+    snap.update("index", gone, lambda old: S.merge(old, gone)[0])
+    assert len(snap.current()["tables"]["index"]["folders"]) == 7 and snap.read(spark, "index").count() < 200
+    assert snap.expire(1) == 2 and snap.read(spark, "index").count() > 0
+    with pytest.raises(RuntimeError):
+        snap._commit("late", {}, 3)
+    with pytest.raises(ValueError):
+        snap.update("index", edit, lambda old: spark.range(50).select(F.concat(F.lit("g"), "id").alias("file"), F.lit("1").alias("source_hash")))
+
+
 def test_watch_keeps_the_index_current(spark, tmp_path):
     root = tmp_path / "r"
     root.mkdir()
