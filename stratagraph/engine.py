@@ -459,15 +459,18 @@ class Engine:
 
     def backfill_dep_targets(self) -> int:
         """Record dependency targets in documents that lack them, where the recorded hash can be made again."""
-        now = {r.id: r.deps_hash for r in self.hashes().select("id", "deps_hash").collect()}  # ids of documents being rewritten
+        docs, sections, _, recorded = self._stored()
+        units = docs.where("doc_kind = 'file'").select(F.col("doc_id").alias("id"), "deps_hash").unionByName(sections.select(F.col("symbol_id").alias("id"), "deps_hash"))
+        bare = units.join(recorded.select(F.col("owner").alias("id")), "id", "left_anti").join(self.hashes().select("id", "deps_hash"), ["id", "deps_hash"], "left_semi")
+        made = self.dependencies().join(bare.select(F.col("id").alias("owner")), "owner", "left_semi")
         deps: dict[str, list[tuple[str, str, str]]] = {}
-        for r in self.dependencies().select("owner", "target", F.substring("hash", 1, 12).alias("h")).collect():
+        for r in made.select("owner", "target", F.substring("hash", 1, 12).alias("h")).collect():  # what is written into documents, no more
             deps.setdefault(r.owner, []).append((r.owner, r.target, r.h))
         done = 0
         for d in D.load(self.root)[0]:
             have = {o for o, _, _ in d.dep_targets}
-            for owner, recorded in [(d.id, d.deps_hash), *((k, h.get("deps_hash")) for k, h in d.sections.items())]:
-                if d.kind == "file" and owner not in have and deps.get(owner) and recorded == now.get(owner):
+            for owner in [d.id, *d.sections]:
+                if d.kind == "file" and owner not in have and deps.get(owner):
                     d.dep_targets += deps[owner]
                     done += 1
             if len(d.dep_targets) > len([1 for o, _, _ in d.dep_targets if o in have]):
@@ -477,12 +480,13 @@ class Engine:
 
     def migrate_fingerprints(self) -> int:
         """Give documents that describe their file's present text the present fingerprint; others stay stale."""
-        now = {r.file: r for r in self.rel.files.select("file", "source_hash", "fingerprint").collect()}  # files with documents being rewritten
+        docs = self._stored()[0].where("doc_kind = 'file' AND spec_hash <> ''").select(F.col("doc_id").alias("file"), "source_hash", F.col("fingerprint").alias("_was"))
+        due = self.rel.files.join(docs, ["file", "source_hash"]).where(~F.col("fingerprint").eqNullSafe(F.col("_was")))
+        now = {r.file: r.fingerprint for r in due.select("file", "fingerprint").collect()}  # documents that are rewritten, no more
         done = 0
-        for d in D.load(self.root)[0]:
-            f = now.get(d.id)
-            if d.kind == "file" and d.spec_hash and f and d.source_hash == f.source_hash and d.fingerprint != f.fingerprint:
-                d.fingerprint = f.fingerprint
+        for d in D.load(self.root)[0] if now else []:
+            if d.kind == "file" and d.id in now:
+                d.fingerprint = now[d.id]
                 D.write(self.root, d)
                 done += 1
         return done

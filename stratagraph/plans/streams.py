@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.operators import reports as R
 from stratagraph.plans.registry import Tables, query
+from stratagraph.staging import transient
 from stratagraph.streaming import sessions as W
 
 
@@ -43,3 +44,19 @@ def st5(t: Tables) -> DataFrame:
     old = d.where("file % 5 <> 0").select("file", F.sha2("text", 256).alias("source_hash"))
     changed = F.when(F.col("file") % 7 == 0, None).when(F.col("file") % 3 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256))
     return W.merge(old, d.where("file % 2 = 0").select("file", changed.alias("source_hash")))[0]
+
+
+@query(
+    "st6_snapshot_update",
+    """SELECT o_orderkey, CASE WHEN o_orderdate >= DATE '1998-01-01' AND o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS state
+FROM orders WHERE NOT coalesce(o_orderdate >= DATE '1998-01-01' AND o_orderpriority = '5-LOW', FALSE)""",
+)
+def st6(t: Tables) -> DataFrame:
+    """A second version over the first: the year's urgent orders change, its low ones go; read from the buckets of both."""
+    now = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("state"))
+    late = t.orders.where("o_orderdate >= DATE '1998-01-01' AND o_orderpriority IN ('1-URGENT', '5-LOW')")
+    batch = late.select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "X").alias("state"))
+    held = W.Snapshots(transient(t.spark))
+    held.publish({"orders": now}, "o_orderkey", buckets=16)
+    held.update("orders", batch, lambda old: W.merge(old, batch, "o_orderkey", "state")[0])
+    return held.read(t.spark, "orders")

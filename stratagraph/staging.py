@@ -24,6 +24,14 @@ def folder(spark: SparkSession) -> str:
     return _OWN[sc.applicationId]
 
 
+def transient(spark: SparkSession) -> str:
+    """A new path in that folder; what is written there is deleted when the driver's JVM ends."""
+    path = f"{folder(spark)}/stratagraph-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read back; deleted when the driver's JVM ends.
 
@@ -31,9 +39,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     that was estimated for what made it, which grows with every round of an iteration until planning fails.
     """
     spark: SparkSession = df.sparkSession
-    path = f"{folder(spark)}/stratagraph-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = transient(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out), path)

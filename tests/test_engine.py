@@ -118,6 +118,24 @@ def test_lifecycle(spark, tmp_path):
     assert {(r.id, r.kind) for r in gone} == {("a/user.py", "document")}
 
 
+def test_backfill_and_fingerprints(spark, tmp_path):
+    write(tmp_path, {"a/owner.py": "class Owner:\n    x: int\n", "a/user.py": "from a.owner import Owner\n\ndef use():\n    return Owner()\n"})
+    e = Engine.build(spark, str(tmp_path))
+    for id_ in ("a/user.py::use", "a/user.py", "a/owner.py::Owner", "a/owner.py"):
+        e.submit(id_, f"What {id_} does here", "It does that")
+    docs = {d.id: d for d in D.load(str(tmp_path))[0]}
+    whole = sorted(docs["a/user.py"].dep_targets)
+    assert {o for o, _, _ in whole} == {"a/user.py", "a/user.py::use"} and e.backfill_dep_targets() == 0
+    docs["a/user.py"].dep_targets = [t for t in whole if t[0] == "a/user.py"]
+    docs["a/owner.py"].fingerprint = "older"
+    D.write(str(tmp_path), docs["a/user.py"])
+    D.write(str(tmp_path), docs["a/owner.py"])
+    assert e.backfill_dep_targets() == 1 and e.migrate_fingerprints() == 1
+    again = {d.id: d for d in D.load(str(tmp_path))[0]}
+    assert sorted(again["a/user.py"].dep_targets) == whole and again["a/owner.py"].fingerprint != "older"
+    assert e.backfill_dep_targets() == 0 == e.migrate_fingerprints()
+
+
 def test_features_system_adoption(spark, tmp_path):
     write(tmp_path, {k: v for k, v in FASTAPI.items() if k.startswith("app/")})
     e = Engine.build(spark, str(tmp_path))
