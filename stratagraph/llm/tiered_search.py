@@ -121,7 +121,7 @@ _PARTS = ("terms", "ends", "docs", "impacts")
 
 
 def _blocks(shared, docs: int, length: int):
-    """Per batch of documents: its postings by tier and term."""
+    """Per batch of documents: its postings by tier and term, and the name of every row: a batch read again may hold rows of several written ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = shared.value
@@ -131,7 +131,7 @@ def _blocks(shared, docs: int, length: int):
             tier = np.zeros(len(row), np.int64)
             for cut in cuts:
                 tier += bucket < cut[term]
-            columns = [batch.column("batch").slice(0, 1), pa.array([batch.column("id").to_numpy().tobytes()])]
+            columns = [pa.array([batch.column(c).to_numpy().astype(kind).tobytes()], pa.binary()) for c, kind in (("id", np.int64), ("batch", np.int64), ("at", np.int32))]
             for k in range(TIERS):
                 own = np.flatnonzero(tier == k)
                 own = own[np.argsort(term[own], kind="stable")]
@@ -140,7 +140,7 @@ def _blocks(shared, docs: int, length: int):
                 for values, kind in ((there, np.int32), (ends, np.int32), (row[own], np.int32), (impact[own], np.int32)):
                     columns.append(pa.array([values.astype(kind).tobytes()], pa.binary()))
             if len(batch):
-                yield pa.RecordBatch.from_arrays(columns, names=["batch", "ids", *[f"{p}{k}" for k in range(TIERS) for p in _PARTS]])
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "batches", "ats", *[f"{p}{k}" for k in range(TIERS) for p in _PARTS]])
 
     return work
 
@@ -196,10 +196,10 @@ def _hopeful(shared, tiers: int):
         items, least, total, left = shared.value
         for batch in batches:
             for k in range(len(batch)):
+                names, ats = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in (("batches", np.int64), ("ats", np.int32)))
                 for item, seen, bound in _scores(batch, k, tiers, items, left):
-                    at = np.flatnonzero((seen > 0) & (seen + total[item] - bound >= least[item]))
-                    name = batch.column("batch")[k].as_py()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), item, np.int64)), pa.array([name] * len(at), pa.int64()), pa.array(at.astype(np.int32))], names=["item", "batch", "at"])
+                    own = np.flatnonzero((seen > 0) & (seen + total[item] - bound >= least[item]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), item, np.int64)), pa.array(names[own]), pa.array(ats[own])], names=["item", "batch", "at"])
 
     return work
 
@@ -245,15 +245,15 @@ class Index:
             for k in range(len(SHARES)):
                 cuts[k, r.term], self.left[k, r.term] = r[f"cut{k}"], r[f"left{k}"]
         columns = ", ".join(f"{p}{k} binary" for k in range(TIERS) for p in _PARTS)
-        self.blocks = staged(self.forward.mapInArrow(_blocks(spark.sparkContext.broadcast(cuts), self.docs, self.length), f"batch long, ids binary, {columns}"), "tiers")
+        self.blocks = staged(self.forward.mapInArrow(_blocks(spark.sparkContext.broadcast(cuts), self.docs, self.length), f"ids binary, batches binary, ats binary, {columns}"), "tiers")
 
     def weights(self, counts: dict[int, int]) -> list[tuple[int, int]]:
         """(term, weight times repeats) of an item's terms that some document holds."""
         w = {t: math.floor(1000 * math.log((2 * self.docs + 2) / (2 * int(self.df[t]) + 1))) for t in counts if self.df[t]}
         return [(t, w[t] * counts[t]) for t in w]
 
-    def _tier(self, tiers: int) -> DataFrame:
-        return self.blocks.select("batch", "ids", *[f"{p}{k}" for k in range(tiers) for p in _PARTS])
+    def _tier(self, tiers: int, *also: str) -> DataFrame:
+        return self.blocks.select("ids", *also, *[f"{p}{k}" for k in range(tiers) for p in _PARTS])
 
     def search(self, items: list[tuple[int, list[tuple[int, int]]]], proven_at: dict[int, int] | None = None) -> DataFrame:
         """``(item, id, score, rank)``; ``proven_at`` receives the tiers that each item needed."""
@@ -271,7 +271,7 @@ class Index:
                 parts.append(_ranked(best.join(F.broadcast(self._names(whole)), "item", "left_semi")))
             if proven:
                 own = [x for x in pending if x[0] in proven]
-                found = self._tier(tiers).mapInArrow(_hopeful(share((own, tenth, total, self.left[tiers - 1])), tiers), "item long, batch long, at int")
+                found = self._tier(tiers, "batches", "ats").mapInArrow(_hopeful(share((own, tenth, total, self.left[tiers - 1])), tiers), "item long, batch long, at int")
                 asked = staged(found, "hopeful").join(self.forward, ["batch", "at"]).select("item", "id", "n", "terms", "counts")
                 parts.append(_ranked(asked.mapInArrow(_looked_up(share(own), self.docs, self.length), "item long, id long, score long")))
             if proven_at is not None:

@@ -57,6 +57,22 @@ def test_equals_brute_force(spark, monkeypatch, least):
     assert sorted(map(repr, map(tuple, got.collect()))) == brute(docs, items)
 
 
+def test_batches_read_again_hold_other_rows(spark, monkeypatch):
+    """More files than tasks, short batches: a batch that is read has rows of several that were written."""
+    monkeypatch.setattr(T, "LEAST", (16, 64))
+    monkeypatch.setattr(T, "bounded_batches", lambda spark: None)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        docs, items = corpus(random.Random(4))
+        documents, asked = tables(spark, docs, items)
+        got = T.search(documents.repartition(40), asked).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(map(repr, map(tuple, got))) == brute(docs, items)
+
+
 def test_small_groups_of_items(spark):
     docs, items = corpus(random.Random(5))
     got = T.search(*tables(spark, docs, items), most=40)
