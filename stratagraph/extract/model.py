@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 
 def digest(text: str) -> str:
@@ -97,7 +97,7 @@ def rows(symbols: list[Symbol]) -> list[dict]:
     out: list[dict] = []
 
     def add(s: Symbol, top: bool) -> None:
-        row = {k: v for k, v in asdict(s).items() if k not in ("members", "parts", "source")}
+        row = {k: v for k, v in vars(s).items() if k not in ("members", "parts", "source")}
         out.append(row | {"ord": len(out), "source_hash": s.source_hash, "interface_hash": s.interface_hash, "is_top_level": top, "bytes": len(s.source.encode())})
         for m in s.members:
             add(m, False)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,26 +18,37 @@ from stratagraph.schema import FORMAT_VERSION
 SYMBOLS = "array<struct<id:string,file:string,ord:int,kind:string,raw:string,start_line:int,end_line:int,signature:string,docstring:string,is_exported:boolean,public:boolean,markers:array<string>,parent:string,source_hash:string,interface_hash:string,is_top_level:boolean,bytes:long>>"
 IMPORTS = "array<struct<ord:int,specifier:string,imported_name:string,local_name:string,form:string,paths:array<string>>>"
 INDEX = f"file string, text string, pack string, source_kind string, role string, source_hash string, fingerprint string, parse_errors int, symbols {SYMBOLS}, imports {IMPORTS}, flows array<struct<ord:int,kind:string,raw:string>>, words array<string>"
+#: Files whose rows a task holds at once.
+TOGETHER = 256
 
 
 def _schema() -> StructType:
     return _parse_datatype_string(", ".join(x.strip() for x in [INDEX]))
 
 
-def extract(routed: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
-    """Routed files to index rows; one pass, files independent of each other. known: see ``repo.known_names``."""
+#: What of a file's row may be left empty where nothing reads it.
+PARTS = ("text", "symbols", "imports", "flows", "words")
+
+
+def extract(routed: DataFrame, known: dict[str, str] | None = None, wanted: tuple[str, ...] = PARTS) -> DataFrame:
+    """Routed files to index rows; one pass, files independent of each other. known: see ``repo.known_names``.
+
+    Every file is read whole; of the ``PARTS`` of its row only those ``wanted`` leave Python, the others are empty.
+    """
     schema = _schema()
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, len(b), TOGETHER)):
             out = []
             for r in batch.to_pylist():
                 e = packs.extract(r["pack"], r["source_kind"], r["file"], r["text"], known)
                 out.append(
-                    {k: r[k] for k in ("file", "text", "pack", "source_kind", "role")}
-                    | {"source_hash": digest(r["text"]), "fingerprint": e.fingerprint, "parse_errors": e.parse_errors, "symbols": rows(e.symbols), "words": e.words}
-                    | {"imports": [asdict(i) | {"ord": k} for k, i in enumerate(e.imports)], "flows": [{"ord": k, "kind": kind, "raw": raw} for k, (kind, raw) in enumerate(e.flows)]}
+                    {k: r[k] for k in ("file", "pack", "source_kind", "role")}
+                    | {"source_hash": digest(r["text"]), "fingerprint": e.fingerprint, "parse_errors": e.parse_errors}
+                    | {"text": r["text"] if "text" in wanted else "", "symbols": rows(e.symbols) if "symbols" in wanted else [], "words": e.words if "words" in wanted else []}
+                    | {"imports": [vars(i) | {"ord": k} for k, i in enumerate(e.imports)] if "imports" in wanted else []}
+                    | {"flows": [{"ord": k, "kind": kind, "raw": raw} for k, (kind, raw) in enumerate(e.flows)] if "flows" in wanted else []}
                 )
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
