@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.operators.intervals import above, numbered, sums_below
+from stratagraph.operators.intervals import above, numbered
 from stratagraph.operators.reachability import Closure, Index
 from stratagraph.staging import checkpointed
 
@@ -50,25 +50,24 @@ def pair(symbols: DataFrame, far: Closure | Index) -> DataFrame:
     return every.select("id", target.alias("target"), how.alias("how"))
 
 
-#: 32-bit parts of a SHA-256 that are summed one by one.
-LANES = 8
-
-
-def mixed(hash_: Column) -> list[Column]:
-    """The lanes of a hash as numbers: their sums over a bag of hashes don't depend on its order and combine freely."""
-    return [F.conv(F.substring(hash_, 8 * k + 1, 8), 16, 10).cast("long").alias(f"lane{k}") for k in range(LANES)]
+#: Hexadecimal digits by which a node's parts are put in order, chunk by chunk.
+CHUNK_DIGITS = 3
 
 
 def absorbed(nodes: DataFrame, parts: DataFrame, id_: str = "id") -> DataFrame:
     """nodes(id, parent, hash) with what parts(target, hash) add: to the target, and to all that encloses it.
 
-    What a node takes is the number of parts below it and the sums of their lanes, so no list of parts is ever gathered.
+    A node takes the hashes of all parts below it, in order and with repeats. Equal parts meet as a count, and a node's
+    parts are put in order by chunks of the first digits; one task then has a node's text, 65 bytes a part, to hash it.
     """
-    lanes = [f"lane{k}" for k in range(LANES)]
-    points = parts.where("target IS NOT NULL").select(F.col("target").alias("id"), F.lit(1).cast("long").alias("parts"), *mixed(F.col("hash")))
-    sums = sums_below(numbered(nodes.select(F.col(id_).alias("id"), "parent")), points, ["parts", *lanes])
-    own = sums.select(F.col("id").alias(id_), F.concat_ws(",", "parts", *lanes).alias("parts"))
-    out = nodes.join(own, id_, "left")
+    points = parts.where("target IS NOT NULL").select(F.col("target").alias("id"), F.col("hash").alias("part"))
+    enclosing = above(numbered(nodes.select(F.col(id_).alias("id"), "parent")), points.select("id").distinct())
+    met = points.join(enclosing, "id").groupBy(F.col("ancestor").alias(id_), "part").agg(F.count("*").cast("int").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "n")))
+    text = F.array_join(F.flatten(F.transform(ordered, lambda p: F.array_repeat(p.part, p.n))), "\n")
+    chunks = met.groupBy(id_, F.substring("part", 1, CHUNK_DIGITS).alias("chunk")).agg(text.alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: c.text), "\n")
+    out = nodes.join(chunks.groupBy(id_).agg(whole.alias("parts")), id_, "left")
     return out.withColumn("hash", F.when(F.col("parts").isNull(), F.col("hash")).otherwise(F.sha2(F.concat_ws("\n", "hash", "parts"), 256))).drop("parts")
 
 
@@ -78,11 +77,15 @@ def descendant_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     return above(numbered(nodes.select("id", "parent")), points).select(F.col("ancestor").alias("id"), "file", "start_line", "end_line")
 
 
+def moved(symbols: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols without the paired definitions, and those definitions with their target."""
+    gone = checkpointed(symbols.join(pairs.where("target IS NOT NULL").select("id", "target"), "id"))
+    return symbols.join(gone.select("id"), "id", "left_anti"), gone
+
+
 def apply(symbols: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Symbols without the paired definitions, their targets' hashes moved; and (target, file, start_line, end_line) of what moved."""
-    moved = checkpointed(symbols.join(pairs.where("target IS NOT NULL").select("id", "target"), "id"))
-    spans = moved.select("target", "file", "start_line", "end_line")
-    left = symbols.join(moved.select("id"), "id", "left_anti")
-    hashed = absorbed(left.select("id", "parent", F.col("source_hash").alias("hash")), moved.select("target", F.col("source_hash").alias("hash")))
+    left, gone = moved(symbols, pairs)
+    hashed = absorbed(left.select("id", "parent", F.col("source_hash").alias("hash")), gone.select("target", F.col("source_hash").alias("hash")))
     fresh = hashed.select("id", F.col("hash").alias("_hash"))
-    return left.join(fresh, "id").withColumn("source_hash", F.col("_hash")).select(*symbols.columns), spans
+    return left.join(fresh, "id").withColumn("source_hash", F.col("_hash")).select(*symbols.columns), gone.select("target", "file", "start_line", "end_line")

@@ -1,10 +1,12 @@
 """Which of given pairs of nodes reach each other, without the closure.
 
 The graph is condensed to its strong components. Each of a few spanning forests, in which a node hangs below one of
-its predecessors taken at random, numbers the nodes as nested intervals (``intervals``). Two comparisons then decide
+its predecessors taken at random, numbers the nodes as nested intervals (``intervals``). Comparisons then decide
 most pairs:
 
 * b's interval lies in a's, in one of the forests: a reaches b.
+* a and b are an edge, or no way of two edges or more can lead from a to b (none leaves the nodes after a, or enters those
+  before b): this is settled first, and where it settles all pairs no label is made.
 * the range of numbers that b reaches, in one of the forests, is not within the range that a reaches: a does not.
 
 Only pairs that neither decides are searched for, from a, through nodes whose ranges still hold b's, until one is met
@@ -39,17 +41,25 @@ class Closure:
 
 
 class Index:
-    """Labels of all nodes, and the edges between components."""
+    """Labels of all nodes, and the edges between components; made when the first pair asks for them."""
 
     def __init__(self, edges: DataFrame, forests: int = FORESTS):
-        own = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+        self.own, self.forests = checkpointed(edges.select("a", "b").where("a <> b").distinct()), forests
+
+    def __getattr__(self, name: str):
+        if name not in ("of", "edges", "labels"):
+            raise AttributeError(name)
+        self._label(self.own, self.forests)
+        return self.__dict__[name]
+
+    def _label(self, own: DataFrame, forests: int) -> None:
         strong = checkpointed(graph.strong_components(own))
         nodes = own.select(F.col("a").alias("node")).unionByName(own.select(F.col("b").alias("node"))).distinct()
         self.of = checkpointed(nodes.join(strong, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
         at = lambda x: self.of.select(F.col("node").alias(x), F.col("c").alias(f"c{x}"))
         self.edges = checkpointed(own.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
         heads = self.of.select(F.col("c").alias("id")).distinct()
-        self.forests, labels = forests, heads
+        labels = heads
         for k in range(forests):
             parent = self.edges.groupBy("b").agg(F.min_by("a", F.struct(F.xxhash64("a", "b", F.lit(k)), F.col("a"))).alias("parent")).withColumnRenamed("b", "id")
             numbered = intervals.numbered(heads.join(parent, "id", "left"))
@@ -89,12 +99,25 @@ class Index:
     def among(self, asked: DataFrame, a: str, b: str) -> DataFrame:
         """The distinct asked pairs in which a reaches b; a node does not reach itself."""
         at = lambda x, c: self.of.select(F.col("node").alias(x), F.col("c").alias(c))
-        pairs = checkpointed(asked.select(a, b).distinct().where(F.col(a) != F.col(b)).join(at(a, "ca"), a).join(at(b, "cb"), b))
+        pairs, n = self._far(asked.select(a, b).distinct().where(F.col(a) != F.col(b)), a, b)
+        direct = asked.select(a, b).distinct().join(self.own.toDF(a, b), [a, b], "left_semi")
+        if not n:
+            return direct
+        pairs = checkpointed(pairs.join(at(a, "ca"), a).join(at(b, "cb"), b))
         heads = pairs.select("ca", "cb").distinct().join(self._named("a_"), F.col("ca") == F.col("a_id")).join(self._named("b_"), F.col("cb") == F.col("b_id"))
         how = F.when(self._sure("a_", "b_"), "sure").when(self._open("a_", "b_"), "open")
         judged = checkpointed(heads.select("ca", "cb", how.alias("how")).where("how IS NOT NULL"))
         good = judged.where("how = 'sure'").select("ca", "cb").unionByName(self._searched(judged.where("how = 'open'").select("ca", "cb")))
-        return pairs.join(good, ["ca", "cb"], "left_semi").select(a, b)
+        return direct.unionByName(pairs.join(good, ["ca", "cb"], "left_semi").select(a, b))
+
+    def _far(self, pairs: DataFrame, a: str, b: str) -> tuple[DataFrame, int]:
+        """Pairs that are no edge, and between whose ends a way of two edges at least may lead; and their number."""
+        heads, tails = self.own.select(F.col("a").alias("_n")).distinct(), self.own.select(F.col("b").alias("_n")).distinct()
+        out = self.own.join(heads, F.col("b") == F.col("_n"), "left_semi").select(F.col("a").alias(a)).distinct()
+        into = self.own.join(tails, F.col("a") == F.col("_n"), "left_semi").select(F.col("b").alias(b)).distinct()
+        left = pairs.join(out, a, "left_semi").join(into, b, "left_semi").join(self.own.toDF(a, b), [a, b], "left_anti")
+        left, seen = observed(left, n=F.count("*"))
+        return left, seen["n"]
 
     def _searched(self, pairs: DataFrame) -> DataFrame:
         """Of undecided pairs of components those in which one reaches the other."""
