@@ -6,6 +6,10 @@ import hashlib
 from dataclasses import dataclass, field
 
 
+#: What of a file may be left empty where nothing reads it.
+PARTS = ("text", "symbols", "imports", "flows", "words")
+
+
 def digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 

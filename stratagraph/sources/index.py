@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from stratagraph.extract import packs
-from stratagraph.extract.model import digest, rows
+from stratagraph.extract.model import PARTS, digest, rows
 from stratagraph.schema import FORMAT_VERSION
 
 SYMBOLS = "array<struct<id:string,file:string,ord:int,kind:string,raw:string,start_line:int,end_line:int,signature:string,docstring:string,is_exported:boolean,public:boolean,markers:array<string>,parent:string,source_hash:string,interface_hash:string,is_top_level:boolean,bytes:long>>"
@@ -26,10 +26,6 @@ def _schema() -> StructType:
     return _parse_datatype_string(", ".join(x.strip() for x in [INDEX]))
 
 
-#: What of a file's row may be left empty where nothing reads it.
-PARTS = ("text", "symbols", "imports", "flows", "words")
-
-
 def extract(routed: DataFrame, known: dict[str, str] | None = None, wanted: tuple[str, ...] = PARTS) -> DataFrame:
     """Routed files to index rows; one pass, files independent of each other. known: see ``repo.known_names``.
 
@@ -42,7 +38,7 @@ def extract(routed: DataFrame, known: dict[str, str] | None = None, wanted: tupl
         for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, len(b), TOGETHER)):
             out = []
             for r in batch.to_pylist():
-                e = packs.extract(r["pack"], r["source_kind"], r["file"], r["text"], known)
+                e = packs.extract(r["pack"], r["source_kind"], r["file"], r["text"], known, wanted)
                 out.append(
                     {k: r[k] for k in ("file", "pack", "source_kind", "role")}
                     | {"source_hash": digest(r["text"]), "fingerprint": e.fingerprint, "parse_errors": e.parse_errors}

@@ -1,7 +1,12 @@
 """The packs on awkward sources, in plain Python: the same tables as the queries over parts, and more."""
 
+import ast
+import random
+
 import pytest
-from stratagraph.extract import cpp_macros, cpp_pack, java_pack, packs, ts_pack
+from stratagraph.extract import braces as B
+from stratagraph.extract import cpp_macros, cpp_pack, java_pack, packs, python_pack, ts_pack
+from stratagraph.plans.source_trees import TEMPLATES
 from stratagraph.plans.variants import VARIANTS
 
 
@@ -110,3 +115,45 @@ JAVA = [
 @pytest.mark.parametrize(("source", "names"), JAVA)
 def test_java(source, names):
     assert sorted(n for n, *_ in flat(java_pack.extract("p/A.java", source).symbols)) == sorted(names)
+
+
+NESTING = ["try:\n    import a\nexcept E:\n    import b\n    def f():\n        import c\nelse:\n    import d\nfinally:\n    import e\n", "match x:\n    case 1:\n        import a\n    case _:\n        if y:\n            import b\n        else:\n            import c\nclass C:\n    import d\n    async def g(self):\n        async with z:\n            from e import f\nimport h\n"]
+
+
+@pytest.mark.parametrize("source", NESTING)
+def test_statements_come_in_the_order_of_a_whole_walk(source):
+    tree = ast.parse(source)
+    kinds = ast.stmt | ast.ExceptHandler | ast.match_case | ast.Module
+    assert list(python_pack.statements(tree)) == [n for n in ast.walk(tree) if isinstance(n, kinds)]
+
+
+@pytest.mark.parametrize("pack", ["python", "typescript"])
+def test_flows_alone_make_no_symbols(pack):
+    path, text = (x.format(k=1, n=2, s=5, t="True") for x in TEMPLATES[pack])
+    whole, flows = packs.extract(pack, "code", path, text), packs.extract(pack, "code", path, text, None, ("flows",))
+    assert flows.flows == whole.flows != [] and whole.symbols and not flows.symbols
+    assert (flows.fingerprint, flows.parse_errors) == (whole.fingerprint, whole.parse_errors)
+
+
+def _closed(clean, at):
+    stack = []
+    for i in range(at, len(clean)):
+        if clean[i] in "([{":
+            stack.append({"(": ")", "[": "]", "{": "}"}[clean[i]])
+        elif clean[i] in ")]}":
+            if stack.pop() != clean[i]:
+                return -1
+            if not stack:
+                return i
+    return -1
+
+
+def test_brackets_are_matched_in_one_pass():
+    rng = random.Random(3)
+    for _ in range(300):
+        clean = "".join(rng.choice("(){}[]x") for _ in range(rng.randrange(1, 30)))
+        assert all(B.close_of(clean, i) == _closed(clean, i) for i, c in enumerate(clean) if c in "([{")
+    B._closings.cache_clear()
+    deep = "a{" * 200 + "}" * 200
+    assert B.items(deep, 0, len(deep))[0].end == len(deep) and [B.close_of(deep, 2 * k + 1) for k in range(200)] == list(range(599, 399, -1))
+    assert B._closings.cache_info().misses == 1
