@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.staging import checkpointed, dropped, observed
+from stratagraph.staging import checkpointed, dropped, observed, staying
 
 
 def callers(nodes: DataFrame, edges: DataFrame, node: str = "id", target: str = "target") -> DataFrame:
@@ -84,15 +84,16 @@ def packed_levels(hops: DataFrame, seeds: DataFrame, masks: DataFrame | None = N
     and a level is one join, one aggregate and one write. The caller keeps what it needs: the next level is made
     from the last one alone, whose ``bits`` are all that was ever seen.
     """
+    size = hops.count()
     now, level = checkpointed(seeds.groupBy("node", "cell").agg(F.bit_or("bits").alias("bits")).withColumn("fresh", F.col("bits"))), 0
     yield 0, now, 0
     while depth is None or level < depth:
         level += 1
-        sent = now.where("fresh <> 0").join(hops, "node").groupBy(F.col("next").alias("node"), "cell").agg(F.bit_or("fresh").alias("sent"))
+        sent = now.where("fresh <> 0").join(staying(hops, size), "node").groupBy(F.col("next").alias("node"), "cell").agg(F.bit_or("fresh").alias("sent"))
         if masks is not None:
             own = masks.where("cell IS NOT NULL").groupBy("node", "cell").agg(F.bit_or("mask").alias("own"))
             free = masks.where("cell IS NULL").groupBy("node").agg(F.bit_or("mask").alias("free"))
-            sent = sent.join(own, ["node", "cell"], "left").join(free, "node", "left").select("node", "cell", F.expr("sent & (coalesce(own, 0L) | coalesce(free, 0L))").alias("sent"))
+            sent = sent.join(staying(own, size), ["node", "cell"], "left").join(staying(free, size), "node", "left").select("node", "cell", F.expr("sent & (coalesce(own, 0L) | coalesce(free, 0L))").alias("sent"))
         both = now.select("node", "cell", "bits", F.lit(0).cast("long").alias("sent")).unionByName(sent.select("node", "cell", F.lit(0).cast("long").alias("bits"), "sent"))
         met = both.groupBy("node", "cell").agg(F.bit_or("bits").alias("old"), F.bit_or("sent").alias("sent"))
         step = met.select("node", "cell", F.expr("old | sent").alias("bits"), F.expr("sent & ~old").alias("fresh"))
@@ -168,22 +169,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct()
     both = checkpointed(both)
-    labels = checkpointed(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
+    labels, nodes = observed(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), n=F.count("*"))
+    size = nodes["n"]
     while True:
-        seen = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("low"))
-        step = labels.join(seen, "node").select("node", F.least("component", "low").alias("component"), F.col("component").alias("old"))
+        seen = both.join(staying(labels.select(F.col("node").alias("other"), "component"), size), "other").groupBy("node").agg(F.min("component").alias("low"))
+        step = labels.join(staying(seen, size), "node").select("node", F.least("component", "low").alias("component"), F.col("component").alias("old"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = checkpointed(step.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old"))
-        if new.where("component <> old").isEmpty():
+        new, moved = observed(step.join(staying(jump, size), "component").select("node", F.least("component", "further").alias("component"), "old"), n=F.count_if(F.col("component") != F.col("old")))
+        dropped(labels)
+        labels = new
+        if not moved["n"]:
             return new.select("node", "component")
-        labels = new.select("node", "component")
 
 
-def _colours(edges: DataFrame, seed: int) -> DataFrame:
+def _colours(edges: DataFrame, seed: int, size: int) -> DataFrame:
     """(node, f, b): of all that reach a node, and of all that it reaches, the one that comes first in a random order.
 
     Colours move one edge a round, and along a pointer to a node further up or down, which doubles its length each
-    round; so a long chain or cycle takes rounds by its logarithm.
+    round; so a long chain or cycle takes rounds by its logarithm. ``size``: of the edges; nodes are at most twice as many.
     """
     rank = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("r"), F.col(c).alias("id"))
     ends = edges.select(F.col("b").alias("node"), F.col("a").alias("up"), F.lit(None).cast(edges.schema["a"].dataType).alias("down"))
@@ -191,12 +194,12 @@ def _colours(edges: DataFrame, seed: int) -> DataFrame:
     now = ends.groupBy("node").agg(F.min("up").alias("up"), F.min("down").alias("down"))
     now = checkpointed(now.select("node", rank("node").alias("f"), rank("node").alias("b"), F.coalesce("up", "node").alias("up"), F.coalesce("down", "node").alias("down")))
     while True:
-        fore = edges.join(now.select(F.col("node").alias("a"), "f"), "a").select(F.col("b").alias("node"), "f", F.lit(None).cast(now.schema["b"].dataType).alias("b"))
-        back = edges.join(now.select(F.col("node").alias("b"), F.col("b").alias("c")), "b").select(F.col("a").alias("node"), F.lit(None).cast(now.schema["f"].dataType).alias("f"), F.col("c").alias("b"))
+        fore = edges.join(staying(now.select(F.col("node").alias("a"), "f"), size), "a").select(F.col("b").alias("node"), "f", F.lit(None).cast(now.schema["b"].dataType).alias("b"))
+        back = edges.join(staying(now.select(F.col("node").alias("b"), F.col("b").alias("c")), size), "b").select(F.col("a").alias("node"), F.lit(None).cast(now.schema["f"].dataType).alias("f"), F.col("c").alias("b"))
         told = fore.unionByName(back).groupBy("node").agg(F.min("f").alias("nf"), F.min("b").alias("nb"))
         above_ = now.select(F.col("node").alias("up"), F.col("f").alias("uf"), F.col("up").alias("uup"))
         below_ = now.select(F.col("node").alias("down"), F.col("b").alias("db"), F.col("down").alias("ddown"))
-        step = now.join(told, "node", "left").join(above_, "up").join(below_, "down")
+        step = now.join(staying(told, size), "node", "left").join(staying(above_, size), "up").join(staying(below_, size), "down")
         step = step.select("node", F.least("f", "nf", "uf").alias("f2"), F.least("b", "nb", "db").alias("b2"), F.col("uup").alias("up"), F.col("ddown").alias("down"), "f", "b")
         new, moved = observed(step.select("node", F.col("f2").alias("f"), F.col("b2").alias("b"), "up", "down", ((F.col("f2") != F.col("f")) | (F.col("b2") != F.col("b"))).alias("moved")), n=F.count_if("moved"))
         dropped(now)
@@ -209,8 +212,8 @@ def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
     """Edges that have one before and one behind, and their number; again as long as an eighth of them goes."""
     left, n, before = edges, edges.count(), None
     while n and (before is None or 8 * n <= 7 * before):
-        step = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        step = step.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        step = left.join(staying(left.select(F.col("b").alias("a")).distinct(), n), "a", "left_semi")
+        step = step.join(staying(left.select(F.col("a").alias("b")).distinct(), n), "b", "left_semi").select("a", "b")
         left, kept = observed(step, n=F.count("*"))
         before, n = n, kept["n"]
     return left, n
@@ -230,11 +233,11 @@ def strong_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame
         if not n:
             break
         seed += 1
-        colours = checkpointed(_colours(left, seed))
+        colours = checkpointed(_colours(left, seed, n))
         own = colours.where("f = b").select("node", F.col("f").alias("root"))
         found = own if found is None else found.unionByName(own)
         at = lambda c: colours.select(F.col("node").alias(c), F.col("f").alias(f"f{c}"), F.col("b").alias(f"b{c}"))
-        left = checkpointed(left.join(at("a"), "a").join(at("b"), "b").where("fa = fb AND ba = bb AND fa <> ba").select("a", "b"))
+        left = checkpointed(left.join(staying(at("a"), n), "a").join(staying(at("b"), n), "b").where("fa = fb AND ba = bb AND fa <> ba").select("a", "b"))
     if found is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     sized = checkpointed(found.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.operators import graph, intervals
-from stratagraph.staging import checkpointed, dropped, observed
+from stratagraph.staging import checkpointed, dropped, observed, staying
 
 FORESTS = 2
 #: Nodes up to which ``over`` takes the closure, 64 starts a row: at most 4,194,304 rows.
@@ -73,9 +73,10 @@ class Index:
         ranges = [f"{x}{k}" for k in range(self.forests) for x in ("low", "high")]
         best = lambda c: F.min if c.startswith("low") else F.max
         pick = lambda c: F.least if c.startswith("low") else F.greatest
+        size = labels.count()
         while True:
-            told = self.edges.join(labels.select(F.col("id").alias("b"), *ranges), "b").groupBy(F.col("a").alias("id")).agg(*[best(c)(c).alias(f"n_{c}") for c in ranges])
-            wide = labels.join(told, "id", "left").select(*[c for c in labels.columns if c not in ranges], *[pick(c)(c, f"n_{c}").alias(c) for c in ranges], *[F.col(c).alias(f"o_{c}") for c in ranges])
+            told = self.edges.join(staying(labels.select(F.col("id").alias("b"), *ranges), size), "b").groupBy(F.col("a").alias("id")).agg(*[best(c)(c).alias(f"n_{c}") for c in ranges])
+            wide = labels.join(staying(told, size), "id", "left").select(*[c for c in labels.columns if c not in ranges], *[pick(c)(c, f"n_{c}").alias(c) for c in ranges], *[F.col(c).alias(f"o_{c}") for c in ranges])
             moved = reduce(lambda x, y: x | y, [F.col(c) != F.col(f"o_{c}") for c in ranges])
             new, seen = observed(wide.withColumn("moved", moved).drop(*[f"o_{c}" for c in ranges]), n=F.count_if("moved"))
             dropped(labels)

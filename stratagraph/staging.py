@@ -46,6 +46,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows up to which the rounds of an iteration may broadcast a table, which sends it to the driver each time.
+SENT = 1 << 15
+
+
+def staying(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, as a side of a round's joins: above ``SENT`` it is shuffled, however small its files are."""
+    return df.hint("merge") if rows > SENT else df
+
+
 #: Where ``checkpointed`` frames lie, for as long as they are held.
 _PATHS: dict[int, tuple[weakref.ref, str]] = {}
 

@@ -91,3 +91,26 @@ def test_participants_masks(spark):
     symbols = spark.createDataFrame([("f3::x", "f3", "callable"), ("f4::y", "f4", "callable"), ("db::t", "db", "schema")], "id string, file string, kind string")
     got = sorted(map(tuple, G.participants(entries, edges, admitted, symbols).collect()))
     assert got == [("e1", "core", "f1"), ("e1", "core", "f3"), ("e1", "core", "f4"), ("e1", "data", "db::t"), ("e2", "core", "f2"), ("e2", "core", "f3"), ("e2", "dependencies", "f4::y")]
+
+
+def test_rounds_over_larger_tables_broadcast_none(spark, monkeypatch):
+    """Small files of many rows: what a round broadcasts goes through the driver every round."""
+    from stratagraph import staging
+
+    assert staging.staying(spark.range(9), staging.SENT)._jdf.queryExecution().analyzed().toString().count("ResolvedHint") == 0
+    monkeypatch.setattr(staging, "SENT", 0)
+    plans, write = [], staging.checkpointed
+    monkeypatch.setattr(staging, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    pairs = made(random.Random(5), 80, 90)
+    edges = edges_of(spark, pairs)
+    assert sorted(map(tuple, G.strong_components(edges).collect())) == brute_strong(pairs)
+    low = {}
+    for a, b in pairs:
+        low.setdefault(a, a), low.setdefault(b, b)
+    for _ in low:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    assert sorted(map(tuple, G.components(edges).collect())) == sorted(low.items())
+    far = closure(pairs)
+    assert G.reach(edges, edges.selectExpr("a AS start")).count() == sum(n != s for s, seen in far.items() for n in seen)
+    assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
