@@ -6,7 +6,8 @@ import hashlib
 from dataclasses import dataclass, field
 
 
-#: What of a file may be left empty where nothing reads it.
+#: What of a file may be left empty where nothing reads it. Where only the ``names`` of symbols are wanted, they have
+#: their id, kind and place among the others, but no lines, signature, docstring, markers, hashes or size.
 PARTS = ("text", "symbols", "imports", "flows", "words")
 
 
@@ -96,11 +97,19 @@ def fold_same_id(symbols: list[Symbol]) -> list[Symbol]:
     return list(by_id.values())
 
 
-def rows(symbols: list[Symbol]) -> list[dict]:
-    """Symbols and their members as flat rows in source order."""
+NAMES = ("id", "file", "kind", "raw", "parent", "is_exported", "public")
+
+
+def rows(symbols: list[Symbol], names: bool = False) -> list[dict]:
+    """Symbols and their members as flat rows in source order; ``names``: without what takes their text."""
     out: list[dict] = []
 
     def add(s: Symbol, top: bool) -> None:
+        if names:
+            out.append({k: getattr(s, k) for k in NAMES} | {"ord": len(out), "is_top_level": top})
+            for m in s.members:
+                add(m, False)
+            return
         row = {k: v for k, v in vars(s).items() if k not in ("members", "parts", "source")}
         out.append(row | {"ord": len(out), "source_hash": s.source_hash, "interface_hash": s.interface_hash, "is_top_level": top, "bytes": len(s.source.encode())})
         for m in s.members:
