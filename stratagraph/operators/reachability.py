@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.operators import graph, intervals
-from stratagraph.staging import checkpointed, dropped, observed, staying
+from stratagraph.operators.ordered import before, dealt
+from stratagraph.staging import SENT, checkpointed, chosen, dropped, observed
 
 FORESTS = 2
 #: Nodes up to which ``over`` takes the closure, 64 starts a row: at most 4,194,304 rows.
@@ -63,33 +64,63 @@ class Index:
         for k in range(forests):
             parent = self.edges.groupBy("b").agg(F.min_by("a", F.struct(F.xxhash64("a", "b", F.lit(k)), F.col("a"))).alias("parent")).withColumnRenamed("b", "id")
             numbered = intervals.numbered(heads.join(parent, "id", "left"))
-            own = numbered.select("id", F.struct(F.xxhash64("root", F.lit(k)).alias("tree"), "root", F.col("enter").alias("at")).alias(f"enter{k}"), F.col("leave").alias(f"leave{k}"))
-            last = F.struct(F.col(f"enter{k}.tree").alias("tree"), F.col(f"enter{k}.root").alias("root"), F.col(f"leave{k}").alias("at"))  # what the forest reaches is known at once
-            labels = labels.join(own.withColumn(f"low{k}", F.col(f"enter{k}")).withColumn(f"high{k}", last), "id")
+            own = self._placed(numbered, k).toDF("id", f"enter{k}", f"leave{k}", f"high{k}")  # what the forest reaches is known at once
+            labels = labels.join(own.withColumn(f"low{k}", F.col(f"enter{k}")), "id")
         self.labels = self._spread(checkpointed(labels))
 
+    @staticmethod
+    def _placed(numbered: DataFrame, k: int) -> DataFrame:
+        """(id, enter, leave, leave): a forest's numbers as one range of longs, its trees after one another in a random order."""
+        trees = numbered.where("id = root").select("root", F.col("enter").alias("first"), (F.col("leave") - F.col("enter") + 1).alias("width"), F.xxhash64("root", F.lit(k)).alias("tree"), F.lit(0).alias("all"))
+        at = before(dealt(trees, "all", ["tree", "root"]), "all", ["tree", "root"], "width", "past").select("root", (F.coalesce("past", F.lit(0)) - F.col("first")).alias("shift"))
+        own = numbered.join(at, "root")
+        return own.select("id", (F.col("enter") + F.col("shift")).alias("enter"), (F.col("leave") + F.col("shift")).alias("leave"), (F.col("leave") + F.col("shift")).alias("high"))
+
     def _spread(self, labels: DataFrame) -> DataFrame:
-        """Every node's ranges widened to all that it reaches; a round an edge on the longest way that still widens."""
+        """Every node's ranges widened to all that it reaches; a round an edge on the longest way that still widens.
+
+        Only nodes that a round has widened tell those before them. What at most ``SENT`` nodes are told is kept beside
+        the ranges (``late``), which are written again when more have been told.
+        """
         ranges = [f"{x}{k}" for k in range(self.forests) for x in ("low", "high")]
         best = lambda c: F.min if c.startswith("low") else F.max
         pick = lambda c: F.least if c.startswith("low") else F.greatest
-        size = labels.count()
-        while True:
-            told = self.edges.join(staying(labels.select(F.col("id").alias("b"), *ranges), size), "b").groupBy(F.col("a").alias("id")).agg(*[best(c)(c).alias(f"n_{c}") for c in ranges])
-            wide = labels.join(staying(told, size), "id", "left").select(*[c for c in labels.columns if c not in ranges], *[pick(c)(c, f"n_{c}").alias(c) for c in ranges], *[F.col(c).alias(f"o_{c}") for c in ranges])
-            moved = reduce(lambda x, y: x | y, [F.col(c) != F.col(f"o_{c}") for c in ranges])
-            new, seen = observed(wide.withColumn("moved", moved).drop(*[f"o_{c}" for c in ranges]), n=F.count_if("moved"))
-            dropped(labels)
-            labels = new.drop("moved")
-            if not seen["n"]:
-                return labels
+        marked = lambda df, p: df.select("id", *[F.col(c).alias(f"{p}_{c}") for c in ranges])
+        size, most = labels.count(), self.edges.count()
+        now = fresh = labels.select("id", *ranges)
+        n, late, lately = size, None, 0
+        while n:
+            told = self.edges.join(chosen(fresh.select(F.col("id").alias("b"), *ranges), n), "b").groupBy(F.col("a").alias("id")).agg(*[best(c)(c).alias(c) for c in ranges])
+            heard = most
+            if most > SENT:  # else they are few in any case
+                told, seen = observed(told, n=F.count("*"))
+                heard = seen["n"]
+            few = heard <= SENT and lately + heard <= SENT
+            met = now.join(chosen(marked(told, "n"), heard), "id", "inner" if few else "left")
+            known = lambda c: F.col(c)
+            if late is not None:
+                met = met.join(F.broadcast(marked(late, "l")), "id", "left")  # at most SENT rows
+                known = lambda c: pick(c)(F.col(c), F.col(f"l_{c}"))
+            moved = reduce(lambda x, y: x | y, [F.coalesce(pick(c)(known(c), F.col(f"n_{c}")) != known(c), F.lit(False)) for c in ranges])
+            step = met.select("id", *[pick(c)(known(c), F.col(f"n_{c}")).alias(c) for c in ranges], moved.alias("moved"))
+            new, seen = observed(step.where("moved") if few else step, n=F.count_if("moved"))
+            fresh, n = new.where("moved"), seen["n"]
+            if few:
+                late, lately = fresh.drop("moved") if late is None else checkpointed(late.unionByName(fresh.drop("moved")).groupBy("id").agg(*[best(c)(c).alias(c) for c in ranges])), lately + n
+            else:
+                dropped(now)
+                now, late, lately = new, None, 0
+        wide = now.select("id", *ranges)
+        if late is not None:
+            wide = wide.join(F.broadcast(marked(late, "l")), "id", "left").select("id", *[pick(c)(F.col(c), F.col(f"l_{c}")).alias(c) for c in ranges])
+        return checkpointed(labels.drop(*ranges).join(wide, "id"))
 
     def _named(self, prefix: str) -> DataFrame:
         return self.labels.select(*[F.col(c).alias(f"{prefix}{c}") for c in self.labels.columns])
 
     def _sure(self, a: str, b: str) -> Column:
         """One forest has b below a, or a is b."""
-        nested = [(F.col(f"{a}enter{k}.root") == F.col(f"{b}enter{k}.root")) & (F.col(f"{a}enter{k}.at") <= F.col(f"{b}enter{k}.at")) & (F.col(f"{b}leave{k}") <= F.col(f"{a}leave{k}")) for k in range(self.forests)]
+        nested = [(F.col(f"{a}enter{k}") <= F.col(f"{b}enter{k}")) & (F.col(f"{b}leave{k}") <= F.col(f"{a}leave{k}")) for k in range(self.forests)]
         return reduce(lambda x, y: x | y, nested)
 
     def _open(self, a: str, b: str) -> Column:
@@ -123,17 +154,20 @@ class Index:
     def _searched(self, pairs: DataFrame) -> DataFrame:
         """Of undecided pairs of components those in which one reaches the other."""
         found = pairs.where("false")
+        pairs, asked = observed(pairs, n=F.count("*"))
+        ends = checkpointed(self._named("b_").join(chosen(pairs.select(F.col("cb").alias("b_id")).distinct(), asked["n"]), "b_id", "left_semi"))
         now, n = observed(pairs.withColumn("at", F.col("ca")).withColumn("fresh", F.lit(True)), n=F.count("*"))
         while n["n"]:
-            step = now.where("fresh").join(self.edges.select(F.col("a").alias("at"), F.col("b").alias("next")), "at").select("ca", "cb", F.col("next").alias("at")).distinct()
+            step = chosen(now.where("fresh"), n["n"]).join(self.edges.select(F.col("a").alias("at"), F.col("b").alias("next")), "at").select("ca", "cb", F.col("next").alias("at")).distinct()
             step = step.join(now.select("ca", "cb", "at"), ["ca", "cb", "at"], "left_anti")
-            step = step.join(self._named("a_"), F.col("at") == F.col("a_id")).join(self._named("b_"), F.col("cb") == F.col("b_id")).where(self._open("a_", "b_"))
+            near, met = observed(step, n=F.count("*"))
+            step = chosen(near, met["n"]).join(self._named("a_"), F.col("at") == F.col("a_id")).join(chosen(ends, asked["n"]), F.col("cb") == F.col("b_id")).where(self._open("a_", "b_"))
             step = checkpointed(step.select("ca", "cb", "at", self._sure("a_", "b_").alias("sure")))
             hits = checkpointed(step.where("sure").select("ca", "cb").distinct())
             found = found.unionByName(hits)
             seen = now.select("ca", "cb", "at", F.lit(False).alias("fresh")).unionByName(step.select("ca", "cb", "at", F.lit(True).alias("fresh")))
             later, n = observed(seen.join(hits, ["ca", "cb"], "left_anti"), n=F.count_if("fresh"))
-            for done in (now, step):
+            for done in (now, near, step):
                 dropped(done)
             now = later
         return found

@@ -55,6 +55,11 @@ def staying(df: DataFrame, rows: int) -> DataFrame:
     return df.hint("merge") if rows > SENT else df
 
 
+def chosen(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, as a side of a round's joins: up to ``SENT`` it is sent to all tasks, so that the other side stays where it is."""
+    return df.hint("merge" if rows > SENT else "broadcast")
+
+
 #: Where ``checkpointed`` frames lie, for as long as they are held.
 _PATHS: dict[int, tuple[weakref.ref, str]] = {}
 

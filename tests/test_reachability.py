@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from stratagraph import staging
 from stratagraph.operators import graph, intervals, reachability
 from test_graph import closure, edges_of, made
 
@@ -47,3 +48,26 @@ def test_over_chooses_by_size(spark):
     index = reachability.over(edges, small=2)
     assert isinstance(index, reachability.Index)
     assert [tuple(r) for r in index.among(spark.createDataFrame([(1, 3), (3, 1)], "x long, y long"), "x", "y").collect()] == [(1, 3)]
+
+
+@pytest.mark.parametrize("sent", [1 << 15, 6, 0])
+def test_rounds_write_what_has_moved(spark, monkeypatch, sent):
+    """A chain of nine beside forty pairs: after the first rounds one node moves a round."""
+    wrote, watched = [], reachability.observed
+
+    def seen(df, **m):
+        out = watched(df, **m)
+        wrote.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(reachability, "observed", seen)
+    monkeypatch.setattr(staging, "SENT", sent)
+    monkeypatch.setattr(reachability, "SENT", sent, raising=False)
+    pairs = [(i, i + 1) for i in range(8)] + [(100 + i, 200 + i) for i in range(40)]
+    index = reachability.Index(edges_of(spark, pairs), forests=1)
+    index.edges = edges_of(spark, pairs)
+    ids = sorted({x for p in pairs for x in p})
+    labels = spark.createDataFrame([(i, i, i, i, i) for i in ids], "id long, enter0 long, leave0 long, low0 long, high0 long")
+    got = {r.id: (r.low0, r.high0) for r in index._spread(labels).collect()}
+    assert got == {i: (i, 8 if i < 9 else i + 100 if i < 200 else i) for i in ids}
+    assert sent < 1 << 15 or sum(wrote) <= 4 * len(ids)  # before, every round wrote all nodes
