@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 
 
 #: What of a file may be left empty where nothing reads it. Where only the ``names`` of symbols are wanted, they have
-#: their id, kind and place among the others, but no lines, signature, docstring, markers, hashes or size.
+#: their id, kind and place among the others, but no lines, signature, docstring, markers, hashes or size; where
+#: their ``places`` are, lines and markers too.
 PARTS = ("text", "symbols", "imports", "flows", "words")
 
 
@@ -65,7 +66,7 @@ class Extracted:
     imports: list[Import] = field(default_factory=list)
     flows: list[tuple[str, str]] = field(default_factory=list)
     words: list[str] = field(default_factory=list)
-    parse_errors: int = 0
+    parse_errors: int | None = 0
     fingerprint: str = ""
 
 
@@ -98,15 +99,16 @@ def fold_same_id(symbols: list[Symbol]) -> list[Symbol]:
 
 
 NAMES = ("id", "file", "kind", "raw", "parent", "is_exported", "public")
+PLACES = (*NAMES, "start_line", "end_line", "markers")
 
 
-def rows(symbols: list[Symbol], names: bool = False) -> list[dict]:
-    """Symbols and their members as flat rows in source order; ``names``: without what takes their text."""
+def rows(symbols: list[Symbol], names: tuple[str, ...] = ()) -> list[dict]:
+    """Symbols and their members as flat rows in source order; ``names``: only these of what they have, and their place."""
     out: list[dict] = []
 
     def add(s: Symbol, top: bool) -> None:
         if names:
-            out.append({k: getattr(s, k) for k in NAMES} | {"ord": len(out), "is_top_level": top})
+            out.append({k: getattr(s, k) for k in names} | {"ord": len(out), "is_top_level": top})
             for m in s.members:
                 add(m, False)
             return

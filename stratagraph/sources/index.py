@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from stratagraph.extract import packs
-from stratagraph.extract.model import PARTS, digest, rows
+from stratagraph.extract.model import NAMES, PARTS, PLACES, digest, rows
 from stratagraph.schema import FORMAT_VERSION
 from stratagraph.staging import observed
 
@@ -34,11 +34,11 @@ def extract(routed: DataFrame, known: dict[str, str] | None = None, wanted: tupl
     """Routed files to index rows; one pass, files independent of each other. known: see ``repo.known_names``.
 
     Every file is read whole; of the ``PARTS`` of its row only those ``wanted`` leave Python, the others are empty.
-    Of symbols the ``names`` may be wanted alone (``model.PARTS``).
+    Of symbols the ``names`` or ``places`` may be wanted alone (``model.PARTS``).
     """
     schema = _schema()
     arrow = to_arrow_schema(schema)
-    names = "symbols" not in wanted
+    names = () if "symbols" in wanted else PLACES if "places" in wanted else NAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, len(b), TOGETHER)):
@@ -49,7 +49,7 @@ def extract(routed: DataFrame, known: dict[str, str] | None = None, wanted: tupl
                 "source_hash": [digest(x) for x in texts],
                 "fingerprint": [e.fingerprint for e in found],
                 "parse_errors": [e.parse_errors for e in found],
-                "symbols": _listed([rows(e.symbols, names) if not names or "names" in wanted else [] for e in found], arrow.field("symbols").type),
+                "symbols": _listed([rows(e.symbols, names) if not names or "names" in wanted or "places" in wanted else [] for e in found], arrow.field("symbols").type),
                 "imports": _listed([[vars(i) | {"ord": k} for k, i in enumerate(e.imports)] if "imports" in wanted else [] for e in found], arrow.field("imports").type),
                 "flows": _listed([[{"ord": k, "kind": kind, "raw": raw} for k, (kind, raw) in enumerate(e.flows)] if "flows" in wanted else [] for e in found], arrow.field("flows").type),
                 "words": [e.words if "words" in wanted else [] for e in found],

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from stratagraph.extract import braces as B
-from stratagraph.extract import cpp_macros, cpp_pack, java_pack, packs, python_pack, ts_pack
+from stratagraph.extract import cpp_macros, cpp_pack, java_pack, model, packs, python_pack, ts_pack
 from stratagraph.plans.source_trees import TEMPLATES
 from stratagraph.plans.variants import VARIANTS
 
@@ -157,3 +157,27 @@ def test_brackets_are_matched_in_one_pass():
     deep = "a{" * 200 + "}" * 200
     assert B.items(deep, 0, len(deep))[0].end == len(deep) and [B.close_of(deep, 2 * k + 1) for k in range(200)] == list(range(599, 399, -1))
     assert B._closings.cache_info().misses == 1
+
+
+def test_cpp_includes_need_no_declarations(monkeypatch):
+    text = '#include "a.h"\n/*\n#include "no.h"\n*/\n#include <b>\nclass FOO_API K { int go(); };\n'
+    whole = cpp_pack.extract("src/k.h", text)
+
+    def never(*_):
+        raise AssertionError("declarations are read")
+
+    monkeypatch.setattr(cpp_macros, "blank_macros", never)
+    alone = packs.extract("cpp", "code", "src/k.h", text, None, ("imports",))
+    assert alone.imports == whole.imports and [i.specifier for i in alone.imports] == ["a.h", "b"]
+    assert (alone.symbols, alone.words, alone.parse_errors) == ([], [], None)
+    assert packs.extract("cpp", "code", "src/k.h", text, None, ("words",)).words == whole.words
+
+
+@pytest.mark.parametrize("pack", sorted(VARIANTS))
+def test_places_are_those_of_whole_symbols(monkeypatch, pack):
+    files = [(fill(path), fill(text)) for path, text, _, _ in VARIANTS[pack]]
+    flat_ = lambda e, names=(): [{k: r[k] for k in (*model.PLACES, "ord", "is_top_level")} for r in model.rows(e.symbols, names)]
+    whole = [flat_(packs.extract(pack, "code", *f)) for f in files]
+    if pack == "cpp":
+        monkeypatch.setattr("stratagraph.extract.braces.doc_before", None)  # no comment is looked for
+    assert [flat_(packs.extract(pack, "code", *f, None, ("places",)), model.PLACES) for f in files] == whole and all(whole)
