@@ -181,3 +181,13 @@ def test_places_are_those_of_whole_symbols(monkeypatch, pack):
     if pack == "cpp":
         monkeypatch.setattr("stratagraph.extract.braces.doc_before", None)  # no comment is looked for
     assert [flat_(packs.extract(pack, "code", *f, None, ("places",)), model.PLACES) for f in files] == whole and all(whole)
+
+
+def test_rules_that_cannot_hold_are_not_tried(monkeypatch):
+    """A text without attributes, modules, templates, labels or calls of macros takes none of the slow patterns."""
+    for name in ("_ATTRIBUTE", "_INSTANCE", "_MODULE", "_LABEL", "_MEMBER"):
+        monkeypatch.setattr(cpp_macros, name, None)
+    text = "class Foo {\n public:\n  int go(int a);\n};\n"
+    assert cpp_macros.blank_macros(text) == text
+    with pytest.raises((AttributeError, TypeError)):
+        cpp_macros.blank_macros(text + "export int a;\n")
